@@ -66,6 +66,7 @@ def ordered_rows(
     previous: Sequence[str] = (),
     running: Mapping[str, Column] | None = None,
     before: Mapping[str, Column] | None = None,
+    at_first: Mapping[str, Column] | None = None,
     min_rows: int = HOT_MIN_ROWS,
     share: float = HOT_SHARE,
 ) -> DataFrame:
@@ -74,8 +75,9 @@ def ordered_rows(
     ``order`` starts with a timestamp or date column and must be unique within a key.
     ``following`` / ``previous``: columns to take from the next / previous row, as
     ``next_<c>`` / ``prev_<c>``. ``running`` sums up to and with the row, ``before`` without it.
+    ``at_first`` gives the value of an expression at the first row of the key.
     """
-    running, before = dict(running or {}), dict(before or {})
+    running, before, at_first = dict(running or {}), dict(before or {}), dict(at_first or {})
     sums = {**running, **before}
     keys, order = list(keys), list(order)
     out_columns = df.columns
@@ -83,6 +85,8 @@ def ordered_rows(
     rows = rows.withColumn(_SLICE, F.when(F.col(_HOT), F.to_date(order[0])))
     for name, delta in sums.items():
         rows = rows.withColumn(f"_d_{name}", delta)
+    for name, value in at_first.items():
+        rows = rows.withColumn(f"_f_{name}", value)
 
     def line(fields: Sequence[str]) -> Column:
         return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c) for c in fields])
@@ -94,25 +98,27 @@ def ordered_rows(
             F.min(line(following)).alias("_first"),
             F.max(line(previous)).alias("_last"),
             *[F.sum(f"_d_{name}").alias(f"_d_{name}") for name in sums],
+            *[F.min_by(f"_f_{name}", line(())).alias(f"_f_{name}") for name in at_first],
             F.count("*").alias("_n"),
         )
     )
     by_day = Window.partitionBy(*keys).orderBy(_SLICE)
     earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
     parts = [rows.withColumn(_POS, F.lit(_ROW)).drop(_HOT)]
-    if previous or sums:
+    if previous or sums or at_first:
         ahead = slices.select(
             *keys,
             _SLICE,
             F.lit(_BEFORE).alias(_POS),
             F.lag("_last").over(by_day).alias("_carry"),
             *[F.sum(f"_d_{name}").over(earlier).alias(f"_d_{name}") for name in sums],
+            *[F.first(f"_f_{name}").over(earlier).alias(f"_f_{name}") for name in at_first],
             F.sum("_n").over(earlier).alias("_n"),
         ).where(F.col("_n").isNotNull())
         parts.append(
             ahead.select(
                 *keys, _SLICE, _POS, *[F.col(f"_carry.{c}").alias(c) for c in previous if c not in keys],
-                *[f"_d_{name}" for name in sums],
+                *[f"_d_{name}" for name in sums], *[f"_f_{name}" for name in at_first],
             )
         )
     if following:
@@ -133,6 +139,7 @@ def ordered_rows(
     added.update({f"prev_{c}": F.lag(c).over(in_slice) for c in previous})
     added.update({name: F.coalesce(F.sum(f"_d_{name}").over(upto), F.lit(0)) for name in running})
     added.update({name: F.coalesce(F.sum(f"_d_{name}").over(ahead_of), F.lit(0)) for name in before})
+    added.update({name: F.first(f"_f_{name}").over(upto) for name in at_first})
     return (
         everything.select("*", *[c.alias(name) for name, c in added.items()])
         .where(F.col(_POS) == _ROW)

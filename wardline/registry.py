@@ -21,7 +21,7 @@ def register(name: str, build: Callable[[Star], DataFrame]) -> None:
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from wardline.plans import catalog  # noqa: F401 - fills QUERIES
+    from wardline.plans import catalog, catalog_care  # noqa: F401 - fill QUERIES
 
     def bind(build):
         return lambda spark, sf_dir: build(Star(spark, sf_dir))
