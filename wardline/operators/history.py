@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import ordered_rows
-from wardline.sources.tables import latest_per_key
+from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows
+from wardline.sources.tables import latest_per_key, materialize
 
 # Fixed value: end of a version that is still valid.
 OPEN_END = "9999-12-31 23:59:59"
@@ -129,15 +129,16 @@ def late_changes(dim: DataFrame, source: DataFrame, key: str, eff: str = "effect
 
 
 def scd2_changes(
-    dim: DataFrame, source: DataFrame, key: str, tracked: Sequence[str], eff: str = "effective_at", **hot: float
+    dim: DataFrame, source: DataFrame, key: str, tracked: Sequence[str], eff: str = "effective_at", hot: HotKeys | None = None
 ) -> DataFrame:
     """Source rows that open a new version, with the version's number and validity.
 
     Several changes of a key in one batch apply in the order of their time; each is compared
     with the one before it, the first with the current version. Comparison is null-safe.
     """
+    hot = hot_keys(source, [key]) if hot is None else hot
     rows = _with_current(dim, source, key, eff).where(~_is_late(eff))
-    seq = ordered_rows(rows, [key], [eff], previous=list(tracked), running={"_seq": F.lit(1)}, **hot)
+    seq = ordered_rows(rows, [key], [eff], previous=list(tracked), running={"_seq": F.lit(1)}, hot=hot)
     known = F.col("cur_record_version").isNotNull()
 
     def changed_from(prefix: str) -> Column:
@@ -145,7 +146,7 @@ def scd2_changes(
 
     opens = F.when(F.col("_seq") > 1, changed_from("prev")).when(known, changed_from("cur")).otherwise(True)
     new = seq.where(opens).drop("_seq", *[f"prev_{c}" for c in tracked])
-    out = ordered_rows(new, [key], [eff], following=[eff], running={"_k": F.lit(1)}, **hot)
+    out = ordered_rows(new, [key], [eff], following=[eff], running={"_k": F.lit(1)}, hot=hot)
     return (
         out.withColumn("record_version", (F.coalesce("cur_record_version", F.lit(0)) + F.col("_k")).cast("int"))
         .withColumn("valid_from", F.col(eff))
@@ -162,17 +163,18 @@ def scd2_merge(
     tracked: Sequence[str],
     surrogate: str = "patient_key",
     eff: str = "effective_at",
-    **hot: float,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """The dimension with a batch of changes applied.
 
     New keys start at version 1, changed keys have their current row closed and a new version
     opened, unchanged rows stay. Columns that are not tracked are taken over from the current
     version, or from the source for a new key. Applying the same batch again changes nothing.
+    The changes are needed three times and are staged in the shared folder.
     Write the result to a new folder and switch readers over: one atomic step.
     """
     dim_columns = dim.columns
-    changes = scd2_changes(dim, source, key, tracked, eff, **hot)
+    changes = materialize(scd2_changes(dim, source, key, tracked, eff, hot=hot), "changes")
 
     closing = changes.groupBy(key).agg(F.min(eff).alias("_closed_at"))
     current = dim.where("is_current").join(closing, key, "left")

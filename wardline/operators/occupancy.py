@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import ordered_rows
+from wardline.operators.ordered import HotKeys, ordered_rows
 
 BED = ["department_key", "bed_number"]
 
@@ -97,7 +97,7 @@ def bed_utilization(events: DataFrame, departments: DataFrame) -> DataFrame:
     )
 
 
-def bed_timeline(events: DataFrame, departments: DataFrame, n: int | None = None, **hot: float) -> DataFrame:
+def bed_timeline(events: DataFrame, departments: DataFrame, n: int | None = None, hot: HotKeys | None = None) -> DataFrame:
     """Occupancy level of each bed after each event.
 
     The first event of a bed sets level 1; later ones add or take one. There are few beds, so
@@ -106,7 +106,7 @@ def bed_timeline(events: DataFrame, departments: DataFrame, n: int | None = None
     delta = F.when(F.col("event_type") == "bed_assigned", 1).when(F.col("event_type") == "bed_discharged", -1).otherwise(0)
     rows = events.select(*BED, "event_timestamp", "bed_event_key", "event_type", "encounter_key")
     levels = ordered_rows(
-        rows, BED, ["event_timestamp", "bed_event_key"], running={"_sum": delta}, at_first={"_first": delta}, **hot
+        rows, BED, ["event_timestamp", "bed_event_key"], running={"_sum": delta}, at_first={"_first": delta}, hot=hot
     )
     out = levels.withColumn("occupancy_level", 1 + F.col("_sum") - F.col("_first")).join(
         departments.select("department_key", "department_name"), "department_key"

@@ -17,42 +17,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot with more than this share of all rows, and at least this many of them. The
-# share bounds the list of hot keys at 1 / HOT_SHARE entries, which is why it may be broadcast.
-HOT_SHARE = 1e-4
+# A key is hot with at least HOT_MIN_ROWS rows, unless HOT_KEYS others have more: a key that does
+# not make the list holds less than 1 / HOT_KEYS of all rows. The list is short by construction,
+# so it may come to the driver and be broadcast.
 HOT_MIN_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
-_SLICE, _HOT, _POS = "_slice", "_hot", "_pos"
+HOT_FLAG = "_hot"
+_SLICE, _HOT, _POS = "_slice", HOT_FLAG, "_pos"
 _BEFORE, _ROW, _AFTER = 0, 1, 2
 
+HotKeys = list[tuple]
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys."""
-    cond = None
-    for k in keys:
-        eq = left[k].eqNullSafe(right[k])
-        cond = eq if cond is None else cond & eq
-    return cond
 
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS, most: int = HOT_KEYS) -> HotKeys:
+    """The largest keys, at most ``most`` of them, found by one counting job over the key columns.
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE
-) -> DataFrame:
-    """Keys with at least ``min_rows`` rows and more than ``share`` of all rows: at most 1/share of them."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where((F.col("_n") >= min_rows) & (F.col("_n") > total * F.lit(share))).select(*keys)
+    Usually the list is empty, and the caller can use a plain window.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
+    return [tuple(row)[:-1] for row in counts.orderBy(F.desc("_n")).limit(most).collect()]
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Adds ``_hot``. The list has at most 1/HOT_SHARE entries, so it is broadcast."""
-    renamed = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias(_HOT))
-    cond = None
+def mark_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> DataFrame:
+    """Adds ``_hot``: whether the row's key is on the list."""
+    if not hot:
+        return df.withColumn(_HOT, F.lit(False))
+    types = ", ".join(f"_h_{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    known = df.sparkSession.createDataFrame(hot, types).withColumn(_HOT, F.lit(True))
+    cond = F.lit(True)
     for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-        cond = eq if cond is None else cond & eq
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
     return (
-        df.join(F.broadcast(renamed), cond, "left")
+        df.join(F.broadcast(known), cond, "left")
         .drop(*[f"_h_{k}" for k in keys])
         .withColumn(_HOT, F.coalesce(_HOT, F.lit(False)))
     )
@@ -67,84 +64,84 @@ def ordered_rows(
     running: Mapping[str, Column] | None = None,
     before: Mapping[str, Column] | None = None,
     at_first: Mapping[str, Column] | None = None,
-    min_rows: int = HOT_MIN_ROWS,
-    share: float = HOT_SHARE,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Adds neighbour values and running sums of the rows of each key.
 
     ``order`` starts with a timestamp or date column and must be unique within a key.
     ``following`` / ``previous``: columns to take from the next / previous row, as
     ``next_<c>`` / ``prev_<c>``. ``running`` sums up to and with the row, ``before`` without it.
-    ``at_first`` gives the value of an expression at the first row of the key.
+    ``at_first`` gives the value of an expression at the first row of the key. ``hot`` are the
+    keys to cut into day slices; left out, they are looked up with ``hot_keys``.
     """
     running, before, at_first = dict(running or {}), dict(before or {}), dict(at_first or {})
     sums = {**running, **before}
     keys, order = list(keys), list(order)
-    out_columns = df.columns
-    rows = mark_hot(df, keys, hot_keys(df, keys, min_rows, share))
-    rows = rows.withColumn(_SLICE, F.when(F.col(_HOT), F.to_date(order[0])))
+    rows = df
     for name, delta in sums.items():
         rows = rows.withColumn(f"_d_{name}", delta)
     for name, value in at_first.items():
         rows = rows.withColumn(f"_f_{name}", value)
 
+    hot = hot_keys(df, keys) if hot is None else hot
+    if hot:
+        rows = mark_hot(rows, keys, hot).withColumn(_SLICE, F.when(F.col(_HOT), F.to_date(order[0])))
+        carry = _carry_rows(rows.where(_HOT), keys, order, following, previous, list(sums), list(at_first))
+        rows = rows.drop(_HOT).withColumn(_POS, F.lit(_ROW))
+        for part in carry:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        w = Window.partitionBy(*keys, _SLICE).orderBy(_POS, *order)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    added = {f"next_{c}": F.lead(c).over(w) for c in following}
+    added.update({f"prev_{c}": F.lag(c).over(w) for c in previous})
+    added.update({name: F.coalesce(F.sum(f"_d_{name}").over(upto), F.lit(0)) for name in running})
+    added.update({name: F.coalesce(F.sum(f"_d_{name}").over(earlier), F.lit(0)) for name in before})
+    added.update({name: F.first(f"_f_{name}").over(upto) for name in at_first})
+    out = rows.select("*", *[c.alias(name) for name, c in added.items()])
+    if hot:
+        out = out.where(F.col(_POS) == _ROW)
+    return out.select(*df.columns, *added)
+
+
+def _carry_rows(
+    rows: DataFrame, keys: list[str], order: list[str], following: Sequence[str], previous: Sequence[str],
+    sums: list[str], at_first: list[str],
+) -> list[DataFrame]:
+    """What the slices of the hot keys hand to each other, as rows placed before or behind a slice."""
+
     def line(fields: Sequence[str]) -> Column:
         return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c) for c in fields])
 
-    slices = (
-        rows.where(_HOT)
-        .groupBy(*keys, _SLICE)
-        .agg(
-            F.min(line(following)).alias("_first"),
-            F.max(line(previous)).alias("_last"),
-            *[F.sum(f"_d_{name}").alias(f"_d_{name}") for name in sums],
-            *[F.min_by(f"_f_{name}", line(())).alias(f"_f_{name}") for name in at_first],
-            F.count("*").alias("_n"),
-        )
+    slices = rows.groupBy(*keys, _SLICE).agg(
+        F.min(line(following)).alias("_first"),
+        F.max(line(previous)).alias("_last"),
+        *[F.sum(f"_d_{name}").alias(f"_d_{name}") for name in sums],
+        *[F.min_by(f"_f_{name}", line(())).alias(f"_f_{name}") for name in at_first],
     )
     by_day = Window.partitionBy(*keys).orderBy(_SLICE)
-    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    parts = [rows.withColumn(_POS, F.lit(_ROW)).drop(_HOT)]
+    past = by_day.rowsBetween(Window.unboundedPreceding, -1)
+
+    def unpack(df: DataFrame, fields: Sequence[str], *more: str) -> DataFrame:
+        own = [F.col(f"_carry.{c}").alias(c) for c in fields if c not in keys]
+        return df.where(F.col("_carry").isNotNull()).select(*keys, _SLICE, _POS, *own, *more)
+
+    parts = []
     if previous or sums or at_first:
         ahead = slices.select(
-            *keys,
-            _SLICE,
-            F.lit(_BEFORE).alias(_POS),
-            F.lag("_last").over(by_day).alias("_carry"),
-            *[F.sum(f"_d_{name}").over(earlier).alias(f"_d_{name}") for name in sums],
-            *[F.first(f"_f_{name}").over(earlier).alias(f"_f_{name}") for name in at_first],
-            F.sum("_n").over(earlier).alias("_n"),
-        ).where(F.col("_n").isNotNull())
-        parts.append(
-            ahead.select(
-                *keys, _SLICE, _POS, *[F.col(f"_carry.{c}").alias(c) for c in previous if c not in keys],
-                *[f"_d_{name}" for name in sums], *[f"_f_{name}" for name in at_first],
-            )
+            *keys, _SLICE, F.lit(_BEFORE).alias(_POS), F.lag("_last").over(by_day).alias("_carry"),
+            *[F.sum(f"_d_{name}").over(past).alias(f"_d_{name}") for name in sums],
+            *[F.first(f"_f_{name}").over(past).alias(f"_f_{name}") for name in at_first],
         )
+        parts.append(unpack(ahead, previous, *[f"_d_{n}" for n in sums], *[f"_f_{n}" for n in at_first]))
     if following:
         behind = slices.select(
             *keys, _SLICE, F.lit(_AFTER).alias(_POS), F.lead("_first").over(by_day).alias("_carry")
-        ).where(F.col("_carry").isNotNull())
-        parts.append(
-            behind.select(*keys, _SLICE, _POS, *[F.col(f"_carry.{c}").alias(c) for c in following if c not in keys])
         )
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part, allowMissingColumns=True)
-
-    in_slice = Window.partitionBy(*keys, _SLICE).orderBy(_POS, *order)
-    upto = in_slice.rowsBetween(Window.unboundedPreceding, 0)
-    ahead_of = in_slice.rowsBetween(Window.unboundedPreceding, -1)
-    added = {f"next_{c}": F.lead(c).over(in_slice) for c in following}
-    added.update({f"prev_{c}": F.lag(c).over(in_slice) for c in previous})
-    added.update({name: F.coalesce(F.sum(f"_d_{name}").over(upto), F.lit(0)) for name in running})
-    added.update({name: F.coalesce(F.sum(f"_d_{name}").over(ahead_of), F.lit(0)) for name in before})
-    added.update({name: F.first(f"_f_{name}").over(upto) for name in at_first})
-    return (
-        everything.select("*", *[c.alias(name) for name, c in added.items()])
-        .where(F.col(_POS) == _ROW)
-        .select(*out_columns, *added)
-    )
+        parts.append(unpack(behind, following))
+    return parts
 
 
 def first_at_or_after(
@@ -154,8 +151,7 @@ def first_at_or_after(
     probe_time: str,
     target_time: str,
     target_id: str,
-    min_rows: int = HOT_MIN_ROWS,
-    share: float = HOT_SHARE,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """For every probe and every target row the next target of its key.
 
@@ -169,59 +165,48 @@ def first_at_or_after(
         targets.select("*", F.lit(False).alias("is_probe"), F.col(target_time).alias("_t"))
     )
     target = F.when(~F.col("is_probe"), F.struct(F.col("_t").alias("time"), F.col(target_id).alias("id")))
-    rows = mark_hot(both, keys, hot_keys(both, keys, min_rows, share))
-    rows = rows.withColumn(_SLICE, F.when(F.col(_HOT), F.to_date("_t"))).withColumn("_target", target)
-
-    slices = rows.where(_HOT).groupBy(*keys, _SLICE).agg(F.min("_target").alias("_target"))
-    later = Window.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = slices.select(
-        *keys, _SLICE, F.lit(_BEFORE).alias(_POS), F.last("_target", ignorenulls=True).over(later).alias("_target")
-    ).where(F.col("_target").isNotNull())
-
+    rows = both.withColumn("_target", target)
     # Walked backwards in time; at equal times a target comes before the probes that may use it.
-    backwards = (
-        Window.partitionBy(*keys, _SLICE)
-        .orderBy(_POS, F.desc("_t"), "is_probe", F.desc(target_id))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        rows.withColumn(_POS, F.lit(_ROW))
-        .drop(_HOT)
-        .unionByName(carry, allowMissingColumns=True)
-        .withColumn("hit", F.last("_target", ignorenulls=True).over(backwards))
-        .where(F.col(_POS) == _ROW)
-        .drop(_POS, _SLICE, "_target", "_t")
-    )
+    order = [F.desc("_t"), F.col("is_probe"), F.desc(target_id)]
+    hot = hot_keys(both, keys) if hot is None else hot
+    if hot:
+        rows = mark_hot(rows, keys, hot).withColumn(_SLICE, F.when(F.col(_HOT), F.to_date("_t")))
+        slices = rows.where(_HOT).groupBy(*keys, _SLICE).agg(F.min("_target").alias("_target"))
+        later = Window.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        carry = slices.select(
+            *keys, _SLICE, F.lit(_BEFORE).alias(_POS), F.last("_target", ignorenulls=True).over(later).alias("_target")
+        ).where(F.col("_target").isNotNull())
+        rows = rows.drop(_HOT).withColumn(_POS, F.lit(_ROW)).unionByName(carry, allowMissingColumns=True)
+        w = Window.partitionBy(*keys, _SLICE).orderBy(_POS, *order)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+    behind = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("hit", F.last("_target", ignorenulls=True).over(behind))
+    if hot:
+        out = out.where(F.col(_POS) == _ROW)
+    return out.select(*probes.columns, "is_probe", "hit")
 
 
 def trailing_count(
-    df: DataFrame,
-    keys: Sequence[str],
-    time_col: str,
-    days: int,
-    name: str,
-    min_rows: int = HOT_MIN_ROWS,
-    share: float = HOT_SHARE,
+    df: DataFrame, keys: Sequence[str], time_col: str, days: int, name: str, hot: HotKeys | None = None
 ) -> DataFrame:
     """Rows of the key in the last ``days`` days up to and with the row's own time.
 
     Hot keys are cut into blocks of ``days`` days. A row is sent to its own block and, as
     context, to the following one: the frame of any row lies within these two.
     """
-    keys, columns = list(keys), df.columns
-    rows = mark_hot(df, keys, hot_keys(df, keys, min_rows, share))
-    block = F.floor(F.datediff(F.to_date(time_col), F.lit("1970-01-01").cast("date")) / days)
-    rows = rows.withColumn("_own", F.when(F.col(_HOT), block))
-    rows = rows.withColumn(
-        _SLICE, F.explode(F.when(F.col(_HOT), F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own")))
-    )
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    frame = (
-        Window.partitionBy(*keys, _SLICE).orderBy("_us").rangeBetween(-days * 86_400_000_000, Window.currentRow)
-    )
-    return (
-        rows.withColumn("_us", micros)
-        .withColumn(name, F.count("*").over(frame))
-        .where(F.col("_own").eqNullSafe(F.col(_SLICE)))
-        .select(*columns, name)
-    )
+    keys = list(keys)
+    rows = df.withColumn("_us", F.unix_micros(F.col(time_col).cast("timestamp")))
+    hot = hot_keys(df, keys) if hot is None else hot
+    parts = list(keys)
+    if hot:
+        block = F.floor(F.col("_us") / (days * 86_400_000_000))
+        rows = mark_hot(rows, keys, hot).withColumn("_own", F.when(F.col(_HOT), block))
+        reach = F.when(F.col(_HOT), F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))
+        rows = rows.withColumn(_SLICE, F.explode(reach))
+        parts.append(_SLICE)
+    frame = Window.partitionBy(*parts).orderBy("_us").rangeBetween(-days * 86_400_000_000, Window.currentRow)
+    out = rows.withColumn(name, F.count("*").over(frame))
+    if hot:
+        out = out.where(F.col("_own").eqNullSafe(F.col(_SLICE)))
+    return out.select(*df.columns, name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import _HOT, HOT_MIN_ROWS, HOT_SHARE, first_at_or_after, hot_keys, mark_hot
+from wardline.operators.ordered import HOT_FLAG, HotKeys, first_at_or_after, hot_keys, mark_hot
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -20,7 +20,7 @@ def existing_rows(target: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def temporal_join(
-    facts: DataFrame, dim: DataFrame, key: str, time_col: str, min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE
+    facts: DataFrame, dim: DataFrame, key: str, time_col: str, hot: HotKeys | None = None
 ) -> DataFrame:
     """Facts with the dimension version valid at their time (begun by then, not yet ended).
 
@@ -28,44 +28,54 @@ def temporal_join(
     facts both sides are also split by month, so that neither its facts nor its versions
     meet in one task; a version is repeated only for months in which there are facts at all.
     """
-    hot = hot_keys(facts, [key], min_rows, share)
+    at = F.col(time_col)
+    valid = (F.col("valid_from") <= at) & (at < F.col("valid_to"))
+    hot = hot_keys(facts, [key]) if hot is None else hot
+    if not hot:
+        return facts.join(dim, key).where(valid)
     none = F.lit("0001-01-01").cast("date")
     month = F.trunc(F.to_date(time_col), "month")
-    left = mark_hot(facts, [key], hot).withColumn("_month", F.when(F.col(_HOT), month).otherwise(none)).drop(_HOT)
+    left = mark_hot(facts, [key], hot).withColumn("_month", F.when(F.col(HOT_FLAG), month).otherwise(none)).drop(HOT_FLAG)
 
     first, last = facts.agg(F.min(time_col)).scalar(), facts.agg(F.max(time_col)).scalar()
     lo = F.trunc(F.to_date(F.greatest("valid_from", first)), "month")
     hi = F.trunc(F.to_date(F.least("valid_to", last)), "month")
-    months = F.when(~F.col(_HOT), F.array(none)).when(lo <= hi, F.sequence(lo, hi, F.expr("interval 1 month")))
-    right = mark_hot(dim, [key], hot).withColumn("_month", F.explode(months)).drop(_HOT)
-
-    at = F.col(time_col)
-    joined = left.join(right, [key, "_month"])
-    return joined.where((F.col("valid_from") <= at) & (at < F.col("valid_to"))).drop("_month")
+    months = F.when(~F.col(HOT_FLAG), F.array(none)).when(lo <= hi, F.sequence(lo, hi, F.expr("interval 1 month")))
+    right = mark_hot(dim, [key], hot).withColumn("_month", F.explode(months)).drop(HOT_FLAG)
+    return left.join(right, [key, "_month"]).where(valid).drop("_month")
 
 
-def readmitted_flag(encounters: DataFrame, days: int = 30, name: str = "readmitted_30d", **hot: float) -> DataFrame:
+def readmitted_flag(
+    encounters: DataFrame, days: int = 30, name: str = "readmitted_30d", hot: HotKeys | None = None
+) -> DataFrame:
     """1 where another visit of the patient begins within ``days`` of the discharge, else 0.
 
-    Each discharge looks for the first admission at or after it. A stay that ends before it
-    begins may find its own admission: then the one behind that decides, which the row of
-    the admission itself knows.
+    Each discharge looks for the first admission at or after it.
     """
     columns = encounters.columns
-    closed = encounters.where(F.col("discharge_date").isNotNull())
-    found = first_at_or_after(closed, encounters, ["patient_id"], "discharge_date", "admission_date", "encounter_key", **hot)
-    end = X.shift("discharge_date", days=days)
-    other = F.col("hit.id") != F.col("encounter_key")
-    hit = F.coalesce((F.col("hit.time") <= end) & other, F.lit(False)).cast("int")
-    rows = found.withColumn(name, hit)
-    usual = rows.where(
-        (F.col("is_probe") & (F.col("discharge_date") > F.col("admission_date"))) | F.col("discharge_date").isNull()
-    ).select(*columns, name)
-    row = F.struct(*columns)
-    reversed_stays = (
-        rows.where(F.col("discharge_date") <= F.col("admission_date"))
+    hot = hot_keys(encounters, ["patient_id"]) if hot is None else hot
+    out, back = F.col("discharge_date"), F.col("discharge_date") <= F.col("admission_date")
+
+    def flagged(probes: DataFrame, targets: DataFrame) -> DataFrame:
+        found = first_at_or_after(
+            probes, targets, ["patient_id"], "discharge_date", "admission_date", "encounter_key", hot
+        )
+        other = F.col("hit.id") != F.col("encounter_key")
+        hit = (F.col("hit.time") <= X.shift("discharge_date", days=days)) & other
+        return found.withColumn(name, F.coalesce(hit, F.lit(False)).cast("int"))
+
+    usual = flagged(encounters.where(out > F.col("admission_date")), encounters)
+    usual = usual.where(F.col("is_probe") | out.isNull()).select(*columns, name)
+
+    # A stay that ends before it begins (rule-breaking data) may find its own admission. Then the
+    # admission behind it decides, which the row of the admission itself knows. Only the visits of
+    # such patients are looked at again.
+    broken = encounters.where(back)
+    again = flagged(broken, encounters.join(broken.select("patient_id").distinct(), "patient_id", "left_semi").select(*columns))
+    broken = (
+        again.where(back)
         .groupBy("encounter_key")
-        .agg(F.any_value(row).alias("_row"), F.max(name).alias(name))
+        .agg(F.any_value(F.struct(*columns)).alias("_row"), F.max(name).alias(name))
         .select(*[F.col(f"_row.{c}").alias(c) for c in columns], name)
     )
-    return usual.unionByName(reversed_stays)
+    return usual.unionByName(broken)

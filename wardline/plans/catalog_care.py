@@ -67,7 +67,7 @@ register("detect_changes", lambda s: changes.detect_changes(s.patients, _feed(s)
 
 def _after_merge_is_noop(s) -> DataFrame:
     """Merging the same feed into the merged dimension finds no change."""
-    merged = ml.materialize(_merge(s), "merged")
+    merged = tables.materialize(_merge(s), "merged")
     again = history.scd2_changes(merged, _feed(s), "patient_id", feeds.TRACKED)
     return again.agg(F.count("*").alias("changes_on_second_run"))
 
@@ -209,7 +209,7 @@ def _requests(s) -> DataFrame:
 
 
 def _parts(s, label: str | None) -> tuple[DataFrame, DataFrame]:
-    rows = ml.split(ml.materialize(_training(s), "training"), label=label)
+    rows = ml.split(tables.materialize(_training(s), "training"), label=label)
     return rows.where("is_train").drop("is_train"), rows.where("NOT is_train").drop("is_train")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import ordered_rows, trailing_count
+from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows, trailing_count
 from wardline.operators.quantiles import attach_quantiles, exact_quantiles
 
 DAY, HOUR = X.US_PER_DAY, X.US_PER_HOUR
@@ -179,7 +179,7 @@ def cohort_pivot(encounters: DataFrame, wrap: bool = False, cohorts: int = 12) -
 
 def readmissions(
     encounters: DataFrame, patients: DataFrame, departments: DataFrame, days: int = 30, exclude_overlap: bool = False,
-    **hot: float,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Visits followed by another visit of the patient within ``days`` of discharge.
 
@@ -189,7 +189,7 @@ def readmissions(
     visits = encounters.select("patient_id", "encounter_key", "admission_date", "discharge_date", "department_key")
     nxt = ordered_rows(
         visits, ["patient_id"], ["admission_date", "encounter_key"],
-        following=["admission_date", "encounter_key", "department_key"], **hot,
+        following=["admission_date", "encounter_key", "department_key"], hot=hot,
     )
     gap = X.elapsed_us("discharge_date", "next_admission_date")
     hits = nxt.withColumn("gap_us", gap).where(F.col("gap_us") <= F.lit(days * 86_400_000_000))
@@ -241,34 +241,35 @@ def centred_average(encounters: DataFrame) -> DataFrame:
     )
 
 
-def prior_visits(encounters: DataFrame, **hot: float) -> DataFrame:
+def prior_visits(encounters: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Earlier visits of the patient, per encounter."""
     rows = encounters.select("patient_id", "encounter_key", "admission_date")
     return ordered_rows(
-        rows, ["patient_id"], ["admission_date", "encounter_key"], before={"num_previous_visits": F.lit(1)}, **hot
+        rows, ["patient_id"], ["admission_date", "encounter_key"], before={"num_previous_visits": F.lit(1)}, hot=hot
     )
 
 
-def encounter_sequence(encounters: DataFrame, **hot: float) -> DataFrame:
+def encounter_sequence(encounters: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Row number and dense rank of the patient's visits by admission.
 
     The dense rank counts the visits whose time differs from the previous one's.
     """
     rows = encounters.select("patient_id", "encounter_key", "admission_date")
     order = ["admission_date", "encounter_key"]
+    hot = hot_keys(rows, ["patient_id"]) if hot is None else hot
     numbered = ordered_rows(
-        rows, ["patient_id"], order, previous=["admission_date"], running={"visit_number": F.lit(1)}, **hot
+        rows, ["patient_id"], order, previous=["admission_date"], running={"visit_number": F.lit(1)}, hot=hot
     )
     new_time = X.differs("admission_date", "prev_admission_date") | (F.col("visit_number") == 1)
     return ordered_rows(
-        numbered, ["patient_id"], order, running={"visit_rank": new_time.cast("int")}, **hot
+        numbered, ["patient_id"], order, running={"visit_rank": new_time.cast("int")}, hot=hot
     ).drop("prev_admission_date")
 
 
-def trailing_7d_visits(encounters: DataFrame, **hot: float) -> DataFrame:
+def trailing_7d_visits(encounters: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Visits of the patient in the seven days up to each admission, that one included."""
     rows = encounters.select("patient_id", "encounter_key", "admission_date")
-    return trailing_count(rows, ["patient_id"], "admission_date", 7, "visits_7d", **hot)
+    return trailing_count(rows, ["patient_id"], "admission_date", 7, "visits_7d", hot=hot)
 
 
 def recursive_month_calendar(encounters: DataFrame) -> DataFrame:

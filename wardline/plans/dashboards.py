@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import ordered_rows
+from wardline.operators.ordered import HotKeys, ordered_rows
 from wardline.operators.quantiles import attach_quantiles, exact_quantiles
 from wardline.operators.selection import arg_max, one_row, order_by_bucket, top_k
 
@@ -225,14 +225,14 @@ def visit_frequency(patients: DataFrame, encounters: DataFrame) -> DataFrame:
     return order_by_bucket(counts, "visit_category", X.labels_of(X.VISIT_BUCKETS))
 
 
-def monthly_readmissions(encounters: DataFrame, months: int | None = 12, **hot: float) -> DataFrame:
+def monthly_readmissions(encounters: DataFrame, months: int | None = 12, hot: HotKeys | None = None) -> DataFrame:
     """Discharges per month and how many were followed by a visit within 30 days.
 
     The average rate and the total are over the months shown.
     """
     visits = encounters.select("patient_id", "encounter_key", "admission_date", "discharge_date")
     nxt = ordered_rows(
-        visits, ["patient_id"], ["admission_date", "encounter_key"], following=["admission_date"], **hot
+        visits, ["patient_id"], ["admission_date", "encounter_key"], following=["admission_date"], hot=hot
     )
     soon = X.elapsed_us("discharge_date", "next_admission_date") <= F.lit(30 * 86_400_000_000)
     out = (

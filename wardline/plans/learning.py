@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import ordered_rows
+from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows
 from wardline.operators.quantiles import value_at_share
 from wardline.operators.relations import readmitted_flag
-from wardline.session import new_folder
 
 # Features in model order, forest settings, limits.
 READMISSION_FEATURES = [
@@ -33,20 +32,9 @@ TRAIN_SHARE = 0.8
 UNKNOWN = "Unknown"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back.
-
-    Fitting passes over its input many times; from a table no pass repeats the joins before it,
-    also not when an executor is lost.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def training_set(
     encounters: DataFrame, patients: DataFrame, departments: DataFrame, as_of: str,
-    categories: Mapping[str, str] | None = None, **hot: float,
+    categories: Mapping[str, str] | None = None, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Closed encounters with demographics, earlier visits and the 30-day readmission target.
 
@@ -56,8 +44,9 @@ def training_set(
         "encounter_key", "encounter_id", "patient_id", "department_key", "admission_date", "discharge_date", "chief_complaint"
     )
     order = ["admission_date", "encounter_key"]
-    counted = ordered_rows(visits, ["patient_id"], order, before={"num_previous_visits": F.lit(1)}, **hot)
-    flagged = readmitted_flag(counted, **hot)
+    hot = hot_keys(visits, ["patient_id"]) if hot is None else hot
+    counted = ordered_rows(visits, ["patient_id"], order, before={"num_previous_visits": F.lit(1)}, hot=hot)
+    flagged = readmitted_flag(counted, hot=hot)
     category = X.map_case("chief_complaint", categories, "General") if categories else F.lit("General")
     people = patients.where("is_current").select("patient_id", X.age_years("date_of_birth", as_of).alias("age"), "insurance_type")
     return (

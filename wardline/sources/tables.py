@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import new_folder
 from wardline.sources import schemas
 
 
@@ -36,6 +37,17 @@ def run_sql(spark: SparkSession, sql: str, args: Mapping | None = None, **frames
     return spark.sql(sql, args=dict(args or {}), **frames)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back.
+
+    For a frame that is used several times: from a table no use repeats the joins and shuffles
+    before it, also not when an executor is lost.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Adds rows in one committed job."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
