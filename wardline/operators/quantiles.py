@@ -1,9 +1,11 @@
-"""Exact quantiles and order statistics without gathering a group in one task.
-
-Rows are first counted per (group, value): partial counting on the map side, and a shuffle
-that spreads even a single group over its values. Then the counts per bin locate the bins
-that hold the wanted positions, and only those bins are ordered. Both ordered steps handle
-few rows per group: the bins of a group, then the values of a bin.
+"""Exact quantiles and order statistics, also of groups too large for one task.
+
+Spark's ``percentile`` keeps all distinct values of a group in one aggregation buffer. That is
+the cheapest way for groups of ordinary size. When a group has HOT_MIN_ROWS rows or more, rows
+are counted per (group, value) instead: partial counting on the map side, and a shuffle that
+spreads even a single group over its values. Then the counts per bin locate the bins that hold
+the wanted positions, and only those bins are ordered. Both ordered steps handle few rows per
+group: the bins of a group, then the values of a bin.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.ordered import HotKeys, hot_keys
+
 # Stays are counted in microseconds; one-hour bins keep both ordered steps short.
 HOUR_US = 3_600_000_000
 
@@ -22,7 +26,41 @@ def _positions(n: Column, q: float) -> tuple[Column, Column, Column]:
     return F.floor(at), F.ceil(at), at - F.floor(at)
 
 
-def exact_quantiles(
+def large_groups(df: DataFrame, keys: Sequence[str], coarse: Sequence[str] | None = None) -> HotKeys:
+    """Groups that need the distributed way, from one counting job.
+
+    ``coarse`` are some of the keys, cheaper to count: if no coarse group is large, none is.
+    """
+    if coarse is not None and not hot_keys(df, coarse):
+        return []
+    return hot_keys(df, keys)
+
+
+def aggregate_with_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    aggregates: Sequence[Column],
+    value: Column,
+    quantiles: Mapping[str, float],
+    unit: float = 1.0,
+    bin_width: int = HOUR_US,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """Aggregates per group with interpolated quantiles of an integer column, divided by ``unit``.
+
+    NULL values do not count; a group without any value has NULL quantiles.
+    """
+    hot = large_groups(df, keys) if hot is None else hot
+    if not hot:
+        within = [(F.percentile(value, F.lit(float(q))) / F.lit(float(unit))).alias(n) for n, q in quantiles.items()]
+        return df.groupBy(*keys).agg(*aggregates, *within)
+    spread = distributed_quantiles(df, keys, value, quantiles, bin_width, unit)
+    if not aggregates:
+        return spread
+    return attach_quantiles(df.groupBy(*keys).agg(*aggregates), spread, keys)
+
+
+def distributed_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: Column,
@@ -30,9 +68,9 @@ def exact_quantiles(
     bin_width: int = HOUR_US,
     unit: float = 1.0,
 ) -> DataFrame:
-    """Interpolated quantiles of an integer column per group, divided by ``unit``.
+    """The quantiles alone, from counts per value.
 
-    One row per group that has a non-NULL value (without keys: one row if there is any).
+    One row per group that has a non-NULL value (without keys: one row of NULLs if there is none).
     """
     keys = list(keys)
     counts = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
 from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows, trailing_count
-from wardline.operators.quantiles import attach_quantiles, exact_quantiles
+from wardline.operators.quantiles import aggregate_with_quantiles
 
 DAY, HOUR = X.US_PER_DAY, X.US_PER_HOUR
 
@@ -20,14 +20,14 @@ def _stays(encounters: DataFrame, departments: DataFrame) -> DataFrame:
 def length_of_stay(encounters: DataFrame, departments: DataFrame) -> DataFrame:
     keys = ["department_name", "admission_type"]
     rows = _stays(encounters, departments).select(*keys, "los_us")
-    groups = rows.groupBy(*keys).agg(
+    aggregates = [
         F.count("*").alias("num_encounters"),
         X.round_n(X.mean_days("los_us"), 2).alias("avg_los_days"),
         X.round_n(F.min("los_us") / F.lit(DAY), 2).alias("min_los_days"),
         X.round_n(F.max("los_us") / F.lit(DAY), 2).alias("max_los_days"),
-    )
-    medians = exact_quantiles(rows, keys, F.col("los_us"), {"median_los_days": 0.5}, unit=DAY)
-    return attach_quantiles(groups, medians, keys).withColumn("median_los_days", F.round("median_los_days", 2))
+    ]
+    out = aggregate_with_quantiles(rows, keys, aggregates, F.col("los_us"), {"median_los_days": 0.5}, unit=DAY)
+    return out.withColumn("median_los_days", F.round("median_los_days", 2))
 
 
 def daily_volume(encounters: DataFrame, departments: DataFrame) -> DataFrame:
@@ -46,32 +46,28 @@ def er_wait_times(encounters: DataFrame, departments: DataFrame, name: str = "Em
     rows = _stays(encounters, departments.where(F.col("department_name") == name)).select(
         X.day("admission_date").alias("encounter_date"), X.hour_of("admission_date").alias("encounter_hour"), "los_us"
     )
-    groups = rows.groupBy(*keys).agg(
+    aggregates = [
         F.count("*").alias("num_encounters"),
         X.round_n(X.mean_hours("los_us"), 2).alias("avg_wait_hours"),
         X.round_n(F.min("los_us") / F.lit(HOUR), 2).alias("min_wait_hours"),
         X.round_n(F.max("los_us") / F.lit(HOUR), 2).alias("max_wait_hours"),
-    )
-    q = exact_quantiles(rows, keys, F.col("los_us"), {"median_wait_hours": 0.5, "p95_wait_hours": 0.95}, unit=HOUR)
-    return (
-        attach_quantiles(groups, q, keys)
-        .withColumn("median_wait_hours", F.round("median_wait_hours", 2))
-        .withColumn("p95_wait_hours", F.round("p95_wait_hours", 2))
-    )
+    ]
+    wanted = {"median_wait_hours": 0.5, "p95_wait_hours": 0.95}
+    out = aggregate_with_quantiles(rows, keys, aggregates, F.col("los_us"), wanted, unit=HOUR)
+    return out.withColumns({name: F.round(name, 2) for name in wanted})
 
 
 def department_ranking(encounters: DataFrame, departments: DataFrame) -> DataFrame:
     """Ranking windows over one row per department."""
     rows = _stays(encounters, departments).select("department_name", "los_us")
-    groups = rows.groupBy("department_name").agg(
+    aggregates = [
         F.count("*").alias("total_encounters"),
         X.mean_days("los_us").alias("avg_los"),
         F.stddev_samp(F.col("los_us") / F.lit(DAY)).alias("stddev_los"),
-    )
-    medians = exact_quantiles(rows, ["department_name"], F.col("los_us"), {"median_los": 0.5}, unit=DAY)
+    ]
     w = Window.orderBy("avg_los")
     return (
-        attach_quantiles(groups, medians, ["department_name"])
+        aggregate_with_quantiles(rows, ["department_name"], aggregates, F.col("los_us"), {"median_los": 0.5}, unit=DAY)
         .withColumn("los_percentile", F.percent_rank().over(w))
         .select(
             "department_name", "total_encounters",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
 from wardline.operators.ordered import HotKeys, ordered_rows
-from wardline.operators.quantiles import attach_quantiles, exact_quantiles
+from wardline.operators.quantiles import aggregate_with_quantiles
 from wardline.operators.selection import arg_max, one_row, order_by_bucket, top_k
 
 DAY = X.US_PER_DAY
@@ -132,15 +132,15 @@ def weekly_trend(encounters: DataFrame, start: str) -> DataFrame:
 
 def los_summary(encounters: DataFrame) -> DataFrame:
     rows = encounters.select(X.los_us().alias("los_us"))
-    moments = rows.agg(
+    moments = [
         X.mean_days("los_us").alias("mean_los"),
         F.round(F.stddev_samp(F.col("los_us") / F.lit(DAY)), 6).alias("stddev_los"),
         (F.min("los_us") / F.lit(DAY)).alias("min_los"),
         (F.max("los_us") / F.lit(DAY)).alias("max_los"),
-    )
-    q = exact_quantiles(rows, [], F.col("los_us"), {"q1_los": 0.25, "median_los": 0.5, "q3_los": 0.75}, unit=DAY)
-    # A one-row left join keeps the row of a table whose stays are all open.
-    return attach_quantiles(moments, q, []).withColumn("iqr_los", F.col("q3_los") - F.col("q1_los"))
+    ]
+    quartiles = {"q1_los": 0.25, "median_los": 0.5, "q3_los": 0.75}
+    out = aggregate_with_quantiles(rows, [], moments, F.col("los_us"), quartiles, unit=DAY)
+    return out.withColumn("iqr_los", F.col("q3_los") - F.col("q1_los"))
 
 
 def los_histogram(encounters: DataFrame, bins: int = 50, cap: float = 30.0) -> DataFrame:
@@ -152,7 +152,7 @@ def los_histogram(encounters: DataFrame, bins: int = 50, cap: float = 30.0) -> D
     los = F.col("los_us") / F.lit(DAY)
     bin_no = F.least(F.width_bucket(los, F.lit(0.0), F.lit(float(cap)), F.lit(bins)), F.lit(bins)).cast("bigint")
     mean = rows.agg(X.mean_days("los_us").alias("mean_los")).scalar()
-    median = exact_quantiles(rows, [], F.col("los_us"), {"median_los": 0.5}, unit=DAY).scalar()
+    median = aggregate_with_quantiles(rows, [], [], F.col("los_us"), {"median_los": 0.5}, unit=DAY).scalar()
     width = cap / bins
     return (
         rows.groupBy(bin_no.alias("bin"))
@@ -323,7 +323,7 @@ def department_detail(
     one = departments.where(F.col("department_name") == department)
     period = _named(_from(encounters, start), departments, department)
     stays = period.select("department_key", X.los_us().alias("los_us"))
-    medians = exact_quantiles(stays, ["department_key"], F.col("los_us"), {"median_los": 0.5}, unit=DAY)
+    medians = aggregate_with_quantiles(stays, ["department_key"], [], F.col("los_us"), {"median_los": 0.5}, unit=DAY)
     return (
         one.join(_by_department(period, None), "department_key", "left")
         .join(medians, "department_key", "left")
@@ -354,11 +354,9 @@ def los_baseline(departments: DataFrame, encounters: DataFrame) -> DataFrame:
     rows = encounters.select("department_key", "encounter_key", X.los_us().alias("los_us")).join(
         departments.select("department_key", "department_name"), "department_key"
     )
-    groups = rows.groupBy("department_name").agg(
-        X.mean_days("los_us").alias("avg_los"), F.count("encounter_key").alias("sample_size")
-    )
-    medians = exact_quantiles(rows, ["department_name"], F.col("los_us"), {"median_los": 0.5}, unit=DAY)
-    return attach_quantiles(groups, medians, ["department_name"]).where(F.col("sample_size") > 0)
+    aggregates = [X.mean_days("los_us").alias("avg_los"), F.count("encounter_key").alias("sample_size")]
+    out = aggregate_with_quantiles(rows, ["department_name"], aggregates, F.col("los_us"), {"median_los": 0.5}, unit=DAY)
+    return out.where(F.col("sample_size") > 0)
 
 
 # --- timing queries -----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.quantiles import attach_quantiles, exact_quantiles
+from wardline.operators.quantiles import aggregate_with_quantiles, large_groups
 
 
 def _by_type() -> list:
@@ -39,18 +39,24 @@ def mart_encounter_summary(base: DataFrame) -> DataFrame:
         *keys[3:], "patient_key", "length_of_stay_days", X.los_us().alias("los_us"),
     )
     emergency, scheduled, transfer = _by_type()
-    groups = rows.groupBy(*keys).agg(
-        F.count("*").alias("encounter_count"),
-        F.countDistinct("patient_key").alias("unique_patients"),
-        X.mean_days("los_us").alias("avg_length_of_stay"),
-        F.min("length_of_stay_days").alias("min_length_of_stay"),
-        F.max("length_of_stay_days").alias("max_length_of_stay"),
-        emergency.alias("emergency_count"),
-        scheduled.alias("scheduled_count"),
-        transfer.alias("transfer_count"),
+    return aggregate_with_quantiles(
+        rows,
+        keys,
+        [
+            F.count("*").alias("encounter_count"),
+            F.countDistinct("patient_key").alias("unique_patients"),
+            X.mean_days("los_us").alias("avg_length_of_stay"),
+            F.min("length_of_stay_days").alias("min_length_of_stay"),
+            F.max("length_of_stay_days").alias("max_length_of_stay"),
+            emergency.alias("emergency_count"),
+            scheduled.alias("scheduled_count"),
+            transfer.alias("transfer_count"),
+        ],
+        F.col("los_us"),
+        {"median_length_of_stay": 0.5},
+        unit=X.US_PER_DAY,
+        hot=large_groups(rows, keys, coarse=["encounter_date"]),
     )
-    medians = exact_quantiles(rows, keys, F.col("los_us"), {"median_length_of_stay": 0.5}, unit=X.US_PER_DAY)
-    return attach_quantiles(groups, medians, keys)
 
 
 def mart_patient_summary(base: DataFrame, as_of: str) -> DataFrame:
@@ -125,19 +131,24 @@ def mv_department_performance(
 ) -> DataFrame:
     """Every fact is aggregated by department first; what is joined are one-row-per-department tables."""
     stays = encounters.select("department_key", "patient_key", "encounter_key", "admission_type", "discharge_date", X.los_us().alias("los_us"))
-    visits = stays.groupBy("department_key").agg(
-        F.count("encounter_key").alias("encounters"),
-        F.countDistinct("patient_key").alias("patients"),
-        X.mean_days("los_us").alias("avg_los"),
-        X.count_type("Emergency").alias("emergency"),
-        F.count("discharge_date").alias("discharged"),
+    visits = aggregate_with_quantiles(
+        stays,
+        ["department_key"],
+        [
+            F.count("encounter_key").alias("encounters"),
+            F.countDistinct("patient_key").alias("patients"),
+            X.mean_days("los_us").alias("avg_los"),
+            X.count_type("Emergency").alias("emergency"),
+            F.count("discharge_date").alias("discharged"),
+        ],
+        F.col("los_us"),
+        {"median_los": 0.5},
+        unit=X.US_PER_DAY,
     )
-    medians = exact_quantiles(stays, ["department_key"], F.col("los_us"), {"median_los": 0.5}, unit=X.US_PER_DAY)
     beds = bed_events.groupBy("department_key").agg(F.countDistinct("bed_number").alias("beds"))
     staff = physicians.groupBy("department_key").agg(F.count("*").alias("staff"))
     joined = (
         departments.join(visits, "department_key", "left")
-        .join(medians, "department_key", "left")
         .join(beds, "department_key", "left")
         .join(staff, "department_key", "left")
         .fillna(0, ["encounters", "patients", "emergency", "discharged", "beds", "staff"])

@@ -30,10 +30,12 @@ COMPLAINTS = [
 
 
 def reference_data(spark: SparkSession) -> DataFrame:
-    """One row per department with capacity and specialties. Six rows, so any join to it broadcasts."""
-    rows = [(i, f"DEPT-{i}", name, beds, kinds) for i, (name, beds, kinds) in enumerate(DEPARTMENTS, 1)]
-    return spark.createDataFrame(
-        rows,
-        "department_key long, department_id string, department_name string, bed_capacity int, "
-        "specialties array<string>",
+    """One row per department with capacity and specialties."""
+    rows = ", ".join(
+        f"({i}L, 'DEPT-{i}', '{name}', {beds}, array({', '.join(repr(k) for k in kinds)}))"
+        for i, (name, beds, kinds) in enumerate(DEPARTMENTS, 1)
+    )
+    # An inline table has a known size, so joins to it are planned as broadcasts from the start.
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} AS t(department_key, department_id, department_name, bed_capacity, specialties)"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.quantiles import exact_quantiles
+from wardline.operators.quantiles import aggregate_with_quantiles
 from wardline.plans.feeds import LOG_TIME
 from wardline.sources import schemas
 
@@ -108,7 +108,9 @@ def latency_p95(requests: DataFrame, width: str = "5 minutes", limit: float = LA
         F.window(F.col("timestamp").cast("timestamp"), width).alias("window"),
         F.round(F.col("duration_seconds") * 1e6).cast("bigint").alias("us"),
     )
-    q = exact_quantiles(rows, ["window"], F.col("us"), {"p95_seconds": 0.95}, bin_width=100_000, unit=1e6)
+    rows = rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "us")
+    q = aggregate_with_quantiles(rows, ["start", "end"], [], F.col("us"), {"p95_seconds": 0.95}, unit=1e6, bin_width=100_000)
+    q = q.select(F.struct("start", "end").alias("window"), "p95_seconds")
     return flat_window(q).withColumn("alert", F.col("p95_seconds") > limit)
 
 
