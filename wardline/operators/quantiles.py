@@ -26,13 +26,8 @@ def _positions(n: Column, q: float) -> tuple[Column, Column, Column]:
     return F.floor(at), F.ceil(at), at - F.floor(at)
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], coarse: Sequence[str] | None = None) -> HotKeys:
-    """Groups that need the distributed way, from one counting job.
-
-    ``coarse`` are some of the keys, cheaper to count: if no coarse group is large, none is.
-    """
-    if coarse is not None and not hot_keys(df, coarse):
-        return []
+def large_groups(df: DataFrame, keys: Sequence[str]) -> HotKeys:
+    """Groups that need the distributed way, from one counting job."""
     return hot_keys(df, keys)
 
 

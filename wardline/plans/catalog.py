@@ -81,7 +81,7 @@ register("mv_department_performance",
 register("mv_patient_demographics", lambda s: marts.mv_patient_demographics(s.patients, s.as_of))
 register("mv_weekly_trends", lambda s: marts.mv_weekly_trends(s.encounters))
 register("mv_top_complaints", lambda s: marts.mv_top_complaints(s.encounters))
-register("mart_encounter_summary", lambda s: marts.mart_encounter_summary(_int(s)))
+register("mart_encounter_summary", lambda s: marts.mart_encounter_summary(_int(s), s.encounters))
 register("mart_patient_summary", lambda s: marts.mart_patient_summary(_int(s), s.as_of))
 register("type_breakdown", lambda s: marts.type_breakdown(s.encounters))
 for _name in marts.VIEWS:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
+from wardline.operators.ordered import hot_keys
 from wardline.operators.quantiles import aggregate_with_quantiles, large_groups
 
 
@@ -27,24 +28,28 @@ def type_breakdown(encounters: DataFrame) -> DataFrame:
     return encounters.groupBy(X.day("admission_date").alias("admission_day")).agg(*_by_type())
 
 
-def mart_encounter_summary(base: DataFrame) -> DataFrame:
-    keys = [
-        "encounter_date", "encounter_week", "encounter_month", "department_name", "admission_type",
-        "patient_age_group", "insurance_category", "admission_weekday_flag",
-    ]
+def mart_encounter_summary(base: DataFrame, encounters: DataFrame | None = None) -> DataFrame:
+    """Week, month and weekday flag follow from the date and are added after grouping.
+
+    ``encounters`` is the fact behind ``base``: whether any day is large can be counted there
+    without the joins.
+    """
+    keys = ["encounter_date", "department_name", "admission_type", "patient_age_group", "insurance_category"]
     rows = base.select(
-        X.trunc_ntz("day", "admission_date").alias("encounter_date"),
-        X.trunc_ntz("week", "admission_date").alias("encounter_week"),
-        X.trunc_ntz("month", "admission_date").alias("encounter_month"),
-        *keys[3:], "patient_key", "length_of_stay_days", X.los_us().alias("los_us"),
+        X.day("admission_date").alias("encounter_date"), *keys[1:], "patient_key", "length_of_stay_days",
+        X.los_us().alias("los_us"),
     )
+    days = (base if encounters is None else encounters).select(X.day("admission_date").alias("encounter_date"))
+    hot = large_groups(rows, keys) if hot_keys(days, ["encounter_date"]) else []
+    # In groups of ordinary size a set per group is cheaper than a second level of aggregation.
+    patients = F.countDistinct("patient_key") if hot else F.size(F.collect_set("patient_key")).cast("bigint")
     emergency, scheduled, transfer = _by_type()
-    return aggregate_with_quantiles(
+    groups = aggregate_with_quantiles(
         rows,
         keys,
         [
             F.count("*").alias("encounter_count"),
-            F.countDistinct("patient_key").alias("unique_patients"),
+            patients.alias("unique_patients"),
             X.mean_days("los_us").alias("avg_length_of_stay"),
             F.min("length_of_stay_days").alias("min_length_of_stay"),
             F.max("length_of_stay_days").alias("max_length_of_stay"),
@@ -55,7 +60,15 @@ def mart_encounter_summary(base: DataFrame) -> DataFrame:
         F.col("los_us"),
         {"median_length_of_stay": 0.5},
         unit=X.US_PER_DAY,
-        hot=large_groups(rows, keys, coarse=["encounter_date"]),
+        hot=hot,
+    )
+    date = F.col("encounter_date")
+    return groups.select(
+        date.cast("timestamp_ntz").alias("encounter_date"),
+        X.trunc_ntz("week", "encounter_date").alias("encounter_week"),
+        X.trunc_ntz("month", "encounter_date").alias("encounter_month"),
+        X.weekday_flag("encounter_date").alias("admission_weekday_flag"),
+        *[c for c in groups.columns if c != "encounter_date"],
     )
 
 

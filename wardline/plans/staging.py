@@ -87,7 +87,7 @@ def build_graph(tables: dict[str, DataFrame], as_of: str, register: bool = False
         ),
     }
     base = graph["int_patient_encounters"]
-    graph["mart_encounter_summary"] = marts.mart_encounter_summary(base)
+    graph["mart_encounter_summary"] = marts.mart_encounter_summary(base, tables["fact_encounters"])
     graph["mart_patient_summary"] = marts.mart_patient_summary(base, as_of)
     if register:
         for name, frame in graph.items():

@@ -48,8 +48,14 @@ def _versions(custkey: Column) -> Column:
     return F.when(custkey % 25 == 0, 3).when(custkey % 5 == 0, 2).otherwise(1)
 
 
+def _digits(number: Column, width: int) -> Column:
+    """Number padded with zeros to at least ``width`` digits."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def _patient_id(custkey: Column) -> Column:
-    return F.format_string("Customer#%09d", custkey)
+    return F.concat(F.lit("Customer#"), _digits(custkey, 9))
 
 
 def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,11 +165,11 @@ class Star:
                 _pick(LAST_NAMES, F.floor(key / 10) % len(LAST_NAMES)).alias("last_name"),
                 F.date_add(X.day_lit("1905-01-01"), (key * 7919 % 36000).cast("int")).alias("date_of_birth"),
                 F.when(key % 100 < 49, "M").when(key % 100 < 98, "F").otherwise("Other").alias("gender"),
-                F.format_string("%d Elm Street", key % 900 + version * 100).alias("address"),
-                F.format_string("City %d", (key * 3 + version * 7) % 50).alias("city"),
+                F.concat((key % 900 + version * 100).cast("string"), F.lit(" Elm Street")).alias("address"),
+                F.concat(F.lit("City "), ((key * 3 + version * 7) % 50).cast("string")).alias("city"),
                 "state",
-                F.format_string("%05d", (key * 31 + version) % 100000).alias("zip_code"),
-                F.format_string("555-%04d", key % 10000).alias("phone_number"),
+                _digits((key * 31 + version) % 100000, 5).alias("zip_code"),
+                F.concat(F.lit("555-"), _digits(key % 10000, 4)).alias("phone_number"),
                 insurance.alias("insurance_type"),
                 start.alias("valid_from"),
                 end.alias("valid_to"),
@@ -199,7 +205,7 @@ class Star:
             .withColumn("physician_key", physician)
             .select(
                 key.alias("encounter_key"),
-                F.format_string("ENC-%d", key).alias("encounter_id"),
+                F.concat(F.lit("ENC-"), key.cast("string")).alias("encounter_id"),
                 (cust * 10 + version).alias("patient_key"),
                 _patient_id(cust).alias("patient_id"),
                 (F.col("physician_key") % 6 + 1).alias("department_key"),
