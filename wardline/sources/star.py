@@ -1,6 +1,6 @@
 """The hospital star derived from the driver's tables.
 
-customers become patients with one to three versions, suppliers physicians, orders
+Customers become patients with one to three versions, suppliers physicians, orders
 encounters, and encounters two bed events each. Every column is an expression on the
 source row, so the derivation itself needs no shuffle; the only joins are to the nation
 table and to the six departments.
@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
@@ -35,27 +35,25 @@ INSURANCE_BY_SEGMENT = {
 }
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _list(values: list[str]) -> str:
+    return "array(" + ", ".join(repr(v) for v in values) + ")"
 
 
-def _second_version_from(custkey: Column) -> Column:
-    """Start of a patient's second version; the third starts three years later."""
-    return F.date_add(X.day_lit("1997-01-01"), (custkey % 365).cast("int"))
+def _digits(number: str, width: int) -> str:
+    """Number as text, padded with zeros to at least ``width`` digits."""
+    return f"lpad({number}, greatest(length({number}), {width}), '0')"
 
 
-def _versions(custkey: Column) -> Column:
-    return F.when(custkey % 25 == 0, 3).when(custkey % 5 == 0, 2).otherwise(1)
-
-
-def _digits(number: Column, width: int) -> Column:
-    """Number padded with zeros to at least ``width`` digits."""
-    text = number.cast("string")
-    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
-
-
-def _patient_id(custkey: Column) -> Column:
-    return F.concat(F.lit("Customer#"), _digits(custkey, 9))
+# SQL expressions over a source row, as texts: a whole table is one call to the JVM.
+_SECOND_FROM = "date_add(date'1997-01-01', cast({k} % 365 AS int))"  # the third version starts three years later
+_VERSIONS = "CASE WHEN c_custkey % 25 = 0 THEN 3 WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END"
+_BASE_INSURANCE = "CASE c_mktsegment " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in INSURANCE_BY_SEGMENT.items()
+) + " ELSE 'Private' END"
+_SPECIALTY = "CASE s_suppkey % 6 " + " ".join(
+    f"WHEN {i} THEN element_at({_list(kinds)}, cast(s_suppkey div 6 % {len(kinds)} + 1 AS int))"
+    for i, (_, _, kinds) in enumerate(DEPARTMENTS)
+) + " END"
 
 
 def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,37 +65,21 @@ def encounters_to_bed_events(encounters: DataFrame, departments: DataFrame) -> D
 
     An open encounter has no second event.
     """
-    beds = departments.select("department_key", F.greatest("bed_capacity", F.lit(1)).alias("capacity"))
-    key = F.col("encounter_key")
-
-    def event(kind: str, when: str, offset: int) -> Column:
-        return F.struct(
-            (key * 2 + offset).alias("bed_event_key"),
-            F.lit(kind).alias("event_type"),
-            F.col(when).alias("event_timestamp"),
-        )
-
+    beds = departments.selectExpr("department_key", "greatest(bed_capacity, 1) AS capacity")
     return (
         encounters.select("encounter_key", "department_key", "admission_date", "discharge_date")
         .join(beds, "department_key", "left")
-        .withColumn("bed_number", (F.pmod(key * 29, F.coalesce("capacity", F.lit(1))) + 1).cast("int"))
-        .withColumn(
-            "event",
-            F.explode(
-                F.array(
-                    event("bed_assigned", "admission_date", 0), event("bed_discharged", "discharge_date", 1)
-                )
-            ),
-        )
-        .where(F.col("event.event_timestamp").isNotNull())
-        .select(
-            "event.bed_event_key",
+        .selectExpr(
             "encounter_key",
             "department_key",
-            "bed_number",
-            "event.event_type",
-            "event.event_timestamp",
-            F.col("event.event_timestamp").alias("created_at"),
+            "cast(pmod(encounter_key * 29, coalesce(capacity, 1)) + 1 AS int) AS bed_number",
+            "stack(2, encounter_key * 2, 'bed_assigned', admission_date, encounter_key * 2 + 1, 'bed_discharged', "
+            "discharge_date) AS (bed_event_key, event_type, event_timestamp)",
+        )
+        .where("event_timestamp IS NOT NULL")
+        .selectExpr(
+            "bed_event_key", "encounter_key", "department_key", "bed_number", "event_type", "event_timestamp",
+            "event_timestamp AS created_at",
         )
     )
 
@@ -122,99 +104,84 @@ class Star:
 
     @cached_property
     def physicians(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        slot = F.floor(key / 6)
-        dept = (key % 6 + 1).alias("department_key")
-        specialty = None
-        for i, (_, _, kinds) in enumerate(DEPARTMENTS):
-            value = _pick(kinds, slot % len(kinds))
-            specialty = F.when(key % 6 == i, value) if specialty is None else specialty.when(key % 6 == i, value)
-        return self.source("supplier").select(
-            key.alias("physician_key"),
-            F.col("s_name").alias("physician_id"),
-            F.lit("Doctor").alias("first_name"),
-            F.col("s_name").alias("last_name"),
-            specialty.alias("specialty"),
-            dept,
-            X.ts(EPOCH).alias("created_at"),
+        return self.source("supplier").selectExpr(
+            "s_suppkey AS physician_key",
+            "s_name AS physician_id",
+            "'Doctor' AS first_name",
+            "s_name AS last_name",
+            f"{_SPECIALTY} AS specialty",
+            "s_suppkey % 6 + 1 AS department_key",
+            f"timestamp_ntz'{EPOCH}' AS created_at",
         )
 
     @cached_property
     def patients(self) -> DataFrame:
-        key = F.col("c_custkey")
-        version = F.col("record_version")
-        second = _second_version_from(key).cast("timestamp_ntz")
-        third = F.add_months(_second_version_from(key), 36).cast("timestamp_ntz")
-        start = F.when(version == 1, X.ts(EPOCH)).when(version == 2, second).otherwise(third)
+        second = f"cast({_SECOND_FROM.format(k='c_custkey')} AS timestamp_ntz)"
+        third = f"cast(add_months({_SECOND_FROM.format(k='c_custkey')}, 36) AS timestamp_ntz)"
+        start = f"CASE record_version WHEN 1 THEN timestamp_ntz'{EPOCH}' WHEN 2 THEN {second} ELSE {third} END"
         end = (
-            F.when(version == _versions(key), X.ts(OPEN_END)).when(version == 1, second).otherwise(third)
-        )
-        base_insurance = X.map_case("c_mktsegment", INSURANCE_BY_SEGMENT, "Private")
-        insurance = F.when(version < 3, base_insurance).otherwise(
-            F.when(base_insurance == "Medicare", "Medicaid").otherwise("Medicare")
+            f"CASE WHEN record_version = versions THEN timestamp_ntz'{OPEN_END}' "
+            f"WHEN record_version = 1 THEN {second} ELSE {third} END"
         )
-        nation = self.source("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
-        return (
+        nation = self.source("nation").selectExpr("n_nationkey AS c_nationkey", "n_name AS state")
+        versions = (
             self.source("customer")
             .join(nation, "c_nationkey", "left")
-            .withColumn("record_version", F.explode(F.sequence(F.lit(1), _versions(key))))
-            .select(
-                (key * 10 + version).alias("patient_key"),
-                F.col("c_name").alias("patient_id"),
-                _pick(FIRST_NAMES, key % len(FIRST_NAMES)).alias("first_name"),
-                _pick(LAST_NAMES, F.floor(key / 10) % len(LAST_NAMES)).alias("last_name"),
-                F.date_add(X.day_lit("1905-01-01"), (key * 7919 % 36000).cast("int")).alias("date_of_birth"),
-                F.when(key % 100 < 49, "M").when(key % 100 < 98, "F").otherwise("Other").alias("gender"),
-                F.concat((key % 900 + version * 100).cast("string"), F.lit(" Elm Street")).alias("address"),
-                F.concat(F.lit("City "), ((key * 3 + version * 7) % 50).cast("string")).alias("city"),
-                "state",
-                _digits((key * 31 + version) % 100000, 5).alias("zip_code"),
-                F.concat(F.lit("555-"), _digits(key % 10000, 4)).alias("phone_number"),
-                insurance.alias("insurance_type"),
-                start.alias("valid_from"),
-                end.alias("valid_to"),
-                (version == _versions(key)).alias("is_current"),
-                "record_version",
-                start.alias("created_at"),
-                start.alias("updated_at"),
+            .selectExpr(
+                "*", f"{_VERSIONS} AS versions", f"{_BASE_INSURANCE} AS base_insurance",
+                f"explode(sequence(1, {_VERSIONS})) AS record_version",
             )
         )
+        return versions.selectExpr(
+            "c_custkey * 10 + record_version AS patient_key",
+            "c_name AS patient_id",
+            f"element_at({_list(FIRST_NAMES)}, cast(c_custkey % {len(FIRST_NAMES)} + 1 AS int)) AS first_name",
+            f"element_at({_list(LAST_NAMES)}, cast(c_custkey div 10 % {len(LAST_NAMES)} + 1 AS int)) AS last_name",
+            "date_add(date'1905-01-01', cast(c_custkey * 7919 % 36000 AS int)) AS date_of_birth",
+            "CASE WHEN c_custkey % 100 < 49 THEN 'M' WHEN c_custkey % 100 < 98 THEN 'F' ELSE 'Other' END AS gender",
+            "concat(c_custkey % 900 + record_version * 100, ' Elm Street') AS address",
+            "concat('City ', (c_custkey * 3 + record_version * 7) % 50) AS city",
+            "state",
+            f"{_digits('cast((c_custkey * 31 + record_version) % 100000 AS string)', 5)} AS zip_code",
+            f"concat('555-', {_digits('cast(c_custkey % 10000 AS string)', 4)}) AS phone_number",
+            "CASE WHEN record_version < 3 THEN base_insurance WHEN base_insurance = 'Medicare' THEN 'Medicaid' "
+            "ELSE 'Medicare' END AS insurance_type",
+            f"{start} AS valid_from",
+            f"{end} AS valid_to",
+            "record_version = versions AS is_current",
+            "record_version",
+            f"{start} AS created_at",
+            f"{start} AS updated_at",
+        )
 
     @cached_property
     def encounters(self) -> DataFrame:
-        key, cust = F.col("o_orderkey"), F.col("o_custkey")
-        physicians = self.source("supplier").agg(F.count("*")).scalar()
-        physician = key % physicians
-        admission = F.timestamp_add("MINUTE", (key * 37 % 1440).cast("int"), F.col("o_orderdate"))
-        stay_hours = (key * 53 % 240 + 1).cast("int")
-        discharge = F.when(key % 97 != 0, F.timestamp_add("HOUR", stay_hours, F.col("admission_date")))
-        second = _second_version_from(cust)
-        adm_day = F.to_date("admission_date")
+        physicians = self.source("supplier").selectExpr("count(*)").scalar()
+        second = _SECOND_FROM.format(k="o_custkey")
         version = (
-            F.lit(1)
-            + ((cust % 5 == 0) & (adm_day >= second)).cast("int")
-            + ((cust % 25 == 0) & (adm_day >= F.add_months(second, 36))).cast("int")
-        )
-        kind = X.map_case(
-            F.substring("o_orderpriority", 1, 1),
-            {"1": "Emergency", "2": "Emergency", "3": "Scheduled", "4": "Scheduled", "5": "Transfer"},
+            f"1 + cast(o_custkey % 5 = 0 AND to_date(admission_date) >= {second} AS int) "
+            f"+ cast(o_custkey % 25 = 0 AND to_date(admission_date) >= add_months({second}, 36) AS int)"
         )
         return (
             self.source("orders")
-            .withColumn("admission_date", admission.cast("timestamp_ntz"))
-            .withColumn("physician_key", physician)
-            .select(
-                key.alias("encounter_key"),
-                F.concat(F.lit("ENC-"), key.cast("string")).alias("encounter_id"),
-                (cust * 10 + version).alias("patient_key"),
-                _patient_id(cust).alias("patient_id"),
-                (F.col("physician_key") % 6 + 1).alias("department_key"),
+            .withColumn("physician_key", F.col("o_orderkey") % physicians)
+            .selectExpr(
+                "*", "cast(timestampadd(MINUTE, cast(o_orderkey * 37 % 1440 AS int), o_orderdate) AS timestamp_ntz) AS admission_date"
+            )
+            .selectExpr(
+                "o_orderkey AS encounter_key",
+                "concat('ENC-', o_orderkey) AS encounter_id",
+                f"o_custkey * 10 + {version} AS patient_key",
+                f"concat('Customer#', {_digits('cast(o_custkey AS string)', 9)}) AS patient_id",
+                "physician_key % 6 + 1 AS department_key",
                 "physician_key",
                 "admission_date",
-                discharge.cast("timestamp_ntz").alias("discharge_date"),
-                kind.alias("admission_type"),
-                _pick(COMPLAINTS, key % len(COMPLAINTS)).alias("chief_complaint"),
-                F.col("admission_date").alias("created_at"),
+                "CASE WHEN o_orderkey % 97 <> 0 THEN cast(timestampadd(HOUR, cast(o_orderkey * 53 % 240 + 1 AS int), "
+                "admission_date) AS timestamp_ntz) END AS discharge_date",
+                "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'Emergency' WHEN '2' THEN 'Emergency' "
+                "WHEN '3' THEN 'Scheduled' WHEN '4' THEN 'Scheduled' WHEN '5' THEN 'Transfer' END AS admission_type",
+                f"element_at({_list(COMPLAINTS)}, cast(o_orderkey % {len(COMPLAINTS)} + 1 AS int)) AS chief_complaint",
+                "admission_date AS created_at",
             )
         )
 
