@@ -60,7 +60,8 @@ def readmitted_flag(
         found = first_at_or_after(
             probes, targets, ["patient_id"], "discharge_date", "admission_date", "encounter_key", hot
         )
-        other = F.col("hit.id") != F.col("encounter_key")
+        # A visit without a patient has no other visits: NULL equals nothing.
+        other = (F.col("hit.id") != F.col("encounter_key")) & F.col("patient_id").isNotNull()
         hit = (F.col("hit.time") <= X.shift("discharge_date", days=days)) & other
         return found.withColumn(name, F.coalesce(hit, F.lit(False)).cast("int"))
 
