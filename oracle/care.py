@@ -47,7 +47,7 @@ CARE = {
             substr(md5(patient_id || '|' || new_version), 1, 3), patient_id, new_version) AS patient_key, patient_id,
           {', '.join(f'CASE WHEN cur_version IS NULL THEN {c} ELSE cur_{c} END AS {c}' for c in _OTHER)},
           {', '.join(feeds.TRACKED)}, effective_at AS valid_from, coalesce(next_at, TIMESTAMP '9999-12-31 23:59:59') AS valid_to,
-          next_at IS NULL AS is_current, new_version AS record_version, effective_at AS created_at, effective_at AS updated_at
+          next_at IS NULL AS is_current, new_version AS record_version, effective_at AS created_at, coalesce(next_at, effective_at) AS updated_at
           FROM opened""",
     "labelled": f"""SELECT f.patient_id, f.effective_at, CASE WHEN p.patient_id IS NULL THEN 'new'
         WHEN {' OR '.join(f'f.{c} IS DISTINCT FROM p.{c}' for c in feeds.TRACKED)} THEN 'updated' ELSE 'unchanged' END

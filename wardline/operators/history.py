@@ -191,8 +191,12 @@ def scd2_merge(
     def attribute(c: str) -> Column:
         if c in own or c in tracked:
             return F.col(c)
-        if c in ("created_at", "updated_at"):
+        if c == "created_at":
             return F.col(eff).alias(c)
+        if c == "updated_at":
+            # A version that the same batch closes again was last touched then, as if the batch
+            # had come in two parts.
+            return F.when(F.col("is_current"), F.col(eff)).otherwise(F.col("valid_to")).alias(c)
         given = F.col(c) if c in source.columns else F.lit(None).cast(dim.schema[c].dataType)
         return F.when(known, F.col(f"cur_{c}")).otherwise(given).alias(c)
 
