@@ -30,12 +30,13 @@ _BEFORE, _ROW, _AFTER = 0, 1, 2
 HotKeys = list[tuple]
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS, most: int = HOT_KEYS) -> HotKeys:
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None, most: int = HOT_KEYS) -> HotKeys:
     """The largest keys, at most ``most`` of them, found by one counting job over the key columns.
 
     Usually the list is empty, and the caller can use a plain window.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
+    bar = HOT_MIN_ROWS if min_rows is None else min_rows
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= bar)
     return [tuple(row)[:-1] for row in counts.orderBy(F.desc("_n")).limit(most).collect()]
 
 

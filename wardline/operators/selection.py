@@ -62,7 +62,6 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Side by side: one-row aggregates as scalar subqueries of a single row."""
-    spark = frames[0].sparkSession
-    cols = [f.select(c).scalar().alias(c) for f in frames for c in f.columns]
-    return spark.range(1).select(*cols)
+    """One-row aggregates side by side: a scalar subquery each, so each input is read once."""
+    rows = [f.select(F.struct(*f.columns)).scalar().alias(f"r{i}") for i, f in enumerate(frames)]
+    return frames[0].sparkSession.range(1).select(*rows).select(*[f"r{i}.*" for i in range(len(frames))])

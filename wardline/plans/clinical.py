@@ -101,25 +101,36 @@ def physician_utilization(physicians: DataFrame, encounters: DataFrame, departme
             F.countDistinct(X.day("admission_date")).alias("active_days"),
         )
     )
-    in_specialty = Window.partitionBy("specialty")
-    mean = F.avg("total_encounters").over(in_specialty)
-    n = F.col("total_encounters")
-    return (
+    staff = (
         physicians.join(work, "physician_key")
         .join(departments.select("department_key", "department_name"), "department_key")
+        .withColumn("physician_name", X.full_name("first_name", "last_name"))
+    )
+    # Rank and mean within a specialty from counts per workload: the window sees the distinct
+    # workloads of a specialty, not its physicians.
+    in_specialty = Window.partitionBy("specialty")
+    size, n = F.sum("_c").over(in_specialty), F.col("total_encounters")
+    fewer = F.sum("_c").over(in_specialty.orderBy("total_encounters").rowsBetween(Window.unboundedPreceding, -1))
+    spread = (
+        staff.groupBy("specialty", "total_encounters")
+        .agg(F.count("*").alias("_c"))
         .select(
-            "physician_key", X.full_name("first_name", "last_name").alias("physician_name"), "specialty",
-            "department_name", "total_encounters", "unique_patients",
-            F.round(X.ratio("total_encounters", "unique_patients"), 2).alias("encounters_per_patient"),
-            X.round_n("avg_los", 2).alias("avg_length_of_stay"), "active_days",
-            F.round(X.ratio("total_encounters", "active_days"), 2).alias("encounters_per_active_day"),
-            F.percent_rank().over(in_specialty.orderBy("total_encounters")).alias("workload_percentile_in_specialty"),
-            F.when(n > mean * 1.5, "High Utilization")
-            .when(n > mean * 0.5, "Normal Utilization")
-            .otherwise("Low Utilization")
-            .alias("utilization_category"),
+            "specialty", "total_encounters",
+            F.when(size > 1, F.coalesce(fewer, F.lit(0)) / (size - 1)).otherwise(0.0).alias("workload_percentile_in_specialty"),
+            (F.sum(F.col("_c") * n).over(in_specialty) / size).alias("_mean"),
         )
     )
+    return staff.join(spread, ["specialty", "total_encounters"]).select(
+        "physician_key", "physician_name", "specialty", "department_name", "total_encounters", "unique_patients",
+        F.round(X.ratio("total_encounters", "unique_patients"), 2).alias("encounters_per_patient"),
+        X.round_n("avg_los", 2).alias("avg_length_of_stay"), "active_days",
+        F.round(X.ratio("total_encounters", "active_days"), 2).alias("encounters_per_active_day"),
+        "workload_percentile_in_specialty",
+        F.when(n > F.col("_mean") * 1.5, "High Utilization")
+        .when(n > F.col("_mean") * 0.5, "Normal Utilization")
+        .otherwise("Low Utilization")
+        .alias("utilization_category"),
+    )
 
 
 # --- cohorts ------------------------------------------------------------------------------------

@@ -33,10 +33,20 @@ def local_session(app: str = "wardline", cores: str = "*", **conf: str) -> Spark
     return spark
 
 
+# Adaptive execution splits the partitions of skewed joins, also where that costs a shuffle
+# behind the join: one patient or physician may hold a large share of all encounters.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every plan here relies on, applied to a session somebody else built."""
-    if spark.conf.get("spark.sql.session.timeZone") != UTC:
-        spark.conf.set("spark.sql.session.timeZone", UTC)
+    for key, value in {"spark.sql.session.timeZone": UTC, **ADAPTIVE}.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
