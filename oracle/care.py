@@ -7,6 +7,7 @@ from oracle.reports import EXTRA, SQL as REPORTS
 from wardline.functions import exprs as X
 from wardline.operators.quality import RULES
 from wardline.plans import feeds, learning, risk
+from wardline.sources.reference import DEPARTMENTS
 from wardline.streaming.monitor import DURATION_BOUNDS
 
 PATIENT = "Customer#000000025"
@@ -119,6 +120,12 @@ q("bed_timeline_first_100", f"SELECT * FROM ({_LEVELS}) ORDER BY department_key,
 q("first_event_per_bed", """SELECT department_key, bed_number, event_timestamp, bed_event_key, event_type, encounter_key
     FROM fact_bed_events e WHERE event_timestamp = (SELECT min(event_timestamp) FROM fact_bed_events b
     WHERE b.department_key = e.department_key AND b.bed_number = e.bed_number)""")
+q("list_departments_with_staff", """SELECT department_key, department_name, bed_capacity FROM dim_departments
+    WHERE department_key IN (SELECT department_key FROM dim_physicians)""")
+q("reference_data_staffing", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS department_name, {beds}::INT AS bed_capacity, '{kind}' AS specialty"
+    for name, beds, kinds in DEPARTMENTS for kind in kinds)
+  + ") LEFT JOIN (SELECT specialty, count(*) AS physicians FROM dim_physicians GROUP BY 1) USING (specialty)")
 q("hourly_slots", """SELECT department_key, unnest(generate_series(date_trunc('hour', min(event_timestamp)),
     date_trunc('hour', max(event_timestamp)), INTERVAL 1 HOUR)) AS time_slot FROM fact_bed_events GROUP BY 1""")
 

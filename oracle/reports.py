@@ -283,11 +283,17 @@ q("weekly_trend", f"""SELECT date_trunc('week', admission_date)::TIMESTAMP AS we
 q("los_summary", f"""SELECT *, q3_los - q1_los AS iqr_los FROM (SELECT {mean_days()} AS mean_los,
     {rnd('stddev_samp(los)', 6)} AS stddev_los, min(los) AS min_los, max(los) AS max_los, {quantile_days(0.25)} AS q1_los,
     {quantile_days(0.5)} AS median_los, {quantile_days(0.75)} AS q3_los FROM fact_encounters)""")
-q("los_histogram", f"""SELECT least(floor(los / (30e0 / 50))::BIGINT + 1, 50) AS bin,
-    (least(floor(los / (30e0 / 50))::BIGINT + 1, 50) - 1) * 0.6e0 AS bin_start, count(*) AS encounters,
-    (SELECT {mean_days()} FROM fact_encounters WHERE los <= 30) AS mean_los,
-    (SELECT {quantile_days(0.5)} FROM fact_encounters WHERE los <= 30) AS median_los
-    FROM fact_encounters WHERE los <= 30 GROUP BY 1, 2""")
+
+
+def _histogram(rows: str, bins: int) -> str:
+    return f"""SELECT least(floor(los / (30e0 / {bins}))::BIGINT + 1, {bins}) AS bin,
+    (least(floor(los / (30e0 / {bins}))::BIGINT + 1, {bins}) - 1) * (30e0 / {bins}) AS bin_start, count(*) AS encounters,
+    (SELECT {mean_days()} FROM ({rows})) AS mean_los, (SELECT {quantile_days(0.5)} FROM ({rows})) AS median_los
+    FROM ({rows}) GROUP BY 1, 2"""
+
+
+q("los_histogram", _histogram("SELECT * FROM fact_encounters WHERE los <= 30", 50))
+q("los_histogram_department", _histogram(f"SELECT * FROM stays WHERE los <= 30 AND department_name = '{ER}'", 30))
 q("patient_distribution_gender", "SELECT gender, count(*) AS patients FROM dim_patients WHERE is_current GROUP BY 1")
 q("patient_distribution_insurance", "SELECT insurance_type, count(*) AS patients FROM dim_patients WHERE is_current GROUP BY 1")
 q("patient_distribution_state", """SELECT state, count(*) AS patients FROM dim_patients WHERE is_current GROUP BY 1

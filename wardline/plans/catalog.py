@@ -100,6 +100,8 @@ register("dow_pattern", lambda s: dash.dow_pattern(s.encounters))
 register("weekly_trend", lambda s: dash.weekly_trend(s.encounters, D90))
 register("los_summary", lambda s: dash.los_summary(s.encounters))
 register("los_histogram", lambda s: dash.los_histogram(s.encounters))
+register("los_histogram_department",
+         lambda s: dash.los_histogram(dash.of_department(s.encounters, s.departments, DEPARTMENT), bins=30))
 register("patient_distribution_gender", lambda s: dash.patient_distribution(s.patients, "gender"))
 register("patient_distribution_insurance", lambda s: dash.patient_distribution(s.patients, "insurance_type"))
 register("patient_distribution_state", lambda s: dash.patient_distribution(s.patients, "state", 10))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
 from wardline.operators import changes, history, occupancy, quality, relations
-from wardline.plans import clinical, dashboards as dash, feeds, learning as ml, marts, risk, staging
+from wardline.plans import clinical, dashboards as dash, feeds, learning as ml, lookups, marts, risk, staging
 from wardline.registry import AS_OF, PATIENT, register
 from wardline.session import new_folder
 from wardline.sources import tables
+from wardline.sources.reference import reference_data
 from wardline.streaming import jobs, monitor
 
 EVENTS = "events*.parquet"
@@ -38,6 +39,12 @@ register("hourly_slots", lambda s: s.bed_events.groupBy("department_key").agg(
     X.trunc_ntz("hour", F.min("event_timestamp")).alias("lo"), X.trunc_ntz("hour", F.max("event_timestamp")).alias("hi"),
 ).select("department_key", occupancy.hourly_slots(F.col("lo"), F.col("hi")).alias("time_slot")))
 
+register("list_departments_with_staff", lambda s: lookups.list_departments(
+    relations.existing_rows(s.departments, s.physicians, "department_key")))
+register("reference_data_staffing", lambda s: reference_data(s.spark)
+         .select("department_name", "bed_capacity", F.explode("specialties").alias("specialty"))
+         .join(s.physicians.groupBy("specialty").agg(F.count("*").alias("physicians")), "specialty", "left"))
+
 # --- history and loading ------------------------------------------------------------------------
 
 
@@ -261,8 +268,15 @@ register("severity_by_category", lambda s: ml.training_set(
     {"Chest pain": "Cardiac", "Shortness of breath": "Respiratory", "Fever": "Infectious Disease", "Back pain": "Orthopedic",
      "Injury/Trauma": "Trauma"},
 ).select("encounter_key", "diagnosis_category", X.severity("diagnosis_category").alias("severity")))
-register("split_plain", lambda s: ml.split(_training(s).select("encounter_key", "readmitted_30d")))
-register("split_stratified", lambda s: ml.split(_training(s).select("encounter_key", "readmitted_30d"), label="readmitted_30d"))
+
+
+def _split(s, label: str | None = None) -> DataFrame:
+    rows = tables.materialize(_training(s).select("encounter_key", "readmitted_30d"), "training")
+    return ml.split(rows, label=label)
+
+
+register("split_plain", _split)
+register("split_stratified", lambda s: _split(s, "readmitted_30d"))
 register("readmission_model_metrics", _readmission_metrics)
 register("readmission_model_report", _readmission_report)
 register("readmission_model_importances",

@@ -17,7 +17,7 @@ def _from(encounters: DataFrame, start: str | None) -> DataFrame:
     return encounters if start is None else encounters.where(F.col("admission_date") >= X.ts(start))
 
 
-def _named(encounters: DataFrame, departments: DataFrame, department: str) -> DataFrame:
+def of_department(encounters: DataFrame, departments: DataFrame, department: str) -> DataFrame:
     """Encounters of one department, found by its name."""
     key = departments.where(F.col("department_name") == department).select("department_key")
     return encounters.join(key, "department_key", "left_semi")
@@ -97,7 +97,7 @@ def admission_types(
 ) -> DataFrame:
     rows = _from(encounters, start)
     if department is not None:
-        rows = _named(rows, departments, department)
+        rows = of_department(rows, departments, department)
     return rows.groupBy("admission_type").agg(F.count("*").alias("admissions"))
 
 
@@ -321,7 +321,7 @@ def department_detail(
     departments: DataFrame, encounters: DataFrame, physicians: DataFrame, department: str, start: str
 ) -> DataFrame:
     one = departments.where(F.col("department_name") == department)
-    period = _named(_from(encounters, start), departments, department)
+    period = of_department(_from(encounters, start), departments, department)
     stays = period.select("department_key", X.los_us().alias("los_us"))
     medians = aggregate_with_quantiles(stays, ["department_key"], [], F.col("los_us"), {"median_los": 0.5}, unit=DAY)
     return (
@@ -337,14 +337,14 @@ def department_detail(
 
 
 def department_daily(encounters: DataFrame, departments: DataFrame, department: str, start: str) -> DataFrame:
-    rows = _named(_from(encounters, start), departments, department)
+    rows = of_department(_from(encounters, start), departments, department)
     return rows.groupBy(X.day("admission_date").alias("admission_day")).agg(F.count("*").alias("admissions"))
 
 
 def department_complaints(
     encounters: DataFrame, departments: DataFrame, department: str, start: str, n: int = 10
 ) -> DataFrame:
-    rows = _named(_from(encounters, start), departments, department)
+    rows = of_department(_from(encounters, start), departments, department)
     counts = rows.groupBy("chief_complaint").agg(F.count("*").alias("encounters"))
     return top_k(counts, ["-encounters", "chief_complaint"], n)
 
@@ -367,7 +367,7 @@ def bench_current_patients(patients: DataFrame, n: int = 100) -> DataFrame:
 
 
 def bench_er_count(encounters: DataFrame, departments: DataFrame) -> DataFrame:
-    return _named(encounters, departments, "Emergency Department").agg(F.count("*").alias("er_encounters"))
+    return of_department(encounters, departments, "Emergency Department").agg(F.count("*").alias("er_encounters"))
 
 
 def bench_bed_events(bed_events: DataFrame, start: str) -> DataFrame:

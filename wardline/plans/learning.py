@@ -43,14 +43,14 @@ def training_set(
     visits = encounters.select(
         "encounter_key", "encounter_id", "patient_id", "department_key", "admission_date", "discharge_date", "chief_complaint"
     )
-    order = ["admission_date", "encounter_key"]
     hot = hot_keys(visits, ["patient_id"]) if hot is None else hot
-    counted = ordered_rows(visits, ["patient_id"], order, before={"num_previous_visits": F.lit(1)}, hot=hot)
-    flagged = readmitted_flag(counted, hot=hot)
+    flagged = readmitted_flag(visits, hot=hot)
+    order = ["admission_date", "encounter_key"]
+    counted = ordered_rows(flagged, ["patient_id"], order, before={"num_previous_visits": F.lit(1)}, hot=hot)
     category = X.map_case("chief_complaint", categories, "General") if categories else F.lit("General")
     people = patients.where("is_current").select("patient_id", X.age_years("date_of_birth", as_of).alias("age"), "insurance_type")
     return (
-        flagged.withColumn("length_of_stay", X.los_days())
+        counted.withColumn("length_of_stay", X.los_days())
         .where(F.col("length_of_stay") > 0)
         .join(departments.select("department_key", "department_name"), "department_key")
         .join(people, "patient_id")
