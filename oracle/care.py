@@ -71,11 +71,13 @@ CARE = {
         WHERE discharge_date IS NOT NULL AND los > 0""",
     "asks": f"""SELECT encounter_key, greatest({age('date_of_birth')}, 0) AS age, (gender = 'M')::INT AS is_male,
         (admission_type = 'Emergency')::INT AS is_emergency, (insurance_type = 'Uninsured')::INT AS is_uninsured,
-        los AS los_days, floor(los)::BIGINT AS length_of_stay, encounter_key % 7 AS prior_visits, bed_capacity,
+        los AS los_days, floor(los)::BIGINT AS length_of_stay, prior_visits, bed_capacity,
         department_name, admission_type, insurance_type,
         chief_complaint IN ('Chest pain', 'Shortness of breath') AS has_chronic,
         (dayofweek(admission_date) + 6) % 7 AS day_of_week, hour(admission_date) AS hour_of_day
-        FROM fact_encounters e JOIN dim_patients p USING (patient_key) JOIN dim_departments d USING (department_key)
+        FROM (SELECT *, count(*) OVER (PARTITION BY patient_id ORDER BY admission_date, encounter_key
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_visits FROM fact_encounters) e
+        JOIN dim_patients p USING (patient_key) JOIN dim_departments d USING (department_key)
         WHERE discharge_date IS NOT NULL""",
 }
 

@@ -82,7 +82,8 @@ register("mv_patient_demographics", lambda s: marts.mv_patient_demographics(s.pa
 register("mv_weekly_trends", lambda s: marts.mv_weekly_trends(s.encounters))
 register("mv_top_complaints", lambda s: marts.mv_top_complaints(s.encounters))
 register("mart_encounter_summary", lambda s: marts.mart_encounter_summary(_int(s), s.encounters))
-register("mart_patient_summary", lambda s: marts.mart_patient_summary(_int(s), s.as_of))
+register("mart_patient_summary", lambda s: marts.mart_patient_summary(
+    staging.staged_visits(s.encounters, s.departments, s.physicians), staging.staged_people(s.patients, s.as_of), s.as_of))
 register("type_breakdown", lambda s: marts.type_breakdown(s.encounters))
 for _name in marts.VIEWS:
     register(f"read_{_name}", lambda s, n=_name: marts.read_mart(marts.view_builders(s.tables, s.as_of)[n](), n, s.as_of))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
+from wardline.operators.ordered import HotKeys, ordered_rows
 
 PATIENT_FIELDS = [
     "patient_id", "first_name", "last_name", "date_of_birth", "gender", "address", "city", "state", "zip_code",
@@ -68,11 +69,16 @@ def load_history(encounters: DataFrame) -> DataFrame:
     )
 
 
-def score_requests(encounters: DataFrame, patients: DataFrame, departments: DataFrame, as_of: str) -> DataFrame:
+def score_requests(
+    encounters: DataFrame, patients: DataFrame, departments: DataFrame, as_of: str, hot: HotKeys | None = None
+) -> DataFrame:
     """One scoring request per closed encounter, with the fields the prediction forms ask for."""
+    counted = ordered_rows(
+        encounters, ["patient_id"], ["admission_date", "encounter_key"], before={"prior_visits": F.lit(1)}, hot=hot
+    )
     people = patients.select("patient_key", "gender", "date_of_birth", "insurance_type")
     return (
-        encounters.where(F.col("discharge_date").isNotNull())
+        counted.where(F.col("discharge_date").isNotNull())
         .join(people, "patient_key")
         .join(departments.select("department_key", "department_name", "bed_capacity"), "department_key")
         .select(
@@ -83,7 +89,7 @@ def score_requests(encounters: DataFrame, patients: DataFrame, departments: Data
             (F.col("insurance_type") == "Uninsured").cast("int").alias("is_uninsured"),
             X.los_days().alias("los_days"),
             F.floor(X.los_days()).alias("length_of_stay"),
-            (F.col("encounter_key") % 7).alias("prior_visits"),
+            F.col("prior_visits").cast("bigint").alias("prior_visits"),
             "bed_capacity", "department_name", "admission_type", "insurance_type",
             F.col("chief_complaint").isin("Chest pain", "Shortness of breath").alias("has_chronic"),
             F.pmod(X.dow("admission_date") + 6, F.lit(7)).alias("day_of_week"),

@@ -72,14 +72,14 @@ def mart_encounter_summary(base: DataFrame, encounters: DataFrame | None = None)
     )
 
 
-def mart_patient_summary(base: DataFrame, as_of: str) -> DataFrame:
-    keys = [
-        "patient_key", "patient_id", "patient_name", "patient_age", "patient_age_group", "patient_gender",
-        "insurance_type", "insurance_category", "patient_city", "patient_state",
-    ]
-    rows = base.withColumn("los_us", X.los_us())
+def mart_patient_summary(visits: DataFrame, people: DataFrame, as_of: str) -> DataFrame:
+    """Lifetime figures per patient version with at least one visit.
+
+    All attributes of a patient follow from the key, so visits are summed up per key before the
+    attributes are joined: neither shuffle carries names for every visit.
+    """
     emergency, scheduled, transfer = _by_type()
-    return rows.groupBy(*keys).agg(
+    figures = visits.withColumn("los_us", X.los_us()).groupBy("patient_key").agg(
         F.count("*").alias("total_encounters"),
         F.countDistinct("department_key").alias("departments_visited"),
         F.min("admission_date").alias("first_encounter_date"),
@@ -93,6 +93,7 @@ def mart_patient_summary(base: DataFrame, as_of: str) -> DataFrame:
         (F.count("*") >= 3).alias("is_frequent_patient"),
         (F.max("admission_date") > X.shift(X.ts(as_of), days=-30)).alias("recent_visit_30d"),
     )
+    return people.join(figures, "patient_key")
 
 
 # --- the five views -----------------------------------------------------------------------------

@@ -39,6 +39,25 @@ def stg_encounters(encounters: DataFrame) -> DataFrame:
     )
 
 
+def staged_visits(encounters: DataFrame, departments: DataFrame, physicians: DataFrame) -> DataFrame:
+    """Encounters with department and physician: the part of the star join that keeps patients apart."""
+    d = departments.select("department_key", "department_name", F.lit(None).cast("string").alias("department_type"))
+    ph = physicians.select(
+        "physician_key", X.full_name("first_name", "last_name").alias("physician_name"),
+        F.col("specialty").alias("physician_specialty"),
+    )
+    return stg_encounters(encounters).drop("patient_id").join(d, "department_key").join(ph, "physician_key")
+
+
+def staged_people(patients: DataFrame, as_of: str) -> DataFrame:
+    """All patient versions with the names the intermediate model gives their columns."""
+    return stg_patients(patients, as_of, current_only=False).select(
+        "patient_key", "patient_id", F.col("full_name").alias("patient_name"), F.col("age").alias("patient_age"),
+        F.col("age_group").alias("patient_age_group"), F.col("gender").alias("patient_gender"), "insurance_type",
+        "insurance_category", F.col("city").alias("patient_city"), F.col("state").alias("patient_state"),
+    )
+
+
 def int_patient_encounters(
     patients: DataFrame, encounters: DataFrame, departments: DataFrame, physicians: DataFrame, as_of: str
 ) -> DataFrame:
@@ -48,21 +67,9 @@ def int_patient_encounters(
     version stay in. No hints: Spark broadcasts a dimension when its size allows and
     otherwise shuffles on the key.
     """
-    e = stg_encounters(encounters).drop("patient_id")
-    p = stg_patients(patients, as_of, current_only=False).select(
-        "patient_key", "patient_id", F.col("full_name").alias("patient_name"), F.col("age").alias("patient_age"),
-        F.col("age_group").alias("patient_age_group"), F.col("gender").alias("patient_gender"), "insurance_type",
-        "insurance_category", F.col("city").alias("patient_city"), F.col("state").alias("patient_state"),
-    )
-    d = departments.select("department_key", "department_name", F.lit(None).cast("string").alias("department_type"))
-    ph = physicians.select(
-        "physician_key", X.full_name("first_name", "last_name").alias("physician_name"),
-        F.col("specialty").alias("physician_specialty"),
-    )
     return (
-        e.join(p, "patient_key")
-        .join(d, "department_key")
-        .join(ph, "physician_key")
+        staged_visits(encounters, departments, physicians)
+        .join(staged_people(patients, as_of), "patient_key")
         .select(
             "encounter_key", "encounter_id", "admission_date", "discharge_date", "length_of_stay_days",
             "length_of_stay_category", "admission_type", "chief_complaint", "discharge_disposition",
@@ -88,7 +95,8 @@ def build_graph(tables: dict[str, DataFrame], as_of: str, register: bool = False
     }
     base = graph["int_patient_encounters"]
     graph["mart_encounter_summary"] = marts.mart_encounter_summary(base, tables["fact_encounters"])
-    graph["mart_patient_summary"] = marts.mart_patient_summary(base, as_of)
+    visits = staged_visits(tables["fact_encounters"], tables["dim_departments"], tables["dim_physicians"])
+    graph["mart_patient_summary"] = marts.mart_patient_summary(visits, staged_people(tables["dim_patients"], as_of), as_of)
     if register:
         for name, frame in graph.items():
             frame.createOrReplaceTempView(name)
