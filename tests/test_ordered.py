@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators.ordered import first_at_or_after, hot_keys, mark_hot, ordered_rows, trailing_count
+from wardline.operators.ordered import hot_keys, mark_hot, nearest_target, ordered_rows, trailing_count
 from wardline.operators.relations import readmitted_flag, temporal_join
 
 START = datetime(2001, 1, 1)
@@ -79,16 +79,19 @@ def test_trailing_count(visits, hot):
         assert got[k] == sum(w == who and a - timedelta(days=7) <= t <= a for _, w, t, _, _ in rows)
 
 
+@pytest.mark.parametrize("forward", [True, False])
 @pytest.mark.parametrize("hot", [[], HOT])
-def test_first_at_or_after(visits, hot):
+def test_nearest_target(visits, hot, forward):
     df, rows = visits
     probes = df.where("discharge_date IS NOT NULL")
-    found = first_at_or_after(probes, df, ["patient_id"], "discharge_date", "admission_date", "encounter_key", hot)
+    found = nearest_target(
+        probes, df, ["patient_id"], "discharge_date", "admission_date", ["encounter_key"], forward, hot)
     for r in found.where("is_probe").collect():
-        later = [(t, k) for k, w, t, _, _ in rows if w == r.patient_id and t >= r.discharge_date]
-        assert (r.hit is None) == (not later)
-        if later:
-            assert (r.hit.time, r.hit.id) == min(later)
+        mine = [(t, k) for k, w, t, _, _ in rows if w == r.patient_id]
+        fits = [x for x in mine if (x[0] >= r.discharge_date if forward else x[0] <= r.discharge_date)]
+        assert (r.hit is None) == (not fits)
+        if fits:
+            assert (r.hit.time, r.hit.encounter_key) == (min(fits) if forward else max(fits))
 
 
 @pytest.mark.parametrize("hot", [[], HOT])

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 HOT_MIN_ROWS = 1_000_000
 HOT_KEYS = 10_000
 
-HOT_FLAG = "_hot"
-_SLICE, _HOT, _POS = "_slice", HOT_FLAG, "_pos"
+_SLICE, _HOT, _POS = "_slice", "_hot", "_pos"
 _BEFORE, _ROW, _AFTER = 0, 1, 2
 
 HotKeys = list[tuple]
@@ -145,37 +144,41 @@ def _carry_rows(
     return parts
 
 
-def first_at_or_after(
+def nearest_target(
     probes: DataFrame,
     targets: DataFrame,
     keys: Sequence[str],
     probe_time: str,
     target_time: str,
-    target_id: str,
+    fields: Sequence[str],
+    forward: bool = True,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """For every probe and every target row the next target of its key.
+    """For every probe and every target row the nearest target of its key in one direction of time.
 
-    For a probe that is the first target at or after ``probe_time``; for a target the next
-    one behind it. Both inputs need the same columns. Returns all of them with ``is_probe``
-    and ``hit`` (struct of time and id, NULL if there is none). Linear in the rows: one sort
-    per slice, no pairs.
+    Forward: for a probe the first target at or after ``probe_time``, for a target the next one.
+    Backward: for a probe the last target at or before its time, for a target the previous one.
+    Returns all rows with ``is_probe`` and ``hit``: a struct of ``time`` and the target's ``fields``,
+    by which targets at one time are ordered, or NULL. Linear in the rows: one sort per slice, no
+    pairs.
     """
     keys = list(keys)
     both = probes.select("*", F.lit(True).alias("is_probe"), F.col(probe_time).alias("_t")).unionByName(
-        targets.select("*", F.lit(False).alias("is_probe"), F.col(target_time).alias("_t"))
+        targets.select("*", F.lit(False).alias("is_probe"), F.col(target_time).alias("_t")), allowMissingColumns=True
     )
-    target = F.when(~F.col("is_probe"), F.struct(F.col("_t").alias("time"), F.col(target_id).alias("id")))
-    rows = both.withColumn("_target", target)
-    # Walked backwards in time; at equal times a target comes before the probes that may use it.
-    order = [F.desc("_t"), F.col("is_probe"), F.desc(target_id)]
+    as_target = F.struct(F.col("_t").alias("time"), *fields)
+    rows = both.withColumn("_target", F.when(~F.col("is_probe"), as_target))
+    turn = F.desc if forward else F.asc
+    # At equal times targets come before the probes that may use them.
+    order = [turn("_t"), F.col("is_probe"), *[turn(f) for f in fields]]
     hot = hot_keys(both, keys) if hot is None else hot
     if hot:
         rows = mark_hot(rows, keys, hot).withColumn(_SLICE, F.when(F.col(_HOT), F.to_date("_t")))
-        slices = rows.where(_HOT).groupBy(*keys, _SLICE).agg(F.min("_target").alias("_target"))
-        later = Window.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        edge = F.min("_target") if forward else F.max("_target")
+        slices = rows.where(_HOT).groupBy(*keys, _SLICE).agg(edge.alias("_target"))
+        passed = Window.partitionBy(*keys).orderBy(turn(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
         carry = slices.select(
-            *keys, _SLICE, F.lit(_BEFORE).alias(_POS), F.last("_target", ignorenulls=True).over(later).alias("_target")
+            *keys, _SLICE, F.lit(_BEFORE).alias(_POS), F.last("_target", ignorenulls=True).over(passed).alias("_target")
         ).where(F.col("_target").isNotNull())
         rows = rows.drop(_HOT).withColumn(_POS, F.lit(_ROW)).unionByName(carry, allowMissingColumns=True)
         w = Window.partitionBy(*keys, _SLICE).orderBy(_POS, *order)
@@ -185,7 +188,7 @@ def first_at_or_after(
     out = rows.withColumn("hit", F.last("_target", ignorenulls=True).over(behind))
     if hot:
         out = out.where(F.col(_POS) == _ROW)
-    return out.select(*probes.columns, "is_probe", "hit")
+    return out.select(*both.columns, "hit").drop("_t")
 
 
 def trailing_count(

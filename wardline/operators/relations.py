@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import HOT_FLAG, HotKeys, first_at_or_after, hot_keys, mark_hot
+from wardline.operators.ordered import HotKeys, hot_keys, nearest_target
+
+# With more versions of a key than this, comparing a fact with each of them costs more than sorting.
+MANY_VERSIONS = 1000
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -15,8 +18,8 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def existing_rows(target: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Target rows whose key is on the list."""
-    return target.join(wanted.select(key), key, "left_semi")
+    """Target rows whose key is on the list. The list is made distinct first, also on the map side."""
+    return target.join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def temporal_join(
@@ -24,25 +27,24 @@ def temporal_join(
 ) -> DataFrame:
     """Facts with the dimension version valid at their time (begun by then, not yet ended).
 
-    An equality on the key plus a residual range. For a key that holds a large share of the
-    facts both sides are also split by month, so that neither its facts nor its versions
-    meet in one task; a version is repeated only for months in which there are facts at all.
+    An equality on the key plus a residual range, which looks at every version of a fact's key.
+    Where a key has very many facts or versions, all facts instead take the last version begun by
+    their time, found in one ordered pass with hot keys cut into day slices; versions of a key do
+    not overlap, so it is the same one. ``hot`` forces that way.
     """
     at = F.col(time_col)
-    valid = (F.col("valid_from") <= at) & (at < F.col("valid_to"))
-    hot = hot_keys(facts, [key]) if hot is None else hot
-    if not hot:
-        return facts.join(dim, key).where(valid)
-    none = F.lit("0001-01-01").cast("date")
-    month = F.trunc(F.to_date(time_col), "month")
-    left = mark_hot(facts, [key], hot).withColumn("_month", F.when(F.col(HOT_FLAG), month).otherwise(none)).drop(HOT_FLAG)
-
-    first, last = facts.agg(F.min(time_col)).scalar(), facts.agg(F.max(time_col)).scalar()
-    lo = F.trunc(F.to_date(F.greatest("valid_from", first)), "month")
-    hi = F.trunc(F.to_date(F.least("valid_to", last)), "month")
-    months = F.when(~F.col(HOT_FLAG), F.array(none)).when(lo <= hi, F.sequence(lo, hi, F.expr("interval 1 month")))
-    right = mark_hot(dim, [key], hot).withColumn("_month", F.explode(months)).drop(HOT_FLAG)
-    return left.join(right, [key, "_month"]).where(valid).drop("_month")
+    if hot is None:
+        hot = list({*hot_keys(facts, [key]), *hot_keys(dim, [key])})
+        if not hot and not hot_keys(dim, [key], min_rows=MANY_VERSIONS, most=1):
+            return facts.join(dim, key).where((F.col("valid_from") <= at) & (at < F.col("valid_to")))
+    attributes = [c for c in dim.columns if c != key]
+    probes = facts.where(F.col(key).isNotNull()).select(key, time_col, F.struct(*facts.columns).alias("_fact"))
+    found = nearest_target(probes, dim, [key], time_col, "valid_from", attributes, forward=False, hot=hot)
+    valid = F.col("hit.time").isNotNull() & (at < F.col("hit.valid_to"))
+    order = [key, *[c for c in facts.columns if c != key]]
+    return found.where(F.col("is_probe") & valid).select(
+        *[F.col(f"_fact.{c}").alias(c) for c in order], *[F.col(f"hit.{c}").alias(c) for c in attributes]
+    )
 
 
 def readmitted_flag(
@@ -57,11 +59,11 @@ def readmitted_flag(
     out, back = F.col("discharge_date"), F.col("discharge_date") <= F.col("admission_date")
 
     def flagged(probes: DataFrame, targets: DataFrame) -> DataFrame:
-        found = first_at_or_after(
-            probes, targets, ["patient_id"], "discharge_date", "admission_date", "encounter_key", hot
+        found = nearest_target(
+            probes, targets, ["patient_id"], "discharge_date", "admission_date", ["encounter_key"], hot=hot
         )
         # A visit without a patient has no other visits: NULL equals nothing.
-        other = (F.col("hit.id") != F.col("encounter_key")) & F.col("patient_id").isNotNull()
+        other = (F.col("hit.encounter_key") != F.col("encounter_key")) & F.col("patient_id").isNotNull()
         hit = (F.col("hit.time") <= X.shift("discharge_date", days=days)) & other
         return found.withColumn(name, F.coalesce(hit, F.lit(False)).cast("int"))
 
