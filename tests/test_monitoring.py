@@ -102,6 +102,12 @@ def test_stream_resumes_from_its_checkpoint(spark, star):
     assert got.agg(F.sum("requests")).first()[0] == events.count()
 
 
+def test_stream_without_input(spark, star):
+    source = new_folder(spark, "none")
+    star.source("events").limit(0).write.parquet(source)
+    assert jobs.stream_error_rate(spark, source, new_folder(spark, "job")).count() == 0
+
+
 def test_stream_scd2_in_two_batches(spark, star):
     feed = feeds.incoming_patients(star.patients, star.physicians)
     source, folder = new_folder(spark, "feed"), new_folder(spark, "dim")

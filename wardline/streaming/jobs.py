@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wardline.operators.history import scd2_merge
 from wardline.sources import schemas
@@ -50,7 +50,13 @@ def run_to_latest(result: DataFrame, folder: str, keys: Sequence[str]) -> DataFr
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return latest_per_key(spark.read.parquet(f"{folder}/out"), list(keys), ["batch"]).drop("batch")
+    try:
+        written = spark.read.parquet(f"{folder}/out")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], result.schema)  # there has been no input yet
+    return latest_per_key(written, list(keys), ["batch"]).drop("batch")
 
 
 WINDOW = ["window_start", "window_end"]
