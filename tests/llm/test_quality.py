@@ -1,0 +1,81 @@
+"""Counts of the quality rules against plain Python, and what the robust fit rejects."""
+
+import collections
+import re
+
+import pytest
+from wardline.llm import quality
+
+SF = "/root/testdata/sf0.001"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def plain_counts(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = list(zip(words, words[1:], words[2:]))
+    count = collections.Counter(grams)
+    marked = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(3)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(marked))
+
+
+def result(df):
+    return {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = result(docs)
+    good = bad = good_kept = bad_kept = 0
+    for r in docs.collect():
+        own = got[r.doc_id]
+        want = plain_counts(r.text)
+        assert tuple(own[c] for c in COUNTS) == want
+        assert own.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (own.base_failed and own.kept)
+        if not own.base_failed and r.doc_id in labels:
+            good, good_kept = good + labels[r.doc_id], good_kept + labels[r.doc_id] * own.kept
+            bad, bad_kept = bad + 1 - labels[r.doc_id], bad_kept + (1 - labels[r.doc_id]) * own.kept
+    assert good_kept == good and bad_kept <= 0.1 * bad
+
+
+def test_odd_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, None, None, None), (2, "", "en", "a"), (3, "\n \n", "en", None), (4, words, "en", "a"), (4, words, "en", "a"),
+        (None, words, None, "b"), (5, "a b a b a b", "en", "a"), (6, words + " | ###" * 50, "en", "a"),
+        (7, "é ß\x0b日本 x\n" * 30_000, "de", "a"), (8, "a b c a b c a", "en", "a"),
+    ]
+    docs = spark.createDataFrame(
+        [(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_words int, kept string"
+    )
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for doc, text, *_ in rows:
+        assert tuple(by[doc][c] for c in COUNTS) == plain_counts(text)
+    assert by[4].kept and by[None].kept and not by[6].kept and not by[1].kept
+
+
+def test_empty_table(spark):
+    assert result(spark.createDataFrame([], "doc_id long, text string, lang string, source string")) == {}
+
+
+def test_junk_up_to_nearly_half_of_a_group_is_rejected(spark):
+    rows = [(i, " ".join(f"word{(i * 7 + k * (i % 5 + 1)) % 997}" for k in range(80 + i % 40)), "en", "a") for i in range(150)]
+    rows += [(1000 + i, " ".join(f"### | w{k + i}%" for k in range(60)), "en", "a") for i in range(120)]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert all(got[i].kept for i in range(150))
+    assert not any(got[1000 + i].kept for i in range(120))
+
+
+@pytest.mark.parametrize("dof", [4, 6])
+def test_chi_square(dof):
+    for p in (0.1, 0.5, 0.975, 1 - 1e-6):
+        assert quality.chi2_cdf(quality.chi2_quantile(p, dof), dof) == pytest.approx(p, abs=1e-9)
