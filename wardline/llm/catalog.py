@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.base import table
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.simhash import simhash_components
@@ -15,6 +31,18 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.chat import digests, fixed_conversation, format_conversations
+
+    return digests(format_conversations(fixed_conversation(table(spark, sf_dir, "conversations"))))
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.bytebpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.quality import quality_rules
 
