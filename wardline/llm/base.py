@@ -68,8 +68,17 @@ def _differs(col: pa.Array) -> np.ndarray:
     return ~np.asarray(pc.or_(same, both_null).to_numpy(zero_copy_only=False), dtype=bool)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Batches sorted by ``key`` as tables in which no run of equal keys is cut, with the runs' starts.
+def _breaks(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a run of equal keys starts, the first row left out."""
+    out = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for key in keys:
+        col = batch.column(key)
+        out |= _differs(col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col)
+    return np.flatnonzero(out) + 1
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by ``keys`` as tables in which no run of equal keys is cut, with the runs' starts.
 
     Only the last, still open run of a batch is carried on.
     """
@@ -77,28 +86,25 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = np.flatnonzero(_differs(batch.column(key))) + 1
-        joins = bool(held) and not _differs(
-            pa.concat_arrays([held[-1].column(key).slice(held[-1].num_rows - 1), batch.column(key).slice(0, 1)])
-        )[0]
-        if held and not joins:
-            yield _with_starts(held, key)
-            held = []
+        if held:
+            edge = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            if len(_breaks(edge, keys)):
+                yield _with_starts(held, keys)
+                held = []
+        marks = _breaks(batch, keys)
         if not len(marks):
             held.append(batch)
             continue
         cut = int(marks[-1])
-        yield _with_starts([*held, batch.slice(0, cut)], key)
+        yield _with_starts([*held, batch.slice(0, cut)], keys)
         held = [batch.slice(cut)]
     if held:
-        yield _with_starts(held, key)
+        yield _with_starts(held, keys)
 
 
-def _with_starts(parts: list[pa.RecordBatch], key: str) -> tuple[pa.Table, np.ndarray]:
+def _with_starts(parts: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
     whole = pa.Table.from_batches(parts).combine_chunks()
-    col = whole.column(key).combine_chunks()
-    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-    return whole, np.concatenate([[0], np.flatnonzero(_differs(col)) + 1]) if len(col) > 1 else np.zeros(1, int)
+    return whole, np.concatenate([[0], _breaks(whole, keys)]).astype(np.int64)
 
 
 def spans_to_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -96,7 +96,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     kind = turns.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_runs(batches, "conv_id"):
+        for table, first in whole_runs(batches, ["conv_id"]):
             roles, texts = (pc.fill_null(table.column(c).combine_chunks(), "") for c in ("role", "text"))
             sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
             upto = np.concatenate([[0], np.cumsum(sizes)])
