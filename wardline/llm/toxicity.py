@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wardline.llm.base import byte_slices, staged
 
@@ -278,7 +279,7 @@ EVIDENCE = ["strongest", "second", "strong"]
 def evidence(docs: DataFrame, model, weights) -> DataFrame:
     """The other columns of ``docs`` plus the two strongest weights of different words, and how many are strong."""
     keep = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = [*docs.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in EVIDENCE)]
 
     def weigh_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, heavy = _words(model.value), weights.value
@@ -319,7 +320,7 @@ def evidence(docs: DataFrame, model, weights) -> DataFrame:
                 )
 
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(weigh_texts, f"{kinds}, strongest double, second double, strong double")
+    return slim.mapInArrow(weigh_texts, StructType(fields))
 
 
 def fit_scores(found: DataFrame) -> list[float]:
