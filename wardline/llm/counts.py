@@ -26,8 +26,8 @@ from wardline.llm.base import byte_slices
 from wardline.llm.tokens import TAIL
 
 LIMIT = 2048
-MAX_PREFIXES = 400_000
-MAX_WORDS = 300_000
+MAX_PREFIXES = 900_000
+MAX_WORDS = 600_000
 LONG = 40
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NEVER = 1 << 30
@@ -55,7 +55,7 @@ class PrefixCounts:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.rank = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         vocabulary = spec["model"]["vocab"]
         self.open = {t for t in vocabulary if not t.endswith(self.end)}
@@ -69,6 +69,8 @@ class PrefixCounts:
     def clear(self) -> None:
         self.last: dict[str, tuple[str, int]] = {"": ("", 0)}
         self.words: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
+        self.decided: dict[tuple[str, str], bool] = {}
 
     def _spine(self, token: str, parent: dict, side: int) -> list[tuple[str, int]]:
         """From the outermost symbol up to the token itself: each part, and the rank at which it is absorbed."""
@@ -86,6 +88,12 @@ class PrefixCounts:
         Parts on both sides are followed in the order in which merges make them. Equal ranks go
         left to right.
         """
+        found = self.decided.get((a, b))
+        if found is None:
+            found = self.decided[a, b] = self._stays(a, b)
+        return found
+
+    def _stays(self, a: str, b: str) -> bool:
         left, right = self.right[a], self.left[b]
         i = j = 0
         rank = self.rank
@@ -128,14 +136,27 @@ class PrefixCounts:
             return 0
         if len(s) > LONG:
             return self.ends(s, only_last=True)[-1]
-        known = self.last
-        last, count = (lambda n: known[s[:n]][0]), (lambda n: known[s[:n]][1])
+        known, is_open, stays = self.last, self.open, self.stays
+        top = self.longest
         at = len(s) - 1
         while s[:at] not in known:
             at -= 1
         for n in range(at + 1, len(s)):
-            known[s[:n]] = self._extend(s, n, last, count)
-        return self._close(s, len(s), last, count)
+            for start in range(max(0, n - top), n):
+                token = s[start:n]
+                if token in is_open:
+                    before, count = known[s[:start]]
+                    if not before or stays(before, token):
+                        known[s[:n]] = (token, count + 1)
+                        break
+        n, end, closed = len(s), self.end, self.closed
+        for start in range(max(0, n - top), n):
+            token = s[start:]
+            if token in closed:
+                before, count = known[s[:start]]
+                if not before or stays(before, token + end):
+                    return count + 1
+        raise ValueError(f"no encoding of {s!r}")
 
     def ends(self, s: str, only_last: bool = False) -> list[int]:
         """Count of every prefix of ``s`` as a finished word, the empty one first."""
@@ -149,13 +170,15 @@ class PrefixCounts:
         return out
 
     def spell(self, text: str) -> str:
-        return text if text.isascii() and text.isalnum() else "".join(map(self.letters.__getitem__, text.encode()))
+        return text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(self.letters)
 
     def word(self, word: str) -> int:
         """Count of a word between white space, as the library has it."""
         stem = word.rstrip(TAIL)
-        if stem.isalpha() and stem.isascii():
-            return self.finished(stem.lower()) + self.finished(word[len(stem) :])
+        if stem.isalpha():
+            lowered = stem.lower()
+            if stem.isascii() or lowered.isalpha() and unicodedata.is_normalized("NFC", stem):
+                return self._letters(lowered) + self.finished(word[len(stem) :])
         count, at = 0, 0
         for m in self.special_split.finditer(word):
             count += self._plain(word[at : m.start()]) + 1
@@ -165,6 +188,16 @@ class PrefixCounts:
             return self._checked(word, count)
         return count
 
+    def _letters(self, word: str) -> int:
+        """Count of a word of letters only, in normal form and lower case."""
+        found = self.stems.get(word)
+        if found is None:
+            found = self.finished(self.spell(word))
+            if not word.isascii():
+                found = self._checked(word, found)
+            self.stems[word] = found
+        return found
+
     def _checked(self, word: str, count: int) -> int:
         exact = len(self.library.encode(word, add_special_tokens=False).ids)
         return count if count == exact else exact
@@ -174,7 +207,7 @@ class PrefixCounts:
         return sum(self.finished(self.spell(t)) for t in self.pattern.findall(lowered))
 
     def count_words(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > MAX_WORDS or len(self.last) > MAX_PREFIXES:
+        if len(self.words) > MAX_WORDS or len(self.last) + len(self.decided) > MAX_PREFIXES:
             self.clear()
         known = self.words
         for w in words:
