@@ -31,6 +31,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.shards import shard_contents
+
+    return shard_contents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.chat import digests, fixed_conversation, format_conversations
 
@@ -43,6 +49,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.urlfilter import page_verdicts
+
+    return page_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.bytebpe import round_trip_digests
 
@@ -66,4 +78,6 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_texts() -> dict[str, str]:
-    return {}
+    from wardline.llm import urlfilter
+
+    return {"op7_url_filters": urlfilter.SQL}
