@@ -1,0 +1,90 @@
+"""Near copies against exact similarities of five-word shingles."""
+
+import random
+
+from wardline.llm import nearcopies, simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def exact_similarity(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def groups(df):
+    return {r.id: r.component for r in nearcopies.near_copies(df, "doc_id", "text").collect()}
+
+
+def test_fingerprints_are_the_operator_s(spark):
+    for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect():
+        assert nearcopies.signature(r.text)[0] == simhash.fingerprint(r.text)
+    assert nearcopies.signature(None)[0] == nearcopies.signature(" ")[0] == 0
+
+
+def test_similarity():
+    texts = [" ".join(f"w{i + k}" for i in range(n)) for k in (0, 3, 10) for n in (1, 4, 5, 30, 90)]
+    for a in texts:
+        for b in texts:
+            got = nearcopies.similarity(nearcopies.signature(a)[3], nearcopies.signature(b)[3])
+            assert abs(got - exact_similarity(a, b)) < 1e-9
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = groups(docs)
+    sets = {d: shingles(t) for d, t in rows}
+    near = missed = 0
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[:i]:
+            s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if s >= 0.85:
+                near, missed = near + 1, missed + (found[a] != found[b])
+    assert near > 10 and missed <= 0.02 * near
+
+
+def test_edited_copies_meet_and_others_do_not(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("an", "el", "ion", "us", "ing", "or", "ea", "ul")]
+    rows, family = [], {}
+    for base in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for copy in range(3):
+            own = list(text)
+            for _ in range(copy * len(text) // 100):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((len(rows), " ".join(own)))
+            family[rows[-1][0]] = base
+    found = groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    for a, x in rows:
+        for b, y in rows[:a]:
+            if family[a] != family[b]:
+                assert found[a] != found[b]
+            elif exact_similarity(x, y) >= 0.9:
+                assert found[a] == found[b]
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(6)
+    text = [f"word{i % 173}x{i % 7}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        own = list(text)
+        own[rng.randrange(200)] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(text)) for i in range(300)]
+    found = groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(found.values()) == {0}
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (2, " "), (3, "one"), (4, "ONE"), (None, "one two three"), (5, "a b " * 40_000)]
+    found = groups(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, small int"))
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3, None: None, 5: 5}
+    assert groups(spark.createDataFrame([], "doc_id long, text string")) == {}

@@ -1,0 +1,174 @@
+"""Near copies by five-word shingles, found through SimHash fingerprints with soft decisions.
+
+Copies with a few edits differ in more fingerprint bits than hard Golay keys cover, but the bits
+that flip are those whose vote was close. So each fingerprint carries its closest votes: a segment
+is also read with every subset of its WEAK closest bits turned, and each reading is a key. These
+keys come beside the Golay keys of ``simhash``, which find all pairs within three bits.
+
+Rows that share a key are sorted by a piece of a small minhash and compared with the LOOK rows
+before them; near copies stand next to each other there. That is linear in the rows of a key,
+however many copies it holds. What passes is verified by a larger sketch of the five-word shingles:
+the smallest SKETCH hashes, the whole set for texts of fewer shingles.
+
+Fingerprints, nulls, empty texts and repeated rows are treated as in ``simhash``; texts with equal
+fingerprints are one class.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardline.llm.base import components, staged
+from wardline.llm.simhash import SEED, SHIFTS, SHINGLE, WIDTHS, near_links
+
+WORDS = 5
+LEAST = 0.8
+WEAK = 4
+LOOK = 8
+FAR = 13
+SKETCH = 128
+SMALL = 16
+SMALL_LEAST = 9
+_RNG = np.random.default_rng(SEED)
+FACTORS = _RNG.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TURNS = _RNG.integers(0, 2**63, SMALL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: str | None) -> tuple[int, bytes, bytes, bytes]:
+    """(fingerprint, WEAK closest bits of each segment, small minhash, sketch) of a text."""
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - SHINGLE + 1)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
+    hashed = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, 8192):
+        ones += np.unpackbits(hashed[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    votes = 2 * ones - n if words else np.full(64, -1)
+    fp = int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
+    weak = []
+    for shift, width in zip(SHIFTS, WIDTHS):
+        own = np.abs(votes[::-1][shift : shift + width])  # bit 0 is the last vote
+        weak.extend(np.argsort(own, kind="stable")[:WEAK].tolist())
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    m = max(1, len(words) - WORDS + 1)
+    with np.errstate(over="ignore"):
+        five = np.zeros(m, np.uint64)
+        for i in range(min(WORDS, len(words))):
+            five += each[i : i + m] * FACTORS[i]
+        five ^= five >> np.uint64(31)
+        five = np.unique(five * np.uint64(0x9E3779B97F4A7C15) ^ (five >> np.uint64(27)))
+        small = bytes(int((five * t).min() >> np.uint64(20) & np.uint64(0xFF)) for t in TURNS)
+    values = np.unique((five >> np.uint64(32)).astype("<u4"))[:SKETCH]
+    return fp, bytes(weak), small, values.tobytes()
+
+
+def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows (id, fp, weak, small, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [signature(t.as_py()) for t in batch.column("text")]
+            fp, weak, small, sketch = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(x, pa.binary()) for x in (weak, small, sketch))],
+                names=["id", "fp", "weak", "small", "sketch"],
+            )
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"id {kind}, fp long, weak binary, small binary, sketch binary")
+
+
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_py() for v in col), np.uint8).reshape(len(col), width)
+
+
+def _soft_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every reading of each segment as a key, with the piece of the minhash that its rows are sorted by."""
+    subsets = [s for n in range(WEAK + 1) for s in combinations(range(WEAK), n)]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            fps = np.asarray(part.column("fp")).view(np.uint64)
+            weak, small = _matrix(part.column("weak"), 3 * WEAK), _matrix(part.column("small"), SMALL)
+            for k, (shift, width) in enumerate(zip(SHIFTS, WIDTHS)):
+                word = ((fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                bits = np.int64(1) << weak[:, k * WEAK : (k + 1) * WEAK].astype(np.int64)
+                for subset in subsets:
+                    key = word ^ (bits[:, list(subset)].sum(axis=1) if subset else 0)
+                    pick = (key[:, None] + np.arange(4) * 5) % SMALL
+                    order = np.take_along_axis(small, pick, axis=1).astype(np.int64) @ (np.int64(1) << np.array([24, 16, 8, 0]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((k << 24) | key), pa.array(order), part.column("fp"), part.column("small")],
+                        names=["k", "s", "fp", "small"],
+                    )
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one key, at most LOOK apart, whose fingerprints and small minhashes are close."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, fp, small = np.asarray(batch.column("k")), np.asarray(batch.column("fp")).view(np.uint64), _matrix(batch.column("small"), SMALL)
+        fresh = 0
+        if held:
+            fresh = len(held[0])
+            k, fp, small = (np.concatenate([a, b]) for a, b in zip(held, (k, fp, small)))
+        found = []
+        for lag in range(1, LOOK + 1):
+            i = np.flatnonzero(k[lag:] == k[:-lag]) + lag
+            i = i[i >= fresh]
+            i = i[(np.bitwise_count(fp[i] ^ fp[i - lag]) <= FAR) & (fp[i] != fp[i - lag])]
+            i = i[(small[i] == small[i - lag]).sum(axis=1) >= SMALL_LEAST]
+            pair = np.stack([fp[i], fp[i - lag]], axis=1)
+            pair.sort(axis=1)
+            found.append(pair)
+        pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["src", "dst"])
+        held = k[-LOOK:], fp[-LOOK:], small[-LOOK:]
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity from two sketches, exact while both hold their whole sets."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) == SKETCH:
+        both = both[:SKETCH]
+    shared = np.intersect1d(x, y, assume_unique=True)
+    return np.isin(both, shared, assume_unique=True).sum() / max(len(both), 1)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [similarity(a.as_py(), b.as_py()) >= LEAST for a, b in zip(batch.column("a"), batch.column("b"))]
+        kept = batch.filter(pa.array(good, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column("src"), kept.column("dst")], names=["src", "dst"])
+
+
+def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows (id, fp, component): component is the smallest id reachable over links of similarity LEAST or more."""
+    own = staged(signatures(docs, id_col, text), "signatures")
+    classes = own.groupBy("fp").agg(
+        F.min("id").alias("least"), F.min(F.struct("weak", "small", "sketch")).alias("sign")
+    )
+    classes = staged(classes.select("fp", "least", "sign.*"), "classes")
+    close = classes.select("fp", "weak", "small").mapInArrow(_soft_keys, "k long, s long, fp long, small binary")
+    close = close.repartition("k").sortWithinPartitions("k", "s", "fp").mapInArrow(_neighbours, "src long, dst long")
+    pairs = close.unionByName(near_links(classes.select("fp"))).distinct()
+    sketches = classes.select("fp", "sketch")
+    met = pairs.join(sketches.select(F.col("fp").alias("src"), F.col("sketch").alias("a")), "src")
+    met = met.join(sketches.select(F.col("fp").alias("dst"), F.col("sketch").alias("b")), "dst")
+    links = met.select("src", "dst", "a", "b").mapInArrow(_verified, "src long, dst long")
+    roots = components(links)
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("component"))
+    return own.select("id", "fp").join(named.join(lowest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
