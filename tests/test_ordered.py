@@ -106,8 +106,28 @@ def test_readmitted_flag(visits, hot):
         assert got[k] == int(want), k
 
 
-@pytest.mark.parametrize("hot", [[], [("hot",), ("p3",)]])
-def test_temporal_join_is_half_open(spark, visits, hot):
+def test_temporal_join_finds_every_version(spark):
+    """Overlapping versions are all found, whatever other keys hold."""
+    t = lambda y: datetime(y, 1, 1)
+    versions = [("a", 1, t(1990), t(2100)), ("a", 2, t(1997), t(1998)), ("b", 1, t(2005), datetime(9999, 12, 31)), ("c", 1, t(1990), None)]
+    versions += [("many", i, datetime(1999, 1, 1) + timedelta(hours=i), datetime(1999, 1, 1) + timedelta(hours=i + 1)) for i in range(1500)]
+    dim = spark.createDataFrame(versions, "k string, version int, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    facts = [(1, "a", t(1999)), (2, "a", datetime(1997, 6, 1)), (3, "b", t(2004)), (4, "b", t(2005)), (5, None, t(1999)), (6, "a", None),
+             (7, "many", datetime(1999, 1, 2, 3, 30)), (8, "c", t(1999))]
+    df = spark.createDataFrame(facts, "id int, k string, at timestamp_ntz")
+    got = sorted((r.id, r.version) for r in temporal_join(df, dim, "k", "at").collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (4, 1), (7, 27)]
+    assert temporal_join(df.limit(0), dim, "k", "at").count() == 0
+
+
+def test_readmission_of_a_visit_without_admission(spark):
+    rows = [(1, "p", None, datetime(2000, 1, 1)), (2, "p", datetime(2000, 1, 5), datetime(2000, 1, 6)), (3, "q", None, datetime(2000, 1, 1)),
+            (4, "q", None, None)]
+    df = spark.createDataFrame(rows, "encounter_key int, patient_id string, admission_date timestamp_ntz, discharge_date timestamp_ntz")
+    assert sorted((r.encounter_key, r.readmitted_30d) for r in readmitted_flag(df).collect()) == [(1, 1), (2, 0), (3, 0), (4, 0)]
+
+
+def test_temporal_join_is_half_open(spark, visits):
     df, rows = visits
     versions = []
     for who in ["hot", *[f"p{i}" for i in range(40)]]:
@@ -118,7 +138,7 @@ def test_temporal_join_is_half_open(spark, visits, hot):
     edge = spark.createDataFrame(
         [(5000, "hot", START + timedelta(days=30))], "encounter_key long, patient_id string, admission_date timestamp_ntz")
     facts = df.select("encounter_key", "patient_id", "admission_date").unionByName(edge)
-    got = {r.encounter_key: r.record_version for r in temporal_join(facts, dim, "patient_id", "admission_date", hot).collect()}
+    got = {r.encounter_key: r.record_version for r in temporal_join(facts, dim, "patient_id", "admission_date").collect()}
     assert got[5000] == 2
     for k, who, a, _, _ in rows:
         match = [v for w, v, lo, hi in versions if w == who and lo <= a < hi]

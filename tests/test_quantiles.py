@@ -25,14 +25,21 @@ def check(got, rows):
             assert r[name] == pytest.approx(want) if values else r[name] is None
 
 
-@pytest.mark.parametrize("hot", [[], [("a",)]])
-def test_aggregates_with_quantiles(data, hot):
+def test_aggregates_with_quantiles(data):
     df, rows = data
-    got = aggregate_with_quantiles(df, ["g"], [F.count("*").alias("n")], F.col("v"), WANTED, 2.0, 100, hot).collect()
+    got = aggregate_with_quantiles(df, ["g"], [F.count("*").alias("n")], F.col("v"), WANTED, 2.0, 100).collect()
     assert {r.g: r.n for r in got} == {g: sum(x == g for x, _ in rows) for g in {g for g, _ in rows}}
     check(got, rows)
 
 
+def test_groups_without_a_value_stay(data):
+    """Also without other aggregates, and however large the other groups are."""
+    df, rows = data
+    got = aggregate_with_quantiles(df, ["g"], [], F.col("v"), WANTED, 2.0, 100).collect()
+    assert {r.g for r in got} == {g for g, _ in rows}
+    check(got, rows)
+
+
 def test_distributed_without_keys(data):
     df, rows = data
     got = distributed_quantiles(df, [], F.col("v"), WANTED, bin_width=50).first()

@@ -1,11 +1,10 @@
-"""Exact quantiles and order statistics, also of groups too large for one task.
-
-Spark's ``percentile`` keeps all distinct values of a group in one aggregation buffer. That is
-the cheapest way for groups of ordinary size. When a group has HOT_MIN_ROWS rows or more, rows
-are counted per (group, value) instead: partial counting on the map side, and a shuffle that
-spreads even a single group over its values. Then the counts per bin locate the bins that hold
-the wanted positions, and only those bins are ordered. Both ordered steps handle few rows per
-group: the bins of a group, then the values of a bin.
+"""Exact quantiles and order statistics of groups of any size.
+
+Rows are counted per (group, value): partial counting on the map side, and a shuffle that spreads
+even a single group over its values. Then the counts per bin locate the bins that hold the wanted
+positions, and only those bins are ordered. Both ordered steps handle few rows per group: the bins
+of a group, then the values of a bin. There is one way for all sizes, so a result never depends on
+how large some group is, and building a plan starts no job.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.ordered import HotKeys, hot_keys
-
 # Stays are counted in microseconds; one-hour bins keep both ordered steps short.
 HOUR_US = 3_600_000_000
 
@@ -26,11 +23,6 @@ def _positions(n: Column, q: float) -> tuple[Column, Column, Column]:
     return F.floor(at), F.ceil(at), at - F.floor(at)
 
 
-def large_groups(df: DataFrame, keys: Sequence[str]) -> HotKeys:
-    """Groups that need the distributed way, from one counting job."""
-    return hot_keys(df, keys)
-
-
 def aggregate_with_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,20 +31,16 @@ def aggregate_with_quantiles(
     quantiles: Mapping[str, float],
     unit: float = 1.0,
     bin_width: int = HOUR_US,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Aggregates per group with interpolated quantiles of an integer column, divided by ``unit``.
 
-    NULL values do not count; a group without any value has NULL quantiles.
+    NULL values do not count; a group without any value is there with NULL quantiles.
     """
-    hot = large_groups(df, keys) if hot is None else hot
-    if not hot:
-        within = [(F.percentile(value, F.lit(float(q))) / F.lit(float(unit))).alias(n) for n, q in quantiles.items()]
-        return df.groupBy(*keys).agg(*aggregates, *within)
     spread = distributed_quantiles(df, keys, value, quantiles, bin_width, unit)
-    if not aggregates:
+    if not keys and not aggregates:
         return spread
-    return attach_quantiles(df.groupBy(*keys).agg(*aggregates), spread, keys)
+    groups = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    return attach_quantiles(groups, spread, keys)
 
 
 def distributed_quantiles(

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from wardline.functions import exprs as X
 from wardline.operators.ordered import HotKeys, hot_keys, nearest_target
 
-# With more versions of a key than this, comparing a fact with each of them costs more than sorting.
-MANY_VERSIONS = 1000
-
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose key has no parent, a NULL key included."""
@@ -22,29 +19,24 @@ def existing_rows(target: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return target.join(wanted.select(key).distinct(), key, "left_semi")
 
 
-def temporal_join(
-    facts: DataFrame, dim: DataFrame, key: str, time_col: str, hot: HotKeys | None = None
-) -> DataFrame:
-    """Facts with the dimension version valid at their time (begun by then, not yet ended).
+def temporal_join(facts: DataFrame, dim: DataFrame, key: str, time_col: str) -> DataFrame:
+    """Facts with the dimension versions valid at their time (begun by then, not yet ended).
 
-    An equality on the key plus a residual range, which looks at every version of a fact's key.
-    Where a key has very many facts or versions, all facts instead take the last version begun by
-    their time, found in one ordered pass with hot keys cut into day slices; versions of a key do
-    not overlap, so it is the same one. ``hot`` forces that way.
+    A version stands once in every year it covers, clipped to the years of the facts, and facts
+    meet it by key and year; the exact range decides. That is the plain range join on any data,
+    overlapping versions included, but a key with very many facts or versions is dealt by years,
+    and large partitions of the join can be split.
     """
     at = F.col(time_col)
-    if hot is None:
-        hot = list({*hot_keys(facts, [key]), *hot_keys(dim, [key])})
-        if not hot and not hot_keys(dim, [key], min_rows=MANY_VERSIONS, most=1):
-            return facts.join(dim, key).where((F.col("valid_from") <= at) & (at < F.col("valid_to")))
-    attributes = [c for c in dim.columns if c != key]
-    probes = facts.where(F.col(key).isNotNull()).select(key, time_col, F.struct(*facts.columns).alias("_fact"))
-    found = nearest_target(probes, dim, [key], time_col, "valid_from", attributes, forward=False, hot=hot)
-    valid = F.col("hit.time").isNotNull() & (at < F.col("hit.valid_to"))
-    order = [key, *[c for c in facts.columns if c != key]]
-    return found.where(F.col("is_probe") & valid).select(
-        *[F.col(f"_fact.{c}").alias(c) for c in order], *[F.col(f"hit.{c}").alias(c) for c in attributes]
-    )
+    own = facts.where(F.col(key).isNotNull() & at.isNotNull())
+    first = own.agg(F.min(F.year(at))).scalar()
+    last = own.agg(F.max(F.year(at))).scalar()
+    low, high = F.greatest(F.year("valid_from"), first), F.least(F.year("valid_to"), last)
+    versions = dim.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    versions = versions.withColumn("_year", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    met = own.withColumn("_year", F.year(at)).join(versions, [key, "_year"])
+    met = met.where((F.col("valid_from") <= at) & (at < F.col("valid_to")))
+    return met.drop("_year")
 
 
 def readmitted_flag(
@@ -52,7 +44,8 @@ def readmitted_flag(
 ) -> DataFrame:
     """1 where another visit of the patient begins within ``days`` of the discharge, else 0.
 
-    Each discharge looks for the first admission at or after it.
+    Each discharge looks for the first admission at or after it. A visit without an admission time
+    is kept: its discharge looks on like any other.
     """
     columns = encounters.columns
     hot = hot_keys(encounters, ["patient_id"]) if hot is None else hot
@@ -67,7 +60,8 @@ def readmitted_flag(
         hit = (F.col("hit.time") <= X.shift("discharge_date", days=days)) & other
         return found.withColumn(name, F.coalesce(hit, F.lit(False)).cast("int"))
 
-    usual = flagged(encounters.where(out > F.col("admission_date")), encounters)
+    started = F.col("admission_date")
+    usual = flagged(encounters.where((out > started) | (started.isNull() & out.isNotNull())), encounters)
     usual = usual.where(F.col("is_probe") | out.isNull()).select(*columns, name)
 
     # A stay that ends before it begins (rule-breaking data) may find its own admission. Then the

@@ -10,7 +10,7 @@ from wardline.plans import clinical, dashboards as dash, lookups, marts, staging
 from wardline.registry import AS_OF, DEPARTMENT, PATIENT, register
 from wardline.sources import tables
 
-D30, D90 = lookups.since(30, AS_OF), lookups.since(90, AS_OF)
+D7, D30, D90 = lookups.since(7, AS_OF), lookups.since(30, AS_OF), lookups.since(90, AS_OF)
 
 
 def _int(s):
@@ -59,7 +59,7 @@ register("trailing_90d", lambda s: lookups.trailing(s.encounters, "admission_dat
 register("stg_patients", lambda s: staging.stg_patients(s.patients, s.as_of))
 register("stg_encounters", lambda s: staging.stg_encounters(s.encounters))
 register("patient_by_first_key", lambda s: lookups.patient_by_first_key(s.patients))
-register("los_values", lambda s: lookups.los_values(s.encounters, cap=5))
+register("los_values", lambda s: lookups.los_values(s.encounters, cap=30))
 register("los_values_department", lambda s: lookups.los_values(s.encounters, s.departments, DEPARTMENT))
 register("has_encounters", lambda s: lookups.has_encounters(s.encounters, PATIENT))
 register("int_patient_encounters", _int)
@@ -81,7 +81,7 @@ register("mv_department_performance",
 register("mv_patient_demographics", lambda s: marts.mv_patient_demographics(s.patients, s.as_of))
 register("mv_weekly_trends", lambda s: marts.mv_weekly_trends(s.encounters))
 register("mv_top_complaints", lambda s: marts.mv_top_complaints(s.encounters))
-register("mart_encounter_summary", lambda s: marts.mart_encounter_summary(_int(s), s.encounters))
+register("mart_encounter_summary", lambda s: marts.mart_encounter_summary(_int(s)))
 register("mart_patient_summary", lambda s: marts.mart_patient_summary(
     staging.staged_visits(s.encounters, s.departments, s.physicians), staging.staged_people(s.patients, s.as_of), s.as_of))
 register("type_breakdown", lambda s: marts.type_breakdown(s.encounters))
@@ -122,7 +122,7 @@ register("monthly_readmissions", lambda s: dash.monthly_readmissions(s.encounter
 register("los_baseline", lambda s: dash.los_baseline(s.departments, s.encounters))
 register("bench_current_patients", lambda s: dash.bench_current_patients(s.patients))
 register("bench_er_count", lambda s: dash.bench_er_count(s.encounters, s.departments))
-register("bench_bed_events", lambda s: dash.bench_bed_events(s.bed_events, D30))
+register("bench_bed_events", lambda s: dash.bench_bed_events(s.bed_events, D7))
 
 # Windows.
 register("readmissions", lambda s: clinical.readmissions(s.encounters, s.patients, s.departments))

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.ordered import hot_keys
-from wardline.operators.quantiles import aggregate_with_quantiles, large_groups
+from wardline.operators.quantiles import aggregate_with_quantiles
 
 
 def _by_type() -> list:
@@ -28,21 +27,14 @@ def type_breakdown(encounters: DataFrame) -> DataFrame:
     return encounters.groupBy(X.day("admission_date").alias("admission_day")).agg(*_by_type())
 
 
-def mart_encounter_summary(base: DataFrame, encounters: DataFrame | None = None) -> DataFrame:
-    """Week, month and weekday flag follow from the date and are added after grouping.
-
-    ``encounters`` is the fact behind ``base``: whether any day is large can be counted there
-    without the joins.
-    """
+def mart_encounter_summary(base: DataFrame) -> DataFrame:
+    """Week, month and weekday flag follow from the date and are added after grouping."""
     keys = ["encounter_date", "department_name", "admission_type", "patient_age_group", "insurance_category"]
     rows = base.select(
         X.day("admission_date").alias("encounter_date"), *keys[1:], "patient_key", "length_of_stay_days",
         X.los_us().alias("los_us"),
     )
-    days = (base if encounters is None else encounters).select(X.day("admission_date").alias("encounter_date"))
-    hot = large_groups(rows, keys) if hot_keys(days, ["encounter_date"]) else []
-    # In groups of ordinary size a set per group is cheaper than a second level of aggregation.
-    patients = F.countDistinct("patient_key") if hot else F.size(F.collect_set("patient_key")).cast("bigint")
+    patients = F.countDistinct("patient_key")
     emergency, scheduled, transfer = _by_type()
     groups = aggregate_with_quantiles(
         rows,
@@ -60,7 +52,6 @@ def mart_encounter_summary(base: DataFrame, encounters: DataFrame | None = None)
         F.col("los_us"),
         {"median_length_of_stay": 0.5},
         unit=X.US_PER_DAY,
-        hot=hot,
     )
     date = F.col("encounter_date")
     return groups.select(
@@ -284,7 +275,7 @@ def refresh_marts(spark, builders: dict, out: str) -> DataFrame:
             build().write.mode("overwrite").parquet(f"{out}/{name}")
             rows, ok, error = spark.read.parquet(f"{out}/{name}").count(), True, None
         except Exception as exc:  # noqa: BLE001 - the report is the point
-            rows, ok, error = None, False, str(exc)[:500]
+            rows, ok, error = None, False, str(exc)
         status.append((name, ok, rows, float(time.time() - started), error))
     return spark.createDataFrame(status, "name string, ok boolean, rows long, seconds double, error string")
 
