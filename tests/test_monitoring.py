@@ -108,6 +108,28 @@ def test_stream_without_input(spark, star):
     assert jobs.stream_error_rate(spark, source, new_folder(spark, "job")).count() == 0
 
 
+def test_stream_scd2_without_new_input_keeps_its_snapshot(spark, star):
+    feed = feeds.incoming_patients(star.patients, star.physicians)
+    late = feed.limit(2).withColumn("effective_at", F.lit("1990-01-01").cast("timestamp_ntz"))
+    bad = feed.limit(1).withColumn("effective_at", F.lit(None).cast("timestamp_ntz"))
+    nobody = feed.limit(1).withColumn("patient_id", F.lit(None).cast("string"))
+    source, folder = new_folder(spark, "feed"), new_folder(spark, "dim")
+    star.patients.write.parquet(jobs.snapshot(folder, 0))
+    feed.unionByName(late).unionByName(bad).unionByName(nobody).coalesce(1).write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(feed.schema).parquet(source)
+        return jobs.stream_scd2(stream, folder, "patient_id", feeds.TRACKED)
+
+    assert run() == 1
+    assert run() == 1
+    aside = jobs.read_set_aside(spark, folder, feed.schema)
+    assert sorted(r.reason for r in aside.collect()) == ["late", "late", "no key", "no time"]
+    got = spark.read.schema(schemas.DIM_PATIENTS).parquet(jobs.snapshot(folder, 1)).drop("patient_key")
+    want = scd2_merge(star.patients, feed, "patient_id", feeds.TRACKED).drop("patient_key")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_stream_scd2_in_two_batches(spark, star):
     feed = feeds.incoming_patients(star.patients, star.physicians)
     source, folder = new_folder(spark, "feed"), new_folder(spark, "dim")

@@ -128,16 +128,26 @@ def late_changes(dim: DataFrame, source: DataFrame, key: str, eff: str = "effect
     return _with_current(dim, source, key, eff).where(_is_late(eff)).select(*source.columns)
 
 
+def set_aside(dim: DataFrame, source: DataFrame, key: str, eff: str = "effective_at") -> DataFrame:
+    """Source rows that the merge does not apply, with the ``reason``: no key, no time, or late."""
+    unusable = F.col(key).isNull() | F.col(eff).isNull()
+    bad = source.where(unusable).withColumn("reason", F.when(F.col(key).isNull(), "no key").otherwise("no time"))
+    late = late_changes(dim, source.where(~unusable), key, eff).withColumn("reason", F.lit("late"))
+    return bad.unionByName(late)
+
+
 def scd2_changes(
     dim: DataFrame, source: DataFrame, key: str, tracked: Sequence[str], eff: str = "effective_at", hot: HotKeys | None = None
 ) -> DataFrame:
     """Source rows that open a new version, with the version's number and validity.
 
     Several changes of a key in one batch apply in the order of their time; each is compared
-    with the one before it, the first with the current version. Comparison is null-safe.
+    with the one before it, the first with the current version. Comparison is null-safe. Rows
+    without a key or a time open nothing; ``set_aside`` lists them.
     """
     hot = hot_keys(source, [key]) if hot is None else hot
-    rows = _with_current(dim, source, key, eff).where(~_is_late(eff))
+    usable = source.where(F.col(key).isNotNull() & F.col(eff).isNotNull())
+    rows = _with_current(dim, usable, key, eff).where(~_is_late(eff))
     seq = ordered_rows(rows, [key], [eff], previous=list(tracked), running={"_seq": F.lit(1)}, hot=hot)
     known = F.col("cur_record_version").isNotNull()
 

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.operators.history import scd2_merge
+from wardline.operators.history import scd2_merge, set_aside
 from wardline.sources import schemas
 from wardline.sources.star import request_log
-from wardline.sources.tables import latest_per_key
+from wardline.sources.tables import latest_per_key, materialize
 from wardline.streaming import monitor
 
 
@@ -83,21 +84,36 @@ def snapshot(folder: str, number: int) -> str:
     return f"{folder}/snapshot={number}"
 
 
+def committed_batches(spark: SparkSession, checkpoint: str) -> int:
+    """How many batches a stream has committed: its commit log holds a file per batch, named by number."""
+    try:
+        commits = spark.read.format("binaryFile").load(f"{checkpoint}/commits")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0  # nothing has been committed yet
+    number = F.regexp_extract("path", r"/(\d+)$", 1).try_cast("int")
+    return commits.select(F.max(number)).first()[0] + 1 if not commits.isEmpty() else 0
+
+
 def stream_scd2(
     source: DataFrame, folder: str, key: str, tracked: Sequence[str], schema=schemas.DIM_PATIENTS, surrogate: str = "patient_key"
 ) -> int:
     """Merges a stream of changes into a dimension; returns the number of its newest snapshot.
 
     ``snapshot=0`` below ``folder`` is the starting dimension. Batch n reads snapshot n and
-    writes snapshot n + 1.
+    writes snapshot n + 1. Rows that the merge sets aside (late, without key or time) go to
+    ``set_aside/batch=n``, so no change vanishes. A run without new input finds the snapshot of
+    the last committed batch.
     """
-    newest = [0]
+    spark = source.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         dim = batch.sparkSession.read.schema(schema).parquet(snapshot(folder, batch_id))
+        batch = materialize(batch, "scd2-batch")
+        set_aside(dim, batch, key).write.mode("overwrite").parquet(f"{folder}/set_aside/batch={batch_id}")
         merged = scd2_merge(dim, batch, key, tracked, surrogate)
         merged.write.mode("overwrite").parquet(snapshot(folder, batch_id + 1))
-        newest[0] = batch_id + 1
 
     query = (
         source.writeStream.foreachBatch(merge)
@@ -108,4 +124,14 @@ def stream_scd2(
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return newest[0]
+    return committed_batches(spark, f"{folder}/checkpoint")
+
+
+def read_set_aside(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """All changes that the stream's merges have set aside so far, with the batch and the reason."""
+    try:
+        return spark.read.parquet(f"{folder}/set_aside")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
