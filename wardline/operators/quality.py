@@ -6,13 +6,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
 from wardline.operators.history import version_pairs
 from wardline.operators.relations import orphans
-from wardline.sources.tables import run_sql
+from wardline.sources.tables import materialize, run_sql
 
 Tables = Mapping[str, DataFrame]
 SAMPLES = 5
@@ -203,28 +203,41 @@ def row_violations(df: DataFrame, key: str, rules: Mapping[str, Column]) -> Data
     return df.select(key, F.explode(broken).alias("rule"))
 
 
-# --- running ------------------------------------------------------------------------------------
+NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
-def _run(rule: Rule, tables: Tables, as_of: str) -> DataFrame:
-    """Count and the smallest violating keys: a partial count and a distributed top-k."""
-    bad = rule.build(tables, as_of)
-    key = bad.columns[0]
-    count = bad.agg(F.count("*").alias("failure_count"))
-    first = bad.orderBy(key).limit(SAMPLES)
-    samples = first.agg(F.sort_array(F.collect_list(F.col(key))).cast("array<string>")).scalar()
-    return count.select(
-        F.lit(rule.name).alias("test_name"),
-        (F.col("failure_count") == 0).alias("passed"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.description).alias("description"),
-        "failure_count",
-        samples.alias("failed_records"),
-    )
+# --- running ------------------------------------------------------------------------------------
 
 
 def run_rules(tables: Tables, as_of: str, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_run(r, tables, as_of) for r in rules])
+    """Per rule the number of violations and the smallest violating keys.
+
+    Every rule's violations are found once, in one job over all rules, and staged as (rule, key);
+    counts and samples are read from there.
+    """
+    found, kinds = [], []
+    for i, rule in enumerate(rules):
+        bad = rule.build(tables, as_of)
+        key = F.col(bad.columns[0])
+        kinds.append(bad.schema[0].dataType.simpleString())
+        number = key.cast("bigint") if kinds[-1] in NUMBERS else F.lit(None).cast("bigint")
+        found.append(bad.select(F.lit(i).alias("rule"), number.alias("number"), key.cast("string").alias("key")))
+    spark = found[0].sparkSession
+    broken = materialize(reduce(DataFrame.unionByName, found), "violations")
+    counts = broken.groupBy("rule").agg(F.count("*").alias("failure_count"))
+    order = Window.partitionBy("rule").orderBy(F.col("number").asc_nulls_last(), F.col("key").asc_nulls_last())
+    first = broken.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLES)
+    samples = first.groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "key"))), lambda x: x["key"]).alias("failed_records"))
+    named = spark.createDataFrame(
+        [(i, r.name, r.severity, r.description) for i, r in enumerate(rules)],
+        "rule int, test_name string, severity string, description string",
+    )
+    out = named.join(counts, "rule", "left").join(samples, "rule", "left")
+    count = F.coalesce("failure_count", F.lit(0))
+    return out.select(
+        "test_name", (count == 0).alias("passed"), "severity", "description", count.alias("failure_count"),
+        F.coalesce("failed_records", F.array().cast("array<string>")).alias("failed_records"),
+    )
 
 
 def summarize(report: DataFrame) -> DataFrame:
