@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from oracle.base import AS_OF, age, bucket, mean_days, quantile_days, rnd, with_star
 from oracle.reports import EXTRA, SQL as REPORTS
 from wardline.functions import exprs as X
@@ -152,10 +154,13 @@ q("stream_scd2", "SELECT * FROM merged")
 q("scd2_update", f"""SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN TIMESTAMP '2001-10-01' ELSE valid_to END AS valid_to,
       CASE WHEN hit THEN TIMESTAMP '2001-10-01' ELSE updated_at END AS updated_at, is_current AND NOT hit AS is_current)
       FROM (SELECT *, is_current AND patient_id = '{PATIENT}' AS hit FROM dim_patients)
-    UNION ALL SELECT * REPLACE ((SELECT max(patient_key) FROM dim_patients) + 1 AS patient_key, '456 New Street' AS address,
-      'Boston' AS city, 'MA' AS state, '02101' AS zip_code, TIMESTAMP '2001-10-01' AS valid_from,
+    UNION ALL SELECT * REPLACE ((SELECT max(patient_key) FROM dim_patients) + 1 AS patient_key, '9 Mill Lane' AS address,
+      'Tulsa' AS city, 'OK' AS state, '74103' AS zip_code, TIMESTAMP '2001-10-01' AS valid_from,
       (record_version + 1)::INT AS record_version, TIMESTAMP '2001-10-01' AS created_at, TIMESTAMP '2001-10-01' AS updated_at)
       FROM dim_patients WHERE is_current AND patient_id = '{PATIENT}'""")
+q("stream_scd2_set_aside", """SELECT f.patient_id, f.effective_at - INTERVAL 3 YEAR AS effective_at, 'late' AS reason
+    FROM feed f JOIN dim_patients p ON p.patient_id = f.patient_id AND p.is_current
+    WHERE f.effective_at - INTERVAL 3 YEAR <= p.valid_from""")
 q("late_changes", """SELECT f.* REPLACE (f.effective_at - INTERVAL 3 YEAR AS effective_at) FROM feed f JOIN dim_patients p
     ON p.patient_id = f.patient_id AND p.is_current WHERE f.effective_at - INTERVAL 3 YEAR <= p.valid_from""")
 q("detect_changes", "SELECT * FROM labelled")
@@ -217,6 +222,29 @@ def _report(name: str, severity: str, description: str, sql: str) -> str:
 
 _ALL = " UNION ALL ".join(_report(r.name, r.severity, r.description, _RULE_SQL[r.build.__name__]) for r in RULES)
 q("dq_run_rules", _ALL)
+
+# The same rules over tables with planted defects.
+_PLANTED = {
+    "dim_patients": """(SELECT * REPLACE (CASE WHEN patient_key % 89 <> 0 THEN first_name END AS first_name,
+        is_current OR patient_key % 3 = 0 AS is_current,
+        CASE WHEN patient_key % 67 = 0 THEN TIMESTAMP '2000-01-01' ELSE valid_to END AS valid_to) FROM dim_patients)""",
+    "fact_encounters": """(SELECT * REPLACE (CASE WHEN encounter_key % 89 = 0 THEN -1 ELSE patient_key END AS patient_key,
+        CASE WHEN encounter_key % 97 = 0 THEN -1 ELSE department_key END AS department_key,
+        CASE WHEN encounter_key % 83 = 0 THEN admission_date ELSE discharge_date END AS discharge_date) FROM fact_encounters)""",
+    "fact_bed_events": """(SELECT * REPLACE (CASE WHEN bed_event_key % 101 = 0 THEN -1 ELSE encounter_key END AS encounter_key,
+        CASE WHEN bed_event_key % 79 = 0 THEN 0 ELSE bed_number END AS bed_number) FROM fact_bed_events)""",
+    "dim_physicians": "(SELECT * FROM dim_physicians WHERE department_key <> 1)",
+}
+
+
+def _planted(sql: str) -> str:
+    return re.sub(r"\b(" + "|".join(_PLANTED) + r")\b", lambda m: _PLANTED[m[1]], sql)
+
+
+for _name, _sql in _RULE_SQL.items():
+    q(f"dq_planted_{_name}", _planted(_sql))
+q("dq_planted_run_rules", " UNION ALL ".join(
+    _report(r.name, r.severity, r.description, _planted(_RULE_SQL[r.build.__name__])) for r in RULES))
 q("dq_summary", f"""SELECT count(*) AS total_tests, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed,
     count(*) FILTER (WHERE NOT ok AND severity = 'error') AS errors,
     count(*) FILTER (WHERE NOT ok AND severity = 'warning') AS warnings,
@@ -333,6 +361,13 @@ q("feature_preparation", """SELECT encounter_key, age::DOUBLE AS age, length_of_
     (dense_rank() OVER (ORDER BY department_name) - 1)::DOUBLE AS department_encoded, 2::BIGINT AS diagnosis_severity,
     (dense_rank() OVER (ORDER BY insurance_type) - 1)::DOUBLE AS insurance_encoded, hour(admission_date) AS admission_hour
     FROM training""")
+q("feature_preparation_with_gaps", """SELECT encounter_key,
+    CASE WHEN encounter_key % 89 <> 0 THEN age::DOUBLE
+      ELSE (SELECT quantile_cont(age, 0.5) FROM training WHERE encounter_key % 89 <> 0) END AS age,
+    length_of_stay, num_previous_visits,
+    (dense_rank() OVER (ORDER BY department_name) - 1)::DOUBLE AS department_encoded, 2::BIGINT AS diagnosis_severity,
+    (dense_rank() OVER (ORDER BY insurance_type) - 1)::DOUBLE AS insurance_encoded, hour(admission_date) AS admission_hour
+    FROM training""")
 q("severity_by_category", """SELECT encounter_key, CASE chief_complaint WHEN 'Chest pain' THEN 'Cardiac'
       WHEN 'Shortness of breath' THEN 'Respiratory' WHEN 'Fever' THEN 'Infectious Disease' WHEN 'Back pain' THEN 'Orthopedic'
       WHEN 'Injury/Trauma' THEN 'Trauma' ELSE 'General' END AS diagnosis_category,
@@ -343,6 +378,13 @@ q("split_plain", f"""SELECT encounter_key, readmitted_30d, row_number() OVER (OR
     FROM training, (SELECT count(*) AS n FROM training)""")
 q("split_stratified", f"""SELECT encounter_key, readmitted_30d, row_number() OVER (PARTITION BY readmitted_30d ORDER BY {_HASH})
     <= greatest(floor(count(*) OVER (PARTITION BY readmitted_30d) * 0.8e0), 1) AS is_train FROM training""")
+_SPLIT = f"""SELECT readmitted_30d, row_number() OVER (PARTITION BY readmitted_30d ORDER BY {_HASH})
+    <= greatest(floor(count(*) OVER (PARTITION BY readmitted_30d) * 0.8e0), 1) AS is_train FROM training"""
+q("readmission_model_split", f"""SELECT readmitted_30d, count(*) AS rows, CASE WHEN is_train THEN 'train' ELSE 'test' END AS part
+    FROM ({_SPLIT}) GROUP BY ALL""")
+q("readmission_model_saved", """SELECT count(*) AS scored, 0::BIGINT AS changed, 0::BIGINT AS wrong_bands,
+    0::BIGINT AS out_of_range FROM asks""")
+q("los_model_spread", "SELECT count(*) AS scored, 0::BIGINT AS out_of_order, 0::BIGINT AS mean_is_not_prediction FROM asks")
 q("risk_score", f"""SELECT encounter_key, risk_score,
     CASE WHEN risk_score >= 70 THEN '{risk.RISK_LEVELS[0][1]}' WHEN risk_score >= 40 THEN '{risk.RISK_LEVELS[1][1]}'
          ELSE '{risk.RISK_LEVELS[2][1]}' END AS risk_level,

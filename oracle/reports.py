@@ -9,7 +9,7 @@ from oracle.base import (
 from wardline.functions import exprs as X
 from wardline.plans.lookups import since
 
-D30, D90 = since(30, AS_OF), since(90, AS_OF)
+D7, D30, D90 = since(7, AS_OF), since(30, AS_OF), since(90, AS_OF)
 PATIENT = "Customer#000000025"
 ER = "Emergency Department"
 SQL: dict[str, str] = {}
@@ -106,7 +106,7 @@ q("stg_patients", "SELECT * EXCLUDE (is_current) FROM stg_p WHERE is_current")
 q("stg_encounters", "SELECT * EXCLUDE (los_us) FROM stg_e")
 q("patient_by_first_key", f"""SELECT {_CARD} FROM dim_patients
     WHERE is_current AND patient_id = (SELECT patient_id FROM dim_patients ORDER BY patient_id LIMIT 1)""")
-q("los_values", "SELECT encounter_key, los AS los_days FROM fact_encounters WHERE los <= 5")
+q("los_values", "SELECT encounter_key, los AS los_days FROM fact_encounters WHERE los <= 30")
 q("los_values_department", f"SELECT encounter_key, los AS los_days FROM stays WHERE los <= 30 AND department_name = '{ER}'")
 q("has_encounters", f"SELECT EXISTS (SELECT 1 FROM fact_encounters WHERE patient_id = '{PATIENT}') AS has_encounters")
 q("int_patient_encounters", "SELECT * EXCLUDE (los_us) FROM int_pe")
@@ -344,7 +344,7 @@ q("los_baseline", f"""SELECT department_name, {mean_days()} AS avg_los, {quantil
 q("bench_current_patients", "SELECT * FROM dim_patients WHERE is_current ORDER BY patient_key LIMIT 100")
 q("bench_er_count", f"SELECT count(*) AS er_encounters FROM stays WHERE department_name = '{ER}'")
 q("bench_bed_events", f"""SELECT department_key, count(*) AS events FROM fact_bed_events
-    WHERE event_timestamp > TIMESTAMP '{D30}' GROUP BY 1""")
+    WHERE event_timestamp > TIMESTAMP '{D7}' GROUP BY 1""")
 
 
 def _readm(extra: str) -> str:

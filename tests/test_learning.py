@@ -71,7 +71,8 @@ def test_los_model_spread(parts, asks):
 def test_missing_age_takes_the_training_median(spark):
     rows = [(i, age, "Medical", "Private", "General", 0, 1.0) for i, age in enumerate([10, 20, 60])]
     schema = "encounter_key int, age int, department_name string, insurance_type string, diagnosis_category string, num_previous_visits int, length_of_stay double"
-    fitted = ml.feature_pipeline("readmission").fit(ml.prepare(spark.createDataFrame(rows, schema)))
+    known = ml.prepare(spark.createDataFrame(rows, schema))
+    fitted = ml.feature_pipeline("readmission", known).fit(known)
     new = spark.createDataFrame([(9, None, "General", None, "Cardiac", -3, None)], schema)
     got = fitted.transform(ml.prepare(new)).first()
     assert (got.age_filled, got.department_encoded, got.insurance_encoded) == (20.0, 1.0, 1.0)
@@ -88,3 +89,9 @@ def test_risk_score_bounds(spark):
     assert got == [(100, "HIGH RISK"), (70, "HIGH RISK"), (0, "LOW RISK"), (50, "MODERATE RISK")]
     factors = risk.risk_score(df).first().factors
     assert factors[0] == "Age 80 (senior population)" and len(factors) == 6
+
+
+def test_the_median_is_exact(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", "age")
+    assert ml.median_age(rows) == 49_999.5
+    assert ml.median_age(rows.limit(0)) == 0.0

@@ -64,7 +64,7 @@ register("scd2_changes", lambda s: history.scd2_changes(s.patients, _feed(s), "p
     "patient_id", "record_version", "valid_from", "valid_to", "is_current", *feeds.TRACKED))
 register("scd2_merge", _merge)
 register("scd2_update", lambda s: history.scd2_update(
-    s.patients, PATIENT, {"address": "456 New Street", "city": "Boston", "state": "MA", "zip_code": "02101"},
+    s.patients, PATIENT, {"address": "9 Mill Lane", "city": "Tulsa", "state": "OK", "zip_code": "74103"},
     "2001-10-01 00:00:00"))
 register("late_changes", lambda s: history.late_changes(
     s.patients, _feed(s).withColumn("effective_at", X.shift("effective_at", years=-3)), "patient_id"))
@@ -162,6 +162,33 @@ def _user_rule(s) -> DataFrame:
 
 register("dq_user_rules", _user_rule)
 
+
+def _planted(s) -> dict[str, DataFrame]:
+    """The star with defects at keys of a fixed stride, so that every rule has something to find."""
+    t = dict(s.tables)
+    p, e, b = F.col("patient_key"), F.col("encounter_key"), F.col("bed_event_key")
+    t["dim_patients"] = t["dim_patients"].withColumns({
+        "first_name": F.when(p % 89 != 0, F.col("first_name")),
+        "is_current": F.col("is_current") | (p % 3 == 0),
+        "valid_to": F.when(p % 67 == 0, X.ts("2000-01-01 00:00:00")).otherwise(F.col("valid_to")),
+    })
+    t["fact_encounters"] = t["fact_encounters"].withColumns({
+        "patient_key": F.when(e % 89 == 0, F.lit(-1)).otherwise(F.col("patient_key")),
+        "department_key": F.when(e % 97 == 0, F.lit(-1)).otherwise(F.col("department_key")),
+        "discharge_date": F.when(e % 83 == 0, F.col("admission_date")).otherwise(F.col("discharge_date")),
+    })
+    t["fact_bed_events"] = t["fact_bed_events"].withColumns({
+        "encounter_key": F.when(b % 101 == 0, F.lit(-1)).otherwise(F.col("encounter_key")),
+        "bed_number": F.when(b % 79 == 0, F.lit(0)).otherwise(F.col("bed_number")),
+    })
+    t["dim_physicians"] = t["dim_physicians"].where("department_key <> 1")
+    return t
+
+
+for _rule in quality.RULES:
+    register(f"dq_planted_{_rule.build.__name__}", lambda s, r=_rule: r.build(_planted(s), s.as_of))
+register("dq_planted_run_rules", lambda s: quality.run_rules(_planted(s), s.as_of))
+
 # --- monitoring ---------------------------------------------------------------------------------
 
 register("freshness", lambda s: monitor.freshness(s.encounters, s.as_of))
@@ -194,15 +221,28 @@ register("stream_sustained", _stream(jobs.stream_sustained, k=2))
 
 
 def _stream_scd2(s) -> DataFrame:
-    folder, feed = new_folder(s.spark, "scd2"), _feed(s)
+    folder, newest, _ = _streamed(s, _feed(s))
+    return s.spark.read.parquet(jobs.snapshot(folder, newest))
+
+
+def _stream_scd2_set_aside(s) -> DataFrame:
+    """The feed three years early: what the stream's merge could not apply, with the reason."""
+    folder, _, feed = _streamed(s, _feed(s).withColumn("effective_at", X.shift("effective_at", years=-3)))
+    return jobs.read_set_aside(s.spark, folder, feed.schema).select("patient_id", "effective_at", "reason")
+
+
+def _streamed(s, feed: DataFrame) -> tuple[str, int, DataFrame]:
+    folder = new_folder(s.spark, "scd2")
     s.patients.write.parquet(jobs.snapshot(folder, 0))
     feed.write.parquet(f"{folder}/feed")
     source = s.spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
-    newest = jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED)
-    return s.spark.read.parquet(jobs.snapshot(folder, newest))
+    jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED)
+    # A second run without new input has to find the same snapshot.
+    return folder, jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED), feed
 
 
 register("stream_scd2", _stream_scd2)
+register("stream_scd2_set_aside", _stream_scd2_set_aside)
 
 # --- models -------------------------------------------------------------------------------------
 
@@ -221,13 +261,22 @@ def _parts(s, label: str | None) -> tuple[DataFrame, DataFrame]:
 
 
 def _features(s) -> DataFrame:
-    rows = ml.prepare(_training(s))
-    out = ml.feature_pipeline("readmission").fit(rows).transform(rows)
+    return _encoded(ml.prepare(_training(s)))
+
+
+def _encoded(rows: DataFrame) -> DataFrame:
+    out = ml.feature_pipeline("readmission", rows).fit(rows).transform(rows)
     return out.select(
         "encounter_key", F.col("age_filled").alias("age"), "length_of_stay", "num_previous_visits", "department_encoded",
         "diagnosis_severity", "insurance_encoded", "admission_hour")
 
 
+def _features_with_gaps(s) -> DataFrame:
+    """Every 89th age is taken away and filled with the median of the others."""
+    rows = ml.prepare(_training(s))
+    return _encoded(rows.withColumn("age", F.when(F.col("encounter_key") % 89 != 0, F.col("age"))))
+
+
 def _metrics(s, values: dict[str, float], **frames: DataFrame) -> DataFrame:
     return s.spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
 
@@ -263,6 +312,7 @@ def _los_scores(s) -> DataFrame:
 register("training_set", _training)
 register("training_summary", lambda s: ml.readmission_rate(_training(s)))
 register("feature_preparation", _features)
+register("feature_preparation_with_gaps", _features_with_gaps)
 register("severity_by_category", lambda s: ml.training_set(
     s.encounters, s.patients, s.departments, s.as_of,
     {"Chest pain": "Cardiac", "Shortness of breath": "Respiratory", "Fever": "Infectious Disease", "Back pain": "Orthopedic",
@@ -285,6 +335,46 @@ register("readmission_model_scores", _readmission_scores)
 register("los_model_metrics", _los_metrics)
 register("los_model_importances", lambda s: ml.importances(ml.train_los(_parts(s, None)[0]), "los"))
 register("los_model_scores", _los_scores)
+
+
+def _model_split(s) -> DataFrame:
+    """Training and test rows per class, as the models see them."""
+    train, test = _parts(s, "readmitted_30d")
+    counts = [x.groupBy("readmitted_30d").agg(F.count("*").alias("rows")).withColumn("part", F.lit(n)) for n, x in (("train", train), ("test", test))]
+    return counts[0].unionByName(counts[1])
+
+
+def _saved_readmission_model(s) -> DataFrame:
+    """Scored requests, how many scores change when the model is saved and loaded, and wrong bands."""
+    path, asks = new_folder(s.spark, "model"), risk.requests_to_features(_requests(s), "readmission")
+    model = ml.train_readmission(_parts(s, "readmitted_30d")[0])
+    ml.save(model, path)
+    one = ml.score_readmission(model, asks)
+    two = ml.score_readmission(ml.load(path), asks).select("encounter_key", F.col("probability_readmitted").alias("again"))
+    band = F.when(F.col("risk_score") >= 70, "High Risk").when(F.col("risk_score") >= 40, "Medium Risk").otherwise("Low Risk")
+    return one.join(two, "encounter_key").agg(
+        F.count("*").alias("scored"),
+        X.count_where(~F.col("probability_readmitted").eqNullSafe(F.col("again"))).alias("changed"),
+        X.count_where(F.col("risk_band") != band).alias("wrong_bands"),
+        X.count_where((F.col("risk_score") < 0) | (F.col("risk_score") > 100)).alias("out_of_range"),
+    )
+
+
+def _los_model_spread(s) -> DataFrame:
+    """Whether the mean over the trees is the forest's prediction, and the bounds are in order."""
+    model = ml.train_los(_parts(s, None)[0])
+    asks = risk.requests_to_features(_requests(s), "los")
+    spread = ml.tree_spread(model.stages[-1], model.transform(ml.prepare(asks)))
+    bounds = ml.score_los(model, asks)
+    apart = spread.agg(X.count_where(F.abs(F.col("tree_mean") - F.col("prediction")) > 1e-9).alias("mean_is_not_prediction"))
+    order = (F.col("lower_bound") > F.col("predicted_los")) | (F.col("upper_bound") < F.col("predicted_los"))
+    return bounds.agg(F.count("*").alias("scored"), X.count_where(order).alias("out_of_order")).withColumn(
+        "mean_is_not_prediction", apart.scalar())
+
+
+register("readmission_model_split", _model_split)
+register("readmission_model_saved", _saved_readmission_model)
+register("los_model_spread", _los_model_spread)
 register("risk_score", lambda s: risk.risk_score(_requests(s)).select(
     "encounter_key", "risk_score", "risk_level", "recommendation", F.array_join("factors", "; ").alias("factors")))
 register("los_forecast", lambda s: risk.los_forecast(

@@ -280,28 +280,13 @@ def trailing_7d_visits(encounters: DataFrame, hot: HotKeys | None = None) -> Dat
 
 
 def recursive_month_calendar(encounters: DataFrame) -> DataFrame:
-    """Every month between the first and last admission by a recursive query, with its visits.
+    """Every month between the first and last admission, months without a visit included.
 
-    One recursion level per month of history; the fact is aggregated before it is joined.
+    The months of any span come from one sequence, without a loop; the fact is aggregated before it
+    is joined.
     """
-    spark = encounters.sparkSession
-    encounters.createOrReplaceTempView("wardline_calendar_encounters")
-    return spark.sql(
-        """
-        WITH RECURSIVE span AS (
-            SELECT CAST(trunc(min(admission_date), 'MM') AS DATE) AS lo, CAST(trunc(max(admission_date), 'MM') AS DATE) AS hi
-            FROM wardline_calendar_encounters
-        ),
-        months(month_start, hi) MAX RECURSION LEVEL 6000 AS (
-            SELECT lo, hi FROM span
-            UNION ALL
-            SELECT add_months(month_start, 1), hi FROM months WHERE month_start < hi
-        ),
-        visits AS (
-            SELECT CAST(trunc(admission_date, 'MM') AS DATE) AS month_start, count(*) AS n
-            FROM wardline_calendar_encounters GROUP BY 1
-        )
-        SELECT m.month_start, coalesce(v.n, 0) AS admissions
-        FROM months m LEFT JOIN visits v ON v.month_start = m.month_start
-        """
-    )
+    month = F.trunc("admission_date", "MM").cast("date")
+    visits = encounters.where(F.col("admission_date").isNotNull()).groupBy(month.alias("month_start")).agg(F.count("*").alias("n"))
+    span = visits.agg(F.min("month_start").alias("lo"), F.max("month_start").alias("hi")).where("lo IS NOT NULL")
+    months = span.select(F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("month_start"))
+    return months.join(visits, "month_start", "left").select("month_start", F.coalesce("n", F.lit(0)).alias("admissions"))

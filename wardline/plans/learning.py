@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
 from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows
-from wardline.operators.quantiles import value_at_share
+from wardline.operators.quantiles import aggregate_with_quantiles, value_at_share
 from wardline.operators.relations import readmitted_flag
 
 # Features in model order, forest settings, limits.
@@ -77,8 +77,14 @@ def prepare(df: DataFrame) -> DataFrame:
     return out.withColumn("admission_hour", hour)
 
 
-def feature_pipeline(kind: str) -> Pipeline:
-    """Label encoding in alphabetical order, median age for a missing one, feature vector.
+def median_age(rows: DataFrame) -> float:
+    """The exact median of the known ages, 0 if there are none."""
+    found = aggregate_with_quantiles(rows, [], [], F.col("age"), {"median": 0.5}, bin_width=10).first()
+    return float(found["median"]) if found and found["median"] is not None else 0.0
+
+
+def feature_pipeline(kind: str, rows: DataFrame) -> Pipeline:
+    """Label encoding in alphabetical order, median age of ``rows`` for a missing one, feature vector.
 
     A label that training has not seen gets an index of its own; the median is the training one.
     """
@@ -87,7 +93,8 @@ def feature_pipeline(kind: str) -> Pipeline:
         StringIndexer(inputCol=src, outputCol=dst, stringOrderType="alphabetAsc", handleInvalid="keep")
         for src, dst in (("department_name", "department_encoded"), ("insurance_type", "insurance_encoded"))
     ]
-    impute = Imputer(strategy="median", inputCols=["age"], outputCols=["age_filled"])
+    fill = f"SELECT *, coalesce(CAST(age AS DOUBLE), CAST('{median_age(rows)!r}' AS DOUBLE)) AS age_filled FROM __THIS__"
+    impute = SQLTransformer(statement=fill)
     inputs = ["age_filled" if f == "age" else f for f in features]
     return Pipeline(stages=[*encode, impute, VectorAssembler(inputCols=inputs, outputCol="features")])
 
@@ -109,7 +116,7 @@ def split(df: DataFrame, key: str = "encounter_key", label: str | None = None, s
     rows = df.withColumn("_hash", key_hash(key))
     cut = value_at_share(rows, keys, F.col("_hash"), share, "_cut", bin_width=1 << 42)
     if label:
-        rows = rows.join(F.broadcast(cut), label)  # one row per class
+        rows = rows.join(cut, label)
     else:
         rows = rows.withColumn("_cut", cut.scalar())
     return rows.withColumn("is_train", F.col("_hash") <= F.col("_cut")).drop("_hash", "_cut")
@@ -123,8 +130,8 @@ def train_readmission(train: DataFrame, trees: int = TREES) -> PipelineModel:
         labelCol="readmitted_30d", featuresCol="features", numTrees=trees, maxDepth=READMISSION_DEPTH,
         minInstancesPerNode=MIN_LEAF, seed=SEED,
     )
-    stages = [*feature_pipeline("readmission").getStages(), forest]
-    return Pipeline(stages=stages).fit(prepare(train))
+    rows = prepare(train)
+    return Pipeline(stages=[*feature_pipeline("readmission", rows).getStages(), forest]).fit(rows)
 
 
 def train_los(train: DataFrame, trees: int = TREES) -> PipelineModel:
@@ -132,7 +139,7 @@ def train_los(train: DataFrame, trees: int = TREES) -> PipelineModel:
         labelCol="target", featuresCol="features", numTrees=trees, maxDepth=LOS_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED
     )
     rows = prepare(train).withColumn("target", X.clip("length_of_stay", 0.0, LOS_CAP))
-    return Pipeline(stages=[*feature_pipeline("los").getStages(), forest]).fit(rows)
+    return Pipeline(stages=[*feature_pipeline("los", rows).getStages(), forest]).fit(rows)
 
 
 def importances(model: PipelineModel, kind: str) -> DataFrame:

@@ -20,7 +20,7 @@ from wardline.sources import schemas
 from wardline.sources.reference import COMPLAINTS, DEPARTMENTS, reference_data
 
 OPEN_END = "9999-12-31 23:59:59"
-AS_OF = "2001-09-01"
+AS_OF = "2001-08-02"
 EVENTS_AS_OF = "2024-01-31"
 EPOCH = "1990-01-01 00:00:00"
 
