@@ -71,18 +71,25 @@ class Permutation:
         return out.astype(np.int64)
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Ids in little-endian unsigned 16 bits, low and high bytes apart, compressed for the way between tasks."""
-    import zstandard
+def _codec() -> tuple:
+    """The worker's zstd coder and decoder."""
+    if not _CODEC:
+        import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+        _CODEC.extend((zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress))
+    return tuple(_CODEC)
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    import zstandard
+_CODEC: list = []
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, -1)
-    return np.ascontiguousarray(planes.T).view("<u2").ravel()
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids in little-endian unsigned 16 bits, compressed for the way between tasks."""
+    return _codec()[0](ids.astype("<u2").tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(_codec()[1](blob), "<u2")
 
 
 def token_stream(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -136,6 +143,9 @@ def fragments(stream: DataFrame, begins: dict[int, int], permute: Permutation, l
                 low, high = np.maximum(begin[doc], sequence * length), np.minimum(end[doc], (sequence + 1) * length)
                 blobs, at = [], -1
                 for d, a, b in zip(doc, low, high) if with_ids else ():
+                    if a == begin[d] and b == end[d]:  # not cut
+                        blobs.append(piece.column("ids")[int(d)].as_py())
+                        continue
                     if d != at:
                         at, ids = d, _unpacked(piece.column("ids")[int(d)].as_py())
                     blobs.append(_packed(ids[a - begin[d] : b - begin[d]]))
