@@ -223,6 +223,9 @@ def _report(name: str, severity: str, description: str, sql: str) -> str:
 _ALL = " UNION ALL ".join(_report(r.name, r.severity, r.description, _RULE_SQL[r.build.__name__]) for r in RULES)
 q("dq_run_rules", _ALL)
 
+q("loads_by_status", """SELECT table_name, CASE WHEN records_loaded > 0 THEN 'loaded' ELSE 'empty' END AS status,
+    count(*) AS total FROM load_history GROUP BY ALL""")
+
 # The same rules over tables with planted defects.
 _PLANTED = {
     "dim_patients": """(SELECT * REPLACE (CASE WHEN patient_key % 89 <> 0 THEN first_name END AS first_name,
@@ -243,8 +246,10 @@ def _planted(sql: str) -> str:
 
 for _name, _sql in _RULE_SQL.items():
     q(f"dq_planted_{_name}", _planted(_sql))
-q("dq_planted_run_rules", " UNION ALL ".join(
-    _report(r.name, r.severity, r.description, _planted(_RULE_SQL[r.build.__name__])) for r in RULES))
+_ALL_PLANTED = " UNION ALL ".join(
+    _report(r.name, r.severity, r.description, _planted(_RULE_SQL[r.build.__name__])) for r in RULES)
+q("dq_planted_run_rules", _ALL_PLANTED)
+q("quality_checks_by_check", f"SELECT test_name, passed, count(*) AS total FROM ({_ALL_PLANTED}) GROUP BY 1, 2")
 q("dq_summary", f"""SELECT count(*) AS total_tests, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed,
     count(*) FILTER (WHERE NOT ok AND severity = 'error') AS errors,
     count(*) FILTER (WHERE NOT ok AND severity = 'warning') AS warnings,

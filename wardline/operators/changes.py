@@ -48,6 +48,8 @@ def incremental_rows(
     bound = mark if not lookback_hours else mark - F.expr(f"interval {int(lookback_hours)} hours")
     rows = source.where(bound.isNull() | (F.col(col) > bound))
     if loaded is not None:
+        if col in loaded.columns:  # what was loaded before the window cannot come again in it
+            loaded = loaded.where(bound.isNull() | (F.col(col) > bound))
         rows = rows.join(loaded.select(key), key, "left_anti")
     return rows
 

@@ -86,7 +86,9 @@ register("mart_patient_summary", lambda s: marts.mart_patient_summary(
     staging.staged_visits(s.encounters, s.departments, s.physicians), staging.staged_people(s.patients, s.as_of), s.as_of))
 register("type_breakdown", lambda s: marts.type_breakdown(s.encounters))
 for _name in marts.VIEWS:
-    register(f"read_{_name}", lambda s, n=_name: marts.read_mart(marts.view_builders(s.tables, s.as_of)[n](), n, s.as_of))
+    # A read is over the saved view: its filters and columns reach that file.
+    register(f"read_{_name}", lambda s, n=_name: marts.read_mart(
+        tables.materialize(marts.view_builders(s.tables, s.as_of)[n](), n), n, s.as_of))
 register("summary_stats", lambda s: dash.summary_stats(s.patients, s.encounters, s.departments, s.physicians))
 register("gauges", lambda s: dash.gauges(s.patients, s.encounters))
 register("home_kpis", lambda s: dash.home_kpis(s.patients, s.encounters, s.departments, s.bed_events))

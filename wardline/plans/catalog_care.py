@@ -207,6 +207,11 @@ register("count_by_labels", lambda s: monitor.count_by_labels(s.requests, ["meth
 register("duration_histogram", lambda s: monitor.duration_histogram(s.requests, ["method", "path"]))
 register("quality_checks_by_status",
          lambda s: monitor.count_by_labels(quality.run_rules(s.tables, s.as_of), ["severity", "passed"]))
+register("quality_checks_by_check",
+         lambda s: monitor.count_by_labels(quality.run_rules(_planted(s), s.as_of), ["test_name", "passed"]))
+register("loads_by_status", lambda s: monitor.count_by_labels(
+    feeds.load_history(s.encounters).withColumn("status", F.when(F.col("records_loaded") > 0, "loaded").otherwise("empty")),
+    ["table_name", "status"]))
 
 
 def _stream(job, **options):

@@ -283,11 +283,11 @@ def refresh_marts(spark, builders: dict, out: str) -> DataFrame:
 # Reads the dashboards make over a saved view.
 def read_mart(mart: DataFrame, name: str, as_of: str) -> DataFrame:
     if name == "mv_daily_hospital_snapshot":
-        return mart.where(F.col("metric_date") > F.date_sub(X.day_lit(as_of), 30))
+        return mart.where(F.col("metric_date") > F.date_sub(X.day_lit(as_of), 30)).orderBy("metric_date")
     if name == "mv_department_performance":
-        return mart.select("department_name", "bed_utilization_pct", "total_encounters")
+        return mart.select("department_name", "bed_utilization_pct", "total_encounters").orderBy(F.desc("bed_utilization_pct"), "department_name")
     if name == "mv_patient_demographics":
-        return mart.select("age_group", "insurance_type", "patient_count")
+        return mart.select("age_group", "insurance_type", "patient_count").orderBy("age_group", F.desc("patient_count"), "insurance_type")
     if name == "mv_weekly_trends":
         return (
             mart.select("week_start", "weekly_admissions", "wow_admissions_pct_change")
