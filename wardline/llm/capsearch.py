@@ -154,9 +154,16 @@ def list_decode(classes: DataFrame, n_vectors: int, dtype: str) -> DataFrame:
     return classes.mapInArrow(run, f"{fields}, dim int, filters array<int>")
 
 
-def _first_common(a: np.ndarray, b: np.ndarray) -> int:
-    common = np.intersect1d(a, b, assume_unique=True)
-    return int(common[0]) if len(common) else -1
+def _met_before(filters: list[np.ndarray], own: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows also share a filter before ``own``, from one product of incidence matrices."""
+    hit, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    earlier = [f[: np.searchsorted(f, own)] for f in (filters[k] for k in hit)]
+    names, code = np.unique(np.concatenate(earlier), return_inverse=True)
+    if not len(names):
+        return np.zeros(len(i), bool)
+    passed = np.zeros((len(hit), len(names)), np.float32)
+    passed[np.repeat(np.arange(len(hit)), [len(f) for f in earlier]), code] = 1
+    return (passed @ passed.T)[at[: len(i)], at[len(i) :]] > 0
 
 
 def verify(meeting: DataFrame, least: float, dtype: str) -> DataFrame:
@@ -195,7 +202,7 @@ def _meet(part: pa.Table, least: float, dtype: str) -> Iterator[tuple[np.ndarray
     held = held - held[0]
     filters = [flat[a:b] for a, b in zip(held, held[1:])]
     own = part.column("filter")[0].as_py()
-    counted = np.fromiter((_first_common(filters[p], filters[q]) == own for p, q in zip(i, j)), bool, len(i))
+    counted = ~_met_before(filters, own, i, j)
     n, low = np.zeros(len(rep), np.int64), rep.copy()
     np.add.at(n, i[counted], weight[j[counted]])
     np.add.at(n, j[counted], weight[i[counted]])
