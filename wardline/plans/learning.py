@@ -169,9 +169,18 @@ def classification_report(scored: DataFrame, label: str = "readmitted_30d") -> D
 
 
 def evaluate_readmission(model: PipelineModel, test: DataFrame) -> dict[str, float]:
+    """ROC AUC, accuracy, macro and weighted averages of precision, recall and F1, and the test rows."""
     scored = model.transform(prepare(test))
     auc = BinaryClassificationEvaluator(labelCol="readmitted_30d", metricName="areaUnderROC").evaluate(scored)
-    return {"roc_auc": round(auc, 4)}
+    report = classification_report(scored).collect()  # one row per class
+    rows = sum(r["support"] for r in report)
+    right = scored.where(F.col("prediction") == F.col("readmitted_30d")).count()
+    out = {"roc_auc": round(auc, 4), "accuracy": round(right / rows, 4) if rows else 0.0, "test_rows": float(rows)}
+    for name in ("precision", "recall", "f1"):
+        values = [(r[name] or 0.0, r["support"]) for r in report]
+        out[f"macro_{name}"] = round(sum(v for v, _ in values) / len(values), 4)
+        out[f"weighted_{name}"] = round(sum(v * n for v, n in values) / rows, 4) if rows else 0.0
+    return out
 
 
 def evaluate_los(model: PipelineModel, test: DataFrame) -> dict[str, float]:
