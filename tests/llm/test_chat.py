@@ -1,9 +1,13 @@
 """Chat formatting: exact round trips and digests from the turns themselves."""
 
 import hashlib
+import os
 import random
+import sys
 
-from wardline.llm import chat, catalog
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
+from oracle_compare import compare, connect
+from wardline.llm import catalog, chat
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +44,11 @@ def test_conversations(spark):
     assert found == {c: want(t) for c, t in by_conversation(rows).items()}
 
 
+def test_query_matches_sql(spark):
+    _, problem = compare(catalog.op5_chat_formatting(spark, SF), connect(SF), catalog.sql_texts()["op5_chat_formatting"])
+    assert not problem, problem
+
+
 def test_odd_rows(spark):
     rng = random.Random(3)
     bits = [*chat.CONTROL, "\\", "<", "[", "|>", "/", "é", "日", "\n", "", "s>", "turn|>", "\U0001f600"]

@@ -78,6 +78,6 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_texts() -> dict[str, str]:
-    from wardline.llm import urlfilter
+    from wardline.llm import chat, urlfilter
 
-    return {"op7_url_filters": urlfilter.SQL}
+    return {"op5_chat_formatting": chat.SQL, "op7_url_filters": urlfilter.SQL}

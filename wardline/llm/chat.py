@@ -167,3 +167,23 @@ def fixed_conversation(turns: DataFrame) -> DataFrame:
     rows = [(-1, 0, "user", said), (-1, 1, TRAINED_ROLE, said)]
     own = turns.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     return turns.select("conv_id", "turn", "role", "text").unionByName(own)
+
+
+def _escaped_length(column: str) -> str:
+    """SQL for the length of an escaped value: one more character per backslash and per control string."""
+    marks = " + ".join(f"(length({column}) - length(replace({column}, '{m}', ''))) // {len(m)}" for m in ("\\", *CONTROL))
+    return f"(length({column}) + {marks})"
+
+
+SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, '{TRAINED_ROLE}', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = '{TRAINED_ROLE}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
+  sum({len(TURN) + len(TEXT) + len(END)} + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
