@@ -6,8 +6,8 @@ is also read with every subset of its WEAK closest bits turned, and each reading
 keys come beside the Golay keys of ``simhash``, which find all pairs within three bits.
 
 Rows that share a key are sorted by a piece of a small minhash and compared with the LOOK rows
-before them; near copies stand next to each other there. That is linear in the rows of a key,
-however many copies it holds. What passes is verified by a larger sketch of the five-word shingles:
+before them, where near copies stand; the BEST most alike become candidates. That is linear in the
+rows of a key, however many copies it holds. What passes is verified by a larger sketch of the five-word shingles:
 the smallest SKETCH hashes, the whole set for texts of fewer shingles.
 
 Fingerprints, nulls, empty texts and repeated rows are treated as in ``simhash``; texts with equal
@@ -33,6 +33,7 @@ WORDS = 5
 LEAST = 0.8
 WEAK = 4
 LOOK = 8
+BEST = 2
 FAR = 13
 SKETCH = 128
 SMALL = 16
@@ -113,7 +114,7 @@ def _soft_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one key, at most LOOK apart, whose fingerprints and small minhashes are close."""
+    """For each row the BEST most alike of the LOOK rows before it with its key, if fingerprint and minhash are close."""
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -123,15 +124,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             fresh = len(held[0])
             k, fp, small = (np.concatenate([a, b]) for a, b in zip(held, (k, fp, small)))
-        found = []
+        alike = np.zeros((len(k), LOOK), np.int8)
         for lag in range(1, LOOK + 1):
             i = np.flatnonzero(k[lag:] == k[:-lag]) + lag
             i = i[i >= fresh]
             i = i[(np.bitwise_count(fp[i] ^ fp[i - lag]) <= FAR) & (fp[i] != fp[i - lag])]
-            i = i[(small[i] == small[i - lag]).sum(axis=1) >= SMALL_LEAST]
-            pair = np.stack([fp[i], fp[i - lag]], axis=1)
+            alike[i, lag - 1] = (small[i] == small[i - lag]).sum(axis=1)
+        alike[alike < SMALL_LEAST] = 0
+        found = []
+        for _ in range(BEST):
+            lag = alike.argmax(axis=1) + 1
+            i = np.flatnonzero(alike[np.arange(len(k)), lag - 1])
+            pair = np.stack([fp[i], fp[i - lag[i]]], axis=1)
             pair.sort(axis=1)
             found.append(pair)
+            alike[i, lag[i] - 1] = 0
         pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["src", "dst"])
         held = k[-LOOK:], fp[-LOOK:], small[-LOOK:]
