@@ -32,6 +32,8 @@ MAX_REPEAT_PERCENT = 50
 HALF = 0.5
 STEPS = 6
 MIN_GROUP = 100
+# Estimates are sent to all tasks up to this many groups, about 150 bytes each.
+MAX_SENT = 100_000
 REJECT_BELOW = 1e-6
 
 
@@ -247,6 +249,8 @@ def with_verdict(counted: DataFrame, lang: str = "lang", source: str = "source")
         ).alias("g"),
     )
     chosen = sizes.join(fits.withColumnRenamed("g", "fg"), F.col("g").eqNullSafe(F.col("fg"))).drop("g", "fg")
+    if fits.count() <= MAX_SENT:  # else rows meet their group's estimate in a join that can be split
+        chosen = F.broadcast(chosen)
     found = rows.join(
         chosen, F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source")), "left"
     )
