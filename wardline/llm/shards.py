@@ -18,6 +18,7 @@ stream may be short; it is padded, and its length says so. Other columns are not
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ CLOSING_ID = 0
 PADDING_ID = 0
 KEY = 0x5EED
 ROUNDS = 6
+READ_BYTES = 1 << 20
 
 
 class Permutation:
@@ -235,24 +237,33 @@ def write_shards(pieces: DataFrame, folder: str, n_slots: int, length: int = LEN
 
 
 def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """Rows (slot, shard, position, ids) of every record, read back from the files."""
+    """Rows (slot, shard, position, ids) of every record, read back from the files a few records at a time."""
+    from pyarrow.fs import FileSelector
+
+    files, path = _filesystem(folder)
+    names = [i.base_name for i in files.get_file_info(FileSelector(path, allow_not_found=True))]
+    shards = sorted(int(m[1]) for m in map(re.compile(r"shard-(\d+)\.bin").fullmatch, names) if m)
+    stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = _filesystem(folder)
         for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
-                raw = content.as_py()
-                n = len(raw) // (2 * length)
-                offsets = (np.arange(n + 1) * 2 * length).astype(np.int32)
-                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-                position = np.arange(n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * per_shard + position), pa.array(np.full(n, shard, np.int64)), pa.array(position), blobs],
-                    names=["slot", "shard", "position", "ids"],
-                )
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
-    found = found.select(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long").alias("shard"), "content")
-    return found.mapInArrow(run, "slot long, shard long, position long, ids binary")
+            for shard in batch.column("shard").to_pylist():
+                with files.open_input_stream(f"{path}/shard-{shard:08d}.bin") as source:
+                    at = 0
+                    while raw := source.read(stride * max(1, READ_BYTES // stride)):
+                        n = len(raw) // stride
+                        offsets = (np.arange(n + 1) * stride).astype(np.int32)
+                        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                        position = np.arange(at, at + n, dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(shard * per_shard + position), pa.array(np.full(n, shard, np.int64)), pa.array(position), blobs],
+                            names=["slot", "shard", "position", "ids"],
+                        )
+                        at += n
+
+    listed = spark.createDataFrame([(s,) for s in shards], "shard long").repartition(max(1, min(len(shards), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return listed.mapInArrow(run, "slot long, shard long, position long, ids binary")
 
 
 def training_order(docs: DataFrame, vocabulary: str, folder: str | None = None, length: int = LENGTH,
