@@ -81,3 +81,22 @@ def test_crowded_filters_in_blocks(spark, monkeypatch, block):
     rows += [(2000 + i, rows[0][1]) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert result(df) == want(rows)
+
+
+@pytest.mark.parametrize("dim, n_vectors", [(64, 50_000), (64, 500_000), (64, 3_000_000), (64, 10_000_000), (8, 3_000_000), (3, 50_000)])
+def test_recall_holds_at_every_size(dim, n_vectors):
+    rng = np.random.default_rng(11)
+    x, z = rng.standard_normal((2, 3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z
+    own = capsearch.caps(dim, n_vectors)
+    passed = []
+    for v in (x, y):
+        row, found = own.decode(v)
+        assert len(np.unique(row)) == len(v)  # none without a filter
+        passed.append(set(zip(row.tolist(), found.tolist())))
+    met = len({row for row, _ in passed[0] & passed[1]})
+    print(dim, n_vectors, len(own.codes), own.size, met / 3000, own.missed)
+    assert met >= 0.998 * 3000

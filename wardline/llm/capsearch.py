@@ -1,21 +1,23 @@
 """Embedding near-dedup by spherical-cap filters from structured random product codes.
 
 Vectors are rotated at random and cut into two halves, each with a random spherical code; several
-rotations give several such product codes. A filter is one codeword per half; a vector passes it if
-the inner products with both add up to a threshold, that is if it lies in the filter's cap. List
-decoding finds all filters a vector passes without looking at every combination: codewords of the
-first half that can still reach the threshold first, then the second. Vectors that share a filter
-meet and are verified by their cosine in double precision.
+rotations give several such product codes. A filter is one codeword per half. In each code a vector
+passes the PASSED filters with the largest sums of its inner products with both codewords, however
+many vectors there are and wherever it lies, so none is left without filters. These are found from
+the best PASSED codewords of each half. Vectors that share a filter meet and are verified by their
+cosine in double precision.
 
 Equal vectors meet first and count as one with a multiplicity. A pair is counted in the first
 filter both pass only, and a filter yields counts and one link per vector, never its pairs. A
 filter passed by more than BLOCK vectors is dealt in blocks; each pair of blocks is a task's unit,
 so memory is bounded and nothing is left out.
 
-The number of filters grows with the number of vectors, so that a filter holds about FILL of them
-at every size, and a vector passes about PASSED on average. Two random vectors of 64 components at
-cosine 0.95 shared a filter in 99.8 of 100 cases at 50 000 vectors and in 96 at 500 000; the tests
-hold recall against brute force.
+The number of filters grows with the number of vectors, so that a filter holds about FILL of them at
+every size, or as many as lie within the least cosine of a vector where those are more. The number
+of codes grows with it: codes are added until a pair at the least cosine shares a filter with a
+probability of RECALL. Rotations and codewords are random, so that probability is the same for every
+such pair, and it is taken from PROBES pairs over the very codes used, less three standard errors.
+Vectors of one or two components all meet each other.
 
 Nulls: null vectors, zero vectors and those that hold null or non-finite components link with
 nothing; their component is their own id. Vectors of different lengths never link. A null id counts as a
@@ -26,7 +28,6 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,69 +38,78 @@ from wardline.llm.base import components, staged, whole_runs
 
 LEAST_COSINE = 0.95
 FILL = 64
-PASSED = 32
-CODES = 8
+PASSED = 8
+RECALL = 0.9995
+PROBES = 2048
 BLOCK = 1024
 SEED = 20_240
 # What a task handles at once: a filter and a pair of its blocks; a block paired with itself has one side.
 UNIT = ["dim", "filter", "low", "high"]
 
 
+def _near_share(dim: int, least: float) -> float:
+    """The share of random directions within cosine ``least`` of one, for two components or more."""
+    mass = np.sin((np.arange(65_536) + 0.5) * np.pi / 65_536) ** (dim - 2)
+    return float(mass[: max(1, round(np.arccos(least) / np.pi * 65_536))].sum() / mass.sum())
+
+
 class Caps:
     """The filters for vectors of one length, the same on every worker."""
 
-    def __init__(self, dim: int, n_vectors: int):
+    def __init__(self, dim: int, n_vectors: int, least: float = LEAST_COSINE):
+        self.codes: list[tuple[np.ndarray, np.ndarray]] = []
+        self.missed = 0.0  # share of the pairs at the least cosine that meet in no filter
+        if dim <= 2:
+            return
         rng = np.random.default_rng([SEED, dim])
-        share = min(0.25, FILL / max(n_vectors, 1))  # of all vectors that pass a filter
-        self.size = max(2, round((PASSED / CODES / share) ** 0.5))
+        share = min(0.25, max(FILL / max(n_vectors, 1), _near_share(dim, least)))  # of all vectors that pass a filter
+        self.size = round((PASSED / share) ** 0.5)
+        x, z = rng.standard_normal((2, PROBES, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = least * x + max(1 - least**2, 0.0) ** 0.5 * z
         cut = (dim + 1) // 2
-        self.codes = []
-        for _ in range(CODES):
+        self.missed = 1.0
+        while self.missed > 1 - RECALL:
             rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
             halves = []
             for low, high in ((0, cut), (cut, dim)):
-                words = rng.standard_normal((self.size, max(high - low, 1)))
+                words = rng.standard_normal((self.size, high - low))
                 words /= np.linalg.norm(words, axis=1, keepdims=True)
-                halves.append(rotation[:, low:high] @ words.T[: high - low])
+                halves.append(rotation[:, low:high] @ words.T)
             self.codes.append(tuple(halves))
-        # The threshold that random directions pass with that share, from a fixed set of them.
-        probe = rng.standard_normal((8192, dim))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        a, b = probe @ self.codes[0][0], probe @ self.codes[0][1]
-        pick = rng.integers(0, self.size, (2, 256))
-        sums = (a[:, pick[0]] + b[:, pick[1]]).ravel()
-        if share * len(sums) >= 50:
-            self.least = float(np.quantile(sums, 1 - share))
-        else:  # beyond the set the tail is that of a normal with its spread
-            self.least = float(sums.std() * NormalDist().inv_cdf(1 - share))
+            one, two = self._passed(x, *halves), self._passed(y, *halves)
+            meet = (one[:, :, None] == two[:, None, :]).any(axis=(1, 2)).mean()
+            self.missed *= min(1.0, 1 - meet + 3 * (max(meet * (1 - meet), 1 / PROBES) / PROBES) ** 0.5)
+
+    def _passed(self, unit: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The PASSED filters of one code with the largest sums, for each unit vector."""
+        a, b = unit @ first, unit @ second
+        n = min(PASSED, self.size)
+        i, j = (np.argpartition(-x, n - 1, axis=1)[:, :n] for x in (a, b))
+        sums = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
+        names = (i[:, :, None] * self.size + j[:, None, :]).reshape(len(unit), -1)
+        best = np.argpartition(-sums.reshape(len(unit), -1), PASSED - 1, axis=1)[:, :PASSED]
+        return np.take_along_axis(names, best, 1)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter that each unit vector passes.
-
-        Codewords of the first half are looked at only where the best of the second could still
-        reach the threshold.
-        """
-        rows, found = [], []
-        for n, (first, second) in enumerate(self.codes):
-            a, b = unit @ first, unit @ second
-            row, i = np.nonzero(a + b.max(axis=1, keepdims=True) >= self.least)
-            for start in range(0, len(row), 16_384):
-                r, k = row[start : start + 16_384], i[start : start + 16_384]
-                at, j = np.nonzero(a[r, k][:, None] + b[r] >= self.least)
-                rows.append(r[at])
-                found.append((n * self.size + k[at]) * self.size + j)
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(rows), np.concatenate(found)
+        """(row, filter) of every filter that each unit vector passes."""
+        if not self.codes:
+            return np.arange(len(unit)), np.zeros(len(unit), np.int64)
+        found = [self._passed(unit, *halves) + n * self.size**2 for n, halves in enumerate(self.codes)]
+        every = np.concatenate(found, axis=1)
+        return np.repeat(np.arange(len(unit)), every.shape[1]), every.ravel()
 
 
-_CAPS: dict[tuple[int, int], Caps] = {}
+_CAPS: dict[tuple[int, int, float], Caps] = {}
 
 
-def caps(dim: int, n_vectors: int) -> Caps:
-    if (dim, n_vectors) not in _CAPS:
-        _CAPS[dim, n_vectors] = Caps(dim, n_vectors)
-    return _CAPS[dim, n_vectors]
+def caps(dim: int, n_vectors: int, least: float = LEAST_COSINE) -> Caps:
+    key = dim, n_vectors, least
+    if key not in _CAPS:
+        _CAPS[key] = Caps(*key)
+    return _CAPS[key]
 
 
 def _matrix(col: pa.Array, dtype: str) -> np.ndarray:
@@ -130,7 +140,7 @@ def usable(vectors: DataFrame, dtype: str, id_col: str = "vec_id", vector: str =
     return slim.mapInArrow(pack, f"id {kind}, v binary")
 
 
-def list_decode(classes: DataFrame, n_vectors: int, dtype: str) -> DataFrame:
+def list_decode(classes: DataFrame, n_vectors: int, dtype: str, least: float = LEAST_COSINE) -> DataFrame:
     """Adds ``dim`` and ``filters``, the sorted filters that each vector passes."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
 
@@ -139,19 +149,19 @@ def list_decode(classes: DataFrame, n_vectors: int, dtype: str) -> DataFrame:
             sizes = np.array([len(v.as_py()) for v in batch.column("v")]) // np.dtype(dtype).itemsize
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                own = caps(int(dim), n_vectors)
+                own = caps(int(dim), n_vectors, least)
                 for start in range(0, len(at), 512):
                     some = batch.take(pa.array(at[start : start + 512]))
                     row, found = own.decode(_unit(_matrix(some.column("v"), dtype)))
                     order = np.lexsort((found, row))
                     held = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=some.num_rows))]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(held), pa.array(found[order].astype(np.int32)))
+                    lists = pa.ListArray.from_arrays(pa.array(held), pa.array(found[order].astype(np.int64)))
                     dims = pa.array(np.full(some.num_rows, dim, np.int32))
                     yield pa.RecordBatch.from_arrays(
                         [*some.columns, dims, lists], names=[*some.schema.names, "dim", "filters"]
                     )
 
-    return classes.mapInArrow(run, f"{fields}, dim int, filters array<int>")
+    return classes.mapInArrow(run, f"{fields}, dim int, filters array<bigint>")
 
 
 def _met_before(filters: list[np.ndarray], own: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -226,7 +236,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     classes = own.where("v IS NOT NULL").groupBy("v").agg(
         F.min("uid").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least")
     )
-    decoded = staged(list_decode(classes, own.count(), dtype), "decoded")
+    decoded = staged(list_decode(classes, own.count(), dtype, least), "decoded")
     crowded = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count("*").alias("held"))
     crowded = crowded.where(F.col("held") > BLOCK)
     rows = decoded.select("dim", "rep", "weight", "v", "filters", F.explode("filters").alias("filter"))
