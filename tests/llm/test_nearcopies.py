@@ -88,3 +88,40 @@ def test_odd_rows(spark):
     found = groups(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, small int"))
     assert found == {1: 1, 2: 1, 3: 3, 4: 3, None: None, 5: 5}
     assert groups(spark.createDataFrame([], "doc_id long, text string")) == {}
+
+
+def long_pair(rng, n, changed):
+    """Two texts of ``n`` different words, the second with ``changed`` words in a row replaced: similarity is known."""
+    text = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    own = list(text)
+    own[50 : 50 + changed] = [f"x{rng.randrange(10**9)}" for _ in range(changed)]
+    return " ".join(text), " ".join(own)
+
+
+def test_long_texts_are_verified_by_their_whole_sets(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(120):
+        # 996 shingles; changed + 4 of them differ
+        a, b = long_pair(rng, 1000, 110 - 4 if i % 2 else 120 - 4)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want[i] = exact_similarity(a, b) >= 0.8
+    assert sorted(set(want.values())) == [False, True]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = groups(frame)
+    joined = {i: found[2 * i] == found[2 * i + 1] for i in want}
+    assert not [i for i in want if joined[i] and not want[i]]
+    classes = nearcopies.signatures(frame, "doc_id", "text").selectExpr("id AS cid", "digest", "sketch", "id AS least")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in want], "src long, dst long")
+    good = nearcopies.verified(nearcopies.estimated(pairs, classes), classes, frame, "doc_id", "text")
+    assert {r.src // 2 for r in good.collect()} == {i for i in want if want[i]}
+
+
+def test_equal_fingerprints_of_different_sets_are_not_one_text(spark, monkeypatch):
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = [nearcopies.signature(t) for _, t in rows]
+    alike = [(i, 7, *(bytearray(x) for x in (signed[0][1], s[2], s[3], s[4]))) for (i, _), s in zip(rows, signed)]
+    fields = "id long, fp long, weak binary, small binary, sketch binary, digest binary"
+    monkeypatch.setattr(nearcopies, "signatures", lambda *_: spark.createDataFrame(alike, fields))
+    assert groups(frame) == {1: 1, 2: 2, 3: 1}

@@ -5,17 +5,20 @@ that flip are those whose vote was close. So each fingerprint carries its closes
 is also read with every subset of its WEAK closest bits turned, and each reading is a key. These
 keys come beside the Golay keys of ``simhash``, which find all pairs within three bits.
 
-Rows that share a key are sorted by a piece of a small minhash and compared with the LOOK rows
-before them, where near copies stand; the BEST most alike become candidates. That is linear in the
-rows of a key, however many copies it holds. What passes is verified by a larger sketch of the five-word shingles:
-the smallest SKETCH hashes, the whole set for texts of fewer shingles.
+Texts of equal fingerprint and equal shingle set are one class; classes of equal sets are linked as
+they are. Rows that share a key are sorted by a piece of a small minhash
+and compared with the LOOK rows before them; the BEST most alike become candidates.
 
-Fingerprints, nulls, empty texts and repeated rows are treated as in ``simhash``; texts with equal
-fingerprints are one class.
+A sketch, the smallest SKETCH hashes, decides alone where it is the whole set, and otherwise
+discards only estimates under HOPELESS; what is left is verified by both whole sets of five-word
+shingles, made again from the texts.
+
+Fingerprints, nulls, empty texts and repeated rows are treated as in ``simhash``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.base import components, staged
+from wardline.llm.base import byte_slices, components, staged, whole_runs
 from wardline.llm.simhash import SEED, SHIFTS, SHINGLE, WIDTHS, near_links
 
 WORDS = 5
@@ -34,18 +37,40 @@ LEAST = 0.8
 WEAK = 4
 LOOK = 8
 BEST = 2
-FAR = 13
 SKETCH = 128
 SMALL = 16
 SMALL_LEAST = 9
+SMALL_FLOOR = 6
+HOPELESS = 0.65
+CELLS = 1 << 22
 _RNG = np.random.default_rng(SEED)
 FACTORS = _RNG.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TURNS = _RNG.integers(0, 2**63, SMALL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: str | None) -> tuple[int, bytes, bytes, bytes]:
-    """(fingerprint, WEAK closest bits of each segment, small minhash, sketch) of a text."""
-    words = (text or "").encode().lower().split()
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """Different hashes of all WORDS words in a row, of all words where there are fewer."""
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    m = max(1, len(words) - WORDS + 1)
+    with np.errstate(over="ignore"):
+        five = np.zeros(m, np.uint64)
+        for i in range(min(WORDS, len(words))):
+            five += each[i : i + m] * FACTORS[i]
+        five ^= five >> np.uint64(31)
+        return np.unique(five * np.uint64(0x9E3779B97F4A7C15) ^ (five >> np.uint64(27)))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _digest(five: np.ndarray) -> bytes:
+    return hashlib.blake2b(five.tobytes(), digest_size=16).digest()
+
+
+def signature(text: str | None) -> tuple[int, bytes, bytes, bytes, bytes]:
+    """(fingerprint, WEAK closest bits of each segment, small minhash, sketch, digest of the shingle set) of a text."""
+    words = _words(text)
     n = max(1, len(words) - SHINGLE + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
     hashed = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
@@ -58,34 +83,28 @@ def signature(text: str | None) -> tuple[int, bytes, bytes, bytes]:
     for shift, width in zip(SHIFTS, WIDTHS):
         own = np.abs(votes[::-1][shift : shift + width])  # bit 0 is the last vote
         weak.extend(np.argsort(own, kind="stable")[:WEAK].tolist())
-    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    m = max(1, len(words) - WORDS + 1)
+    five = shingle_set(words)
     with np.errstate(over="ignore"):
-        five = np.zeros(m, np.uint64)
-        for i in range(min(WORDS, len(words))):
-            five += each[i : i + m] * FACTORS[i]
-        five ^= five >> np.uint64(31)
-        five = np.unique(five * np.uint64(0x9E3779B97F4A7C15) ^ (five >> np.uint64(27)))
         small = bytes(int((five * t).min() >> np.uint64(20) & np.uint64(0xFF)) for t in TURNS)
     values = np.unique((five >> np.uint64(32)).astype("<u4"))[:SKETCH]
-    return fp, bytes(weak), small, values.tobytes()
+    return fp, bytes(weak), small, values.tobytes(), _digest(five)
 
 
 def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Rows (id, fp, weak, small, sketch)."""
+    """Rows (id, fp, weak, small, sketch, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [signature(t.as_py()) for t in batch.column("text")]
-            fp, weak, small, sketch = zip(*rows) if rows else ((), (), (), ())
+            fp, weak, small, sketch, digest = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(x, pa.binary()) for x in (weak, small, sketch))],
-                names=["id", "fp", "weak", "small", "sketch"],
+                [batch.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(x, pa.binary()) for x in (weak, small, sketch, digest))],
+                names=["id", "fp", "weak", "small", "sketch", "digest"],
             )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, fp long, weak binary, small binary, sketch binary")
+    return slim.mapInArrow(run, f"id {kind}, fp long, weak binary, small binary, sketch binary, digest binary")
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
@@ -108,40 +127,53 @@ def _soft_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pick = (key[:, None] + np.arange(4) * 5) % SMALL
                     order = np.take_along_axis(small, pick, axis=1).astype(np.int64) @ (np.int64(1) << np.array([24, 16, 8, 0]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((k << 24) | key), pa.array(order), part.column("fp"), part.column("small")],
-                        names=["k", "s", "fp", "small"],
+                        [pa.array((k << 24) | key), pa.array(order), part.column("cid"), part.column("small")],
+                        names=["k", "s", "cid", "small"],
                     )
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int8)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row the BEST most alike of the LOOK rows before it with its key, if fingerprint and minhash are close."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, fp, small = np.asarray(batch.column("k")), np.asarray(batch.column("fp")).view(np.uint64), _matrix(batch.column("small"), SMALL)
-        fresh = 0
-        if held:
-            fresh = len(held[0])
-            k, fp, small = (np.concatenate([a, b]) for a, b in zip(held, (k, fp, small)))
+    """Rows (src, dst): the BEST most alike of the LOOK rows before each row with its key; without dst,
+    every class that is alike in SMALL_FLOOR minhashes to any other row of a key."""
+    for table, first in whole_runs(batches, ["k"]):
+        k, cid, small = np.asarray(table.column("k")), np.asarray(table.column("cid")), _matrix(table.column("small").combine_chunks(), SMALL)
         alike = np.zeros((len(k), LOOK), np.int8)
+        flagged = np.zeros(len(k), bool)
         for lag in range(1, LOOK + 1):
             i = np.flatnonzero(k[lag:] == k[:-lag]) + lag
-            i = i[i >= fresh]
-            i = i[(np.bitwise_count(fp[i] ^ fp[i - lag]) <= FAR) & (fp[i] != fp[i - lag])]
             alike[i, lag - 1] = (small[i] == small[i - lag]).sum(axis=1)
+            near = i[alike[i, lag - 1] >= SMALL_FLOOR]
+            flagged[near] = flagged[near - lag] = True
+        stops = np.concatenate([first[1:], [len(k)]])
+        for start, stop in zip(first[stops - first > LOOK + 1], stops[stops - first > LOOK + 1]):
+            alone = np.flatnonzero(~flagged[start:stop]) + start
+            step = max(1, CELLS // ((stop - start) * SMALL))
+            for at in range(0, len(alone), step):
+                some = alone[at : at + step]
+                for low in range(start, stop, CELLS // SMALL):
+                    high = min(stop, low + CELLS // SMALL)
+                    met = _alike(small[some], small[low:high]) >= SMALL_FLOOR
+                    met &= some[:, None] != np.arange(low, high)[None]
+                    flagged[some] |= met.any(axis=1)
+                    flagged[low:high] |= met.any(axis=0)
         alike[alike < SMALL_LEAST] = 0
         found = []
         for _ in range(BEST):
             lag = alike.argmax(axis=1) + 1
             i = np.flatnonzero(alike[np.arange(len(k)), lag - 1])
-            pair = np.stack([fp[i], fp[i - lag[i]]], axis=1)
-            pair.sort(axis=1)
-            found.append(pair)
+            found.append(np.stack([cid[i], cid[i - lag[i]]], axis=1))
             alike[i, lag[i] - 1] = 0
-        pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["src", "dst"])
-        held = k[-LOOK:], fp[-LOOK:], small[-LOOK:]
+        pairs = np.concatenate(found)
+        pairs.sort(axis=1)
+        pairs = np.unique(pairs, axis=0)
+        marked = np.unique(cid[flagged])
+        src = np.concatenate([pairs[:, 0], marked])
+        dst = pa.array(np.concatenate([pairs[:, 1], marked]), mask=np.arange(len(src)) >= len(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array(src), dst], names=["src", "dst"])
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -154,28 +186,90 @@ def similarity(a: bytes, b: bytes) -> float:
     return np.isin(both, shared, assume_unique=True).sum() / max(len(both), 1)
 
 
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst, alike, whole) of pairs that are not hopeless; whole: the sketches are the sets."""
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        whole = np.array([max(len(x), len(y)) < 4 * SKETCH for x, y in zip(a, b)], bool)
+        alike = np.array([similarity(x, y) for x, y in zip(a, b)], float)
+        kept = pa.array(alike >= np.where(whole, LEAST, HOPELESS))
+        yield pa.RecordBatch.from_arrays(
+            [x.filter(kept) for x in (batch.column("src"), batch.column("dst"), pa.array(alike), pa.array(whole))],
+            names=["src", "dst", "alike", "whole"],
+        )
+
+
+def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    sketches = classes.select("cid", "sketch")
+    met = pairs.join(sketches.select(F.col("cid").alias("src"), F.col("sketch").alias("a")), "src")
+    met = met.join(sketches.select(F.col("cid").alias("dst"), F.col("sketch").alias("b")), "dst")
+    return met.select("src", "dst", "a", "b").mapInArrow(_estimated, "src long, dst long, alike double, whole boolean")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in byte_slices(batch, "text"):
+            sets = [shingle_set(_words(t.as_py())) for t in part.column("text")]
+            good = pa.array([_digest(x) == d.as_py() for x, d in zip(sets, part.column("digest"))], pa.bool_())
+            blobs = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("cid").filter(good), blobs.filter(good)], names=["cid", "shingles"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [similarity(a.as_py(), b.as_py()) >= LEAST for a, b in zip(batch.column("a"), batch.column("b"))]
+        good = []
+        for a, b in zip(batch.column("a"), batch.column("b")):
+            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(shared >= LEAST * (len(x) + len(y) - shared))
         kept = batch.filter(pa.array(good, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column("src"), kept.column("dst")], names=["src", "dst"])
 
 
+def verified(likely: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The pairs of ``estimated`` whose whole shingle sets have a similarity of LEAST or more."""
+    rest = likely.where("NOT whole").select("src", "dst")
+    needed = rest.select(F.explode(F.array("src", "dst")).alias("cid")).distinct()
+    needed = needed.join(classes.select("cid", "digest", F.col("least").alias("member")), "cid")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    texts = slim.join(needed, F.col("id").eqNullSafe(F.col("member"))).select("cid", "digest", "text")
+    # An id may stand for several texts; those of another set are dropped by their digest.
+    sets = staged(texts.mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "shingle-sets")
+    met = rest.join(sets.select(F.col("cid").alias("src"), F.col("shingles").alias("a")), "src")
+    met = met.join(sets.select(F.col("cid").alias("dst"), F.col("shingles").alias("b")), "dst")
+    exact = met.select("src", "dst", "a", "b").mapInArrow(_verified, "src long, dst long")
+    return likely.where("whole").select("src", "dst").unionByName(exact)
+
+
 def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Rows (id, fp, component): component is the smallest id reachable over links of similarity LEAST or more."""
     own = staged(signatures(docs, id_col, text), "signatures")
-    classes = own.groupBy("fp").agg(
+    classes = own.groupBy("fp", "digest").agg(
         F.min("id").alias("least"), F.min(F.struct("weak", "small", "sketch")).alias("sign")
     )
-    classes = staged(classes.select("fp", "least", "sign.*"), "classes")
-    close = classes.select("fp", "weak", "small").mapInArrow(_soft_keys, "k long, s long, fp long, small binary")
-    close = close.repartition("k").sortWithinPartitions("k", "s", "fp").mapInArrow(_neighbours, "src long, dst long")
-    pairs = close.unionByName(near_links(classes.select("fp"))).distinct()
-    sketches = classes.select("fp", "sketch")
-    met = pairs.join(sketches.select(F.col("fp").alias("src"), F.col("sketch").alias("a")), "src")
-    met = met.join(sketches.select(F.col("fp").alias("dst"), F.col("sketch").alias("b")), "dst")
-    links = met.select("src", "dst", "a", "b").mapInArrow(_verified, "src long, dst long")
-    roots = components(links)
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = staged(classes.select("fp", "digest", "least", "sign.*").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    same = classes.groupBy("digest").agg(F.min("cid").alias("dst"))
+    same = classes.join(same, "digest").where("cid <> dst").select(F.col("cid").alias("src"), "dst")
+
+    close = classes.select("cid", "fp", "weak", "small").mapInArrow(_soft_keys, "k long, s long, cid long, small binary")
+    close = close.repartition("k").sortWithinPartitions("k", "s", "cid").mapInArrow(_neighbours, "src long, dst long")
+    close = staged(close.distinct(), "neighbours")
+    near = staged(near_links(classes.select("fp").distinct()), "near-fingerprints")
+    first = classes.groupBy("fp").agg(F.min("cid").alias("cid"))
+    pairs = _classes_of(near, first, first).select("src", "dst").unionByName(close.where("dst IS NOT NULL")).distinct()
+    likely = staged(estimated(pairs, classes), "likely")
+    roots = components(verified(likely, classes, docs, id_col, text).unionByName(same))
+
+    named = classes.join(roots, classes.cid == roots.node, "left").select("fp", "digest", "least", F.coalesce("root", "cid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component"))
-    return own.select("id", "fp").join(named.join(lowest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    named = named.join(lowest, "root").select("fp", "digest", "component")
+    return own.select("id", "fp", "digest").join(named, ["fp", "digest"]).select("id", "fp", "component")
+
+
+def _classes_of(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of fingerprints as pairs of classes, with their components r and s if there are any."""
+    root = "root" if "root" in left.columns else "cid"
+    a = left.select(F.col("fp").alias("fa"), F.col("cid").alias("src"), F.col(root).alias("r"))
+    b = right.select(F.col("fp").alias("fb"), F.col("cid").alias("dst"), F.col(root).alias("s"))
+    met = near.join(a, near.src == a.fa).select(near.dst.alias("f"), a.src, "r")
+    return met.join(b, met.f == b.fb).select("src", "dst", "r", "s")
