@@ -125,3 +125,26 @@ def test_equal_fingerprints_of_different_sets_are_not_one_text(spark, monkeypatc
     fields = "id long, fp long, weak binary, small binary, sketch binary, digest binary"
     monkeypatch.setattr(nearcopies, "signatures", lambda *_: spark.createDataFrame(alike, fields))
     assert groups(frame) == {1: 1, 2: 2, 3: 1}
+
+
+def run_of(order, smalls, name, roots=None):
+    """What a key's rows become in a pass."""
+    import numpy as np
+    import pyarrow as pa
+
+    columns = {"k": np.zeros(len(order), np.int64), "s": np.arange(len(order)), "cid": np.array(order)}
+    if roots is not None:
+        columns["root"] = np.array(roots)
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array(smalls, pa.binary())], names=[*columns, "small"])
+    return [tuple(r.values()) for out in getattr(nearcopies, name)(iter([batch])) for r in out.to_pylist()]
+
+
+def test_rows_of_a_key_meet_however_far_apart():
+    # 40 rows between two that are alike, and five alike rows at once: every pair not yet joined is tried.
+    smalls = [bytes([i + 1] * 16) for i in range(42)]
+    smalls[41] = smalls[0]
+    assert {r[0] for r in run_of(range(42), smalls, "_neighbours") if r[1] is None} == {0, 41}
+    assert run_of(range(42), smalls, "_across", range(42)) == [(0, 41)]
+    five = [bytes([1] * 16)] * 5
+    assert len(run_of(range(5), five, "_across", range(5))) == 10
+    assert sorted(run_of(range(5), five, "_across", [0, 0, 0, 3, 3])) == [(a, b) for a in range(3) for b in (3, 4)]

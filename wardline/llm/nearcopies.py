@@ -6,8 +6,12 @@ is also read with every subset of its WEAK closest bits turned, and each reading
 keys come beside the Golay keys of ``simhash``, which find all pairs within three bits.
 
 Texts of equal fingerprint and equal shingle set are one class; classes of equal sets are linked as
-they are. Rows that share a key are sorted by a piece of a small minhash
-and compared with the LOOK rows before them; the BEST most alike become candidates.
+they are. The rest goes in two passes. First, rows that share a key are sorted by a piece of a small
+minhash and compared with the LOOK rows before them, and each class is tied to its most alike and to
+its first likely partner; that joins large groups at a cost in proportion to their size. Then every
+key's rows meet again: all pairs not yet joined by verified links, and alike in SMALL_FLOOR of SMALL
+minhashes, become candidates, however many rows the key holds. A class that is that alike to no
+other in any key is left out of the second pass, as none of its pairs could become a candidate.
 
 A sketch, the smallest SKETCH hashes, decides alone where it is the whole set, and otherwise
 discards only estimates under HOPELESS; what is left is verified by both whole sets of five-word
@@ -132,6 +136,18 @@ def _soft_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
+def _keyed_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every reading of each segment as a key, with the class's component so far."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            for keyed in _soft_keys(iter([part])):
+                yield pa.RecordBatch.from_arrays(
+                    [keyed.column("k"), part.column("root"), keyed.column("cid"), keyed.column("small")],
+                    names=["k", "root", "cid", "small"],
+                )
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int8)
 
@@ -176,6 +192,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src), dst], names=["src", "dst"])
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a key's rows in different components that are alike in SMALL_FLOOR minhashes; rows come by key and root."""
+    for table, first in whole_runs(batches, ["k"]):
+        root, cid, small = np.asarray(table.column("root")), np.asarray(table.column("cid")), _matrix(table.column("small").combine_chunks(), SMALL)
+        stops = np.concatenate([first[1:], [table.num_rows]])
+        several = root[first] != root[stops - 1]
+        for start, stop in zip(first[several], stops[several]):
+            for low in range(start, stop, 1024):
+                a = np.arange(low, min(stop, low + 1024))
+                after = int(np.searchsorted(root[start:stop], root[low], side="right")) + start
+                for at in range(after, stop, CELLS // SMALL // 1024):
+                    b = np.arange(at, min(stop, at + CELLS // SMALL // 1024))
+                    i, j = np.nonzero((_alike(small[a], small[b]) >= SMALL_FLOOR) & (root[a][:, None] < root[b][None]))
+                    if len(i):
+                        pair = np.unique(np.sort(np.stack([cid[a[i]], cid[b[j]]], axis=1), axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, c])) for c in (0, 1)], names=["src", "dst"])
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity from two sketches, exact while both hold their whole sets."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
@@ -258,7 +292,26 @@ def near_copies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     first = classes.groupBy("fp").agg(F.min("cid").alias("cid"))
     pairs = _classes_of(near, first, first).select("src", "dst").unionByName(close.where("dst IS NOT NULL")).distinct()
     likely = staged(estimated(pairs, classes), "likely")
-    roots = components(verified(likely, classes, docs, id_col, text).unionByName(same))
+    ways = likely.unionByName(likely.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "alike", "whole"))
+    best = ways.groupBy("src").agg(
+        F.max(F.struct("alike", "dst", "whole")).alias("best"),
+        F.min(F.when(F.col("alike") >= LEAST, F.struct("dst", "alike", "whole"))).alias("lowest"),
+    )
+    tied = best.select("src", "best.dst", "best.whole").unionByName(best.where("lowest IS NOT NULL").select("src", "lowest.dst", "lowest.whole"))
+    tied = tied.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "whole").distinct()
+    links = staged(verified(staged(tied, "tied"), classes, docs, id_col, text).unionByName(same), "first-links")
+
+    roots = components(links)
+    rooted = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = staged(rooted.select("cid", "fp", "weak", "small", "root"), "rooted")
+    marked = rooted.join(close.where("dst IS NULL").select(F.col("src").alias("cid")), "cid", "left_semi")
+    again = marked.mapInArrow(_keyed_roots, "k long, root long, cid long, small binary")
+    again = again.repartition("k").sortWithinPartitions("k", "root", "cid").mapInArrow(_across, "src long, dst long")
+    ends = rooted.select("cid", "fp", "root")
+    apart = _classes_of(near, ends, ends).where("r <> s").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    tried = staged(estimated(again.unionByName(apart).distinct().join(tied, ["src", "dst"], "left_anti"), classes), "across")
+    links = links.unionByName(verified(tried, classes, docs, id_col, text))
+    roots = components(links)
 
     named = classes.join(roots, classes.cid == roots.node, "left").select("fp", "digest", "least", F.coalesce("root", "cid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component"))
