@@ -119,7 +119,7 @@ class Restorer:
         core = self.edge.sub("", raw.lower())
         if core.isalpha() and not self.hidden.search(core):
             return core
-        if len(core) > 40 or not self.letter.search(core) or not self.hidden.search(core):
+        if not self.letter.search(core) or not self.hidden.search(core):
             return core
         return self.decode(core)
 
@@ -147,9 +147,10 @@ class Restorer:
         return out
 
     def decode(self, text: str) -> str:
-        states = {(0, 0): (0.0, "")}
+        """The likeliest reading; each state points back to its predecessor, so that time is linear in the length."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for readings in [*self.lattice(text), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, done) in states.items():
                 for said, cost in readings:
                     x, y, total = a, b, score - cost
@@ -158,9 +159,18 @@ class Restorer:
                         total += self.model[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or total > new[x, y][0]:
-                        new[x, y] = (total, done + said)
+                        new[x, y] = (total, (done, said))
             states = new
-        return max(states.values())[1].strip()
+        highest = max(score for score, _ in states.values())
+        return max(self._said(at) for score, at in states.values() if score == highest).strip()
+
+    @staticmethod
+    def _said(at: tuple | None) -> str:
+        out = []
+        while at:
+            at, said = at
+            out.append(said)
+        return "".join(reversed(out))
 
 
 def features(restored: str) -> list[str]:
@@ -188,7 +198,7 @@ class _Words:
         return found
 
     def split(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[int, str]]]:
-        """Different raw words, code and row of each word, and (row, reading) of letters that stand apart."""
+        """Different raw words, code and row of each word, and each different (row, word) read from letters that stand apart."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
@@ -203,9 +213,9 @@ class _Words:
             for row in np.unique(rows[start:stop]) if stop - start >= 3 else ():
                 run = np.flatnonzero(rows[start:stop] == row) + start
                 if len(run) >= 3:
-                    for at in range(0, len(run), 40):
-                        apart.append((int(row), self.restorer.spaced([words[codes[k]] for k in run[at : at + 40]])))
-        return words, codes, rows, apart
+                    reading = self.restorer.spaced([words[codes[k]] for k in run])
+                    apart.extend((int(row), word) for word in reading.split())
+        return words, codes, rows, list(dict.fromkeys(apart))
 
 
 _WORDS: dict[bytes, _Words] = {}
