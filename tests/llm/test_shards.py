@@ -106,3 +106,30 @@ def test_odd_rows(spark, tmp_path):
     assert total == len(flat) == 3 + 3 + 3001
     assert Counter(r.doc_id for r in index)[3] >= 3000 // 16
     assert shards.shard_contents(df.limit(0), WORDS).collect() == []
+
+
+def test_a_restart_keeps_to_its_first_stream(spark, tmp_path):
+    docs = staged(spark.read.parquet(f"{SF}/documents.parquet").repartition(4), "test-docs")
+    folder = f"file://{tmp_path}/out"
+    shards.training_order(docs, WORDS, folder, 64, 100)
+    before = read(spark, folder, 64, 100)
+    files = sorted(f for f in os.listdir(tmp_path / "out") if f.endswith(".bin"))
+    (tmp_path / "out" / files[1]).write_bytes(b"half")
+    # The same rows in other partitions: the missing shard comes from the stored stream.
+    dealt = docs.repartition(3, "text")
+    index, _, total = shards.training_order(dealt, WORDS, folder, 64, 100)
+    assert read(spark, folder, 64, 100) == before
+    stream_of(index.collect(), before, total, 64)
+    with pytest.raises(ValueError):
+        shards.training_order(docs, WORDS, folder, 64, 100, key=7)
+    with pytest.raises(ValueError):
+        shards.training_order(docs.where("doc_id % 2 = 0"), WORDS, folder, 64, 100)
+    manifest = tmp_path / "out" / "manifest.json"
+    manifest.write_text(manifest.read_text().replace("llm-stream", "gone"))
+    with pytest.raises(ValueError):
+        shards.training_order(dealt, WORDS, folder, 64, 100)
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / files[0]).write_bytes((tmp_path / "out" / files[0]).read_bytes())
+    with pytest.raises(ValueError):
+        shards.training_order(docs, WORDS, f"file://{other}", 64, 100)

@@ -8,7 +8,10 @@ resumes anywhere by arithmetic.
 
 A shard is written under a name of its attempt and renamed when complete; a finished shard of the
 right size is not written again. So lost tasks, retries and restarts into the same folder leave
-whole shards only.
+whole shards only. A folder given by the caller gets a manifest before its first shard: the input,
+vocabulary, key, sizes, where the stream is stored, and a hash of every document's place and ids. A
+restart goes on with the stored stream; another input or setting, a stream in another order, or
+shards without a manifest are an error.
 
 Nulls: a null text counts as empty and still has its closing id; a null id is kept in the index.
 Repeated rows are in the stream each. An empty table gives no shards. Only the last sequence of the
@@ -17,18 +20,21 @@ stream may be short; it is padded, and its length says so. Other columns are not
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.base import byte_slices, staged
+from wardline.llm.base import byte_slices
 from wardline.llm.tokens import encoder
 from wardline.session import new_folder
 
@@ -266,13 +272,81 @@ def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shar
     return listed.mapInArrow(run, "slot long, shard long, position long, ids binary")
 
 
+def _sums(rows: DataFrame, *columns) -> list[int]:
+    """How many rows there are, and sums of both halves of their hashes: the same in whatever order they come."""
+    mixed = F.xxhash64(*columns)
+    low, high = mixed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(mixed, 32)
+    return [int(x or 0) for x in rows.agg(F.count("*"), F.sum(low), F.sum(high)).first()]
+
+
+def _source(docs: DataFrame, vocabulary: str) -> dict:
+    with open(vocabulary, "rb") as file:
+        code = zlib.crc32(file.read())
+    return {"docs": _sums(docs, F.col("doc_id"), F.col("text").cast("string")), "vocabulary": code}
+
+
+def _layout(stream: DataFrame, begins: dict[int, int]) -> list[int]:
+    """A hash of where every document stands in the stream, and of its ids."""
+    listed = [(int(p), int(b)) for p, b in begins.items()]
+    parts = stream.sparkSession.createDataFrame(listed, "part int, begin long")  # a number per input partition
+    placed = stream.join(F.broadcast(parts), "part")
+    return _sums(placed, F.col("begin") + F.col("start"), F.col("n"), F.col("doc_id"), F.col("ids"))
+
+
+def _manifest(folder: str) -> dict | None:
+    from pyarrow.fs import FileSelector
+
+    files, path = _filesystem(folder)
+    info = files.get_file_info(f"{path}/manifest.json")
+    if info.is_file:
+        with files.open_input_stream(info.path) as file:
+            return json.loads(file.read())
+    found = files.get_file_info(FileSelector(path, allow_not_found=True))
+    if any(re.fullmatch(r"shard-\d+\.bin", i.base_name) for i in found):
+        raise ValueError(f"{folder} holds shards without a manifest")
+    return None
+
+
+def _write_manifest(folder: str, manifest: dict) -> None:
+    files, path = _filesystem(folder)
+    files.create_dir(path, recursive=True)
+    temporary = f"{path}/.{uuid.uuid4().hex}.tmp"
+    with files.open_output_stream(temporary) as file:
+        file.write(json.dumps(manifest).encode())
+    files.move(temporary, f"{path}/manifest.json")
+
+
+def _stored(docs: DataFrame, vocabulary: str, path: str | None) -> tuple[DataFrame, str]:
+    """The stream that an earlier run stored, or a new one if there is none any more; and its path."""
+    spark, fresh = docs.sparkSession, token_stream(docs, vocabulary)
+    if path:
+        try:
+            return spark.read.schema(fresh.schema).parquet(path), path
+        except AnalysisException:
+            pass  # removed since: a new stream must have the same layout
+    path = new_folder(spark, "llm-stream")
+    fresh.write.parquet(path)
+    return spark.read.schema(fresh.schema).parquet(path), path
+
+
 def training_order(docs: DataFrame, vocabulary: str, folder: str | None = None, length: int = LENGTH,
                    per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, str, int]:
     """Writes the shards; returns the index of fragments without ids, the folder, and how many ids there are."""
     spark = docs.sparkSession
-    stream = staged(token_stream(docs.select("doc_id", "text"), vocabulary), "stream")
+    slim = docs.select("doc_id", "text")
+    before = _manifest(folder) if folder else None
+    own = {"key": key, "length": length, "per_shard": per_shard, **_source(slim, vocabulary)} if folder else {}
+    if before and any(before[k] != v for k, v in own.items()):
+        raise ValueError(f"{folder} holds shards of another input or other settings")
+    stream, path = _stored(slim, vocabulary, before and before["stream"])
     begins, total = part_begins(stream)
     permute = Permutation(-(-total // length), key)
+    if folder:
+        layout = _layout(stream, begins)
+        if before and before["layout"] != layout:
+            raise ValueError(f"{folder} holds shards of a stream in another order")
+        if not before:
+            _write_manifest(folder, {**own, "stream": path, "layout": layout})
     folder = folder or new_folder(spark, "llm-shards")
     if total:
         pieces = fragments(stream, begins, permute, length, per_shard, with_ids=True)
