@@ -73,11 +73,35 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.topk import exact_search
+
+    return exact_search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.repair import repaired_conversations
+
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def sql_texts() -> dict[str, str]:
-    from wardline.llm import chat, urlfilter
-
-    return {"op5_chat_formatting": chat.SQL, "op7_url_filters": urlfilter.SQL}
+    from wardline.llm import chat, merkle, repair, topk, urlfilter
+
+    return {
+        "op5_chat_formatting": chat.SQL,
+        "op7_url_filters": urlfilter.SQL,
+        "op11_merkle_manifest": merkle.SQL,
+        "op12_exact_top_k": topk.SQL,
+        "op13_conversation_repair": repair.SQL,
+    }
