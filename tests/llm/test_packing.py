@@ -1,5 +1,6 @@
 """Packing: plans against exhaustive search, and the placing of every piece."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -57,6 +58,59 @@ def test_search_beats_best_fit():
     assert sum(n for _, n in plan) == 3
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_fillings_are_the_undominated_ones(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([12, 20, 31])
+    counts = Counter(rng.randint(1, capacity) for _ in range(rng.randint(1, 9)))
+    longest = max(counts)
+    rest = Counter(counts)
+    rest[longest] -= 1
+    lengths = [n for n in rest if rest[n]]
+    want = set()
+    for times in itertools.product(*[range(rest[n] + 1) for n in lengths]):
+        own = {n: t for n, t in zip(lengths, times) if t}
+        waste = capacity - longest - sum(n * t for n, t in own.items())
+        if waste < 0:
+            continue
+        subsets = itertools.product(*[range(t + 1) for t in own.values()])
+        sums = {(sum(k * n for k, n in zip(ks, own)), sum(ks)) for ks in subsets}
+        spare = [n for n in lengths if rest[n] > own.get(n, 0)]
+        if not any(s <= x <= s + waste and (k != 1 or s != x) for x in spare for s, k in sums):
+            whole = Counter(own)
+            whole[longest] += 1
+            want.add(tuple(sorted(whole.items(), reverse=True)))
+    got = list(packing.fillings(packing._Pieces(counts, capacity), longest, capacity))
+    assert set(got) == want and len(got) == len(want)
+    filled = [sum(n * t for n, t in kind) for kind in got]
+    assert filled == sorted(filled, reverse=True)
+
+
+def test_search_closes_a_gap_over_all_lengths():
+    rng = random.Random(1)
+    counts = Counter(max(1, min(2048, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(300_000))
+    for n in range(1, 2049):
+        counts[n] += 1
+    plan, done = packing.search_plan(counts, 2048)
+    check(plan, counts, 2048)
+    assert sum(n for _, n in plan) == done["bound"] <= done["best_fit"]
+    triples = Counter()
+    for _ in range(4000):
+        a = rng.randint(513, 1000)
+        b = rng.randint(513, max(513, 2048 - a - 513))
+        triples.update((a, b, 2048 - a - b))
+    plan, done = packing.search_plan(triples, 2048)
+    check(plan, triples, 2048)
+    assert sum(n for _, n in plan) <= 4100 < 4400 < done["best_fit"]
+
+
+def test_plan_comes_from_completion():
+    counts = Counter({2048: 3, 1500: 4, 548: 4, 700: 9, 648: 18, 5: 100})
+    plan, done = packing.search_plan(counts, 2048)
+    check(plan, counts, 2048)
+    assert done["fillings"] and done["nodes"] and sum(n for _, n in plan) <= done["best_fit"]
+
+
 def test_many_pieces_of_few_lengths():
     counts = {2048: 10**9, 1500: 3 * 10**8, 600: 10**9, 548: 10**8, 7: 5 * 10**9, 1: 12345}
     plan = packing.complete(counts, 2048)

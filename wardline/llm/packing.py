@@ -11,6 +11,7 @@ result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,41 +24,51 @@ from wardline.llm.tokens import encoder
 
 CAPACITY = 2048
 CLOSING_ID = 0
-# How many steps the search may take before it keeps its best plan.
-SEARCH = 20_000
+# How many choices the search may take after its first descent before it keeps its best plan.
+SEARCH = 2_000
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit, the closing id last."""
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit, the closing id last.
+
+    Without ids, their checksum ``ids_crc32`` stands in their place and they stay in the worker.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 ids, counts = encode(part.column("text"))
-                yield _pieces(part.column("doc_id"), ids, counts, capacity)
+                yield _pieces(part.column("doc_id"), ids, counts, capacity, with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    last = "ids binary" if with_ids else "ids_crc32 long"
+    return slim.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, {last}")
 
 
-def _pieces(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity: int) -> pa.RecordBatch:
+def _pieces(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity: int, with_ids: bool) -> pa.RecordBatch:
     ends = np.cumsum(counts)
-    closed = np.insert(ids, ends, CLOSING_ID).astype("<u4")
+    closed = np.full(len(ids) + len(counts), CLOSING_ID, "<u4")
+    own = np.ones(len(closed), bool)
+    own[ends + np.arange(len(ends))] = False
+    closed[own] = ids
     sizes = counts + 1
     n_pieces = -(-sizes // capacity)
     doc = np.repeat(np.arange(len(sizes)), n_pieces)
     piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
     start = piece * capacity
     length = np.minimum(capacity, sizes[doc] - start)
-    offsets = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int32)
-    blob = pa.Array.from_buffers(
-        pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(closed))]
-    )
+    bounds = np.concatenate([[0], np.cumsum(length) * 4])
+    if with_ids:
+        buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(closed)]
+        name, last = "ids", pa.Array.from_buffers(pa.binary(), len(doc), buffers)
+    else:
+        raw, at = memoryview(closed).cast("B"), bounds.tolist()
+        name, last = "ids_crc32", pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64())
     return pa.RecordBatch.from_arrays(
-        [doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), blob],
-        names=["doc_id", "piece", "start", "length", "ids"],
+        [doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), last],
+        names=["doc_id", "piece", "start", "length", name],
     )
 
 
@@ -81,106 +92,202 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Kind, int]]:
     """Longest first, each piece into the fullest sequence it fits; equal sequences are handled together."""
-    bins: dict[tuple[int, Kind], int] = {}
+    rooms: dict[int, dict[Kind, int]] = {}  # by room left, what has that much and how often
+    open_rooms = 0
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            fit = [b for b in bins if b[0] >= length]
-            key = min(fit) if fit else (capacity, ())
-            room, kind = key
-            per = min(room // length, left)
-            copies = min(left // per, bins[key]) if fit else left // per
-            new = (room - per * length, (*kind, (length, per)))
+            fit = open_rooms >> length
             if fit:
-                bins[key] -= copies
-                if not bins[key]:
-                    del bins[key]
-            bins[new] = bins.get(new, 0) + copies
-            left -= per * copies
-    return [(kind, n) for (_, kind), n in bins.items()]
+                room = length + (fit & -fit).bit_length() - 1
+                kind, copies = rooms[room].popitem()
+                per = min(room // length, left)
+                taken = min(left // per, copies)
+                if taken < copies:
+                    rooms[room][kind] = copies - taken
+                if not rooms[room]:
+                    open_rooms ^= 1 << room
+            else:
+                room, kind = capacity, ()
+                per = min(room // length, left)
+                taken = left // per
+            room -= per * length
+            new = (*kind, (length, per))
+            held = rooms.setdefault(room, {})
+            held[new] = held.get(new, 0) + taken
+            open_rooms |= 1 << room
+            left -= per * taken
+    return [(kind, n) for held in rooms.values() for kind, n in held.items()]
+
+
+class _Pieces:
+    """How many pieces of every length are left, changed in place."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.of = [0] * (capacity + 1)
+        for length, n in counts.items():
+            self.of[length] = n
+        self.total = sum(n * c for n, c in counts.items())
+        self.lengths = sorted((n for n, c in counts.items() if c), reverse=True)
+        self.first = 0  # of the lengths, all before it are used up
+
+    def take(self, kind: Kind, copies: int) -> None:
+        for length, times in kind:
+            self.of[length] -= times * copies
+            self.total -= length * times * copies
+        while self.first < len(self.lengths) and not self.of[self.lengths[self.first]]:
+            self.first += 1
+
+    def put_back(self, kind: Kind, copies: int) -> None:
+        for length, times in kind:
+            self.of[length] += times * copies
+            self.total += length * times * copies
+        while self.first and self.of[self.lengths[self.first - 1]]:
+            self.first -= 1
+        self.first = min(self.first, next((k for k, n in enumerate(self.lengths) if self.of[n]), len(self.lengths)))
+
+    def counts(self) -> dict[int, int]:
+        return {n: self.of[n] for n in self.lengths if self.of[n]}
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, budget: list[int]) -> list[Kind]:
-    """Undominated fillings of ``room``, fullest first, as far as the budget goes.
+def fillings(pieces: _Pieces, longest: int, capacity: int) -> Iterator[Kind]:
+    """Undominated fillings of a sequence with one piece of length ``longest``, that piece included, fullest first.
 
-    A filling is dominated if a piece left out fits in place of a shorter one of it, or beside all.
+    Which sums the lengths from some point on can still reach is one number with a bit per sum, so
+    the enumeration never enters a branch without a filling of the sum it looks for.
     """
-    found: list[tuple[int, Kind]] = []
-
-    def extend(at: int, room: int, kind: Kind) -> None:
-        if budget[0] <= 0:
-            return
-        budget[0] -= 1
-        while at < len(lengths) and lengths[at] > room:
-            at += 1
-        if at == len(lengths) or not room:
-            if not _dominated(kind, room, counts, lengths):
-                found.append((room, kind))
-            return
-        n = lengths[at]
-        for times in range(min(counts[n], room // n), -1, -1):
-            extend(at + 1, room - times * n, (*kind, (n, times)) if times else kind)
-
-    extend(0, room, ())
-    return [kind for _, kind in sorted(found)]
-
-
-def _dominated(kind: Kind, waste: int, counts: dict[int, int], lengths: list[int]) -> bool:
-    used = dict(kind)
-    spare = [n for n in lengths if counts[n] > used.get(n, 0)]
-    if any(n <= waste for n in spare):
-        return True
-    return any(m < n <= m + waste for m in used for n in spare)
+    room = capacity - longest
+    have: list[tuple[int, int]] = []
+    for length in pieces.lengths[pieces.first :]:
+        n = pieces.of[length] - (length == longest)
+        if n and length <= room:
+            have.append((length, min(n, room // length)))
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for length, most in reversed(have):
+        sums, step = reach[-1], 1
+        while most:  # 1, 2, 4, ... and the rest together give every number of copies
+            step = min(step, most)
+            sums |= (sums << (step * length)) & mask
+            most, step = most - step, step * 2
+        reach.append(sums)
+    reach.reverse()
+
+    def exactly(target: int) -> Iterator[Kind]:
+        stack = [(0, target, ())]
+        while stack:
+            at, left, kind = stack.pop()
+            if not left:
+                yield kind
+                continue
+            while not (at < len(have) and have[at][0] <= left):
+                at += 1
+            length, most = have[at]
+            for times in range(min(most, left // length) + 1):
+                rest = left - times * length
+                if reach[at + 1] >> rest & 1:
+                    stack.append((at + 1, rest, (*kind, (length, times)) if times else kind))
+
+    open_sums = reach[0]
+    while open_sums:
+        target = open_sums.bit_length() - 1
+        open_sums ^= 1 << target
+        for kind in exactly(target):
+            if not _dominated(kind, room - target, pieces, longest):
+                whole = dict(kind)
+                whole[longest] = whole.get(longest, 0) + 1
+                yield tuple(sorted(whole.items(), reverse=True))
+
+
+def _dominated(kind: Kind, waste: int, pieces: _Pieces, longest: int) -> bool:
+    """Whether a piece left out fits in place of some of the filling's that are together no longer.
+
+    Those of equal length count only where they are two pieces or more; none at all, where it fits beside.
+    """
+    used, sums, several = dict(kind), 1, 0
+    for length, times in kind:
+        for _ in range(times):
+            several |= (several << length) | ((sums ^ 1) << length)
+            sums |= sums << length
+    longer, width = sums << 1, 1  # what is longer than a sum by 1 to ``waste``
+    while width < waste:
+        grow = min(width, waste - width)
+        longer |= longer << grow
+        width += grow
+    better = several | (longer if waste else 0)
+    for length in pieces.lengths[pieces.first :]:
+        if better >> length & 1 and pieces.of[length] - (length == longest) > used.get(length, 0):
+            return True
+    return False
 
 
 def complete(counts: dict[int, int], capacity: int, search: int = SEARCH) -> list[tuple[Kind, int]]:
     """Bin completion: fill the sequence of the longest piece, repeat that filling as often as pieces last, go on.
 
-    Depth first, fullest fillings first. A branch ends when the waste so far plus the bound of the
-    rest cannot beat the best plan. The best-fit plan is the first incumbent. ``search`` bounds the
-    steps taken, not the pieces: every piece is in whatever plan comes out.
+    Depth first, fullest fillings first, most copies first. The first descent is taken to its end; its
+    plan replaces the best-fit plan unless that has fewer sequences. From then on a branch ends when the
+    sequences so far and the bound of what is left, the waste so far included in it, cannot beat the
+    best plan, and best fit of what is left after every further choice is an incumbent. ``search``
+    bounds the choices taken after the first descent, whatever the number of lengths; every piece is
+    in whatever plan comes out.
     """
-    counts = {n: c for n, c in counts.items() if c}
-    best = [best_fit(counts, capacity)]
-    size = [sum(n for _, n in best[0])]
-    bound, budget = lower_bound(counts, capacity), [search]
+    return search_plan(counts, capacity, search)[0]
 
-    def rest_bound(left: dict[int, int]) -> int:
-        return -(-sum(n * c for n, c in left.items()) // capacity)
 
-    def step(left: dict[int, int], plan: list[tuple[Kind, int]], used: int) -> None:
-        while True:
-            if not left:
-                if used < size[0]:
-                    best[0], size[0] = list(plan), used
-                return
-            if size[0] <= bound or budget[0] <= 0 or used + rest_bound(left) >= size[0]:
-                return
-            budget[0] -= len(left)
-            tail = best_fit(left, capacity)  # best-fit solution of the rest as an incumbent
-            if used + sum(n for _, n in tail) < size[0]:
-                best[0], size[0] = plan + tail, used + sum(n for _, n in tail)
-                continue
-            break
-        longest = max(left)
-        one = dict(left)
-        one[longest] -= 1
-        lengths = sorted((n for n in one if one[n]), reverse=True)
-        share = [min(budget[0], max(search // 10, 100))]
-        before = share[0]
-        kinds = fillings(lengths, one, capacity - longest, share)
-        budget[0] -= before - share[0]
-        for kind in kinds:
-            whole = dict(kind)
-            whole[longest] = whole.get(longest, 0) + 1
-            copies = min(left[n] // k for n, k in whole.items())
-            after = {n: c - copies * whole.get(n, 0) for n, c in left.items()}
-            step({n: c for n, c in after.items() if c}, [*plan, (tuple(sorted(whole.items(), reverse=True)), copies)], used + copies)
-            if size[0] <= bound or budget[0] <= 0:
-                return
-
-    step(counts, [], 0)
-    return best[0]
+def search_plan(counts: dict[int, int], capacity: int, search: int = SEARCH) -> tuple[list[tuple[Kind, int]], dict[str, int]]:
+    """The plan, and what the search did: its bound, the best-fit plan's size, nodes and fillings."""
+    counts = {n: c for n, c in counts.items() if c}
+    best = best_fit(counts, capacity)
+    size = sum(n for _, n in best)
+    done = {"bound": lower_bound(counts, capacity), "best_fit": size, "nodes": 0, "fillings": 0, "after_descent": 0}
+    if not counts:
+        return [], done
+    pieces = _Pieces(counts, capacity)
+    plan: list[tuple[Kind, int]] = []
+    used, descended = 0, False
+
+    def choices() -> Iterator[tuple[Kind, int]]:
+        longest = pieces.lengths[pieces.first]
+        for kind in fillings(pieces, longest, capacity):
+            done["fillings"] += 1
+            for copies in range(min(pieces.of[n] // k for n, k in kind), 0, -1):
+                yield kind, copies
+
+    stack = [choices()]
+    while stack and not (descended and (size <= done["bound"] or done["after_descent"] > search)):
+        choice = next(stack[-1], None)
+        if choice is None:
+            stack.pop()
+            if plan and stack:
+                kind, copies = plan.pop()
+                pieces.put_back(kind, copies)
+                used -= copies
+            continue
+        kind, copies = choice
+        done["nodes"] += 1
+        done["after_descent"] += descended
+        pieces.take(kind, copies)
+        plan.append(choice)
+        used += copies
+        keep = True
+        if not pieces.total:
+            if used < size or not descended and used == size:
+                best, size = list(plan), used
+            descended, keep = True, False
+        elif descended:
+            if used + -(-pieces.total // capacity) >= size:
+                keep = False
+            else:
+                tail = best_fit(pieces.counts(), capacity)
+                if used + sum(n for _, n in tail) < size:
+                    best, size = plan + tail, used + sum(n for _, n in tail)
+        if keep:
+            stack.append(choices())
+        else:
+            plan.pop()
+            pieces.put_back(kind, copies)
+            used -= copies
+    return best, done
 
 
 # -- applying the plan ---------------------------------------------------------------------------
@@ -241,9 +348,8 @@ def pack_pieces(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, s
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, search: int = SEARCH) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one per piece."""
-    cut = cut_documents(docs.select("doc_id", "text"), vocabulary, capacity)
-    slim = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_pieces(staged(slim, "pieces"), ["doc_id", "piece", "ids_crc32"], capacity, search)
+    cut = cut_documents(docs.select("doc_id", "text"), vocabulary, capacity, with_ids=False)
+    return pack_pieces(staged(cut, "pieces"), ["doc_id", "piece", "ids_crc32"], capacity, search)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
