@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 # No apostrophe (contractions) and no character of a special string.
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-MAX_WORDS = 400_000
+MAX_PARTS = 400_000
 
 
 class WordEncoder:
@@ -32,10 +32,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        """Starts over with an empty memory; what is remembered is bounded by MAX_WORDS words."""
-        self.words: dict[str, int] = {}
+        """Starts over with an empty memory; what is remembered is bounded by MAX_PARTS parts of words and a batch's."""
         self.parts: dict[str, int] = {"": 0}
-        self.word_parts = np.zeros((0, 2), np.int64)
         self.ids = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
         self.lengths = np.zeros(1, np.int64)
@@ -45,9 +43,8 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        slots = self.slots(coded.dictionary.to_pylist())
         codes = np.asarray(coded.indices).astype(np.int64)
-        parts = self.word_parts[slots[codes]].reshape(-1) if len(codes) else np.zeros(0, np.int64)
+        parts = self.word_parts(coded.dictionary)[codes].reshape(-1) if len(codes) else np.zeros(0, np.int64)
         counts = self.lengths[parts]
         ids = self.ids[_index(self.starts[parts], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])
@@ -55,38 +52,43 @@ class WordEncoder:
         bounds = (bounds - bounds[0]) * 2
         return ids, np.diff(ends[bounds])
 
-    def slots(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > MAX_WORDS:
+    def word_parts(self, words: pa.Array) -> np.ndarray:
+        """The two parts of every word: letters and the run behind them, or the whole word and nothing."""
+        if len(self.parts) > MAX_PARTS:
             self.clear()
-        known = self.words
-        new = [w for w in words if w not in known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def _learn(self, words: list[str]) -> None:
-        pairs, plain, odd = [], {}, {}
-        for word in words:
-            stem = word.rstrip(TAIL)
-            lowered = stem.lower()
+        stem = pc.utf8_rtrim(words, TAIL)
+        plain = pc.string_is_ascii(stem)
+        cut = np.asarray(pc.and_(plain, pc.utf8_is_alpha(stem)).to_numpy(zero_copy_only=False)).copy()
+        foreign = np.flatnonzero(~np.asarray(plain.to_numpy(zero_copy_only=False)))
+        if len(foreign):
+            other = stem.take(pa.array(foreign)).dictionary_encode()
             # Letters that lower to more than letters would meet the run behind them.
-            if stem.isalpha() and (stem.isascii() or lowered.isalpha()):
-                stem = lowered if stem.isascii() else stem
-                tail = word[len(stem) :]
-                for part in (stem, tail):
-                    if part not in self.parts:
-                        plain[part] = None
-            else:
-                stem, tail = word, ""
-                if word not in self.parts:
-                    odd[word] = None
-            pairs.append((stem, tail))
-        self._store([*plain], joined=True)
-        self._store([*odd], joined=False)
-        first = len(self.words)
-        self.words.update(zip(words, range(first, first + len(words))))
-        found = np.array([(self.parts[a], self.parts[b]) for a, b in pairs], np.int64)
-        self.word_parts = np.concatenate([self.word_parts, found])
+            letters = np.array([w.isalpha() and w.lower().isalpha() for w in other.dictionary.to_pylist()], bool)
+            cut[foreign] = letters[np.asarray(other.indices)]
+        lowered = pc.if_else(plain, pc.ascii_lower(stem), stem)
+        keys = pc.if_else(pa.array(cut), lowered, words).dictionary_encode()
+        at = np.asarray(keys.indices)
+        joined = np.zeros(len(keys.dictionary), bool)
+        joined[at] = cut
+        first = self._known(keys.dictionary.to_pylist(), joined)[at]
+        size = np.where(cut, np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(stem)), 0)
+        bounds = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[_index(bounds[1:] - size, size)]
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        tails = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        tails = tails.dictionary_encode()
+        known = self._known(tails.dictionary.to_pylist(), np.ones(len(tails.dictionary), bool))
+        return np.stack([first, known[np.asarray(tails.indices)]], axis=1)
+
+    def _known(self, parts: list[str], joined: np.ndarray) -> np.ndarray:
+        """Numbers of different parts; those not met before are encoded, ``joined`` ones many at a time."""
+        known = self.parts
+        missing = [k for k, part in enumerate(parts) if part not in known]
+        if missing:
+            flags = joined[missing]
+            self._store([parts[k] for k, flag in zip(missing, flags) if flag], joined=True)
+            self._store([parts[k] for k, flag in zip(missing, flags) if not flag], joined=False)
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
 
     def _store(self, parts: list[str], joined: bool) -> None:
         for at in range(0, len(parts), 20_000):
