@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import nearcopies, packing, quality, toxicity
+from wardline.llm import packing, quality, simhash, toxicity
 from wardline.llm.base import ship_package, staged, table
 from wardline.llm.catalog import WORD_VOCABULARY
 
@@ -41,15 +41,14 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id, of repeated rows any one.
+    """One document of each SimHash component stays: the one with the smallest id, of repeated rows any one.
 
-    Links are similarities of 0.8 or more over five-word shingles, found by SimHash fingerprints:
-    through the operator's Golay keys, and soft-decision keys for copies beyond three bits.
+    Components are those of the operator itself: fingerprints of three-word shingles, links at three bits.
     """
     ship_package(spark)
     own = staged(_rows(docs).withColumn("uid", F.monotonically_increasing_id()), "pipeline-copies")
     place = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "uid")
-    found = nearcopies.near_copies(own.select(place.alias("id"), F.col("row.text").alias("text")), "id", "text")
+    found = simhash.near_duplicates(own.select(place.alias("id"), F.col("row.text").alias("text")), "id", "text")
     stays = found.where("id = component").select("id.uid")
     return own.join(stays, "uid", "left_semi").select("row.*")
 
