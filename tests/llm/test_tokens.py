@@ -43,7 +43,7 @@ def test_ids(library, texts):
 
 
 def test_ids_with_a_small_memory(library, texts, monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_WORDS", 50)
+    monkeypatch.setattr(tokens, "MAX_PARTS", 50)
     own = tokens.WordEncoder(WORDS)
     for text in texts:
         ids, _ = own.encode(pa.array([text]))
