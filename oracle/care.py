@@ -161,6 +161,38 @@ q("scd2_update", f"""SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN TIMESTAM
 q("stream_scd2_set_aside", """SELECT f.patient_id, f.effective_at - INTERVAL 3 YEAR AS effective_at, 'late' AS reason
     FROM feed f JOIN dim_patients p ON p.patient_id = f.patient_id AND p.is_current
     WHERE f.effective_at - INTERVAL 3 YEAR <= p.valid_from""")
+_EARLY = "SELECT * REPLACE (effective_at - INTERVAL 3 YEAR AS effective_at) FROM feed"
+_LATE = {
+    "early": _EARLY,
+    "late": """SELECT f.* FROM early f JOIN dim_patients p ON p.patient_id = f.patient_id AND p.is_current
+        WHERE f.effective_at <= p.valid_from AND NOT EXISTS (SELECT 1 FROM dim_patients v
+          WHERE v.patient_id = f.patient_id AND v.valid_from = f.effective_at)""",
+    "timeline": f"""SELECT *, FALSE AS is_new FROM dim_patients WHERE patient_id IN (SELECT patient_id FROM late)
+        UNION ALL BY NAME SELECT NULL AS patient_key, l.patient_id, {', '.join(f'p.{c}' for c in _OTHER)},
+          {', '.join(f'l.{c}' for c in feeds.TRACKED)}, l.effective_at AS valid_from, NULL AS valid_to, FALSE AS is_current,
+          NULL AS record_version, l.effective_at AS created_at, NULL AS updated_at, TRUE AS is_new
+          FROM late l JOIN dim_patients p ON p.patient_id = l.patient_id AND p.is_current""",
+    "timeline_opened": f"""SELECT * FROM timeline WINDOW w AS (PARTITION BY patient_id ORDER BY valid_from)
+        QUALIFY NOT is_new OR lag(is_new) OVER w IS NULL OR {' OR '.join(f'{c} IS DISTINCT FROM lag({c}) OVER w' for c in feeds.TRACKED)}""",
+    "timeline_placed": """SELECT *, row_number() OVER w AS place, lead(valid_from) OVER w AS next_from,
+        coalesce(lead(is_new) OVER w, FALSE) AS next_new FROM timeline_opened WINDOW w AS (PARTITION BY patient_id ORDER BY valid_from)""",
+    "timeline_done": """SELECT * EXCLUDE (place, next_from, next_new) REPLACE (
+        CASE WHEN is_new OR (next_new AND valid_to > next_from) THEN next_from ELSE valid_to END AS valid_to,
+        CASE WHEN is_new OR (next_new AND valid_to > next_from) THEN next_from ELSE updated_at END AS updated_at,
+        place::INT AS record_version) FROM timeline_placed""",
+    "spliced": """SELECT * FROM dim_patients WHERE patient_id NOT IN (SELECT patient_id FROM late)
+        UNION ALL BY NAME SELECT * EXCLUDE (is_new) FROM timeline_done WHERE NOT is_new
+        UNION ALL BY NAME SELECT * EXCLUDE (is_new) REPLACE ((SELECT max(patient_key) FROM dim_patients) + row_number() OVER (ORDER BY
+          substr(md5(patient_id || '|' || record_version), 1, 3), patient_id, record_version) AS patient_key)
+          FROM timeline_done WHERE is_new""",
+    **{
+        f"spliced_{name}": re.sub(r"\b(feed_seq|opened)\b", r"spliced_\1", re.sub(r"\bfeed\b", "early", text.replace("dim_patients", "spliced")))
+        for name, text in ((n, CARE[n]) for n in ("feed_seq", "opened", "merged"))
+    },
+}
+q("scd2_apply_late", "SELECT * FROM spliced_merged", **_LATE)
+q("stream_scd2_late", "SELECT * FROM spliced_merged", **_LATE)
+q("scd2_stored_merge", "SELECT * EXCLUDE (patient_key) FROM merged")
 q("late_changes", """SELECT f.* REPLACE (f.effective_at - INTERVAL 3 YEAR AS effective_at) FROM feed f JOIN dim_patients p
     ON p.patient_id = f.patient_id AND p.is_current WHERE f.effective_at - INTERVAL 3 YEAR <= p.valid_from""")
 q("detect_changes", "SELECT * FROM labelled")
@@ -325,14 +357,30 @@ q("error_rate_sliding", _errors(5, 1))
 q("stream_error_rate_sliding", _errors(5, 1))
 q("sustained_errors", _sustained(30, 3))
 q("stream_sustained", _sustained(5, 2))
+# What a watermark of an hour behind the newest request has closed: windows that have ended, runs whose session is over.
+_CLOSED = "(SELECT date_trunc('millisecond', max(\"timestamp\")) - INTERVAL 1 HOUR FROM requests)"
+q("stream_sustained_runs", f"""SELECT window_start, window_end, row_number() OVER (PARTITION BY run ORDER BY window_start) AS alert_windows
+    FROM (SELECT *, max(window_end) OVER (PARTITION BY run) AS run_end FROM (
+      SELECT *, epoch_us(window_start) // 300000000 - row_number() OVER (ORDER BY window_start) AS run
+      FROM ({_errors(5)}) WHERE alert AND window_end <= {_CLOSED}))
+    WHERE run_end - INTERVAL 1 MICROSECOND + INTERVAL 301 SECOND <= {_CLOSED} QUALIFY alert_windows >= 2""")
+q("stream_events_once", "SELECT event_id, ts, event_type, value FROM events")
+# Of three deliveries of the same rows the second meets all keys in state, the third those that the look-back has kept.
+q("stream_events_dropped", """SELECT count(*) + count(*) FILTER (WHERE ts > mark) AS replayed, count(*) FILTER (WHERE ts <= mark) AS late
+    FROM events, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 24 HOUR AS mark FROM events)""")
 _RATE = """SELECT time_bucket(INTERVAL 1 MINUTE, "timestamp") AS window_start,
     time_bucket(INTERVAL 1 MINUTE, "timestamp") + INTERVAL 1 MINUTE AS window_end, path, status_code, count(*) AS requests,
     count(*) / 60e0 AS per_second FROM requests GROUP BY 1, 2, 3, 4"""
 q("request_rate", _RATE)
 q("stream_request_rate", _RATE)
-q("latency_p95", """SELECT *, p95_seconds > 1 AS alert FROM (SELECT time_bucket(INTERVAL 60 MINUTE, "timestamp") AS window_start,
-    time_bucket(INTERVAL 60 MINUTE, "timestamp") + INTERVAL 60 MINUTE AS window_end,
-    quantile_cont(round(duration_seconds * 1e6)::BIGINT, 0.95) / 1e6 AS p95_seconds FROM requests GROUP BY 1, 2)""")
+def _p95(width: int) -> str:
+    return f"""SELECT *, p95_seconds > 1 AS alert FROM (SELECT time_bucket(INTERVAL {width} MINUTE, "timestamp") AS window_start,
+    time_bucket(INTERVAL {width} MINUTE, "timestamp") + INTERVAL {width} MINUTE AS window_end,
+    quantile_cont(round(duration_seconds * 1e6)::BIGINT, 0.95) / 1e6 AS p95_seconds FROM requests GROUP BY 1, 2)"""
+
+
+q("latency_p95", _p95(5))
+q("latency_p95_hourly", _p95(60))
 
 
 def _latency(width: int) -> str:

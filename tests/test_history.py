@@ -10,6 +10,8 @@ from wardline.functions import exprs as X
 from wardline.operators import changes, history, quality
 from wardline.session import new_folder
 from wardline.sources import schemas
+from wardline.sources import versions as versions_module
+from wardline.sources.versions import VersionStore
 
 D = datetime.fromisoformat
 T0, END = D("2025-01-01"), D("9999-12-31T23:59:59")
@@ -84,6 +86,82 @@ def test_late_changes_are_reported_not_merged(spark, dim):
     assert history.scd2_merge(dim, feed, "patient_id", TRACKED).count() == dim.count() + 1
 
 
+@pytest.mark.parametrize("hot", [[], [("p1",)]])
+def test_late_changes_split_closed_versions(spark, dim, hot):
+    feed = source(spark, [
+        change("p1", "2025-01-10", "1 Late"), change("p1", "2025-01-20", "2 Late"), change("p1", "2025-01-15", "1 Late"),  # one is no change
+        change("p1", "2024-06-01", "0 Early"), change("p1", "2025-01-01", "At the start"), change("p2", "2024-12-01"),
+    ])
+    late = history.late_changes(dim, feed, "patient_id")
+    out = history.splice_late(dim, late, "patient_id", TRACKED, hot=hot).cache()
+    check_invariants(out)
+    p1 = versions(out, "p1")
+    assert [(v.address, v.valid_from, v.valid_to, v.is_current) for v in p1] == [
+        ("0 Early", D("2024-06-01"), T0, False), ("123 Old St", T0, D("2025-01-10"), False), ("1 Late", D("2025-01-10"), D("2025-01-20"), False),
+        ("2 Late", D("2025-01-20"), D("2025-02-01"), False), ("5 Elm", D("2025-02-01"), END, True)]
+    assert [v.record_version for v in p1] == [1, 2, 3, 4, 5] and p1[1].patient_key == 1 and p1[4].patient_key == 2
+    assert (p1[1].updated_at, p1[2].created_at, p1[2].updated_at, p1[0].first_name) == (D("2025-01-10"), D("2025-01-10"), D("2025-01-20"), "Ann")
+    assert [(v.valid_from, v.record_version) for v in versions(out, "p2")] == [(D("2024-12-01"), 1), (T0, 2)]
+    assert out.where("patient_id IN ('p3', 'p4')").exceptAll(dim).count() == 0
+    again = history.splice_late(out, history.late_changes(out, feed, "patient_id"), "patient_id", TRACKED)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    assert [r.address for r in history.conflicting(dim, late, "patient_id", TRACKED).collect()] == ["At the start"]
+
+
+def test_apply_takes_late_and_new_changes_of_a_key(spark, dim):
+    feed = source(spark, [change("p1", "2025-01-10", "1 Late"), change("p1", "2025-06-15", "9 New"), change("p7", "2025-03-01")])
+    out = history.scd2_apply(dim, feed, "patient_id", TRACKED)
+    check_invariants(out)
+    assert [v.address for v in versions(out, "p1")] == ["123 Old St", "1 Late", "5 Elm", "9 New"]
+    assert sorted(map(str, history.scd2_apply(out, feed, "patient_id", TRACKED).collect())) == sorted(map(str, out.collect()))
+    assert history.scd2_apply(dim, feed.limit(0), "patient_id", TRACKED).count() == dim.count()
+
+
+def keyless(rows):
+    return sorted(str(r) for r in rows.drop("patient_key").collect())
+
+
+def test_stored_dimension_writes_what_a_batch_touches(spark, dim):
+    store = VersionStore(spark, new_folder(spark, "store"), "patient_id", TRACKED, schemas.DIM_PATIENTS, buckets=8)
+    store.create(dim)
+    store.create(dim.limit(0))  # there is one already
+    assert keyless(store.read()) == keyless(dim)
+    before = set(store.newest()[3])
+    batches = [
+        [change("p2", "2025-06-15", city="Boston")],
+        [change("p1", "2025-01-10", "1 Late"), change("p2", "2025-07-01"), change("p9", "2025-06-15")],
+        [change("p2", "2025-06-20", city="Rome"), change("p2", "2025-06-15", city="Conflict")],
+    ]
+    want = dim
+    for n, rows in enumerate(batches):
+        want = history.scd2_apply(want, source(spark, rows), "patient_id", TRACKED)
+        assert store.merge(source(spark, rows), n)
+        assert not store.merge(source(spark, rows), n)
+        assert keyless(store.read()) == keyless(want)
+        check_invariants(store.read())
+        if not n:  # one bucket's current rows replaced, one closed row added, all else as it was
+            now = set(store.newest()[3])
+            assert len(before - now) == 1 and len(now - before) == 2
+            assert spark.read.parquet(f"{store.folder}/data/commit=1").count() <= 3
+    assert store.read("current").count() == want.where("is_current").count()
+    assert store.read("current", source(spark, batches[0])).where("patient_id = 'p2'").count() == 1
+    aside = store.set_aside(source(spark, []).schema).collect()
+    assert [(r.reason, r.batch) for r in aside] == [("conflict", 2)]
+
+
+def test_stored_dimension_keeps_few_pieces(spark, dim, monkeypatch):
+    monkeypatch.setattr(versions_module, "COMPACT_FROM", 2)
+    store = VersionStore(spark, new_folder(spark, "store"), "patient_id", TRACKED, schemas.DIM_PATIENTS, buckets=1)
+    store.create(dim)
+    want = dim
+    for n in range(5):
+        feed = source(spark, [change("p2", f"2025-0{n + 3}-01", f"{n} Way")])
+        store.merge(feed, n)
+        want = history.scd2_merge(want, feed, "patient_id", TRACKED)
+    assert keyless(store.read()) == keyless(want)
+    assert len(store.newest()[3]) <= 3
+
+
 def test_update_one_key(dim):
     new = {"address": "456 New Street", "city": "Boston", "state": "MA", "zip_code": "02101"}
     got = versions(history.scd2_update(dim, "p2", new, "2025-06-15"), "p2")

@@ -9,6 +9,7 @@ from wardline.operators.history import scd2_merge
 from wardline.plans import feeds
 from wardline.session import new_folder
 from wardline.sources import schemas
+from wardline.sources.versions import VersionStore
 from wardline.streaming import jobs, monitor
 
 D = datetime.fromisoformat
@@ -108,32 +109,40 @@ def test_stream_without_input(spark, star):
     assert jobs.stream_error_rate(spark, source, new_folder(spark, "job")).count() == 0
 
 
-def test_stream_scd2_without_new_input_keeps_its_snapshot(spark, star):
+def stored(spark, star, folder):
+    store = VersionStore(spark, folder, "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS, buckets=4)
+    store.create(star.patients)
+    return store
+
+
+@pytest.mark.parametrize("splice", [True, False])
+def test_stream_scd2_without_new_input_keeps_its_table(spark, star, splice):
     feed = feeds.incoming_patients(star.patients, star.physicians)
-    late = feed.limit(2).withColumn("effective_at", F.lit("1990-01-01").cast("timestamp_ntz"))
+    late = feed.limit(2).withColumn("effective_at", F.lit("1990-01-01").cast("timestamp_ntz")).withColumn("city", F.lit("Elsewhere"))
     bad = feed.limit(1).withColumn("effective_at", F.lit(None).cast("timestamp_ntz"))
     nobody = feed.limit(1).withColumn("patient_id", F.lit(None).cast("string"))
     source, folder = new_folder(spark, "feed"), new_folder(spark, "dim")
-    star.patients.write.parquet(jobs.snapshot(folder, 0))
+    stored(spark, star, folder)
     feed.unionByName(late).unionByName(bad).unionByName(nobody).coalesce(1).write.parquet(source)
 
     def run():
         stream = spark.readStream.schema(feed.schema).parquet(source)
-        return jobs.stream_scd2(stream, folder, "patient_id", feeds.TRACKED)
-
-    assert run() == 1
-    assert run() == 1
-    aside = jobs.read_set_aside(spark, folder, feed.schema)
-    assert sorted(r.reason for r in aside.collect()) == ["late", "late", "no key", "no time"]
-    got = spark.read.schema(schemas.DIM_PATIENTS).parquet(jobs.snapshot(folder, 1)).drop("patient_key")
+        return jobs.stream_scd2(stream, folder, "patient_id", feeds.TRACKED, splice=splice)
+
+    assert run().newest()[:2] == (1, 0)
+    store = run()
+    assert store.newest()[:2] == (1, 0)
+    # A change for the very moment at which history starts is no version of its own.
+    reason = "conflict" if splice else "late"
+    assert sorted(r.reason for r in store.set_aside(feed.schema).collect()) == sorted([reason, reason, "no key", "no time"])
     want = scd2_merge(star.patients, feed, "patient_id", feeds.TRACKED).drop("patient_key")
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, store.read().drop("patient_key").collect())) == sorted(map(str, want.collect()))
 
 
 def test_stream_scd2_in_two_batches(spark, star):
     feed = feeds.incoming_patients(star.patients, star.physicians)
     source, folder = new_folder(spark, "feed"), new_folder(spark, "dim")
-    star.patients.write.parquet(jobs.snapshot(folder, 0))
+    stored(spark, star, folder)
     first = F.col("effective_at") == F.lit(feeds.FIRST_BATCH).cast("timestamp_ntz")
 
     def run():
@@ -141,9 +150,45 @@ def test_stream_scd2_in_two_batches(spark, star):
         return jobs.stream_scd2(stream, folder, "patient_id", feeds.TRACKED)
 
     feed.where(first).coalesce(1).write.parquet(source)
-    assert run() == 1
+    assert run().newest()[0] == 1
     feed.where(~first).coalesce(1).write.mode("append").parquet(source)
-    assert run() == 2
-    got = spark.read.schema(schemas.DIM_PATIENTS).parquet(jobs.snapshot(folder, 2)).drop("patient_key")
+    store = run()
+    assert store.newest()[0] == 2
     want = scd2_merge(star.patients, feed, "patient_id", feeds.TRACKED).drop("patient_key")
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, store.read().drop("patient_key").collect())) == sorted(map(str, want.collect()))
+
+
+def minute_events(spark, folder, minutes, status="error"):
+    """One event a minute, each in its own window of five minutes if five apart."""
+    rows = [(m, T0 + timedelta(minutes=m), m, status, 1.0, None) for m in minutes]
+    spark.createDataFrame(rows, schemas.SOURCE["events"]).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_sustained_alerts_survive_a_restart(spark):
+    source, folder = new_folder(spark, "in"), new_folder(spark, "job")
+
+    def run():
+        rows, _ = jobs.stream_sustained_runs(spark, source, folder, k=3, delay="10 minutes")
+        return sorted((int((r.window_start - T0).total_seconds()) // 60, r.alert_windows) for r in rows.collect())
+
+    minute_events(spark, source, [0, 5, 10])
+    assert run() == []  # the run may go on
+    minute_events(spark, source, [15])
+    assert run() == []
+    minute_events(spark, source, [25, 30, 60])
+    assert run() == [(10, 3), (15, 4)]
+    minute_events(spark, source, [65, 70, 100])
+    assert run() == [(10, 3), (15, 4), (60 + 10, 3)]
+
+
+def test_events_of_a_repeated_file_count_once(spark):
+    source, folder = new_folder(spark, "in"), new_folder(spark, "job")
+    minute_events(spark, source, range(0, 100))
+    rows, dropped = jobs.stream_once(spark, source, folder, lookback="30 minutes")
+    assert rows.count() == 100 and dropped == (0, 0)
+    minute_events(spark, source, range(60, 130))
+    rows, dropped = jobs.stream_once(spark, source, folder, lookback="30 minutes")
+    assert rows.count() == 130 and dropped.replayed + dropped.late == 40
+    minute_events(spark, source, [3, 99, 131])  # the first two are far behind
+    rows, dropped = jobs.stream_once(spark, source, folder, lookback="30 minutes")
+    assert rows.count() == 131 and dropped.late + dropped.replayed == 2 and dropped.late >= 1

@@ -169,6 +169,13 @@ def mean_of_us(us: ColumnLike, unit: float) -> Column:
     return seconds / F.nullif(F.count(c), F.lit(0)) / F.lit(unit / 1e6)
 
 
+def weighted_mean_of_us(us: ColumnLike, times: ColumnLike, unit: float) -> Column:
+    """``mean_of_us`` of a column in which each value stands for as many as ``times`` says."""
+    c, n = _col(us), _col(times)
+    seconds = F.sum(F.call_function("div", c, F.lit(1_000_000)) * n) + F.sum((c % 1_000_000) * n) / F.lit(1e6)
+    return seconds / F.nullif(F.sum(F.when(c.isNotNull(), n)), F.lit(0)) / F.lit(unit / 1e6)
+
+
 def mean_days(us: ColumnLike) -> Column:
     return mean_of_us(us, US_PER_DAY)
 

@@ -128,12 +128,17 @@ def late_changes(dim: DataFrame, source: DataFrame, key: str, eff: str = "effect
     return _with_current(dim, source, key, eff).where(_is_late(eff)).select(*source.columns)
 
 
+def unusable_changes(source: DataFrame, key: str, eff: str = "effective_at") -> DataFrame:
+    """Source rows without a key or a time, with the ``reason``."""
+    bad = source.where(F.col(key).isNull() | F.col(eff).isNull())
+    return bad.withColumn("reason", F.when(F.col(key).isNull(), "no key").otherwise("no time"))
+
+
 def set_aside(dim: DataFrame, source: DataFrame, key: str, eff: str = "effective_at") -> DataFrame:
     """Source rows that the merge does not apply, with the ``reason``: no key, no time, or late."""
-    unusable = F.col(key).isNull() | F.col(eff).isNull()
-    bad = source.where(unusable).withColumn("reason", F.when(F.col(key).isNull(), "no key").otherwise("no time"))
-    late = late_changes(dim, source.where(~unusable), key, eff).withColumn("reason", F.lit("late"))
-    return bad.unionByName(late)
+    usable = source.where(F.col(key).isNotNull() & F.col(eff).isNotNull())
+    late = late_changes(dim, usable, key, eff).withColumn("reason", F.lit("late"))
+    return unusable_changes(source, key, eff).unionByName(late)
 
 
 def scd2_changes(
@@ -174,14 +179,15 @@ def scd2_merge(
     surrogate: str = "patient_key",
     eff: str = "effective_at",
     hot: HotKeys | None = None,
+    top: Column | None = None,
 ) -> DataFrame:
     """The dimension with a batch of changes applied.
 
     New keys start at version 1, changed keys have their current row closed and a new version
     opened, unchanged rows stay. Columns that are not tracked are taken over from the current
     version, or from the source for a new key. Applying the same batch again changes nothing.
-    The changes are needed three times and are staged in the shared folder.
-    Write the result to a new folder and switch readers over: one atomic step.
+    The changes are needed three times and are staged in the shared folder. ``top`` is the largest
+    surrogate key in use, if it is known; new ones follow it. Write the result to a new folder and switch readers over: one atomic step.
     """
     dim_columns = dim.columns
     changes = materialize(scd2_changes(dim, source, key, tracked, eff, hot=hot), "changes")
@@ -210,12 +216,89 @@ def scd2_merge(
         given = F.col(c) if c in source.columns else F.lit(None).cast(dim.schema[c].dataType)
         return F.when(known, F.col(f"cur_{c}")).otherwise(given).alias(c)
 
-    top = dim.agg(F.coalesce(F.max(surrogate), F.lit(0))).scalar()
+    top = _largest(dim, surrogate) if top is None else top
     numbered = number_rows(changes, [key, "record_version"], top, surrogate)
     opened = numbered.select(*[attribute(c) for c in dim_columns])
     return dim.where(~F.col("is_current")).unionByName(current).unionByName(opened)
 
 
+def _largest(dim: DataFrame, surrogate: str) -> Column:
+    return dim.agg(F.coalesce(F.max(surrogate), F.lit(0))).scalar()
+
+
+def conflicting(dim: DataFrame, late: DataFrame, key: str, tracked: Sequence[str], eff: str = "effective_at") -> DataFrame:
+    """Late changes for a moment at which a version of other values starts, with the ``reason``."""
+    starts = dim.select(key, F.col("valid_from").alias(eff), *[F.col(c).alias(f"_own_{c}") for c in tracked])
+    other = reduce(lambda a, b: a | b, [X.differs(c, f"_own_{c}") for c in tracked])
+    return late.join(starts, [key, eff]).where(other).select(*late.columns).withColumn("reason", F.lit("conflict"))
+
+
+def splice_late(
+    dim: DataFrame,
+    late: DataFrame,
+    key: str,
+    tracked: Sequence[str],
+    surrogate: str = "patient_key",
+    eff: str = "effective_at",
+    hot: HotKeys | None = None,
+    top: Column | None = None,
+) -> DataFrame:
+    """The dimension with changes that came late put into its closed history.
+
+    A change inside a closed version, between two or before the first opens a version there, if it
+    differs from what was valid just before; it is valid until the next version starts, and ends the
+    version it falls into. Versions of that key are numbered anew, in order from 1; all others stay as
+    they are. Existing versions keep their values and keys: a change for the very moment at which one
+    starts is a replay, or a conflict that ``conflicting`` lists. Columns that are not tracked come
+    from the key's current version. Splicing the same changes again changes nothing.
+    """
+    columns, rest = dim.columns, [c for c in late.columns if c not in (key, eff)]
+    inside = latest_per_key(late, [key, eff], rest).join(dim.select(key, F.col("valid_from").alias(eff)), [key, eff], "left_anti")
+    inside = materialize(_with_current(dim, inside, key, eff).where(_is_late(eff)), "late")
+    touched = inside.select(key).distinct()
+
+    def attribute(c: str) -> Column:
+        given = {
+            surrogate: F.lit(None), "valid_from": F.col(eff), "valid_to": F.lit(None), "is_current": F.lit(False),
+            "record_version": F.lit(None), "created_at": F.col(eff), "updated_at": F.lit(None),
+        }
+        source = F.col(c) if c == key or c in tracked else given.get(c, F.col(f"cur_{c}") if f"cur_{c}" in inside.columns else F.lit(None))
+        return source.cast(dim.schema[c].dataType).alias(c)
+
+    events = dim.join(touched, key, "left_semi").withColumn("_new", F.lit(False)).unionByName(
+        inside.select(*[attribute(c) for c in columns], F.lit(True).alias("_new"))
+    )
+    hot = hot_keys(inside, [key]) if hot is None else hot
+    seen = ordered_rows(events, [key], ["valid_from"], previous=[*tracked, "_new"], hot=hot)
+    changed = reduce(lambda a, b: a | b, [X.differs(c, f"prev_{c}") for c in tracked])
+    opened = seen.where(~F.col("_new") | F.col("prev__new").isNull() | changed).select(*columns, "_new")
+    placed = ordered_rows(opened, [key], ["valid_from"], following=["valid_from", "_new"], running={"_k": F.lit(1)}, hot=hot)
+    cut = F.coalesce("next__new", F.lit(False)) & (F.col("valid_to") > F.col("next_valid_from"))
+    ends = F.when(F.col("_new") | cut, F.col("next_valid_from"))
+    own = {
+        "valid_to": F.coalesce(ends, "valid_to"), "updated_at": F.coalesce(ends, "updated_at"), "record_version": F.col("_k").cast("int"),
+    }
+    spliced = placed.select(*[own.get(c, F.col(c)).alias(c) for c in columns], "_new")
+    added = number_rows(spliced.where("_new"), [key, "record_version"], _largest(dim, surrogate) if top is None else top, surrogate)
+    return (
+        dim.join(touched, key, "left_anti")
+        .select(*columns)
+        .unionByName(spliced.where(~F.col("_new")).select(*columns))
+        .unionByName(added.select(*columns))
+    )
+
+
+def scd2_apply(
+    dim: DataFrame, source: DataFrame, key: str, tracked: Sequence[str], surrogate: str = "patient_key", eff: str = "effective_at",
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """The dimension with a batch of changes applied, those that came late spliced into its history first."""
+    usable = source.where(F.col(key).isNotNull() & F.col(eff).isNotNull())
+    late = materialize(late_changes(dim, usable, key, eff), "late-changes")
+    spliced = materialize(splice_late(dim, late, key, tracked, surrogate, eff, hot), "spliced")
+    return scd2_merge(spliced, source, key, tracked, surrogate, eff, hot)
+
+
 def scd2_update(dim: DataFrame, key_value: str, changes: dict, at: str, key: str = "patient_id", surrogate: str = "patient_key") -> DataFrame:
     """The merge for one key: a source of one row that keeps what ``changes`` does not name.
 

@@ -1,15 +1,20 @@
 """Exact quantiles and order statistics of groups of any size.
 
+A plan declares what it knows about its groups. Groups that cannot grow with the table, as a day or a
+window is part of their key, are ``bounded``: one aggregate with the built-in exact percentile. All
+others go the way below, and if their aggregates are sums, bounds or means of the very column of the
+quantiles, these come from the same counts (``weighted``), so that the input is read once.
+
 Rows are counted per (group, value): partial counting on the map side, and a shuffle that spreads
 even a single group over its values. Then the counts per bin locate the bins that hold the wanted
 positions, and only those bins are ordered. Both ordered steps handle few rows per group: the bins
-of a group, then the values of a bin. There is one way for all sizes, so a result never depends on
-how large some group is, and building a plan starts no job.
+of a group, then the values of a bin. What way is taken never depends on how large some group is, and
+building a plan starts no job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,18 +36,37 @@ def aggregate_with_quantiles(
     quantiles: Mapping[str, float],
     unit: float = 1.0,
     bin_width: int = HOUR_US,
+    bounded: bool = False,
+    weighted: Callable[[Column, Column], Sequence[Column]] | None = None,
 ) -> DataFrame:
     """Aggregates per group with interpolated quantiles of an integer column, divided by ``unit``.
 
-    NULL values do not count; a group without any value is there with NULL quantiles.
+    NULL values do not count; a group without any value is there with NULL quantiles. ``bounded``
+    declares that no group grows with the table. ``weighted`` gives further aggregates from a column
+    of different values and one of how often each occurs.
     """
-    spread = distributed_quantiles(df, keys, value, quantiles, bin_width, unit)
-    if not keys and not aggregates:
+    if bounded:
+        exact = [(F.percentile(value, F.lit(q)) / F.lit(float(unit))).alias(name) for name, q in quantiles.items()]
+        return df.groupBy(*keys).agg(*aggregates, *exact)
+    counts = value_counts(df, keys, value, bin_width)
+    spread = _quantiles_of_counts(counts, list(keys), quantiles, unit)
+    if weighted is not None:
+        groups = counts.groupBy(*keys).agg(*weighted(F.col("_v"), F.col("_c")))
+        if aggregates:
+            groups = attach_quantiles(groups, df.groupBy(*keys).agg(*aggregates), keys)
+    elif not keys and not aggregates:
         return spread
-    groups = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    else:
+        groups = df.groupBy(*keys).agg(*aggregates) if aggregates else counts.select(*keys).distinct()
     return attach_quantiles(groups, spread, keys)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: Column, bin_width: int) -> DataFrame:
+    """How often each value of a group occurs, NULL among them, with the value's bin."""
+    counts = df.select(*keys, value.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    return counts.withColumn("_bin", F.floor(F.col("_v") / bin_width))
+
+
 def distributed_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,18 +79,15 @@ def distributed_quantiles(
 
     One row per group that has a non-NULL value (without keys: one row of NULLs if there is none).
     """
-    keys = list(keys)
-    counts = (
-        df.select(*keys, value.alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_bin", F.floor(F.col("_v") / bin_width))
-    )
+    return _quantiles_of_counts(value_counts(df, keys, value, bin_width), list(keys), quantiles, unit)
+
+
+def _quantiles_of_counts(counts: DataFrame, keys: list[str], quantiles: Mapping[str, float], unit: float) -> DataFrame:
+    # NULL values weigh nothing. A filter on them would reach below the counting and keep it from being shared.
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (
         counts.groupBy(*keys, "_bin")
-        .agg(F.sum("_c").alias("_bc"))
+        .agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("_c")).otherwise(0)).alias("_bc"))
         .withColumn("_end", F.sum("_bc").over(upto))
         .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*keys)))
         .withColumn("_start", F.col("_end") - F.col("_bc"))

@@ -10,8 +10,9 @@ from wardline.operators import changes, history, occupancy, quality, relations
 from wardline.plans import clinical, dashboards as dash, feeds, learning as ml, lookups, marts, risk, staging
 from wardline.registry import AS_OF, PATIENT, register
 from wardline.session import new_folder
-from wardline.sources import tables
+from wardline.sources import schemas, tables
 from wardline.sources.reference import reference_data
+from wardline.sources.versions import VersionStore
 from wardline.streaming import jobs, monitor
 
 EVENTS = "events*.parquet"
@@ -197,7 +198,8 @@ register("validate_counts", lambda s: monitor.validate_counts(s.patients, s.enco
 register("error_rate", lambda s: monitor.error_rate(s.requests))
 register("error_rate_sliding", lambda s: monitor.error_rate(s.requests, "5 minutes", "1 minute"))
 register("request_rate", lambda s: monitor.request_rate(s.requests))
-register("latency_p95", lambda s: monitor.latency_p95(s.requests, "1 hour"))
+register("latency_p95", lambda s: monitor.latency_p95(s.requests))
+register("latency_p95_hourly", lambda s: monitor.latency_p95(s.requests, "1 hour"))
 register("latency_buckets", lambda s: monitor.latency_buckets(s.requests, "1 hour"))
 register("sustained_errors", lambda s: monitor.sustained(monitor.error_rate(s.requests, "30 minutes"), 3))
 register("filter_logs_errors", lambda s: monitor.filter_logs(monitor.parse_logs(feeds.log_lines(s.requests)), "ERROR"))
@@ -226,28 +228,56 @@ register("stream_sustained", _stream(jobs.stream_sustained, k=2))
 
 
 def _stream_scd2(s) -> DataFrame:
-    folder, newest, _ = _streamed(s, _feed(s))
-    return s.spark.read.parquet(jobs.snapshot(folder, newest))
+    return _streamed(s, _feed(s)).read()
+
+
+def _early_feed(s) -> DataFrame:
+    """The feed three years early: late for patients whose third version has begun by now."""
+    return _feed(s).withColumn("effective_at", X.shift("effective_at", years=-3))
 
 
 def _stream_scd2_set_aside(s) -> DataFrame:
-    """The feed three years early: what the stream's merge could not apply, with the reason."""
-    folder, _, feed = _streamed(s, _feed(s).withColumn("effective_at", X.shift("effective_at", years=-3)))
-    return jobs.read_set_aside(s.spark, folder, feed.schema).select("patient_id", "effective_at", "reason")
+    """What the stream's merge does not apply if late changes are not spliced, with the reason."""
+    feed = _early_feed(s)
+    return _streamed(s, feed, splice=False).set_aside(feed.schema).select("patient_id", "effective_at", "reason")
 
 
-def _streamed(s, feed: DataFrame) -> tuple[str, int, DataFrame]:
+def _streamed(s, feed: DataFrame, **options) -> VersionStore:
     folder = new_folder(s.spark, "scd2")
-    s.patients.write.parquet(jobs.snapshot(folder, 0))
+    VersionStore(s.spark, folder, "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS).create(s.patients)
     feed.write.parquet(f"{folder}/feed")
     source = s.spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
-    jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED)
-    # A second run without new input has to find the same snapshot.
-    return folder, jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED), feed
+    jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED, **options)
+    # A second run without new input has to find the same table.
+    return jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED, **options)
+
+
+def _stored_merge(s) -> DataFrame:
+    """The feed in two deliveries into a stored dimension; the second finds the first's versions current."""
+    store = VersionStore(s.spark, new_folder(s.spark, "store"), "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS)
+    store.create(s.patients)
+    for batch, at in enumerate((feeds.FIRST_BATCH, feeds.SECOND_BATCH)):
+        store.merge(_feed(s).where(F.col("effective_at") == X.ts(at)), batch)
+    return store.read().drop("patient_key")
+
+
+def _replayed(s, times: int = 2) -> tuple[DataFrame, jobs.Dropped]:
+    """Every event in several files, as if a delivery came again."""
+    folder = new_folder(s.spark, "replayed")
+    for _ in range(times):
+        s.source("events").coalesce(1).write.mode("append").parquet(folder)
+    return jobs.stream_once(s.spark, folder, new_folder(s.spark, "stream"), files_per_batch=1)
 
 
 register("stream_scd2", _stream_scd2)
 register("stream_scd2_set_aside", _stream_scd2_set_aside)
+register("scd2_apply_late", lambda s: history.scd2_apply(s.patients, _early_feed(s), "patient_id", feeds.TRACKED))
+register("stream_scd2_late", lambda s: _streamed(s, _early_feed(s)).read())
+register("scd2_stored_merge", _stored_merge)
+register("stream_sustained_runs", lambda s: jobs.stream_sustained_runs(
+    s.spark, f"{s.sf_dir}/{EVENTS}", new_folder(s.spark, "stream"), k=2, delay="1 hour")[0])
+register("stream_events_once", lambda s: _replayed(s)[0].select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value"))
+register("stream_events_dropped", lambda s: s.spark.createDataFrame([_replayed(s, 3)[1]], "late long, replayed long"))
 
 # --- models -------------------------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
@@ -20,13 +20,16 @@ def _stays(encounters: DataFrame, departments: DataFrame) -> DataFrame:
 def length_of_stay(encounters: DataFrame, departments: DataFrame) -> DataFrame:
     keys = ["department_name", "admission_type"]
     rows = _stays(encounters, departments).select(*keys, "los_us")
-    aggregates = [
-        F.count("*").alias("num_encounters"),
-        X.round_n(X.mean_days("los_us"), 2).alias("avg_los_days"),
-        X.round_n(F.min("los_us") / F.lit(DAY), 2).alias("min_los_days"),
-        X.round_n(F.max("los_us") / F.lit(DAY), 2).alias("max_los_days"),
-    ]
-    out = aggregate_with_quantiles(rows, keys, aggregates, F.col("los_us"), {"median_los_days": 0.5}, unit=DAY)
+
+    def of_counts(us: Column, times: Column) -> list[Column]:
+        return [
+            F.sum(times).alias("num_encounters"),
+            X.round_n(X.weighted_mean_of_us(us, times, DAY), 2).alias("avg_los_days"),
+            X.round_n(F.min(us) / F.lit(DAY), 2).alias("min_los_days"),
+            X.round_n(F.max(us) / F.lit(DAY), 2).alias("max_los_days"),
+        ]
+
+    out = aggregate_with_quantiles(rows, keys, [], F.col("los_us"), {"median_los_days": 0.5}, unit=DAY, weighted=of_counts)
     return out.withColumn("median_los_days", F.round("median_los_days", 2))
 
 
@@ -53,7 +56,7 @@ def er_wait_times(encounters: DataFrame, departments: DataFrame, name: str = "Em
         X.round_n(F.max("los_us") / F.lit(HOUR), 2).alias("max_wait_hours"),
     ]
     wanted = {"median_wait_hours": 0.5, "p95_wait_hours": 0.95}
-    out = aggregate_with_quantiles(rows, keys, aggregates, F.col("los_us"), wanted, unit=HOUR)
+    out = aggregate_with_quantiles(rows, keys, aggregates, F.col("los_us"), wanted, unit=HOUR, bounded=True)
     return out.withColumns({name: F.round(name, 2) for name in wanted})
 
 

@@ -28,13 +28,17 @@ def type_breakdown(encounters: DataFrame) -> DataFrame:
 
 
 def mart_encounter_summary(base: DataFrame) -> DataFrame:
-    """Week, month and weekday flag follow from the date and are added after grouping."""
+    """Week, month and weekday flag follow from the date and are added after grouping.
+
+    A day is part of the key, so no group grows with the table: medians and different patients come
+    from the one aggregate.
+    """
     keys = ["encounter_date", "department_name", "admission_type", "patient_age_group", "insurance_category"]
     rows = base.select(
         X.day("admission_date").alias("encounter_date"), *keys[1:], "patient_key", "length_of_stay_days",
         X.los_us().alias("los_us"),
     )
-    patients = F.countDistinct("patient_key")
+    patients = F.size(F.collect_set("patient_key")).cast("bigint")
     emergency, scheduled, transfer = _by_type()
     groups = aggregate_with_quantiles(
         rows,
@@ -52,6 +56,7 @@ def mart_encounter_summary(base: DataFrame) -> DataFrame:
         F.col("los_us"),
         {"median_length_of_stay": 0.5},
         unit=X.US_PER_DAY,
+        bounded=True,
     )
     date = F.col("encounter_date")
     return groups.select(

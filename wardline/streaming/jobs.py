@@ -7,15 +7,16 @@ path that carries its id, so a batch that is repeated after a failure replaces i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators.history import scd2_merge, set_aside
 from wardline.sources import schemas
 from wardline.sources.star import request_log
-from wardline.sources.tables import latest_per_key, materialize
+from wardline.sources.tables import latest_per_key
+from wardline.sources.versions import VersionStore
 from wardline.streaming import monitor
 
 
@@ -80,40 +81,80 @@ def stream_sustained(spark: SparkSession, path: str, folder: str, k: int = 3, **
     return monitor.sustained(stream_error_rate(spark, path, folder, **source), k)
 
 
-def snapshot(folder: str, number: int) -> str:
-    return f"{folder}/snapshot={number}"
+class Dropped(NamedTuple):
+    """Rows that a run of a stream left out: behind the watermark, or of a key it had already."""
 
+    late: int
+    replayed: int
 
-def committed_batches(spark: SparkSession, checkpoint: str) -> int:
-    """How many batches a stream has committed: its commit log holds a file per batch, named by number."""
+
+def run_appended(result: DataFrame, folder: str) -> tuple[DataFrame, Dropped]:
+    """Runs a stream that emits each row once; returns all rows so far and what this run dropped.
+
+    The file sink keeps a log of its batches, so a batch that is repeated is there once. A later run goes
+    on from the checkpoint: state, watermark and what has been read survive a restart. The drops are those
+    of the batches whose progress the session keeps (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    spark = result.sparkSession
+    query = (
+        result.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    states = [op for p in query.recentProgress for op in p.stateOperators]
+    dropped = Dropped(
+        sum(op.numRowsDroppedByWatermark for op in states),
+        sum(int(op.customMetrics.get("numDroppedDuplicateRows", 0)) for op in states),
+    )
     try:
-        commits = spark.read.format("binaryFile").load(f"{checkpoint}/commits")
+        return spark.read.schema(result.schema).parquet(f"{folder}/out"), dropped
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0  # nothing has been committed yet
-    number = F.regexp_extract("path", r"/(\d+)$", 1).try_cast("int")
-    return commits.select(F.max(number)).first()[0] + 1 if not commits.isEmpty() else 0
+        return spark.createDataFrame([], result.schema), dropped
+
+
+def stream_sustained_runs(
+    spark: SparkSession, path: str, folder: str, width: str = "5 minutes", k: int = 3, **source
+) -> tuple[DataFrame, Dropped]:
+    """Sustained alerts kept in the stream's own state; each comes out when its run of windows is over."""
+    return run_appended(monitor.sustained_runs(stream_requests(spark, path, **source), width, k), folder)
+
+
+def stream_once(
+    spark: SparkSession, path: str, folder: str, keys: Sequence[str] = ("event_id",), lookback: str = "24 hours",
+    files_per_batch: int | None = None,
+) -> tuple[DataFrame, Dropped]:
+    """Loads events of which files may come again: a key counts once within the look-back.
+
+    Keys are kept in state for as long as the look-back of incremental loads; rows older than that are
+    dropped and counted.
+    """
+    events = stream_events(spark, path, files_per_batch)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lookback)
+    return run_appended(events.dropDuplicatesWithinWatermark(list(keys)), folder)
 
 
 def stream_scd2(
-    source: DataFrame, folder: str, key: str, tracked: Sequence[str], schema=schemas.DIM_PATIENTS, surrogate: str = "patient_key"
-) -> int:
-    """Merges a stream of changes into a dimension; returns the number of its newest snapshot.
-
-    ``snapshot=0`` below ``folder`` is the starting dimension. Batch n reads snapshot n and
-    writes snapshot n + 1. Rows that the merge sets aside (late, without key or time) go to
-    ``set_aside/batch=n``, so no change vanishes. A run without new input finds the snapshot of
-    the last committed batch.
+    source: DataFrame, folder: str, key: str, tracked: Sequence[str], schema=schemas.DIM_PATIENTS, surrogate: str = "patient_key",
+    splice: bool = True,
+) -> VersionStore:
+    """Merges a stream of changes into the stored dimension below ``folder``, which has to exist.
+
+    A batch that comes again after a failure is known by its id, which the commit carries. Changes that
+    come late are spliced into the history (set aside without ``splice``); what cannot be applied is in
+    the store's ``set_aside``, so no change vanishes.
     """
-    spark = source.sparkSession
+    store = VersionStore(source.sparkSession, folder, key, tracked, schema, surrogate)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        dim = batch.sparkSession.read.schema(schema).parquet(snapshot(folder, batch_id))
-        batch = materialize(batch, "scd2-batch")
-        set_aside(dim, batch, key).write.mode("overwrite").parquet(f"{folder}/set_aside/batch={batch_id}")
-        merged = scd2_merge(dim, batch, key, tracked, surrogate)
-        merged.write.mode("overwrite").parquet(snapshot(folder, batch_id + 1))
+        store.merge(batch, batch_id, splice)
 
     query = (
         source.writeStream.foreachBatch(merge)
@@ -124,14 +165,4 @@ def stream_scd2(
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return committed_batches(spark, f"{folder}/checkpoint")
-
-
-def read_set_aside(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """All changes that the stream's merges have set aside so far, with the batch and the reason."""
-    try:
-        return spark.read.parquet(f"{folder}/set_aside")
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return store

@@ -109,7 +109,7 @@ def latency_p95(requests: DataFrame, width: str = "5 minutes", limit: float = LA
         F.round(F.col("duration_seconds") * 1e6).cast("bigint").alias("us"),
     )
     rows = rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "us")
-    q = aggregate_with_quantiles(rows, ["start", "end"], [], F.col("us"), {"p95_seconds": 0.95}, unit=1e6, bin_width=100_000)
+    q = aggregate_with_quantiles(rows, ["start", "end"], [], F.col("us"), {"p95_seconds": 0.95}, unit=1e6, bounded=True)
     q = q.select(F.struct("start", "end").alias("window"), "p95_seconds")
     return flat_window(q).withColumn("alert", F.col("p95_seconds") > limit)
 
@@ -157,6 +157,26 @@ def sustained(alerts: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def sustained_runs(requests: DataFrame, width: str = "5 minutes", k: int = 3) -> DataFrame:
+    """The rows of ``sustained`` from a stream of requests, by two stateful operators in a row.
+
+    Windows are counted, and those with an alert are gathered in sessions that end where a window
+    without one lies between. A session comes out once the watermark has passed its end, with its
+    alert windows from the ``k``-th on. State holds the open windows and one row per open run.
+    """
+    counts = windows(requests, width, None).agg(F.count("*").alias("requests"), F.sum(is_error().cast("bigint")).alias("errors"))
+    alerts = counts.where(F.col("errors") / F.col("requests") > ERROR_ALERT)
+    alerts = alerts.select(F.window_time("window").alias("at"), F.col("window.start").alias("start"), F.lit("all").alias("scope"))
+    # Neighbours are one width apart, and the next window but one twice as far. Sessions need a key.
+    runs = alerts.groupBy("scope", F.session_window("at", f"{width} 1 second")).agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    step = F.expr(f"INTERVAL '{width}'")
+    spread = runs.where(F.col("n") >= k).select(F.explode(F.sequence(F.lit(k).cast("bigint"), "n")).alias("alert_windows"), "first")
+    start = F.col("first") + step * (F.col("alert_windows") - 1)
+    return spread.select(
+        start.cast("timestamp_ntz").alias("window_start"), (start + step).cast("timestamp_ntz").alias("window_end"), "alert_windows"
+    )
+
+
 def parse_logs(lines: DataFrame, col: str = "value") -> DataFrame:
     record = F.from_json(col, schemas.REQUEST_LOG, {"timestampNTZFormat": LOG_TIME})
     return lines.select(record.alias("r")).select("r.*")
