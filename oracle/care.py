@@ -98,6 +98,16 @@ q("readmitted_flag", """SELECT patient_id, encounter_key, admission_date, discha
 q("temporal_join", """SELECT f.patient_id, encounter_key, admission_date, record_version, valid_from, valid_to, insurance_type, city
     FROM fact_encounters f JOIN dim_patients p ON p.patient_id = f.patient_id AND valid_from <= admission_date
     AND admission_date < valid_to""")
+_CHAINS = """SELECT * FROM (WITH RECURSIVE chain AS (
+      SELECT encounter_key, encounter_key AS first_encounter_key, 0::BIGINT AS depth FROM visit_links WHERE previous IS NULL
+      UNION ALL SELECT l.encounter_key, c.first_encounter_key, c.depth + 1 FROM visit_links l JOIN chain c ON l.previous = c.encounter_key)
+    SELECT * FROM chain)"""
+_LINKS = """SELECT encounter_key, CASE WHEN patient_id IS NOT NULL AND admission_date BETWEEN lag(discharge_date) OVER w
+    AND lag(discharge_date) OVER w + INTERVAL 30 DAY THEN lag(encounter_key) OVER w END AS previous
+    FROM fact_encounters WINDOW w AS (PARTITION BY patient_id ORDER BY admission_date, encounter_key)"""
+q("readmission_chains", _CHAINS, visit_links=_LINKS)
+q("readmission_chain_lengths", f"""SELECT visits, count(*) AS chains FROM (
+    SELECT count(*) AS visits FROM ({_CHAINS}) GROUP BY first_encounter_key) GROUP BY visits""", visit_links=_LINKS)
 q("bed_stays", """SELECT a.encounter_key, a.department_key, a.bed_number, a.event_timestamp AS assigned_at,
     d.event_timestamp AS discharged_at FROM fact_bed_events a LEFT JOIN fact_bed_events d
     ON a.encounter_key = d.encounter_key AND d.event_type = 'bed_discharged' WHERE a.event_type = 'bed_assigned'""")
@@ -438,18 +448,19 @@ q("readmission_model_split", f"""SELECT readmitted_30d, count(*) AS rows, CASE W
 q("readmission_model_saved", """SELECT count(*) AS scored, 0::BIGINT AS changed, 0::BIGINT AS wrong_bands,
     0::BIGINT AS out_of_range FROM asks""")
 q("los_model_spread", "SELECT count(*) AS scored, 0::BIGINT AS out_of_order, 0::BIGINT AS mean_is_not_prediction FROM asks")
+_POINTS = """CASE WHEN age > 75 THEN 25 WHEN age > 65 THEN 15 WHEN age > 50 THEN 5 ELSE 0 END
+    + CASE WHEN length_of_stay < 1 THEN 10 WHEN length_of_stay > 10 THEN 20 ELSE 0 END
+    + CASE WHEN prior_visits >= 5 THEN 30 WHEN prior_visits >= 3 THEN 20 WHEN prior_visits >= 1 THEN 10 ELSE 0 END
+    + CASE admission_type WHEN 'Emergency' THEN 15 WHEN 'Transfer' THEN 10 ELSE 0 END
+    + CASE insurance_type WHEN 'Uninsured' THEN 10 WHEN 'Medicaid' THEN 5 ELSE 0 END
+    + CASE WHEN has_chronic THEN 15 ELSE 0 END"""
 q("risk_score", f"""SELECT encounter_key, risk_score,
     CASE WHEN risk_score >= 70 THEN '{risk.RISK_LEVELS[0][1]}' WHEN risk_score >= 40 THEN '{risk.RISK_LEVELS[1][1]}'
          ELSE '{risk.RISK_LEVELS[2][1]}' END AS risk_level,
     CASE WHEN risk_score >= 70 THEN '{risk.RISK_LEVELS[0][2]}' WHEN risk_score >= 40 THEN '{risk.RISK_LEVELS[1][2]}'
          ELSE '{risk.RISK_LEVELS[2][2]}' END AS recommendation, factors
     FROM (SELECT encounter_key, least(100,
-      CASE WHEN age > 75 THEN 25 WHEN age > 65 THEN 15 WHEN age > 50 THEN 5 ELSE 0 END
-      + CASE WHEN length_of_stay < 1 THEN 10 WHEN length_of_stay > 10 THEN 20 ELSE 0 END
-      + CASE WHEN prior_visits >= 5 THEN 30 WHEN prior_visits >= 3 THEN 20 WHEN prior_visits >= 1 THEN 10 ELSE 0 END
-      + CASE admission_type WHEN 'Emergency' THEN 15 WHEN 'Transfer' THEN 10 ELSE 0 END
-      + CASE insurance_type WHEN 'Uninsured' THEN 10 WHEN 'Medicaid' THEN 5 ELSE 0 END
-      + CASE WHEN has_chronic THEN 15 ELSE 0 END)::BIGINT AS risk_score,
+      {_POINTS})::BIGINT AS risk_score,
       concat_ws('; ', CASE WHEN age > 65 THEN printf('Age %d (senior population)', age) END,
         CASE WHEN length_of_stay > 10 THEN printf('Extended LOS (%d days)', length_of_stay) END,
         CASE WHEN prior_visits >= 3 THEN printf('Frequent visitor (%d prior visits)', prior_visits) END,
@@ -464,6 +475,29 @@ q("los_forecast", f"""SELECT encounter_key, department_name, admission_type, age
       FROM (SELECT encounter_key, department_name, admission_type, {bucket('age', X.AGE_GROUPS)} AS age_group FROM asks) a
       JOIN (SELECT department_name, {quantile_days(0.5)} AS base_los, count(*) AS sample_size FROM stays GROUP BY 1) b
       USING (department_name))""")
+_RISK = {
+    "risk_scored": f"""SELECT a.encounter_key, least(100, {_POINTS})::BIGINT AS score, CASE WHEN EXISTS (SELECT 1 FROM fact_encounters r
+        WHERE r.patient_id = f.patient_id AND r.encounter_key <> f.encounter_key AND r.admission_date BETWEEN f.discharge_date
+        AND f.discharge_date + INTERVAL 30 DAY) THEN 1 ELSE 0 END AS back FROM asks a
+        JOIN (SELECT encounter_key, patient_id, discharge_date FROM fact_encounters) f USING (encounter_key)""",
+    "risk_counts": """SELECT count(*) FILTER (score >= 40 AND back = 1) AS tp, count(*) FILTER (score >= 40 AND back = 0) AS fp,
+        count(*) FILTER (score < 40 AND back = 1) AS fn, count(*) FILTER (score < 40 AND back = 0) AS tn FROM risk_scored""",
+}
+q("risk_score_auc", """SELECT round((sum(place) FILTER (back = 1) - p * (p + 1) / 2) / (p * n), 9) AS roc_auc
+    FROM (SELECT back, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS place,
+      count(*) FILTER (back = 1) OVER () AS p, count(*) FILTER (back = 0) OVER () AS n FROM risk_scored) GROUP BY p, n""", **_RISK)
+q("risk_score_confusion", "SELECT * FROM risk_counts", **_RISK)
+q("risk_score_report", """SELECT 0::INT AS label, tn::DOUBLE / nullif(tn + fn, 0) AS precision, tn::DOUBLE / nullif(tn + fp, 0) AS recall,
+    2 * tn::DOUBLE / nullif(2 * tn + fn + fp, 0) AS f1, tn + fp AS support FROM risk_counts
+    UNION ALL SELECT 1, tp::DOUBLE / nullif(tp + fp, 0), tp::DOUBLE / nullif(tp + fn, 0), 2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0),
+    tp + fn FROM risk_counts""", **_RISK)
+q("los_forecast_figures", """SELECT round(avg(abs(predicted - target)), 4) AS mae, round(sqrt(avg((predicted - target) ** 2)), 4) AS rmse,
+    round(1 - avg((predicted - target) ** 2) / var_pop(target), 4) AS r2 FROM forecast WHERE predicted IS NOT NULL""",
+  forecast=f"""SELECT greatest(0, least(60, a.los_days)) AS target, base_los
+      * CASE admission_type WHEN 'Emergency' THEN 1.2e0 WHEN 'Scheduled' THEN 0.9e0 ELSE 1e0 END
+      * CASE WHEN age_group IN ('55-74', '75+') THEN 1.15e0 WHEN age_group = '0-17' THEN 0.85e0 ELSE 1e0 END AS predicted
+      FROM (SELECT los_days, department_name, admission_type, {bucket('age', X.AGE_GROUPS)} AS age_group FROM asks) a
+      JOIN (SELECT department_name, {quantile_days(0.5)} AS base_los FROM stays GROUP BY 1) b USING (department_name)""")
 _DIAG = "CASE is_emergency WHEN 1 THEN 'Cardiac' ELSE 'General' END AS diagnosis_category"
 q("requests_to_readmission_features", f"""SELECT encounter_key, age, 'General' AS department_name, {_DIAG}, los_days AS length_of_stay,
     prior_visits AS num_previous_visits, CASE is_uninsured WHEN 1 THEN 'Self-Pay' ELSE 'Medicare' END AS insurance_type FROM asks""")

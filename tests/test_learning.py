@@ -1,9 +1,14 @@
 """Models on the smallest data, with few trees."""
 
+import random
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.functions import exprs as X
+from wardline.operators import evaluation
 from wardline.plans import feeds, learning as ml, risk
 from wardline.session import new_folder
 from wardline.sources.tables import materialize
@@ -52,6 +57,47 @@ def test_readmission_model(spark, parts, asks):
     assert sorted(map(str, scores.collect())) == sorted(map(str, ml.score_readmission(model, features).collect()))
 
 
+def test_figures_equal_sql_over_the_stored_scores(spark, parts):
+    """Every figure of both forests from the scored rows, by DuckDB."""
+    train, test = parts
+    scored = ml.scored_readmissions(ml.train_readmission(train, trees=8), test)
+    path = new_folder(spark, "scores")
+    scored.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW s AS SELECT *, readmitted_30d AS y FROM read_parquet('{path}/*.parquet')")
+    auc = con.execute("""SELECT (sum(place) FILTER (y = 1) - p * (p + 1) / 2) / (p * n) FROM (
+        SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS place,
+        count(*) FILTER (y = 1) OVER () AS p, count(*) FILTER (y = 0) OVER () AS n FROM s) GROUP BY p, n""").fetchone()[0]
+    got = ml.binary_figures(scored, "readmitted_30d", "score", F.col("prediction"))
+    assert got["roc_auc"] == pytest.approx(auc, abs=6e-5)
+    rows, right = con.execute("SELECT count(*), count(*) FILTER (prediction = y) FROM s").fetchone()
+    assert (got["test_rows"], got["accuracy"]) == (rows, round(right / rows, 4))
+    want = con.execute("""SELECT c, count(*) FILTER (y = c AND prediction = c) / nullif(count(*) FILTER (prediction = c), 0)::DOUBLE,
+        count(*) FILTER (y = c AND prediction = c) / count(*) FILTER (y = c)::DOUBLE, count(*) FILTER (y = c)
+        FROM s, (VALUES (0), (1)) t(c) GROUP BY c ORDER BY c""").fetchall()
+    report = ml.classification_report(scored).orderBy("label").collect()
+    assert [(r.label, r.precision, r.recall, r.support) for r in report] == [pytest.approx(w) if None not in w else w for w in want]
+    model = ml.train_los(train, trees=5)
+    target = X.clip("length_of_stay", 0.0, ml.LOS_CAP)
+    path = new_folder(spark, "stays")
+    model.transform(ml.prepare(test).withColumn("target", target)).select("target", "prediction").write.parquet(path)
+    mae, rmse, r2 = con.execute(f"""SELECT avg(abs(prediction - target)), sqrt(avg((prediction - target) ** 2)),
+        1 - avg((prediction - target) ** 2) / var_pop(target) FROM read_parquet('{path}/*.parquet')""").fetchone()
+    assert ml.evaluate_los(model, test) == pytest.approx({"mae": mae, "rmse": rmse, "r2": r2}, abs=6e-5)
+
+
+def test_area_under_the_curve_by_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([0.1, 0.2, 0.25, 0.9, rng.random() * 1e-9]), int(rng.random() < 0.3)) for _ in range(400)] + [(None, 1), (0.5, None)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    good, bad = ([s for s, y in rows if s is not None and y == c] for c in (1, 0))
+    want = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    assert evaluation.auc(df, "score", "label").first()[0] == pytest.approx(want)
+    assert evaluation.auc(df.where("label = 1"), "score", "label").first()[0] is None
+    assert evaluation.auc(df.withColumn("score", F.lit(0.3)), "score", "label").first()[0] == 0.5
+    assert evaluation.auc(df.limit(0), "score", "label").first()[0] is None
+
+
 def test_los_model_spread(parts, asks):
     model = ml.train_los(parts[0], trees=5)
     assert set(ml.evaluate_los(model, parts[1])) == {"mae", "rmse", "r2"}

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators.ordered import hot_keys, mark_hot, nearest_target, ordered_rows, trailing_count
-from wardline.operators.relations import readmitted_flag, temporal_join
+from wardline.operators.relations import chain_roots, readmitted_flag, temporal_join
+from wardline.plans import clinical
 
 START = datetime(2001, 1, 1)
 
@@ -143,3 +144,37 @@ def test_temporal_join_is_half_open(spark, visits):
     for k, who, a, _, _ in rows:
         match = [v for w, v, lo, hi in versions if w == who and lo <= a < hi]
         assert got.get(k) == (match[0] if match else None)
+
+
+def test_chain_roots_of_any_depth(spark):
+    """A chain of 300, a tree, a parent that is no node, and a circle."""
+    rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(300)]
+    rows += [("t", None), *[(f"t{i}", "t") for i in range(50)], *[(f"t{i}x", f"t{i}") for i in range(50)], ("o", "gone"), ("o2", "o")]
+    random.Random(3).shuffle(rows)
+    got = {r.node: (r.root, r.depth) for r in chain_roots(spark.createDataFrame(rows, "n string, up string"), "n", "up").collect()}
+    up = dict(rows)
+
+    def climb(n):
+        depth = 0
+        while up.get(n) is not None:
+            n, depth = up[n], depth + 1
+        return n, depth
+
+    assert got == {n: climb(n) for n, _ in rows}
+    assert chain_roots(spark.createDataFrame([], "n string, up string"), "n", "up").count() == 0
+    with pytest.raises(ValueError):
+        chain_roots(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "n int, up int"), "n", "up")
+
+
+@pytest.mark.parametrize("hot", [[], HOT])
+def test_readmission_chains(visits, hot):
+    df, rows = visits
+    got = {r.encounter_key: (r.first_encounter_key, r.depth) for r in clinical.readmission_chains(df, hot=hot).collect()}
+    by = {}
+    for k, who, a, d, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        last = by.get(who)
+        soon = last is not None and who is not None and last[1] is not None and last[1] <= a <= last[1] + timedelta(days=30)
+        root, depth = (last[2], last[3] + 1) if soon else (k, 0)
+        assert got[k] == (root, depth)
+        by[who] = (k, d, root, depth)
+    assert max(depth for _, depth in got.values()) > 2

@@ -19,11 +19,12 @@ def hourly_slots(lo: Column, hi: Column) -> Column:
 def bed_stays(events: DataFrame) -> DataFrame:
     """Stays: a bed with the time it was taken and, if known, the last discharge of its encounter.
 
-    Several events of an encounter on one bed are reduced first, also on the map side; what the
-    window then sees of an encounter is one row per bed it ever had.
+    Events are dealt by encounter once, which serves the grouping by encounter and bed and the window
+    over the encounter; what the window sees of an encounter is one row per bed it ever had.
     """
     at = F.col("event_timestamp")
-    per_bed = events.groupBy("encounter_key", *BED).agg(
+    own = events.select("encounter_key", *BED, "event_type", "event_timestamp").repartition("encounter_key")
+    per_bed = own.groupBy("encounter_key", *BED).agg(
         F.min(F.when(F.col("event_type") == "bed_assigned", at)).alias("assigned_at"),
         F.max(F.when(F.col("event_type") == "bed_discharged", at)).alias("_out"),
     )

@@ -162,7 +162,13 @@ def nearest_target(
     by which targets at one time are ordered, or NULL. Linear in the rows: one sort per slice, no
     pairs.
     """
-    keys = list(keys)
+    return _nearest(probes, targets, list(keys), probe_time, target_time, fields, forward, hot).drop("_t")
+
+
+def _nearest(
+    probes: DataFrame, targets: DataFrame, keys: list[str], probe_time: str, target_time: str, fields: Sequence[str], forward: bool,
+    hot: HotKeys | None,
+) -> DataFrame:
     both = probes.select("*", F.lit(True).alias("is_probe"), F.col(probe_time).alias("_t")).unionByName(
         targets.select("*", F.lit(False).alias("is_probe"), F.col(target_time).alias("_t")), allowMissingColumns=True
     )
@@ -188,7 +194,49 @@ def nearest_target(
     out = rows.withColumn("hit", F.last("_target", ignorenulls=True).over(behind))
     if hot:
         out = out.where(F.col(_POS) == _ROW)
-    return out.select(*both.columns, "hit").drop("_t")
+    return out.select(*both.columns, "hit")
+
+
+def next_two_targets(
+    probes: DataFrame,
+    targets: DataFrame,
+    keys: Sequence[str],
+    probe_time: str,
+    target_time: str,
+    fields: Sequence[str],
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """``nearest_target`` forward, with ``behind``: the target after the one in ``hit``.
+
+    A target carries the one after it along, so the second look needs no more than the first: both
+    windows share one sort. For hot keys the days' last targets are handed on twice, the second time
+    with what they carry.
+    """
+    keys = list(keys)
+    hot = hot_keys(targets, keys) if hot is None else hot
+    rows = _nearest(probes, targets, keys, probe_time, target_time, fields, True, hot)
+    columns = [c for c in rows.columns if c != "_t"]
+    carried = F.struct(F.col("_t").alias("time"), *[F.col(f).alias(f"_{f}") for f in fields], F.col("hit").alias("behind"))
+    rows = rows.withColumn("_target", F.when(~F.col("is_probe"), carried))
+    order = [F.desc("_t"), F.col("is_probe"), *[F.desc(f) for f in fields]]
+    if hot:
+        rows = mark_hot(rows, keys, hot).withColumn(_SLICE, F.when(F.col(_HOT), F.to_date("_t")))
+        place = F.struct("_t", *fields)
+        slices = rows.where(F.col(_HOT) & F.col("_target").isNotNull()).groupBy(*keys, _SLICE).agg(F.min_by("_target", place).alias("_target"))
+        every = rows.where(_HOT).select(*keys, _SLICE).distinct().join(slices, [*keys, _SLICE], "left")
+        passed = Window.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        carry = every.select(
+            *keys, _SLICE, F.lit(_BEFORE).alias(_POS), F.last("_target", ignorenulls=True).over(passed).alias("_target")
+        ).where(F.col("_target").isNotNull())
+        rows = rows.drop(_HOT).withColumn(_POS, F.lit(_ROW)).unionByName(carry, allowMissingColumns=True)
+        w = Window.partitionBy(*keys, _SLICE).orderBy(_POS, *order)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+    last = F.last("_target", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumn("behind", last["behind"])
+    if hot:
+        out = out.where(F.col(_POS) == _ROW)
+    return out.select(*columns, "behind")
 
 
 def trailing_count(

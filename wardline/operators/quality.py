@@ -20,24 +20,61 @@ SAMPLES = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """``build`` takes the tables and the reference date and returns one column of violating keys."""
+    """``build`` takes the tables and the reference date and returns one column of violating keys.
+
+    A rule about single rows says so: ``row`` names its table, its key, and the condition of a violation
+    at a reference date. Rules about rows of one table are tested together, in one pass.
+    """
 
     name: str
     build: Callable[[Tables, str], DataFrame]
     severity: str = "error"
     description: str = ""
+    row: tuple[str, str, Callable[[str], Column]] | None = None
 
 
 # --- rules of the star --------------------------------------------------------------------------
 
 
+def _violations(row: tuple[str, str, Callable[[str], Column]], t: Tables, as_of: str) -> DataFrame:
+    table, key, broken = row
+    return t[table].where(broken(as_of)).select(key)
+
+
+def _name_missing(as_of: str) -> Column:
+    return F.col("first_name").isNull() | F.col("last_name").isNull()
+
+
+def _date_missing(as_of: str) -> Column:
+    return F.col("admission_date").isNull() | F.col("discharge_date").isNull()
+
+
+def _ends_before_it_begins(as_of: str) -> Column:
+    return F.col("discharge_date") <= F.col("admission_date")
+
+
+def _age_out_of_range(as_of: str) -> Column:
+    today, born = X.day_lit(as_of), F.col("date_of_birth")
+    return (born > today) | (born < F.add_months(today, -12 * 120))
+
+
+def _current_but_closed(as_of: str) -> Column:
+    return F.col("is_current") & (F.col("valid_to") < X.ts(as_of))
+
+
+NAMES = ("dim_patients", "patient_key", _name_missing)
+DATES = ("fact_encounters", "encounter_key", _date_missing)
+ORDER = ("fact_encounters", "encounter_key", _ends_before_it_begins)
+AGES = ("dim_patients", "patient_key", _age_out_of_range)
+OPEN = ("dim_patients", "patient_key", _current_but_closed)
+
+
 def patient_names_present(t: Tables, as_of: str) -> DataFrame:
-    return t["dim_patients"].where(F.col("first_name").isNull() | F.col("last_name").isNull()).select("patient_key")
+    return _violations(NAMES, t, as_of)
 
 
 def encounter_dates_present(t: Tables, as_of: str) -> DataFrame:
-    missing = F.col("admission_date").isNull() | F.col("discharge_date").isNull()
-    return t["fact_encounters"].where(missing).select("encounter_key")
+    return _violations(DATES, t, as_of)
 
 
 def encounter_patient_exists(t: Tables, as_of: str) -> DataFrame:
@@ -53,7 +90,7 @@ def bed_event_encounter_exists(t: Tables, as_of: str) -> DataFrame:
 
 
 def discharge_after_admission(t: Tables, as_of: str) -> DataFrame:
-    return t["fact_encounters"].where(F.col("discharge_date") <= F.col("admission_date")).select("encounter_key")
+    return _violations(ORDER, t, as_of)
 
 
 def bed_within_capacity(t: Tables, as_of: str) -> DataFrame:
@@ -63,9 +100,7 @@ def bed_within_capacity(t: Tables, as_of: str) -> DataFrame:
 
 
 def age_reasonable(t: Tables, as_of: str) -> DataFrame:
-    today = X.day_lit(as_of)
-    born = F.col("date_of_birth")
-    return t["dim_patients"].where((born > today) | (born < F.add_months(today, -12 * 120))).select("patient_key")
+    return _violations(AGES, t, as_of)
 
 
 def one_current_row(t: Tables, as_of: str) -> DataFrame:
@@ -79,7 +114,7 @@ def no_history_gaps(t: Tables, as_of: str) -> DataFrame:
 
 
 def current_row_open(t: Tables, as_of: str) -> DataFrame:
-    return t["dim_patients"].where(F.col("is_current") & (F.col("valid_to") < X.ts(as_of))).select("patient_key")
+    return _violations(OPEN, t, as_of)
 
 
 def department_has_physician(t: Tables, as_of: str) -> DataFrame:
@@ -91,9 +126,9 @@ def department_has_physician(t: Tables, as_of: str) -> DataFrame:
 # Names, severities and descriptions of the published checks.
 RULES = [
     Rule("Patients have no NULL names", patient_names_present, "error",
-         "Patient first_name and last_name must never be NULL"),
+         "Patient first_name and last_name must never be NULL", NAMES),
     Rule("Encounters have valid dates", encounter_dates_present, "error",
-         "Every encounter must have both admission and discharge dates"),
+         "Every encounter must have both admission and discharge dates", DATES),
     Rule("All encounters reference valid patients", encounter_patient_exists, "error",
          "Every encounter must reference an existing patient record"),
     Rule("All encounters reference valid departments", encounter_department_exists, "error",
@@ -101,17 +136,17 @@ RULES = [
     Rule("All bed events reference valid encounters", bed_event_encounter_exists, "error",
          "Every bed event must reference an existing encounter"),
     Rule("Discharge dates after admission dates", discharge_after_admission, "error",
-         "Discharge date must always be after admission date"),
+         "Discharge date must always be after admission date", ORDER),
     Rule("Bed numbers within capacity", bed_within_capacity, "error",
          "Bed numbers must be between 1 and the department's bed_capacity"),
     Rule("Patient ages are reasonable", age_reasonable, "error",
-         "Patient date_of_birth must produce an age between 0 and 120 years"),
+         "Patient date_of_birth must produce an age between 0 and 120 years", AGES),
     Rule("Only one current record per patient", one_current_row, "error",
          "Each patient_id must have exactly one row where is_current = TRUE"),
     Rule("No gaps in patient history", no_history_gaps, "error",
          "valid_to of version N must equal valid_from of version N+1 (no history gaps)"),
     Rule("Current records have valid_to in future", current_row_open, "error",
-         "Any record marked is_current = TRUE must have valid_to in the future"),
+         "Any record marked is_current = TRUE must have valid_to in the future", OPEN),
     Rule("All departments have physicians", department_has_physician, "warning",
          "Each department should have at least one physician assigned"),
 ]
@@ -209,19 +244,37 @@ NUMBERS = ("tinyint", "smallint", "int", "bigint")
 # --- running ------------------------------------------------------------------------------------
 
 
+def _by_table(rules: Sequence[Rule]) -> dict[str, list[tuple[int, Rule]]]:
+    out: dict[str, list[tuple[int, Rule]]] = {}
+    for i, rule in enumerate(rules):
+        if rule.row is not None:
+            out.setdefault(rule.row[0], []).append((i, rule))
+    return out
+
+
+def _key(df: DataFrame, name: str) -> list[Column]:
+    number = F.col(name).cast("bigint") if df.schema[name].dataType.simpleString() in NUMBERS else F.lit(None).cast("bigint")
+    return [number.alias("number"), F.col(name).cast("string").alias("key")]
+
+
+def _of_rows(df: DataFrame, as_of: str, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """Violations of all rules about the rows of one table, from one scan."""
+    broken = [F.when(rule.row[2](as_of), F.struct(F.lit(i).alias("rule"), *_key(df, rule.row[1]))) for i, rule in rules]
+    return df.select(F.explode(F.array_compact(F.array(*broken))).alias("v")).select("v.*")
+
+
 def run_rules(tables: Tables, as_of: str, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     """Per rule the number of violations and the smallest violating keys.
 
-    Every rule's violations are found once, in one job over all rules, and staged as (rule, key);
-    counts and samples are read from there.
+    Every rule's violations are found once, in one job, and staged as (rule, key); counts and samples
+    are read from there. Rules about single rows of a table share its scan; one about keys of several
+    tables or rows has its own.
     """
-    found, kinds = [], []
+    found = [_of_rows(tables[table], as_of, own) for table, own in _by_table(rules).items()]
     for i, rule in enumerate(rules):
-        bad = rule.build(tables, as_of)
-        key = F.col(bad.columns[0])
-        kinds.append(bad.schema[0].dataType.simpleString())
-        number = key.cast("bigint") if kinds[-1] in NUMBERS else F.lit(None).cast("bigint")
-        found.append(bad.select(F.lit(i).alias("rule"), number.alias("number"), key.cast("string").alias("key")))
+        if rule.row is None:
+            bad = rule.build(tables, as_of)
+            found.append(bad.select(F.lit(i).alias("rule"), *_key(bad, bad.columns[0])))
     spark = found[0].sparkSession
     broken = materialize(reduce(DataFrame.unionByName, found), "violations")
     counts = broken.groupBy("rule").agg(F.count("*").alias("failure_count"))

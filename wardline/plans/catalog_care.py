@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators import changes, history, occupancy, quality, relations
+from wardline.operators import changes, evaluation, history, occupancy, quality, relations
 from wardline.plans import clinical, dashboards as dash, feeds, learning as ml, lookups, marts, risk, staging
 from wardline.registry import AS_OF, PATIENT, register
 from wardline.session import new_folder
@@ -31,6 +31,8 @@ register("temporal_join", lambda s: relations.temporal_join(
     s.encounters.select("patient_id", "encounter_key", "admission_date"),
     s.patients.select("patient_id", "record_version", "valid_from", "valid_to", "insurance_type", "city"),
     "patient_id", "admission_date"))
+register("readmission_chains", lambda s: clinical.readmission_chains(s.encounters))
+register("readmission_chain_lengths", lambda s: clinical.readmission_chain_lengths(s.encounters))
 register("bed_stays", lambda s: occupancy.bed_stays(s.bed_events))
 register("bed_utilization", lambda s: occupancy.bed_utilization(s.bed_events, s.departments))
 register("bed_timeline", lambda s: occupancy.bed_timeline(s.bed_events, s.departments))
@@ -407,6 +409,27 @@ def _los_model_spread(s) -> DataFrame:
         "mean_is_not_prediction", apart.scalar())
 
 
+def _risk_scored(s) -> DataFrame:
+    """Risk scores of closed visits beside whether the patient came back, and whether the score says so."""
+    flags = relations.readmitted_flag(s.encounters.select("patient_id", "encounter_key", "admission_date", "discharge_date"))
+    scores = risk.risk_score(_requests(s)).select("encounter_key", "risk_score", (F.col("risk_score") >= 40).cast("int").alias("said"))
+    return tables.materialize(scores.join(flags.select("encounter_key", "readmitted_30d"), "encounter_key"), "risk-scored")
+
+
+def _forecast_figures(s) -> DataFrame:
+    asks = _requests(s).select(
+        "encounter_key", "department_name", "admission_type", X.buckets("age", *X.AGE_GROUPS).alias("age_group"), "los_days")
+    found = risk.los_forecast(asks, dash.los_baseline(s.departments, s.encounters))
+    return evaluation.regression(
+        found.where("predicted_los IS NOT NULL").withColumn("target", X.clip("los_days", 0.0, ml.LOS_CAP)), "predicted_los", "target")
+
+
+register("risk_score_auc", lambda s: evaluation.auc(_risk_scored(s), "risk_score", "readmitted_30d").select(
+    F.round("roc_auc", 9).alias("roc_auc")))
+register("risk_score_confusion", lambda s: evaluation.confusion(_risk_scored(s), F.col("said"), "readmitted_30d"))
+register("risk_score_report", lambda s: evaluation.report(
+    evaluation.confusion(_risk_scored(s), F.col("said"), "readmitted_30d")))
+register("los_forecast_figures", _forecast_figures)
 register("readmission_model_split", _model_split)
 register("readmission_model_saved", _saved_readmission_model)
 register("los_model_spread", _los_model_spread)

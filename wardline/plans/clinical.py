@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import exprs as X
 from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows, trailing_count
 from wardline.operators.quantiles import aggregate_with_quantiles
+from wardline.operators.relations import chain_roots
 
 DAY, HOUR = X.US_PER_DAY, X.US_PER_HOUR
 
@@ -282,6 +283,29 @@ def trailing_7d_visits(encounters: DataFrame, hot: HotKeys | None = None) -> Dat
     return trailing_count(rows, ["patient_id"], "admission_date", 7, "visits_7d", hot=hot)
 
 
+def readmission_links(encounters: DataFrame, days: int = 30, hot: HotKeys | None = None) -> DataFrame:
+    """Visits with ``previous``: the patient's visit just before, if it ended within ``days`` before this one began."""
+    rows = encounters.select("patient_id", "encounter_key", "admission_date", "discharge_date")
+    seen = ordered_rows(
+        rows, ["patient_id"], ["admission_date", "encounter_key"], previous=["encounter_key", "discharge_date"], hot=hot
+    )
+    out = F.col("prev_discharge_date")
+    soon = (F.col("admission_date") >= out) & (F.col("admission_date") <= X.shift(out, days=days)) & F.col("patient_id").isNotNull()
+    return seen.select("encounter_key", F.when(soon, F.col("prev_encounter_key")).alias("previous"))
+
+
+def readmission_chains(encounters: DataFrame, days: int = 30, hot: HotKeys | None = None) -> DataFrame:
+    """Per visit the first visit of its chain of readmissions and how many readmissions lie between, any number."""
+    found = chain_roots(readmission_links(encounters, days, hot), "encounter_key", "previous")
+    return found.select(F.col("node").alias("encounter_key"), F.col("root").alias("first_encounter_key"), "depth")
+
+
+def readmission_chain_lengths(encounters: DataFrame, days: int = 30, hot: HotKeys | None = None) -> DataFrame:
+    """How many chains have how many visits."""
+    chains = readmission_chains(encounters, days, hot).groupBy("first_encounter_key").agg(F.count("*").alias("visits"))
+    return chains.groupBy("visits").agg(F.count("*").alias("chains"))
+
+
 def recursive_month_calendar(encounters: DataFrame) -> DataFrame:
     """Every month between the first and last admission, months without a visit included.
 

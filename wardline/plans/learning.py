@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -14,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
+from wardline.operators import evaluation
 from wardline.operators.ordered import HotKeys, hot_keys, ordered_rows
 from wardline.operators.quantiles import aggregate_with_quantiles, value_at_share
 from wardline.operators.relations import readmitted_flag
+from wardline.sources.tables import materialize
 
 # Features in model order, forest settings, limits.
 READMISSION_FEATURES = [
@@ -151,31 +152,17 @@ def importances(model: PipelineModel, kind: str) -> DataFrame:
 
 def classification_report(scored: DataFrame, label: str = "readmitted_30d") -> DataFrame:
     """Precision, recall, F1 and support of both classes from the four confusion counts."""
-    parts = []
-    for c in (0, 1):
-        real, said = F.col(label) == c, F.col("prediction") == c
-        parts.append(
-            scored.agg(
-                X.count_where(real & said).alias("hits"), X.count_where(said).alias("said"), X.count_where(real).alias("support")
-            ).select(
-                F.lit(c).alias("label"),
-                X.ratio("hits", "said").alias("precision"),
-                X.ratio("hits", "support").alias("recall"),
-                X.ratio(F.col("hits") * 2, F.col("said") + F.col("support")).alias("f1"),
-                "support",
-            )
-        )
-    return parts[0].unionByName(parts[1])
+    return evaluation.report(evaluation.confusion(scored, F.col("prediction"), label))
 
 
-def evaluate_readmission(model: PipelineModel, test: DataFrame) -> dict[str, float]:
-    """ROC AUC, accuracy, macro and weighted averages of precision, recall and F1, and the test rows."""
-    scored = model.transform(prepare(test))
-    auc = BinaryClassificationEvaluator(labelCol="readmitted_30d", metricName="areaUnderROC").evaluate(scored)
-    report = classification_report(scored).collect()  # one row per class
-    rows = sum(r["support"] for r in report)
-    right = scored.where(F.col("prediction") == F.col("readmitted_30d")).count()
-    out = {"roc_auc": round(auc, 4), "accuracy": round(right / rows, 4) if rows else 0.0, "test_rows": float(rows)}
+def binary_figures(scored: DataFrame, label: str, score: str, prediction: Column) -> dict[str, float]:
+    """ROC AUC, accuracy, macro and weighted averages of precision, recall and F1, and the rows."""
+    auc = evaluation.auc(scored, score, label).first()[0]
+    counts = evaluation.confusion(scored, prediction, label)
+    found = counts.first()
+    report = evaluation.report(counts).collect()  # one row per class
+    rows = sum(found)
+    out = {"roc_auc": round(auc or 0.0, 4), "accuracy": round((found.tp + found.tn) / rows, 4) if rows else 0.0, "test_rows": float(rows)}
     for name in ("precision", "recall", "f1"):
         values = [(r[name] or 0.0, r["support"]) for r in report]
         out[f"macro_{name}"] = round(sum(v for v, _ in values) / len(values), 4)
@@ -183,12 +170,19 @@ def evaluate_readmission(model: PipelineModel, test: DataFrame) -> dict[str, flo
     return out
 
 
+def scored_readmissions(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """The test rows scored once and stored: label, probability, prediction."""
+    scored = model.transform(prepare(test))
+    return materialize(scored.select("encounter_key", "readmitted_30d", vector_to_array("probability")[1].alias("score"), "prediction"), "scored")
+
+
+def evaluate_readmission(model: PipelineModel, test: DataFrame) -> dict[str, float]:
+    return binary_figures(scored_readmissions(model, test), "readmitted_30d", "score", F.col("prediction"))
+
+
 def evaluate_los(model: PipelineModel, test: DataFrame) -> dict[str, float]:
     scored = model.transform(prepare(test).withColumn("target", X.clip("length_of_stay", 0.0, LOS_CAP)))
-    metrics = {}
-    for name in ("mae", "rmse", "r2"):
-        metrics[name] = round(RegressionEvaluator(labelCol="target", metricName=name).evaluate(scored), 4)
-    return metrics
+    return evaluation.regression(scored, "prediction", "target").first().asDict()
 
 
 def readmission_rate(df: DataFrame) -> DataFrame:
