@@ -9,6 +9,7 @@ from oracle.reports import EXTRA, SQL as REPORTS
 from wardline.functions import exprs as X
 from wardline.operators.quality import RULES
 from wardline.plans import feeds, learning, risk
+from wardline.plans.marts import VIEWS
 from wardline.sources.reference import DEPARTMENTS
 from wardline.streaming.monitor import DURATION_BOUNDS
 
@@ -203,6 +204,10 @@ _LATE = {
 q("scd2_apply_late", "SELECT * FROM spliced_merged", **_LATE)
 q("stream_scd2_late", "SELECT * FROM spliced_merged", **_LATE)
 q("scd2_stored_merge", "SELECT * EXCLUDE (patient_key) FROM merged")
+for _view in VIEWS:
+    SQL[f"{_view}_after_loads"] = REPORTS[_view]
+q("stored_visits_of_a_quarter", """SELECT encounter_key, patient_id, admission_date FROM fact_encounters
+    WHERE admission_date >= TIMESTAMP '1997-01-01' AND admission_date < TIMESTAMP '1997-04-01'""")
 q("late_changes", """SELECT f.* REPLACE (f.effective_at - INTERVAL 3 YEAR AS effective_at) FROM feed f JOIN dim_patients p
     ON p.patient_id = f.patient_id AND p.is_current WHERE f.effective_at - INTERVAL 3 YEAR <= p.valid_from""")
 q("detect_changes", "SELECT * FROM labelled")

@@ -49,7 +49,7 @@ def aggregate_with_quantiles(
         exact = [(F.percentile(value, F.lit(q)) / F.lit(float(unit))).alias(name) for name, q in quantiles.items()]
         return df.groupBy(*keys).agg(*aggregates, *exact)
     counts = value_counts(df, keys, value, bin_width)
-    spread = _quantiles_of_counts(counts, list(keys), quantiles, unit)
+    spread = quantiles_of_counts(counts, list(keys), quantiles, unit)
     if weighted is not None:
         groups = counts.groupBy(*keys).agg(*weighted(F.col("_v"), F.col("_c")))
         if aggregates:
@@ -79,10 +79,11 @@ def distributed_quantiles(
 
     One row per group that has a non-NULL value (without keys: one row of NULLs if there is none).
     """
-    return _quantiles_of_counts(value_counts(df, keys, value, bin_width), list(keys), quantiles, unit)
+    return quantiles_of_counts(value_counts(df, keys, value, bin_width), list(keys), quantiles, unit)
 
 
-def _quantiles_of_counts(counts: DataFrame, keys: list[str], quantiles: Mapping[str, float], unit: float) -> DataFrame:
+def quantiles_of_counts(counts: DataFrame, keys: list[str], quantiles: Mapping[str, float], unit: float) -> DataFrame:
+    """Quantiles per group from rows of a value ``_v``, how often it occurs ``_c``, and its ``_bin``."""
     # NULL values weigh nothing. A filter on them would reach below the counting and keep it from being shared.
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (

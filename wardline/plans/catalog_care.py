@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from wardline.functions import exprs as X
 from wardline.operators import changes, evaluation, history, occupancy, quality, relations
 from wardline.plans import clinical, dashboards as dash, feeds, learning as ml, lookups, marts, risk, staging
+from wardline.plans.refresh import ViewStore
 from wardline.registry import AS_OF, PATIENT, register
 from wardline.session import new_folder
 from wardline.sources import schemas, tables
 from wardline.sources.reference import reference_data
+from wardline.sources.stored import StoredFact
 from wardline.sources.versions import VersionStore
 from wardline.streaming import jobs, monitor
 
 EVENTS = "events*.parquet"
 MARK = "2001-06-01 00:00:00"
+HALF = "1998-06-15 12:00:00"
 
 # --- joins and occupancy ------------------------------------------------------------------------
 
@@ -127,6 +130,34 @@ def _record_load(s) -> DataFrame:
     return s.spark.read.parquet(path)
 
 
+def _view_after_loads(s, name: str) -> DataFrame:
+    """A view after the first half of the visits was loaded, then the rest: only what the rest touches is computed anew."""
+    folder = new_folder(s.spark, "views")
+    store = ViewStore(
+        s.spark, folder, StoredFact(s.spark, f"{folder}/visits", schemas.FACT_ENCOUNTERS, "admission_date", "patient_id"),
+        StoredFact(s.spark, f"{folder}/beds", schemas.FACT_BED_EVENTS, "event_timestamp", "encounter_key"),
+        s.departments, s.physicians, s.patients, s.as_of, [name],
+    )
+    for part in (F.col("created_at") < X.ts(HALF), F.col("created_at") >= X.ts(HALF)):
+        visits, beds = (tables.materialize(df.where(part), "load") for df in (s.encounters, s.bed_events))
+        store.load(visits, beds)
+    return store.read(name)
+
+
+for _view in marts.VIEWS:
+    register(f"{_view}_after_loads", lambda s, n=_view: _view_after_loads(s, n))
+
+
+def _stored_period(s) -> DataFrame:
+    """Visits of one quarter from a fact stored by month: other months are not opened."""
+    fact = StoredFact(s.spark, new_folder(s.spark, "stored"), schemas.FACT_ENCOUNTERS, "admission_date", "patient_id")
+    fact.load(s.encounters)
+    return fact.period("1997-01-01 00:00:00", "1997-04-01 00:00:00").select("encounter_key", "patient_id", "admission_date")
+
+
+register("stored_visits_of_a_quarter", _stored_period)
+
+
 def _refresh(s) -> DataFrame:
     return marts.refresh_marts(s.spark, marts.view_builders(s.tables, s.as_of), new_folder(s.spark, "marts"))
 

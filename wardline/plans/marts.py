@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
@@ -156,6 +156,11 @@ def mv_department_performance(
         unit=X.US_PER_DAY,
     )
     beds = bed_events.groupBy("department_key").agg(F.countDistinct("bed_number").alias("beds"))
+    return department_view(departments, visits, beds, physicians)
+
+
+def department_view(departments: DataFrame, visits: DataFrame, beds: DataFrame, physicians: DataFrame) -> DataFrame:
+    """The view from figures by department, one row each."""
     staff = physicians.groupBy("department_key").agg(F.count("*").alias("staff"))
     joined = (
         departments.join(visits, "department_key", "left")
@@ -199,8 +204,8 @@ def mv_patient_demographics(patients: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def mv_weekly_trends(encounters: DataFrame) -> DataFrame:
-    weeks = (
+def weekly_figures(encounters: DataFrame) -> DataFrame:
+    return (
         encounters.withColumn("los_us", X.los_us())
         .groupBy(X.trunc_ntz("week", "admission_date").alias("week_start"))
         .agg(
@@ -211,7 +216,14 @@ def mv_weekly_trends(encounters: DataFrame) -> DataFrame:
             X.count_type("Scheduled").alias("scheduled_admissions"),
         )
     )
-    # One row per week of history: a single ordered pass is short whatever the fact holds.
+
+
+def mv_weekly_trends(encounters: DataFrame) -> DataFrame:
+    return weekly_view(weekly_figures(encounters))
+
+
+def weekly_view(weeks: DataFrame) -> DataFrame:
+    """The view from figures by week. One ordered pass over one row a week is short whatever the fact holds."""
     before = F.lag("weekly_admissions").over(Window.orderBy("week_start"))
     change = F.col("weekly_admissions") - before
     return weeks.select(
@@ -241,7 +253,11 @@ def mv_top_complaints(encounters: DataFrame, k: int = 20) -> DataFrame:
             X.count_type("Emergency").alias("emergency_count"),
         )
     )
-    total = encounters.agg(F.count("*")).scalar()
+    return complaint_view(groups, encounters.agg(F.count("*")).scalar(), k)
+
+
+def complaint_view(groups: DataFrame, total: Column, k: int = 20) -> DataFrame:
+    """The view from figures by complaint and the number of all visits."""
     top = groups.orderBy(F.desc("encounter_count"), F.col("chief_complaint").asc_nulls_last()).limit(k)
     rank = F.rank().over(Window.orderBy(F.desc("encounter_count"))).cast("bigint")
     return top.select(
