@@ -7,6 +7,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -83,6 +84,34 @@ def test_truncation_is_the_longest(spark, library):
         assert counts.token_counts(df, WORDS, limit).first().fit_chars == want
 
 
+def test_the_programs_own_counts_of_latin_words(library):
+    """Without the library's word: every word of the documents whose letters are Latin."""
+    own = counts.PrefixCounts(WORDS)
+    own.library = None
+    docs = pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()
+    words = sorted({w for t in docs for w in (t or "").split() if max(w) <= counts.LATIN})
+    assert len(words) > 10_000 and sum(not w.isascii() for w in words) > 2_000
+    for word in words:
+        assert own.word(word) == len(library.encode(word, add_special_tokens=False).ids), word
+
+
+def test_stored_prefixes_answer_any_budget(spark, library, texts):
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", " \n"])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, upto int")
+    table = counts.prefix_counts(df, WORDS).cache()
+    for budget in (0, 1, 7, 40, 10**6):
+        for r in counts.within_budget(table, budget).collect():
+            text = rows[r.doc_id][1] or ""
+            assert r.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+            fits = [0]
+            for m in counts.WORD.finditer(text):
+                if len(library.encode(text[: m.end()], add_special_tokens=False).ids) > budget:
+                    break
+                fits.append(m.end())
+            assert r.fit_chars == fits[-1]
+            assert r.fit_tokens == len(library.encode(text[: fits[-1]], add_special_tokens=False).ids) <= budget
+
+
 def test_byte_level_round_trip(spark, texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -31,6 +31,7 @@ MAX_WORDS = 600_000
 LONG = 40
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NEVER = 1 << 30
+LATIN = "\u024f"
 
 
 def byte_letters() -> list[str]:
@@ -184,23 +185,21 @@ class PrefixCounts:
             count += self._plain(word[at : m.start()]) + 1
             at = m.end()
         count += self._plain(word[at:])
-        if not word.isascii():  # letters and case of other scripts hang on the library's edition of Unicode
-            return self._checked(word, count)
-        return count
+        return self._checked(word, count)
 
     def _letters(self, word: str) -> int:
         """Count of a word of letters only, in normal form and lower case."""
         found = self.stems.get(word)
         if found is None:
             found = self.finished(self.spell(word))
-            if not word.isascii():
-                found = self._checked(word, found)
-            self.stems[word] = found
+            found = self.stems[word] = self._checked(word, found)
         return found
 
     def _checked(self, word: str, count: int) -> int:
-        exact = len(self.library.encode(word, add_special_tokens=False).ids)
-        return count if count == exact else exact
+        """The count itself; for scripts beyond Latin, whose letters and cases hang on the library's edition of Unicode, as it says."""
+        if word.isascii() or max(word) <= LATIN:
+            return count
+        return len(self.library.encode(word, add_special_tokens=False).ids)
 
     def _plain(self, text: str) -> int:
         lowered = unicodedata.normalize("NFC", text).lower()
@@ -301,3 +300,39 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+
+
+def prefix_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Rows (doc_id, ends, upto): for every word of a text where it ends, in characters, and the tokens up to there.
+
+    Nulls and empty texts have no words; the rest as for ``token_counts``. Stored once, the table answers
+    any budget, see ``within_budget``.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(vocabulary)
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                ends, upto = [], []
+                for value in part.column("text"):
+                    found = list(WORD.finditer(value.as_py() or ""))
+                    ends.append([m.end() for m in found])
+                    upto.append(np.cumsum(own.count_words([m.group() for m in found])).tolist())
+                kinds = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(ends, kinds), pa.array(upto, kinds)], names=["doc_id", "ends", "upto"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(count, f"doc_id {kind}, ends array<long>, upto array<long>")
+
+
+def within_budget(prefixes: DataFrame, budget: int) -> DataFrame:
+    """Rows (doc_id, n_tokens, fit_chars, fit_tokens): the longest beginning of whole words within ``budget`` tokens."""
+    words = F.size(F.filter("upto", lambda n: n <= budget))
+    return prefixes.select(
+        "doc_id", F.coalesce(F.try_element_at("upto", F.lit(-1)), F.lit(0)).alias("n_tokens"),
+        F.when(words > 0, F.get("ends", words - 1)).otherwise(0).alias("fit_chars"),
+        F.when(words > 0, F.get("upto", words - 1)).otherwise(0).alias("fit_tokens"),
+    )
