@@ -92,7 +92,9 @@ _CODEC: list = []
 
 
 def _packed(ids: np.ndarray) -> bytes:
-    """Ids in little-endian unsigned 16 bits, compressed for the way between tasks."""
+    """Ids in little-endian unsigned 16 bits, compressed for the way between tasks; larger ids are an error."""
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit the shards' 16 bits")
     return _codec()[0](ids.astype("<u2").tobytes())
 
 
@@ -138,12 +140,14 @@ def part_begins(stream: DataFrame) -> tuple[dict[int, int], int]:
 def fragments(stream: DataFrame, begins: dict[int, int], permute: Permutation, length: int, per_shard: int, with_ids: bool) -> DataFrame:
     """Documents cut at sequence ends: rows (doc_id, sequence, slot, shard, offset, n), and their ids if wanted."""
     columns = ["doc_id", "part", "start", "n", *(["ids"] if with_ids else [])]
+    parts = np.array(sorted(begins), np.int64)  # two numbers per input partition go to the tasks
+    places = np.array([begins[p] for p in parts.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in byte_slices(batch, "ids") if with_ids else [batch]:
                 part, start = np.asarray(piece.column("part")), np.asarray(piece.column("start"))
-                begin = start + np.fromiter((begins[p] for p in part), np.int64, len(part))
+                begin = start + places[np.searchsorted(parts, part)]
                 end = begin + np.asarray(piece.column("n"))
                 first, last = begin // length, (end - 1) // length
                 doc = np.repeat(np.arange(len(part)), last - first + 1)
@@ -237,8 +241,9 @@ def write_shards(pieces: DataFrame, folder: str, n_slots: int, length: int = LEN
         )
 
     parts = min(max(n_shards, 1), max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    # A shard is a range of slots and a permutation fills all alike: no sampling is needed to deal them.
-    dealt = pieces.select("shard", "slot", "offset", "ids").repartition(parts, "shard")
+    # A permutation fills all shards alike, so equal ranges of shards are equal shares: no sampling is needed.
+    place = F.floor(F.col("shard") * parts / max(n_shards, 1)).cast("int")
+    dealt = pieces.select("shard", "slot", "offset", "ids").repartitionById(parts, place)
     return dealt.sortWithinPartitions("slot", "offset").mapInArrow(run, "shard long, bytes long")
 
 
