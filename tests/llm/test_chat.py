@@ -5,6 +5,8 @@ import os
 import random
 import sys
 
+import numpy as np
+
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 from oracle_compare import compare, connect
 from wardline.llm import catalog, chat
@@ -57,11 +59,34 @@ def test_odd_rows(spark):
     rows += [(71, 1, "assistant", "same"), (71, 1, "assistant", "same"), (72, 1, "assistant", "long \\ <s>" * 50_000)]
     rows += [(73, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(3000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    found = got(df)
-    wanted = {c: want(t) for c, t in by_conversation(rows).items()}
+    found = got(df.where("conv_id IS NOT NULL"))
+    wanted = {c: want(t) for c, t in by_conversation(rows).items() if c is not None}
     assert {c: r[:4] for c, r in found.items()} == wanted
-    for r in chat.format_conversations(df).collect():
+    for r in chat.format_conversations(df.where("conv_id IS NOT NULL")).collect():
         assert chat.read_back(r.formatted) == by_conversation(rows)[r.conv_id]
+    alone = chat.digests(chat.format_conversations(df)).where("conv_id IS NULL").collect()  # a conversation a turn
+    assert sorted(tuple(r)[1:5] for r in alone) == sorted([want([("user", "a")]), want([("assistant", "b")])])
+
+
+def test_buffer_is_filled_in_bounded_pieces(spark, monkeypatch):
+    rows = [(c, t, "assistant", "é" * (c * 7 % 50) + "long" * (500 * (c == 3))) for c in range(30) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "SCATTER_BYTES", 64)
+    batch = df.toArrow()
+    formatted, _, _ = chat.assemble(batch.column("role").combine_chunks(), batch.column("text").combine_chunks(), np.arange(0, 120, 4))
+    turns = by_conversation(rows)
+    assert [chat.read_back(x.as_py()) for x in formatted] == [turns[c] for c in range(30)]
+
+
+def test_sql_takes_rows_without_a_conversation_or_a_turn_alike(spark, tmp_path):
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (1, 2, "assistant", "b"), (1, None, "assistant", "c"), (1, None, "system", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/t")
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/t/*.parquet')")
+    own = chat.digests(chat.format_conversations(chat.fixed_conversation(df)))
+    _, problem = compare(own, con, chat.SQL)
+    assert not problem, problem
 
 
 def test_small_batches_cut_no_conversation(spark):

@@ -5,8 +5,9 @@ inside roles and texts get a backslash after their first character and backslash
 no text can imitate a mark and everything can be read back. The loss mask covers what stands
 between ``<|text|>`` and ``<|end|>`` of assistant turns.
 
-Nulls: a null role or text counts as empty; turns without a conversation id form one conversation
-of their own; turns without a number come first. Turns of equal number stand in the order of role
+Nulls: a null role or text counts as empty; a turn without a conversation id is a conversation of
+its own; turns without a number come first. A conversation's formatted text has to fit into a string
+of 2 GB; a longer one is an error that names it. Turns of equal number stand in the order of role
 and text, repeated rows are turns of their own. An empty table gives an empty result; other
 columns are not looked at.
 """
@@ -31,6 +32,7 @@ CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</S
 TRAINED_ROLE = "assistant"
 SPANS = "array<struct<start:long,end:long>>"
 MAX_BYTES = 64 << 20
+SCATTER_BYTES = 4 << 20
 
 
 def escape(col: pa.Array) -> pa.Array:
@@ -55,11 +57,27 @@ def _raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, bounds[:-1], np.diff(bounds)
 
 
+def _scatter(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All segments, one after the other, in one buffer; indices exist for SCATTER_BYTES of it at a time."""
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    first = 0
+    while first < len(lengths):
+        at = int(ends[first] - lengths[first])
+        stop = max(first + 1, int(np.searchsorted(ends, at + SCATTER_BYTES, side="right")))
+        if stop == first + 1:
+            out[at : int(ends[first])] = source[starts[first] : starts[first] + lengths[first]]
+        else:
+            out[at : int(ends[stop - 1])] = source[spans_to_index(starts[first:stop], lengths[first:stop])]
+        first = stop
+    return out
+
+
 def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Formatted conversations, and start and end of every turn's text in characters of its conversation.
 
     ``first`` has the row at which each conversation starts. Segment lengths and their cumulative
-    sums give every segment's place; one gather copies marks, roles and texts into the output.
+    sums give every segment's place; marks, roles and texts are copied into one preallocated buffer.
     """
     n = len(roles)
     roles, texts = escape(roles), escape(texts)
@@ -79,7 +97,7 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Ar
         )
     ):
         starts[:, k], lengths[:, k] = at, size
-    out = source[spans_to_index(starts.reshape(-1), lengths.reshape(-1))]
+    out = _scatter(source, starts.reshape(-1), lengths.reshape(-1))
     turn_ends = np.cumsum(lengths.sum(axis=1))
     bounds = np.concatenate([[0], turn_ends])[np.append(first, n)].astype(np.int64)
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(out)])
@@ -96,7 +114,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     kind = turns.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_runs(batches, ["conv_id"]):
+        for table, first in whole_runs(batches, ["conv_id", "_alone"]):
             roles, texts = (pc.fill_null(table.column(c).combine_chunks(), "") for c in ("role", "text"))
             sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
             upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -113,15 +131,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 spans = pa.StructArray.from_arrays([pa.array(begin[trained]), pa.array(end[trained])], names=["start", "end"])
                 held = np.concatenate([[0], np.cumsum(trained)])[np.append(some, high - low)].astype(np.int32)
                 ids = table.column("conv_id").combine_chunks().take(pa.array(first[at:stop]))
+                if formatted.nbytes >= (1 << 31) - 1:
+                    raise ValueError(f"conversation {ids[0]} is longer than a string can be")
                 yield pa.RecordBatch.from_arrays(
-                    [ids, formatted.cast(pa.string()) if formatted.nbytes < (1 << 31) - 1 else formatted,
-                     pa.ListArray.from_arrays(pa.array(held), spans)],
+                    [ids, formatted.cast(pa.string()), pa.ListArray.from_arrays(pa.array(held), spans)],
                     names=["conv_id", "formatted", "loss_spans"],
                 )
                 at = stop
 
-    slim = turns.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
-    ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+    slim = turns.select("conv_id", alone, "turn", F.col("role").cast("string"), F.col("text").cast("string"))
+    ordered = slim.repartition("conv_id", "_alone").sortWithinPartitions("conv_id", "_alone", "turn", "role", "text")
     return ordered.mapInArrow(run, f"conv_id {kind}, formatted string, loss_spans {SPANS}")
 
 
@@ -177,13 +197,14 @@ def _escaped_length(column: str) -> str:
 
 SQL = f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, '{TRAINED_ROLE}', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role,
+    coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, '{TRAINED_ROLE}', '</s>[INST] ok [/INST]'
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = '{TRAINED_ROLE}'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{TRAINED_ROLE}'), '')) AS loss_sha256,
   sum({len(TURN) + len(TEXT) + len(END)} + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+FROM turns GROUP BY conv_id, alone
 """
