@@ -3,7 +3,8 @@
 1. A character trigram model is counted over all documents.
 2. A word that may hide another (digits or signs for letters, letters repeated, marks or spaces
    between letters) becomes a lattice of readings, and Viterbi decoding picks the likeliest under
-   that model. Other words have one reading only.
+   that model. Other words have one reading only. A run of one sign stands for three letters at most,
+   as a word has no letter more often in a row.
 3. Restored words and their beginnings get weights from labelled training documents; a logistic
    regression over each text's strongest weights gives the score.
 
@@ -32,7 +33,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from wardline.llm.base import byte_slices, staged
 
 MAX_TRAINING = 40_000
-MAX_FEATURES = 20_000
 MIN_DOCS = 2  # a feature of fewer toxic training documents is no evidence
 SHRINK = 5.0
 STRONG = 2.0
@@ -275,12 +275,15 @@ def count_features(training: DataFrame, model) -> DataFrame:
     return found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def weigh(counted: DataFrame, share: float, limit: int = MAX_FEATURES) -> dict[str, float]:
-    """Log odds against the share of toxic documents, shrunk towards none; the ``limit`` heaviest above zero."""
+def weigh(counted: DataFrame, share: float) -> dict[str, float]:
+    """Log odds against the share of toxic documents, shrunk towards none, of all features that tell anything.
+
+    They come from MAX_TRAINING documents at most, and from MIN_DOCS toxic ones at least.
+    """
     rate = (F.col("toxic") + SHRINK * share) / (F.col("toxic") + F.col("clean") + SHRINK)
     weight = F.log(rate / (1 - rate)) - F.log(F.lit(share / (1 - share)))
     heavy = counted.where(f"toxic >= {MIN_DOCS}").select("feature", weight.alias("w")).where("w > 0.5")
-    return {r["feature"]: r["w"] for r in heavy.orderBy(F.desc("w"), "feature").limit(limit).collect()}
+    return {r["feature"]: r["w"] for r in heavy.collect()}
 
 
 EVIDENCE = ["strongest", "second", "strong"]
