@@ -173,10 +173,10 @@ WITH parsed AS (
   SELECT page_id, fetched_on, 'host' AS kind, host AS value FROM parsed WHERE host <> ''
   UNION ALL
   SELECT page_id, fetched_on, 'domain', array_to_string(string_split(host, '.')[i:], '.')
-  FROM parsed, range(1, 12) AS r(i) WHERE host <> '' AND i <= greatest(len(string_split(host, '.')) - 1, 1)
+  FROM parsed, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS r(i) WHERE host <> ''
   UNION ALL
   SELECT page_id, fetched_on, 'path', host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda s: s <> '')[1:i], '/')
-  FROM parsed, range(1, 40) AS r(i) WHERE host <> '' AND i <= len(list_filter(string_split(path, '/'), lambda s: s <> ''))
+  FROM parsed, unnest(range(1, len(list_filter(string_split(path, '/'), lambda s: s <> '')) + 1)) AS r(i) WHERE host <> ''
 ), met AS (
   SELECT page_id, count(*) AS n_entries, min({'kind': a.kind, 'value': a.value, 'category': s.category}) AS best
   FROM asked a JOIN spans s ON a.kind = s.kind AND a.value = s.value AND s.action <> 'remove'
