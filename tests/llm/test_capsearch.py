@@ -57,6 +57,23 @@ def test_recall_at_the_least_cosine(spark):
     assert got.agg({"n_links": "sum"}).first()[0] >= 0.98 * 3000
 
 
+@pytest.mark.parametrize("dim", [1, 2])
+def test_few_components_meet_by_arcs(spark, dim):
+    rng = np.random.default_rng(dim)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, dim)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(df) == want(rows)
+    unit = capsearch._unit(rng.standard_normal((4000, 2)))
+    row, arc = capsearch.Caps(2, 4000).decode(unit)
+    assert np.bincount(arc).max() < 0.2 * len(row)
+
+
+def test_workers_draw_the_codes_they_are_told_to():
+    one = capsearch.Caps(16, 3000)
+    two = capsearch.Caps(16, 3000, n_codes=len(one.codes))
+    assert len(two.codes) == len(one.codes) and all((a == b).all() for x, y in zip(one.codes, two.codes) for a, b in zip(x, y))
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal(16).tolist()

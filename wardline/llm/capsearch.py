@@ -17,7 +17,7 @@ every size, or as many as lie within the least cosine of a vector where those ar
 of codes grows with it: codes are added until a pair at the least cosine shares a filter with a
 probability of RECALL. Rotations and codewords are random, so that probability is the same for every
 such pair, and it is taken from PROBES pairs over the very codes used, less three standard errors.
-Vectors of one or two components all meet each other.
+Vectors of one or two components meet by arcs of the circle, without a miss.
 
 Nulls: null vectors, zero vectors and those that hold null or non-finite components link with
 nothing; their component is their own id. Vectors of different lengths never link. A null id counts as a
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +55,16 @@ def _near_share(dim: int, least: float) -> float:
 
 
 class Caps:
-    """The filters for vectors of one length, the same on every worker."""
+    """The filters for vectors of one length.
 
-    def __init__(self, dim: int, n_vectors: int, least: float = LEAST_COSINE):
+    How many codes the recall takes is found once, on the driver; workers are told the number and draw
+    the same codes, whatever the last digits of their arithmetic.
+    """
+
+    def __init__(self, dim: int, n_vectors: int, least: float = LEAST_COSINE, n_codes: int | None = None):
         self.codes: list[tuple[np.ndarray, np.ndarray]] = []
         self.missed = 0.0  # share of the pairs at the least cosine that meet in no filter
+        self.arc = np.arccos(min(max(least, -1.0), 1.0)) + 1e-9
         if dim <= 2:
             return
         rng = np.random.default_rng([SEED, dim])
@@ -71,7 +77,7 @@ class Caps:
         y = least * x + max(1 - least**2, 0.0) ** 0.5 * z
         cut = (dim + 1) // 2
         self.missed = 1.0
-        while self.missed > 1 - RECALL:
+        while self.missed > 1 - RECALL if n_codes is None else len(self.codes) < n_codes:
             rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
             halves = []
             for low, high in ((0, cut), (cut, dim)):
@@ -79,6 +85,8 @@ class Caps:
                 words /= np.linalg.norm(words, axis=1, keepdims=True)
                 halves.append(rotation[:, low:high] @ words.T)
             self.codes.append(tuple(halves))
+            if n_codes is not None:
+                continue
             one, two = self._passed(x, *halves), self._passed(y, *halves)
             meet = (one[:, :, None] == two[:, None, :]).any(axis=(1, 2)).mean()
             self.missed *= min(1.0, 1 - meet + 3 * (max(meet * (1 - meet), 1 / PROBES) / PROBES) ** 0.5)
@@ -95,18 +103,22 @@ class Caps:
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that each unit vector passes."""
-        if not self.codes:
-            return np.arange(len(unit)), np.zeros(len(unit), np.int64)
+        if not self.codes:  # one or two components: two neighbouring arcs of the circle each, so that any two within an arc meet
+            angle = np.arctan2(unit[:, 1] if unit.shape[1] > 1 else 0.0, unit[:, 0]) + np.pi
+            arcs = max(1, int(2 * np.pi / self.arc))
+            own = np.minimum((angle / (2 * np.pi) * arcs).astype(np.int64), arcs - 1)
+            every = np.stack([own, (own + 1) % arcs], axis=1) if arcs > 1 else own[:, None]
+            return np.repeat(np.arange(len(unit)), every.shape[1]), every.ravel()
         found = [self._passed(unit, *halves) + n * self.size**2 for n, halves in enumerate(self.codes)]
         every = np.concatenate(found, axis=1)
         return np.repeat(np.arange(len(unit)), every.shape[1]), every.ravel()
 
 
-_CAPS: dict[tuple[int, int, float], Caps] = {}
+_CAPS: dict[tuple[int, int, float, int | None], Caps] = {}
 
 
-def caps(dim: int, n_vectors: int, least: float = LEAST_COSINE) -> Caps:
-    key = dim, n_vectors, least
+def caps(dim: int, n_vectors: int, least: float = LEAST_COSINE, n_codes: int | None = None) -> Caps:
+    key = dim, n_vectors, least, n_codes
     if key not in _CAPS:
         _CAPS[key] = Caps(*key)
     return _CAPS[key]
@@ -127,11 +139,14 @@ def usable(vectors: DataFrame, dtype: str, id_col: str = "vec_id", vector: str =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column("x").to_pylist():
-                x = None if value is None or None in value else np.array(value, dtype)
-                good = x is not None and len(x) and np.isfinite(x).all() and x.any()
-                out.append((x + np.zeros(1, dtype)).tobytes() if good else None)  # minus zero is zero
+            lists = batch.column("x")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            values = np.asarray(pc.fill_null(lists.flatten(), float("nan"))).astype(dtype) + np.zeros(1, dtype)  # minus zero is zero
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            bad, some = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(values), values != 0))
+            good = (np.diff(bad[bounds]) == 0) & (np.diff(some[bounds]) > 0)
+            raw, step = values.tobytes(), values.itemsize
+            out = [raw[a * step : b * step] if ok else None for ok, a, b in zip(good.tolist(), bounds.tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "v"])
 
     kind = vectors.select(id_col).schema[0].dataType.simpleString()
@@ -142,6 +157,8 @@ def usable(vectors: DataFrame, dtype: str, id_col: str = "vec_id", vector: str =
 
 def list_decode(classes: DataFrame, n_vectors: int, dtype: str, least: float = LEAST_COSINE) -> DataFrame:
     """Adds ``dim`` and ``filters``, the sorted filters that each vector passes."""
+    lengths = [r[0] // np.dtype(dtype).itemsize for r in classes.select(F.octet_length("v")).distinct().collect()]
+    n_codes = {dim: len(caps(dim, n_vectors, least).codes) for dim in lengths}  # a number per length of vectors
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +166,7 @@ def list_decode(classes: DataFrame, n_vectors: int, dtype: str, least: float = L
             sizes = np.array([len(v.as_py()) for v in batch.column("v")]) // np.dtype(dtype).itemsize
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                own = caps(int(dim), n_vectors, least)
+                own = caps(int(dim), n_vectors, least, n_codes[int(dim)])
                 for start in range(0, len(at), 512):
                     some = batch.take(pa.array(at[start : start + 512]))
                     row, found = own.decode(_unit(_matrix(some.column("v"), dtype)))
@@ -233,9 +250,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     own = staged(
         usable(vectors, dtype, id_col, vector).withColumn("uid", F.monotonically_increasing_id()), "vectors"
     )
-    classes = own.where("v IS NOT NULL").groupBy("v").agg(
+    classes = staged(own.where("v IS NOT NULL").groupBy("v").agg(
         F.min("uid").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least")
-    )
+    ), "classes")
     decoded = staged(list_decode(classes, own.count(), dtype, least), "decoded")
     crowded = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count("*").alias("held"))
     crowded = crowded.where(F.col("held") > BLOCK)
