@@ -79,3 +79,81 @@ def test_junk_up_to_nearly_half_of_a_group_is_rejected(spark):
 def test_chi_square(dof):
     for p in (0.1, 0.5, 0.975, 1 - 1e-6):
         assert quality.chi2_cdf(quality.chi2_quantile(p, dof), dof) == pytest.approx(p, abs=1e-9)
+
+
+def plain_fit(cells):
+    """Minimum covariance determinant over (vector, documents), the operator's steps in plain Python."""
+    import numpy as np
+
+    scale = quality.consistency(quality.HALF, 4)
+    floor = np.array([(f / s) ** 2 for f, s in zip(quality.FLOOR, quality.STEP)])
+    x, w = np.array([c for c, _ in cells], float), np.array([n for _, n in cells])
+
+    def moments(weight, factor):
+        t = max(weight.sum(), 1)
+        mean = (weight[:, None] * x).sum(0) / t
+        return mean, ((weight[:, None] * x).T @ x / t - np.outer(mean, mean)) * factor + np.diag(floor)
+
+    def distance(mean, cov):
+        y = np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T)
+        return (y**2).sum(0)
+
+    def inner(d2):
+        before = np.array([w[d2 < d].sum() for d in d2])
+        return np.where(before < np.ceil(w.sum() * quality.HALF), w, 0)
+
+    medians = []
+    for k in range(4):
+        order = np.argsort(x[:, k], kind="stable")
+        medians.append(x[order[np.searchsorted(2 * np.cumsum(w[order]), w.sum())], k])
+    away = (((x - medians) * np.array(quality.STEP) / np.array(quality.FLOOR)) ** 2).sum(1)
+    best = None
+    for start, d2 in enumerate((away, np.zeros(len(x)))):
+        for _ in range(quality.STEPS + 1):
+            mean, cov = moments(inner(d2), scale)
+            d2 = distance(mean, cov)
+        best = min(best or (np.inf,), (np.prod(np.diag(np.linalg.cholesky(cov))), start, d2), key=lambda b: b[:2])
+    near = np.where(best[2] <= quality.chi2_quantile(0.975, 4), w, 0)
+    return moments(near, quality.consistency(0.975, 4))
+
+
+def test_verdict_is_that_of_a_plain_estimate(spark):
+    """Every document of the table by counts, vectors, groups, estimates and distances in plain Python."""
+    import math
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    units = lambda v: math.floor(v * quality.GRID + 0.5)
+    rows = []
+    for r in docs.collect():
+        n, chars, symbols, dup, repeat = plain_counts(r.text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r.text or "").split("\n"))
+        vector = (units((symbols / max(n, 1)) ** 0.5), units(math.log(max(chars / max(n, 1), 1.0))), units(repeat / max(n, 1)), units(dup / max(lines, 1)))
+        rows.append((r.doc_id, r.lang, r.source, n < 50 or 100 * repeat > 50 * n, vector))
+    fits = {}
+    good = [r for r in rows if not r[3]]
+
+    def group(key):
+        if key not in fits:
+            own = collections.Counter(
+                tuple(math.floor(v / s + 0.5) for v, s in zip(r[4], quality.STEP))
+                for r in good if all(k is ... or k == own for k, own in zip(key, r[1:3]))
+            )
+            fits[key] = plain_fit(list(own.items())), sum(own.values())
+        return fits[key]
+
+    got = result(docs)
+    cutoff, close, wrong = quality.chi2_quantile(1 - quality.REJECT_BELOW, 4), 0, []
+    for doc, lang, source, failed, vector in rows:
+        key = next(k for k in ((lang, source), (lang, ...), (..., ...)) if group(k)[1] >= quality.MIN_GROUP or k == (..., ...))
+        (mean, cov), _ = group(key)
+        y = np.linalg.solve(np.linalg.cholesky(cov), np.array(vector) / np.array(quality.STEP) - mean)
+        d2 = float((y**2).sum())
+        if abs(d2 - cutoff) < 1e-6 * cutoff:
+            close += 1
+        elif got[doc].kept != (not failed and d2 <= cutoff):
+            wrong.append((doc, d2))
+        if not failed:
+            assert got[doc].distance2 == pytest.approx(d2, rel=1e-6, abs=1e-6)
+    assert not wrong and close < 5

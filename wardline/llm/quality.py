@@ -30,6 +30,7 @@ FLOOR = (60, 50, 150, 150)
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 HALF = 0.5
+PER_OCTAVE = 32  # ranges of distances per doubling, to find the half by counting
 STEPS = 6
 MIN_GROUP = 100
 # Estimates are sent to all tasks up to this many groups, about 150 bytes each.
@@ -126,17 +127,16 @@ MEANS = [f"m{i}" for i in range(len(DIMS))]
 FACTORS = [f"l{i}{j}" for i, j in PAIRS]
 
 
-def _moments(cells: DataFrame, weight: Column, scale: float) -> DataFrame:
-    """Adds each cell's group mean and Cholesky factor, from exact integer sums over the group.
+def _moments(cells: DataFrame, scale: float) -> DataFrame:
+    """Each group's and start's mean and Cholesky factor, from exact integer sums over its weighted cells.
 
     The diagonal gets the floor before the factor is taken, so no spread can vanish.
     """
-    whole = Window.partitionBy("g", "start")
-    total = F.sum(weight).over(whole)
-    sums = {f"s{i}": F.sum(weight * F.col(d)).over(whole) for i, d in enumerate(DIMS)}
-    sums |= {f"s{i}{j}": F.sum(weight * F.col(DIMS[i]) * F.col(DIMS[j])).over(whole) for i, j in PAIRS}
-    keep = ["g", "start", "w", *DIMS]
-    out = cells.select(*keep, F.greatest(total, F.lit(1)).alias("t"), *[c.alias(k) for k, c in sums.items()])
+    weight = F.col("weight")
+    sums = {f"s{i}": F.sum(weight * F.col(d)) for i, d in enumerate(DIMS)}
+    sums |= {f"s{i}{j}": F.sum(weight * F.col(DIMS[i]) * F.col(DIMS[j])) for i, j in PAIRS}
+    keep = ["g", "start"]
+    out = cells.groupBy(*keep).agg(F.greatest(F.sum(weight), F.lit(1)).alias("t"), *[c.alias(k) for k, c in sums.items()])
     mean = {i: F.col(f"s{i}") / F.col("t") for i in range(len(DIMS))}
     out = out.select(*keep, "t", *[mean[i].alias(f"m{i}") for i in mean], *[F.col(f"s{i}{j}") for i, j in PAIRS])
     floor = [(f / s) ** 2 for f, s in zip(FLOOR, STEP)]
@@ -162,54 +162,69 @@ def _with_distance(df: DataFrame, values: list[Column], name: str) -> DataFrame:
     return df.select(*own, total.alias(name))
 
 
+CELL = ["g", "start", "w", *DIMS]
+
+
 def fit(cells: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates: one row per group ``g`` with means and factor.
 
     ``cells`` has rows (g, statistics in steps, w documents). Two starts, one from coordinate-wise
     medians and one from the whole group's moments, are concentrated in ``STEPS`` rounds: the half
     of the documents nearest by the current distance gives the next estimate, which can only lower
-    the determinant. The start with the lower determinant wins; one reweighting follows. A group's
-    cells are bounded by the grid, so a window over a group is too.
+    the determinant. The start with the lower determinant wins; one reweighting follows.
+
+    A group's cells are never gathered: sums are added up where the cells lie, estimates, one row per
+    group and start, are joined to them, and the nearest half is found by counting. Each round's
+    distances are a stored table.
     """
-    medians = []
-    for d in DIMS:
-        upto = F.sum("w").over(Window.partitionBy("g").orderBy(d))
-        all_ = F.sum("w").over(Window.partitionBy("g"))
-        medians.append(F.when(2 * upto >= all_, F.col(d)).alias(f"q_{d}"))
-    own = cells.select("*", *medians)
-    own = own.select(
-        *cells.columns, *[F.min(f"q_{d}").over(Window.partitionBy("g")).alias(f"q_{d}") for d in DIMS]
-    )
-    away = reduce(
-        lambda a, b: a + b,
-        [((F.col(d) - F.col(f"q_{d}")) * s / f) ** 2 for d, s, f in zip(DIMS, STEP, FLOOR)],
-    )
-    own = own.withColumn("away", away)
-    own = own.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
+    medians = None
+    for d in DIMS:  # a statistic has no more values than its grid
+        counts = cells.groupBy("g", d).agg(F.sum("w").alias("n"))
+        upto, every = F.sum("n").over(Window.partitionBy("g").orderBy(d)), F.sum("n").over(Window.partitionBy("g"))
+        found = counts.withColumn("in", 2 * upto >= every).where("in").groupBy("g").agg(F.min(d).alias(f"q_{d}"))
+        medians = found if medians is None else medians.join(found, "g")
+    away = reduce(lambda a, b: a + b, [((F.col(d) - F.col(f"q_{d}")) * s / f) ** 2 for d, s, f in zip(DIMS, STEP, FLOOR)])
+    own = cells.join(medians, "g").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     # Start 0: the half nearest to the medians. Start 1: everything.
-    now = _inner(own.withColumn("d2", F.when(F.col("start") == 0, F.col("away")).otherwise(F.lit(0.0))))
+    now = staged(own.select(*CELL, F.when(F.col("start") == 0, away).otherwise(F.lit(0.0)).alias("d2")), "distances")
     scale = consistency(HALF, len(DIMS))
     for _ in range(STEPS):
-        now = _moments(now, F.col("weight"), scale)
-        now = _inner(_with_distance(now, [F.col(d) for d in DIMS], "d2"))
-    now = _moments(now, F.col("weight"), scale)
+        now = staged(_distances(now, _moments(_inner(now), scale)), "distances")
+    last = staged(_moments(_inner(now), scale), "estimates")
     det = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(len(DIMS))])
-    best = F.min(F.struct(det.alias("det"), F.col("start"))).over(Window.partitionBy("g"))
-    now = now.withColumn("best", best["start"]).where("start = best")
-    now = _with_distance(now, [F.col(d) for d in DIMS], "d2")
+    best = last.groupBy("g").agg(F.min(F.struct(det.alias("det"), F.col("start"))).alias("best")).select("g", F.col("best.start").alias("start"))
+    now = _distances(now.join(best, ["g", "start"]), last)
     near = chi2_quantile(0.975, len(DIMS))
-    now = _moments(now.withColumn("weight", F.when(F.col("d2") <= near, F.col("w")).otherwise(F.lit(0))), F.col("weight"), consistency(0.975, len(DIMS)))
-    return now.groupBy("g").agg(*[F.first(c).alias(c) for c in (*MEANS, *FACTORS)])
+    weighed = now.withColumn("weight", F.when(F.col("d2") <= near, F.col("w")).otherwise(F.lit(0)))
+    return _moments(weighed, consistency(0.975, len(DIMS))).drop("start")
+
+
+def _distances(cells: DataFrame, estimates: DataFrame) -> DataFrame:
+    joined = cells.select(*CELL).join(estimates, ["g", "start"])
+    return _with_distance(joined, [F.col(d) for d in DIMS], "d2").select(*CELL, "d2")
 
 
 def _inner(cells: DataFrame) -> DataFrame:
-    """``weight``: the cell's documents if it belongs to the nearest half of its group, cells at the bound whole."""
+    """``weight``: the cell's documents if it belongs to the nearest half of its group, cells at the bound whole.
+
+    Documents are counted per narrow range of distances; only the cells of the one range in which the
+    half ends are put in order.
+    """
+    ranged = cells.withColumn("range", F.coalesce(F.floor(F.log2("d2") * PER_OCTAVE), F.lit(-(1 << 40))))
+    counts = ranged.groupBy("g", "start", "range").agg(F.sum("w").alias("n"))
+    group = Window.partitionBy("g", "start")
+    half = F.ceil(F.sum("n").over(group) * HALF)
+    upto = F.sum("n").over(group.orderBy("range"))
+    edge = counts.select("g", "start", F.col("range").alias("edge"), upto.alias("upto"), (upto - F.col("n")).alias("below"), half.alias("half"))
+    edge = edge.where("below < half AND half <= upto").drop("upto")
+    joined = ranged.join(edge, ["g", "start"])
+    settled = joined.where("range < edge").select(*CELL, F.col("w").alias("weight"))
     order = Window.partitionBy("g", "start").orderBy("d2")
-    before = F.sum("w").over(order) - F.sum("w").over(Window.partitionBy("g", "start", "d2"))
-    total = F.sum("w").over(Window.partitionBy("g", "start"))
-    return cells.withColumn("before", before).withColumn("total", total).withColumn(
-        "weight", F.when(F.col("before") < F.ceil(F.col("total") * HALF), F.col("w")).otherwise(F.lit(0))
-    ).drop("before", "total")
+    last = joined.where("range = edge")
+    earlier = F.sum("w").over(order) - F.sum("w").over(Window.partitionBy("g", "start", "d2"))
+    last = last.select(*CELL, "below", "half", earlier.alias("earlier"))
+    last = last.select(*CELL, F.when(F.col("below") + F.col("earlier") < F.col("half"), F.col("w")).otherwise(F.lit(0)).alias("weight"))
+    return settled.unionByName(last)
 
 
 def with_verdict(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -227,7 +242,9 @@ def with_verdict(counted: DataFrame, lang: str = "lang", source: str = "source")
     cells = staged(
         rows.where("not base_failed").groupBy("lang", "source", *steps).agg(F.count("*").alias("w")), "cells"
     )
-    key = F.struct
+    def key(*parts: Column) -> Column:  # one text, so that groups join plainly; a null part has no field
+        return F.to_json(F.struct(*parts))
+
     whole = F.lit(None).cast("string")
     levels = [
         cells.withColumn("g", key(F.lit(level).alias("level"), lang_.alias("lang"), source_.alias("source")))
@@ -248,7 +265,7 @@ def with_verdict(counted: DataFrame, lang: str = "lang", source: str = "source")
             F.when(level >= 2, F.col("source")).alias("source"),
         ).alias("g"),
     )
-    chosen = sizes.join(fits.withColumnRenamed("g", "fg"), F.col("g").eqNullSafe(F.col("fg"))).drop("g", "fg")
+    chosen = sizes.join(fits, "g").drop("g")
     if fits.count() <= MAX_SENT:  # else rows meet their group's estimate in a join that can be split
         chosen = F.broadcast(chosen)
     found = rows.join(
