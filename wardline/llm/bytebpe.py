@@ -136,7 +136,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     """Rows (doc_id, ids): ids as little-endian unsigned 32-bit integers in one binary.
 
     Nulls: a null text counts as empty and has no ids; a null id is kept. Repeated rows are encoded
-    each. Texts and pre-tokens may have any length. An empty table gives an empty result.
+    each. Texts and pre-tokens may have any length. An empty table gives an empty result; other columns are
+    not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -265,7 +265,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     ``fit_chars`` is how many characters of the text fit the limit, a cut inside a word included.
 
     Nulls: a null text counts as empty (no tokens, fits); a null id is kept. Repeated rows are counted
-    each. Words of any length are handled. An empty table gives an empty result.
+    each. Words of any length are handled. An empty table gives an empty result; other columns are
+    not looked at.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

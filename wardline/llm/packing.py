@@ -4,9 +4,9 @@ Only lengths decide where a piece goes, and there are no more different lengths
 So Spark counts pieces per length, the search runs on that bounded histogram, and its plan (kinds
 of sequences with how often each occurs) is applied to all pieces by their rank within a length.
 
-Nulls: a null text counts as empty and still has its closing id; a null id is kept. Repeated rows
-are pieces of their own. Ties are settled by id, piece and checksum. An empty table gives an empty
-result.
+Nulls: a null text counts as empty and still has its closing id; a null id is kept. Very long texts
+are cut at the capacity. Repeated rows are pieces of their own. Ties are settled by id, piece and
+checksum. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
