@@ -292,3 +292,23 @@ def embedding_components(vectors: DataFrame) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+# All pairs and all paths: for small tables only.
+SQL = f"""
+WITH RECURSIVE vectors AS (
+    SELECT row_number() OVER () AS uid, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+  good AS (
+    SELECT *, len(x) AS dim FROM vectors WHERE x IS NOT NULL
+      AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0),
+  links AS (
+    SELECT a.uid AS src, b.uid AS dst FROM good a JOIN good b ON a.dim = b.dim AND a.uid <> b.uid
+    WHERE list_cosine_similarity(a.x, b.x) >= {LEAST_COSINE}::DOUBLE),
+  reach(uid, seen) AS (
+    SELECT uid, uid FROM vectors
+    UNION SELECT r.uid, l.dst FROM reach r JOIN links l ON l.src = r.seen),
+  lowest AS (SELECT r.uid, min(v.vec_id) AS component_id FROM reach r JOIN vectors v ON v.uid = r.seen GROUP BY r.uid),
+  counted AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors v JOIN lowest USING (uid) LEFT JOIN counted c ON c.src = v.uid
+"""

@@ -96,11 +96,13 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_texts() -> dict[str, str]:
-    from wardline.llm import chat, merkle, repair, topk, urlfilter
+    from wardline.llm import capsearch, chat, merkle, quality, repair, topk, urlfilter
 
     return {
         "op5_chat_formatting": chat.SQL,
         "op7_url_filters": urlfilter.SQL,
+        "op9_quality_rules": quality.SQL,
+        "op10_embedding_near_dedup": capsearch.SQL,
         "op11_merkle_manifest": merkle.SQL,
         "op12_exact_top_k": topk.SQL,
         "op13_conversation_repair": repair.SQL,

@@ -281,4 +281,95 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Per document the counts, base rule and verdict; texts are read once."""
     counted = with_counts(docs.select("doc_id", "text", "lang", "source"))
     slim = counted.withColumn("row", F.struct("row.doc_id", "row.lang", "row.source"))
-    return with_verdict(staged(slim, "quality")).select("row.doc_id", "*").drop("row")
+    judged = with_verdict(staged(slim, "quality"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("row.doc_id", *counts, "base_failed", "kept")
+
+
+def _moments_sql(source: str, scale: float) -> str:
+    """Means and factor of every group and start of weighted cells, one subquery per column that builds on others."""
+    sums = ["greatest(sum(weight), 1) AS t", *[f"sum(weight * {d}) AS s{i}" for i, d in enumerate(DIMS)]]
+    sums += [f"sum(weight * {DIMS[i]} * {DIMS[j]}) AS s{i}{j}" for i, j in PAIRS]
+    out = f"SELECT g, start, {', '.join(sums)} FROM {source} GROUP BY g, start"
+    out = f"SELECT *, {', '.join(f's{i}::DOUBLE / t::DOUBLE AS m{i}' for i in range(len(DIMS)))} FROM ({out})"
+    floor = [(f / s) ** 2 for f, s in zip(FLOOR, STEP)]
+    cov = [f"(s{i}{j}::DOUBLE / t::DOUBLE - m{i} * m{j}) * {scale!r}::DOUBLE + {floor[i] if i == j else 0.0!r}::DOUBLE AS c{i}{j}" for i, j in PAIRS]
+    out = f"SELECT *, {', '.join(cov)} FROM ({out})"
+    for i, j in PAIRS:
+        rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        value = f"sqrt(greatest({rest}, 1e-3::DOUBLE))" if i == j else f"({rest}) / l{j}{j}"
+        out = f"SELECT *, {value} AS l{i}{j} FROM ({out})"
+    return f"SELECT g, start, {', '.join([*MEANS, *FACTORS])} FROM ({out})"
+
+
+def _distance_sql(source: str, values: list[str], keep: str, name: str) -> str:
+    for i, value in enumerate(values):
+        rest = f"({value} - m{i})" + "".join(f" - l{i}{k} * y{k}" for k in range(i))
+        source = f"(SELECT *, ({rest}) / l{i}{i} AS y{i} FROM {source})"
+    return f"SELECT {keep}, {' + '.join(f'y{i} * y{i}' for i in range(len(values)))} AS {name} FROM {source}"
+
+
+def _inner_sql(source: str) -> str:
+    before = "sum(w) OVER (PARTITION BY g, start ORDER BY d2) - sum(w) OVER (PARTITION BY g, start, d2)"
+    half = f"ceil(sum(w) OVER (PARTITION BY g, start) * {HALF})"
+    return f"SELECT *, CASE WHEN before < half THEN w ELSE 0 END AS weight FROM (SELECT *, {before} AS before, {half} AS half FROM {source})"
+
+
+def _sql() -> str:
+    space, dims, cell = r"[\x20\x09-\x0D]+", ", ".join(DIMS), "g, start, w, " + ", ".join(DIMS)
+    units = dict(zip(DIMS, (
+        "sqrt(n_symbols / greatest(n_words, 1))", "ln(greatest(word_chars / greatest(n_words, 1), 1e0))",
+        "n_repeat_words / greatest(n_words, 1)", "n_dup_lines / greatest(n_lines, 1)",
+    )))
+    name = "'{}|' || {} || '|' || {}"
+    part = {c: f"coalesce('1' || {c}, '0')" for c in ("lang", "source")}
+    groups = [name.format(2, part["lang"], part["source"]), name.format(1, part["lang"], "''"), name.format(0, "''", "''")]
+    ctes = {
+        "split_texts": rf"""SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS body,
+            list_filter(string_split_regex(coalesce(text, ''), '{space}'), lambda w: w <> '') AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM documents""",
+        "grams": """SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+            FROM split_texts, unnest(range(1, len(words) - 1)) AS r(i)""",
+        "repeated": """SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM (
+            SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, gram) > 1)) GROUP BY row""",
+        "counted": """SELECT row, doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+            length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+            len(lines) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM split_texts LEFT JOIN repeated USING (row)""",
+        "judged": f"""SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+            {', '.join(f'round(({v}) * {GRID})::BIGINT AS {d}' for d, v in units.items())} FROM counted""",
+        "cells": f"""SELECT lang, source, {', '.join(f'floor({d} / {s} + 0.5e0)::BIGINT AS {d}' for d, s in zip(DIMS, STEP))},
+            count(*) AS w FROM judged WHERE NOT base_failed GROUP BY ALL""",
+        "grouped": " UNION ALL ".join(f"SELECT {g} AS g, {dims}, sum(w)::BIGINT AS w FROM cells GROUP BY ALL" for g in groups),
+    }
+    for d in DIMS:
+        ctes[f"median_{d}"] = f"""SELECT g, min(v) AS q_{d} FROM (SELECT g, {d} AS v, sum(sum(w)) OVER (PARTITION BY g ORDER BY {d}) AS upto,
+            sum(sum(w)) OVER (PARTITION BY g) AS every FROM grouped GROUP BY g, {d}) WHERE 2 * upto >= every GROUP BY g"""
+    away = " + ".join(f"pow(({d} - q_{d})::DOUBLE * {s} / {f}, 2)" for d, s, f in zip(DIMS, STEP, FLOOR))
+    ctes["d_0"] = f"""SELECT {cell}, CASE start WHEN 0 THEN {away} ELSE 0e0 END AS d2 FROM grouped
+        {' '.join(f'JOIN median_{d} USING (g)' for d in DIMS)}, (VALUES (0), (1)) AS s(start)"""
+    scale = consistency(HALF, len(DIMS))
+    for k in range(STEPS + 1):
+        ctes[f"inner_{k}"] = _inner_sql(f"d_{k}")
+        ctes[f"moments_{k}"] = _moments_sql(f"inner_{k}", scale)
+        if k < STEPS:
+            ctes[f"d_{k + 1}"] = _distance_sql(f"(SELECT * FROM d_{k} JOIN moments_{k} USING (g, start))", list(DIMS), cell, "d2")
+    det = " * ".join(f"l{i}{i}" for i in range(len(DIMS)))
+    ctes["best"] = f"SELECT g, start FROM moments_{STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY {det}, start) = 1"
+    ctes["last"] = _distance_sql(
+        f"(SELECT * FROM d_{STEPS} JOIN best USING (g, start) JOIN moments_{STEPS} USING (g, start))", list(DIMS), cell, "d2")
+    near = chi2_quantile(0.975, len(DIMS))
+    ctes["weighed"] = f"SELECT *, CASE WHEN d2 <= {near!r}::DOUBLE THEN w ELSE 0 END AS weight FROM last"
+    ctes["fits"] = _moments_sql("weighed", consistency(0.975, len(DIMS)))
+    ctes["sizes"] = """SELECT lang, source, sum(w) AS n_group, sum(sum(w)) OVER (PARTITION BY lang) AS n_lang FROM cells GROUP BY lang, source"""
+    chosen = f"CASE WHEN n_group >= {MIN_GROUP} THEN {groups[0]} WHEN n_lang >= {MIN_GROUP} THEN {groups[1]} ELSE {groups[2]} END"
+    ctes["chosen"] = f"SELECT lang, source, {', '.join([*MEANS, *FACTORS])} FROM (SELECT lang, source, {chosen} AS g FROM sizes) JOIN fits USING (g)"
+    placed = f"""(SELECT j.*, {', '.join([*MEANS, *FACTORS])} FROM judged j LEFT JOIN chosen c
+        ON c.lang IS NOT DISTINCT FROM j.lang AND c.source IS NOT DISTINCT FROM j.source)"""
+    counts = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
+    ctes["placed"] = _distance_sql(placed, [f"{d} / {s}" for d, s in zip(DIMS, STEP)], f"doc_id, {counts}, base_failed", "distance2")
+    cutoff = chi2_quantile(1 - REJECT_BELOW, len(DIMS))
+    return "WITH " + ",\n".join(f"{n} AS ({text})" for n, text in ctes.items()) + f"""
+SELECT doc_id, {counts}, base_failed, NOT base_failed AND coalesce(distance2, 0) <= {cutoff!r}::DOUBLE AS kept FROM placed"""
+
+
+SQL = _sql()
