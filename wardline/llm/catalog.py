@@ -96,9 +96,10 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_texts() -> dict[str, str]:
-    from wardline.llm import capsearch, chat, merkle, quality, repair, topk, urlfilter
+    from wardline.llm import capsearch, chat, merkle, quality, repair, simhash, topk, urlfilter
 
     return {
+        "op3_simhash_near_dedup": simhash.SQL,
         "op5_chat_formatting": chat.SQL,
         "op7_url_filters": urlfilter.SQL,
         "op9_quality_rules": quality.SQL,

@@ -186,3 +186,76 @@ def simhash_components(docs: DataFrame) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+# -- the same in SQL, by all pairs of fingerprints: for small tables only --------------------------------
+
+# The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_MASK = (1 << 64) - 1
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) & {_MASK}::UHUGEINT)"
+
+
+def _rotated(x: str, n: int) -> str:
+    return _mod(f"(({x}) << {n}) | (({x}) >> {64 - n})")
+
+
+def _round(acc: str, lane: str) -> str:
+    return _mod(f"{_rotated(_mod(f'{acc} + {lane} * {PRIMES[1]}::UHUGEINT'), 31)} * {PRIMES[0]}::UHUGEINT")
+
+
+def xxh64_sql(source: str) -> str:
+    """SQL for rows (text, h) of a table with different texts: h their unsigned XXH64 under SEED."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+
+    def lane(at: str, size: int) -> str:  # little-endian number from byte ``at`` of the hex text x
+        return "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+    seeds = [(SEED + PRIMES[0] + PRIMES[1]) & _MASK, (SEED + PRIMES[1]) & _MASK, SEED, (SEED - PRIMES[0]) & _MASK]
+    own = "(SELECT text, hex(encode(text)) AS x, octet_length(encode(text))::BIGINT AS n FROM " + source + ")"
+    stripes = ", ".join(
+        f"list_reduce(list_prepend({seed}::UHUGEINT, list_transform(range(0, n // 32), lambda i: {lane(f'32 * i + {8 * k}', 8)})), "
+        f"lambda a, b: {_round('a', 'b')}) AS v{k}" for k, seed in enumerate(seeds)
+    )
+    own = f"(SELECT *, {stripes} FROM {own})"
+    own = f"(SELECT *, {_mod(' + '.join(_rotated(f'v{k}', r) for k, r in enumerate((1, 7, 12, 18))))} AS h FROM {own})"
+    for k in range(4):
+        own = f"(SELECT * REPLACE ({_mod(f'xor(h, {_round('0::UHUGEINT', f'v{k}')}) * {p1} + {p4}')} AS h) FROM {own})"
+    own = f"(SELECT * REPLACE ({_mod(f'CASE WHEN n < 32 THEN {SEED}::UHUGEINT + {p5} ELSE h END + n::UHUGEINT')} AS h), n // 32 * 32 AS done FROM {own})"
+    step = _mod(f"{_rotated(f'xor(a, {_round('0::UHUGEINT', 'b')})', 27)} * {p1} + {p4}")
+    lanes = f"list_transform(range(0, (n - done) // 8), lambda i: {lane('done + 8 * i', 8)})"
+    own = f"(SELECT * REPLACE (list_reduce(list_prepend(h, {lanes}), lambda a, b: {step}) AS h, done + (n - done) // 8 * 8 AS done) FROM {own})"
+    four = _mod(f"{_rotated(f'xor(h, {_mod(f'{lane('done', 4)} * {p1}')})', 23)} * {p2} + {p3}")
+    own = f"(SELECT * REPLACE (CASE WHEN n - done >= 4 THEN {four} ELSE h END AS h, CASE WHEN n - done >= 4 THEN done + 4 ELSE done END AS done) FROM {own})"
+    step = _mod(f"{_rotated(f'xor(a, {_mod(f'b * {p5}')})', 11)} * {p1}")
+    tail = f"list_transform(range(done, n), lambda i: {lane('i', 1)})"
+    own = f"(SELECT * REPLACE (list_reduce(list_prepend(h, {tail}), lambda a, b: {step}) AS h) FROM {own})"
+    for shift, prime in ((33, p2), (29, p3)):
+        own = f"(SELECT * REPLACE ({_mod(f'xor(h, h >> {shift}) * {prime}')} AS h) FROM {own})"
+    return f"SELECT text, xor(h, h >> 32)::UBIGINT AS h FROM {own}"
+
+
+_BITS = ", ".join(f"2 * sum((h >> {b}) & 1) > count(*) AS b{b}" for b in range(64))
+SQL = f"""
+WITH RECURSIVE texts AS (
+    SELECT row_number() OVER () AS row, doc_id,
+      list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+  shingles AS (
+    SELECT row, array_to_string(words[i:i + {SHINGLE - 1}], ' ') AS text FROM texts, unnest(range(1, greatest(len(words) - {SHINGLE - 2}, 2))) AS r(i)
+    WHERE len(words) > 0),
+  different AS (SELECT DISTINCT text FROM shingles),
+  hashed AS MATERIALIZED ({xxh64_sql("different")}),
+  voted AS (SELECT row, {_BITS} FROM shingles JOIN hashed USING (text) GROUP BY row),
+  prints AS (
+    SELECT t.row, doc_id, coalesce({' + '.join(f'b{b}::UBIGINT * {1 << b}::UBIGINT' for b in range(64))}, 0)::UBIGINT AS fp
+    FROM texts t LEFT JOIN voted USING (row)),
+  classes AS (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp),
+  links AS (SELECT a.fp AS src, b.fp AS dst FROM classes a JOIN classes b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::BIT) <= {MAX_BITS}),
+  reach(fp, seen) AS (SELECT fp, fp FROM classes UNION SELECT r.fp, l.dst FROM reach r JOIN links l ON l.src = r.seen),
+  lowest AS (SELECT r.fp, min(c.least) AS component_id FROM reach r JOIN classes c ON c.fp = r.seen GROUP BY r.fp)
+SELECT doc_id, lower(printf('%016x', fp)) AS fingerprint, component_id FROM prints JOIN lowest USING (fp)
+"""
