@@ -277,7 +277,7 @@ def _stream_scd2_set_aside(s) -> DataFrame:
 
 def _streamed(s, feed: DataFrame, **options) -> VersionStore:
     folder = new_folder(s.spark, "scd2")
-    VersionStore(s.spark, folder, "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS).create(s.patients)
+    VersionStore(s.spark, folder, "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS, buckets=16).create(s.patients)
     feed.write.parquet(f"{folder}/feed")
     source = s.spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
     jobs.stream_scd2(source, folder, "patient_id", feeds.TRACKED, **options)
@@ -287,7 +287,7 @@ def _streamed(s, feed: DataFrame, **options) -> VersionStore:
 
 def _stored_merge(s) -> DataFrame:
     """The feed in two deliveries into a stored dimension; the second finds the first's versions current."""
-    store = VersionStore(s.spark, new_folder(s.spark, "store"), "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS)
+    store = VersionStore(s.spark, new_folder(s.spark, "store"), "patient_id", feeds.TRACKED, schemas.DIM_PATIENTS, buckets=16)
     store.create(s.patients)
     for batch, at in enumerate((feeds.FIRST_BATCH, feeds.SECOND_BATCH)):
         store.merge(_feed(s).where(F.col("effective_at") == X.ts(at)), batch)
