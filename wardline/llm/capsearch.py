@@ -155,9 +155,8 @@ def usable(vectors: DataFrame, dtype: str, id_col: str = "vec_id", vector: str =
     return slim.mapInArrow(pack, f"id {kind}, v binary")
 
 
-def list_decode(classes: DataFrame, n_vectors: int, dtype: str, least: float = LEAST_COSINE) -> DataFrame:
-    """Adds ``dim`` and ``filters``, the sorted filters that each vector passes."""
-    lengths = [r[0] // np.dtype(dtype).itemsize for r in classes.select(F.octet_length("v")).distinct().collect()]
+def list_decode(classes: DataFrame, n_vectors: int, lengths: list[int], dtype: str, least: float = LEAST_COSINE) -> DataFrame:
+    """Adds ``dim`` and ``filters``, the sorted filters that each vector passes; ``lengths`` are those of the vectors."""
     n_codes = {dim: len(caps(dim, n_vectors, least).codes) for dim in lengths}  # a number per length of vectors
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
 
@@ -250,10 +249,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     own = staged(
         usable(vectors, dtype, id_col, vector).withColumn("uid", F.monotonically_increasing_id()), "vectors"
     )
-    classes = staged(own.where("v IS NOT NULL").groupBy("v").agg(
+    classes = own.where("v IS NOT NULL").groupBy("v").agg(
         F.min("uid").alias("rep"), F.count("*").alias("weight"), F.min("id").alias("least")
-    ), "classes")
-    decoded = staged(list_decode(classes, own.count(), dtype, least), "decoded")
+    )
+    sizes = own.groupBy(F.octet_length("v").alias("bytes")).agg(F.count("*").alias("n")).collect()  # one row per length
+    lengths = [r.bytes // np.dtype(dtype).itemsize for r in sizes if r.bytes is not None]
+    decoded = staged(list_decode(classes, sum(r.n for r in sizes), lengths, dtype, least), "decoded")
     crowded = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count("*").alias("held"))
     crowded = crowded.where(F.col("held") > BLOCK)
     rows = decoded.select("dim", "rep", "weight", "v", "filters", F.explode("filters").alias("filter"))
