@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from wardline.llm import catalog, shards
 from wardline.llm.base import staged
@@ -133,3 +134,23 @@ def test_a_restart_keeps_to_its_first_stream(spark, tmp_path):
     (other / files[0]).write_bytes((tmp_path / "out" / files[0]).read_bytes())
     with pytest.raises(ValueError):
         shards.training_order(docs, WORDS, f"file://{other}", 64, 100)
+
+
+def test_ids_beyond_sixteen_bits_are_an_error():
+    ids, counts = np.array([7, 65_535, 3], np.int32), np.array([2, 0, 1])
+    assert shards._closed(ids, counts).tolist() == [7, 65_535, 0, 0, 3, 0]
+    assert shards._closed(ids[:0], counts[1:2]).tolist() == [0]
+    with pytest.raises(ValueError):
+        shards._closed(np.array([65_536], np.int32), np.array([1]))
+
+
+def test_ranges_of_shards_go_to_their_tasks(spark):
+    pieces = spark.range(40).selectExpr("id AS shard", "id * 4 AS slot", "0L AS offset", "CAST('' AS BINARY) AS ids")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        place = F.floor(F.col("shard") * 7 / 40).cast("int")
+        dealt = pieces.repartitionById(7, place).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"))
+        assert sorted(r.n for r in dealt.collect()) == [5, 5, 6, 6, 6, 6, 6]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -92,10 +92,19 @@ _CODEC: list = []
 
 
 def _packed(ids: np.ndarray) -> bytes:
-    """Ids in little-endian unsigned 16 bits, compressed for the way between tasks; larger ids are an error."""
+    """Ids of 16 bits, compressed for the way between tasks."""
+    return _codec()[0](ids.tobytes())
+
+
+def _closed(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All ids in little-endian unsigned 16 bits, each document's closed; larger ids are an error."""
     if len(ids) and ids.max() > 0xFFFF:
         raise ValueError(f"id {ids.max()} does not fit the shards' 16 bits")
-    return _codec()[0](ids.astype("<u2").tobytes())
+    out = np.full(len(ids) + len(counts), CLOSING_ID, "<u2")
+    own = np.ones(len(out), bool)
+    own[np.cumsum(counts) + np.arange(len(counts))] = False
+    out[own] = ids
+    return out
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -110,7 +119,7 @@ def token_stream(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for piece in byte_slices(batch, "text"):
                 ids, counts = encode(piece.column("text"))
-                closed = np.insert(ids, np.cumsum(counts), CLOSING_ID)
+                closed = _closed(ids, counts)
                 sizes = counts + 1
                 ends = np.cumsum(sizes)
                 blobs = [_packed(closed[e - n : e]) for e, n in zip(ends, sizes)]
