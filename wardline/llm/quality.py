@@ -12,6 +12,7 @@ table gives an empty result. Columns of the input are kept under ``row`` and can
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,9 +175,14 @@ def fit(cells: DataFrame) -> DataFrame:
     the determinant. The start with the lower determinant wins; one reweighting follows.
 
     A group's cells are never gathered: sums are added up where the cells lie, estimates, one row per
-    group and start, are joined to them, and the nearest half is found by counting. Each round's
-    distances are a stored table.
+    group and start, are sent to them up to MAX_SENT rows (joined beyond), and the nearest half is found
+    by counting. Each round's distances are a stored table.
     """
+    few = 2 * cells.select("g").distinct().count() <= MAX_SENT
+
+    def send(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
     medians = None
     for d in DIMS:  # a statistic has no more values than its grid
         counts = cells.groupBy("g", d).agg(F.sum("w").alias("n"))
@@ -184,16 +190,16 @@ def fit(cells: DataFrame) -> DataFrame:
         found = counts.withColumn("in", 2 * upto >= every).where("in").groupBy("g").agg(F.min(d).alias(f"q_{d}"))
         medians = found if medians is None else medians.join(found, "g")
     away = reduce(lambda a, b: a + b, [((F.col(d) - F.col(f"q_{d}")) * s / f) ** 2 for d, s, f in zip(DIMS, STEP, FLOOR)])
-    own = cells.join(medians, "g").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    own = cells.join(send(medians), "g").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     # Start 0: the half nearest to the medians. Start 1: everything.
     now = staged(own.select(*CELL, F.when(F.col("start") == 0, away).otherwise(F.lit(0.0)).alias("d2")), "distances")
     scale = consistency(HALF, len(DIMS))
     for _ in range(STEPS):
-        now = staged(_distances(now, _moments(_inner(now), scale)), "distances")
-    last = staged(_moments(_inner(now), scale), "estimates")
+        now = staged(_distances(now, send(_moments(_inner(now, send), scale))), "distances")
+    last = staged(_moments(_inner(now, send), scale), "estimates")
     det = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(len(DIMS))])
     best = last.groupBy("g").agg(F.min(F.struct(det.alias("det"), F.col("start"))).alias("best")).select("g", F.col("best.start").alias("start"))
-    now = _distances(now.join(best, ["g", "start"]), last)
+    now = _distances(now.join(send(best), ["g", "start"]), send(last))
     near = chi2_quantile(0.975, len(DIMS))
     weighed = now.withColumn("weight", F.when(F.col("d2") <= near, F.col("w")).otherwise(F.lit(0)))
     return _moments(weighed, consistency(0.975, len(DIMS))).drop("start")
@@ -204,7 +210,7 @@ def _distances(cells: DataFrame, estimates: DataFrame) -> DataFrame:
     return _with_distance(joined, [F.col(d) for d in DIMS], "d2").select(*CELL, "d2")
 
 
-def _inner(cells: DataFrame) -> DataFrame:
+def _inner(cells: DataFrame, send: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``weight``: the cell's documents if it belongs to the nearest half of its group, cells at the bound whole.
 
     Documents are counted per narrow range of distances; only the cells of the one range in which the
@@ -217,7 +223,7 @@ def _inner(cells: DataFrame) -> DataFrame:
     upto = F.sum("n").over(group.orderBy("range"))
     edge = counts.select("g", "start", F.col("range").alias("edge"), upto.alias("upto"), (upto - F.col("n")).alias("below"), half.alias("half"))
     edge = edge.where("below < half AND half <= upto").drop("upto")
-    joined = ranged.join(edge, ["g", "start"])
+    joined = ranged.join(send(edge), ["g", "start"])
     settled = joined.where("range < edge").select(*CELL, F.col("w").alias("weight"))
     order = Window.partitionBy("g", "start").orderBy("d2")
     last = joined.where("range = edge")
