@@ -5,6 +5,7 @@ import re
 
 import pytest
 from wardline.llm import quality
+from wardline.llm.base import staged
 
 SF = "/root/testdata/sf0.001"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -144,7 +145,7 @@ def test_verdict_is_that_of_a_plain_estimate(spark):
         return fits[key]
 
     got = result(docs)
-    judged = quality.with_verdict(quality.with_counts(docs))
+    judged = quality.with_verdict(staged(quality.with_counts(docs), "test-quality"))
     far = {r.doc_id: r.distance2 for r in judged.select("row.doc_id", "distance2").collect()}
     cutoff, close, wrong = quality.chi2_quantile(1 - quality.REJECT_BELOW, 4), 0, []
     for doc, lang, source, failed, vector in rows:
