@@ -34,10 +34,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the model learns from the kept documents' labels."""
+    # The text goes through the scoring once: the row beside it is without it.
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     scored = toxicity.with_toxicity(
-        _rows(docs, "doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+        docs.select(rest, "doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), with_text=True
     )
-    return scored.where("predicted = 0").select("row.*")
+    return scored.where("predicted = 0").select(*[F.col("text" if c == "text" else f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

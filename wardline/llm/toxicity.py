@@ -37,7 +37,8 @@ MIN_DOCS = 2  # a feature of fewer toxic training documents is no evidence
 SHRINK = 5.0
 STRONG = 2.0
 BEGINNINGS = (4, 5, 6)
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000  # readings and weights a worker keeps
+SLICE = 1 << 20  # bytes of text that are taken apart at once
 HELD_OUT = 5
 
 # Signs that stand for letters; fixed values.
@@ -80,7 +81,7 @@ def count_characters(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", SLICE):
                 joined = "  " + "  ".join(t.as_py() or "" for t in part.column("text")) + "  "
                 code = _codes(joined)
                 total += np.bincount((code[:-2] * SIZE + code[1:-1]) * SIZE + code[2:], minlength=SIZE**3)
@@ -243,7 +244,7 @@ def count_features(training: DataFrame, model) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _words(model.value)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", SLICE):
                 words, codes, rows, apart = own.split(part.column("text"))
                 index: dict[str, int] = {}
                 owner, feature = [], []
@@ -289,10 +290,15 @@ def weigh(counted: DataFrame, share: float) -> dict[str, float]:
 EVIDENCE = ["strongest", "second", "strong"]
 
 
-def evidence(docs: DataFrame, model, weights) -> DataFrame:
-    """The other columns of ``docs`` plus the two strongest weights of different words, and how many are strong."""
-    keep = [c for c in docs.columns if c != "text"]
-    fields = [*docs.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in EVIDENCE)]
+def evidence(docs: DataFrame, model, weights, with_text: bool = False) -> DataFrame:
+    """The other columns of ``docs`` plus the two strongest weights of different words, and how many are strong.
+
+    ``with_text`` keeps the text, too.
+    """
+    other = [c for c in docs.columns if c != "text"]
+    slim = docs.select(*other, F.col("text").cast("string").alias("text"))
+    keep = slim.columns if with_text else other
+    fields = [*slim.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in EVIDENCE)]
 
     def weigh_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, heavy = _words(model.value), weights.value
@@ -302,7 +308,7 @@ def evidence(docs: DataFrame, model, weights) -> DataFrame:
             return max((heavy.get(f, 0.0) for f in features(reading)), default=0.0)
 
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", SLICE):
                 words, codes, rows, apart = own.split(part.column("text"))
                 if len(known) > MAX_WORDS:
                     known.clear()
@@ -332,7 +338,6 @@ def evidence(docs: DataFrame, model, weights) -> DataFrame:
                     [*(part.column(c) for c in keep), *(pa.array(x) for x in out)], names=[*keep, *EVIDENCE]
                 )
 
-    slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(weigh_texts, StructType(fields))
 
 
@@ -357,8 +362,8 @@ def fit_scores(found: DataFrame) -> list[float]:
     return beta.tolist()
 
 
-def with_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
-    """``docs`` (columns doc_id and text, others are kept but text) with score and predicted.
+def with_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, with_text: bool = False) -> DataFrame:
+    """``docs`` (columns doc_id and text, others are kept, text ``with_text``) with score and predicted.
 
     ``docs`` is read three times; its rows are scored where they lie, without a shuffle.
     """
@@ -378,7 +383,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
         beta = fit_scores(evidence(training, model, weights_sent))
     else:
         weights_sent = spark.sparkContext.broadcast(weights)
-    found = evidence(docs, model, weights_sent)
+    found = evidence(docs, model, weights_sent, with_text)
     if beta is None:
         score = F.lit(float(share))
     else:
