@@ -141,3 +141,57 @@ def test_the_median_is_exact(spark):
     rows = spark.range(100_000).withColumnRenamed("id", "age")
     assert ml.median_age(rows) == 49_999.5
     assert ml.median_age(rows.limit(0)) == 0.0
+
+
+def test_the_cut_of_a_class_is_sent_to_the_rows(spark):
+    """By class all rows would meet in one task each; no row is dealt by the class alone."""
+    rows = spark.range(1000).selectExpr("id AS encounter_key", "cast(id % 10 = 0 AS int) AS readmitted_30d")
+    plan = ml.split(rows, label="readmitted_30d")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [readmitted_30d" not in plan and "BroadcastHashJoin [readmitted_30d" in plan
+
+
+def test_blocks_hold_all_rows(spark):
+    cells = spark.createDataFrame([(1, 1), (2, 4), (3, 11), (4, 8)], "cell int, n long")
+    got = {}
+    for r in ml.blocks(cells, 4).collect():
+        got.setdefault(r.cell, []).append(r.weight)
+    assert {c: sorted(w) for c, w in got.items()} == {1: [1.0], 2: [4.0], 3: [3.0, 4.0, 4.0], 4: [4.0, 4.0]}
+    assert ml.blocks(cells, 1).count() == 24
+
+
+def test_bin_edges_are_values_or_quantiles_of_all_rows(spark):
+    few = spark.range(1000).selectExpr("id % 5 AS v")
+    assert ml.bin_edges(few, "v", 10)[1:-1] == [0.5, 1.5, 2.5, 3.5]
+    many = spark.range(3201).selectExpr("id / 100 AS v")
+    assert ml.bin_edges(many, "v", 0.5)[1:-1] == pytest.approx(list(range(1, 32)))
+    assert len(ml.bin_edges(few.limit(0), "v", 10)) == 3
+
+
+@pytest.mark.parametrize("kind", ["readmission", "los"])
+def test_a_forest_of_blocks_learns_what_a_forest_of_rows_does(spark, monkeypatch, kind):
+    """Stays and returns that follow from the features; many rows are few blocks, and figures agree."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        age, visits, dept = rng.randrange(100), rng.randrange(6), rng.choice(["Medical", "Surgery", "ICU"])
+        los = 3.0 + (age > 60) * 4 + (dept == "ICU") * 6 + rng.randrange(24) / 24
+        rows.append((i, age, dept, "Private", "General", visits, los, int(visits > 3 and dept == "ICU" or rng.random() < 0.05)))
+    schema = ("encounter_key int, age int, department_name string, insurance_type string, diagnosis_category string, "
+              "num_previous_visits int, length_of_stay double, readmitted_30d int")
+    df = materialize(spark.createDataFrame(rows, schema).repartition(3), "seen")
+    train = ml.train_readmission if kind == "readmission" else ml.train_los
+    figure = (lambda m: ml.evaluate_readmission(m, df)["accuracy"]) if kind == "readmission" else (lambda m: ml.evaluate_los(m, df)["mae"])
+    plain = train(df, trees=10)
+    monkeypatch.setattr(ml, "FOREST_ROWS", 500)
+    dealt = []
+    monkeypatch.setattr(ml, "_dealt", lambda rows, n: dealt.append((n, rows.agg(F.sum("weight")).first()[0])) or rows)
+    blocked = train(df, trees=10)
+    assert dealt[0][1] == 6000 and dealt[0][0] < 6000
+    assert figure(blocked) == pytest.approx(figure(plain), rel=0.15)
+    a, b = (m.stages[-1].featureImportances.toArray() for m in (plain, blocked))
+    assert np.abs(a - b).max() < 0.2
+    assert "in {" in blocked.stages[-1].toDebugString  # departments stay categories
+    assert ml.score_readmission(blocked, df).count() == 6000 if kind == "readmission" else ml.score_los(blocked, df).count() == 6000
+    path = new_folder(spark, "model")
+    ml.save(blocked, path)
+    assert ml.load(path).stages[-1].totalNumNodes == blocked.stages[-1].totalNumNodes
