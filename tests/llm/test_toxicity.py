@@ -1,17 +1,20 @@
 """Restoring long words, and long runs of letters that stand apart."""
 
 import collections
+import gc
 import itertools
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from wardline.llm import toxicity
+from wardline.llm import simhash, tokens, toxicity
+from wardline.llm.catalog import WORD_VOCABULARY
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +45,23 @@ def test_a_word_over_the_fortieth_letter_is_read_whole(model):
         assert any("stupid" in word for _, word in apart), before
 
 
+def test_a_worker_keeps_the_memory_of_one_stage_only(model):
+    def gone(kept):
+        gc.collect()
+        return kept() is None
+
+    packing = weakref.ref(tokens.encoder(WORD_VOCABULARY))
+    assert tokens.encoder(WORD_VOCABULARY) is packing()  # within a stage it stays
+    words = weakref.ref(toxicity._words(model))
+    assert gone(packing)
+    assert toxicity._words(model) is words()
+    list(simhash._fingerprints(iter([])))
+    assert gone(words)
+    words = weakref.ref(toxicity._words(model))
+    tokens.encoder(WORD_VOCABULARY)
+    assert gone(words)
+
+
 # -- the whole way, against plain Python ------------------------------------------------------------------
 
 

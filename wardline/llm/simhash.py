@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.base import components, staged
+from wardline.llm.base import components, release, staged
 
 SHINGLE = 3
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         found = np.fromiter(
             (fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows

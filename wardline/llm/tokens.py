@@ -8,10 +8,14 @@ cuts there. Everything else, special strings included, goes to the library as it
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from wardline.llm.base import kept
+
 # No apostrophe (contractions) and no character of a special string.
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 MAX_PARTS = 400_000
@@ -116,14 +120,7 @@ def _index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a vocabulary file, kept between tasks."""
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(("encoder", path), lambda: WordEncoder(path))

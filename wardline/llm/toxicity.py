@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wardline.llm.base import byte_slices, staged
+from wardline.llm.base import byte_slices, kept, release, staged
 
 MAX_TRAINING = 40_000
 MIN_DOCS = 2  # a feature of fewer toxic training documents is no evidence
@@ -79,6 +79,7 @@ def count_characters(docs: DataFrame) -> DataFrame:
     """Rows (gram, n): how often each three symbols follow each other in all texts, at most SIZE ** 3 rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE):
@@ -219,15 +220,8 @@ class _Words:
         return words, codes, rows, list(dict.fromkeys(apart))
 
 
-_WORDS: dict[bytes, _Words] = {}
-
-
 def _words(model: np.ndarray) -> _Words:
-    key = model[::7, ::5, ::3].tobytes()
-    if key not in _WORDS:
-        _WORDS.clear()
-        _WORDS[key] = _Words(model)
-    return _WORDS[key]
+    return kept(("words", model[::7, ::5, ::3].tobytes()), lambda: _Words(model))
 
 
 def training_rows(labels: DataFrame, limit: int = MAX_TRAINING) -> DataFrame:
