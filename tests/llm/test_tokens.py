@@ -51,6 +51,36 @@ def test_ids_with_a_small_memory(library, texts, monkeypatch):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_memory_keeps_frequent_words(library, monkeypatch):
+    """Words of every batch are encoded once, however often rare ones fill the memory."""
+    monkeypatch.setattr(tokens, "MAX_PARTS", 100)
+    own, encoded = tokens.WordEncoder(WORDS), []
+    store = own._store
+    monkeypatch.setattr(own, "_store", lambda parts, joined: (encoded.extend(parts), store(parts, joined)))
+    common = [f"often{a}{b}" for a in "abcd" for b in "xyz"]
+    common = [*common, "a1b2", "don't"]
+    for batch in range(30):
+        rare = [f"rare{'abcdefghij'[batch % 10]}{'klm'[batch // 10]}{c}" for c in "abcdefghijklmnopqrst"]
+        text = " ".join([*common, *rare, "end."])
+        ids, n = own.encode(pa.array([text, "", f"{rare[0]}!"]))
+        expected = [library.encode(t, add_special_tokens=False).ids for t in (text, "", f"{rare[0]}!")]
+        assert ids.tolist() == sum(expected, []) and n.tolist() == list(map(len, expected))
+        assert len(own.parts) <= 100 + 50 == 3 * tokens.MAX_PARTS // 2
+        assert len(own.parts) == len(own.starts) == len(own.lengths) == len(own.uses)
+    assert all(encoded.count(word) == 1 for word in [*common, "end", "."])
+
+
+def test_what_is_kept_of_a_full_memory_is_bounded(library, monkeypatch):
+    """Also where every word comes again."""
+    monkeypatch.setattr(tokens, "MAX_PARTS", 40)
+    own = tokens.WordEncoder(WORDS)
+    words = [f"word{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    for start in [0, 30, 60, 0, 30, 60, 0, 0, 30]:
+        text = " ".join(words[start : start + 30])
+        assert own.encode(pa.array([text, text]))[0].tolist() == 2 * library.encode(text, add_special_tokens=False).ids
+        assert len(own.parts) <= 40 + 30
+
+
 def test_counts_at_every_prefix(library, texts):
     own = counts.PrefixCounts(WORDS)
     for word in {w for t in texts for w in t.split()}:

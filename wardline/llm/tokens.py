@@ -9,6 +9,7 @@ cuts there. Everything else, special strings included, goes to the library as it
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from wardline.llm.base import kept
 # No apostrophe (contractions) and no character of a special string.
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 MAX_PARTS = 400_000
+# So many words go to the library as one text: it takes longer over each word of a long one.
+LINE = 100
 
 
 class WordEncoder:
@@ -36,11 +39,29 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        """Starts over with an empty memory; what is remembered is bounded by MAX_PARTS parts of words and a batch's."""
+        """Starts over with an empty memory."""
         self.parts: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
         self.lengths = np.zeros(1, np.int64)
+        self.uses = np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keeps what came in several batches, half of MAX_PARTS at most; most words of a corpus come once.
+
+        So what is remembered is bounded by MAX_PARTS parts of words and a batch's.
+        """
+        often = np.flatnonzero(self.uses > 1)
+        if len(often) > MAX_PARTS // 2:
+            often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: MAX_PARTS // 2]])
+        often = np.concatenate([[0], often[often > 0]])  # the empty part stays the first
+        number = np.full(len(self.uses), -1, np.int64)
+        number[often] = np.arange(len(often))
+        self.parts = {part: k for part, k in zip(self.parts, number[list(self.parts.values())].tolist()) if k >= 0}
+        lengths = self.lengths[often]
+        self.ids = self.ids[_index(self.starts[often], lengths)]
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+        self.uses = self.uses[often] // 2  # what is not met any more goes in time
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has); null counts as empty."""
@@ -59,10 +80,10 @@ class WordEncoder:
     def word_parts(self, words: pa.Array) -> np.ndarray:
         """The two parts of every word: letters and the run behind them, or the whole word and nothing."""
         if len(self.parts) > MAX_PARTS:
-            self.clear()
-        stem = pc.utf8_rtrim(words, TAIL)
+            self.forget()
+        stem = pc.ascii_rtrim(words, TAIL)
         plain = pc.string_is_ascii(stem)
-        cut = np.asarray(pc.and_(plain, pc.utf8_is_alpha(stem)).to_numpy(zero_copy_only=False)).copy()
+        cut = np.asarray(pc.and_(plain, pc.ascii_is_alpha(stem)).to_numpy(zero_copy_only=False)).copy()
         foreign = np.flatnonzero(~np.asarray(plain.to_numpy(zero_copy_only=False)))
         if len(foreign):
             other = stem.take(pa.array(foreign)).dictionary_encode()
@@ -86,31 +107,35 @@ class WordEncoder:
 
     def _known(self, parts: list[str], joined: np.ndarray) -> np.ndarray:
         """Numbers of different parts; those not met before are encoded, ``joined`` ones many at a time."""
-        known = self.parts
-        missing = [k for k, part in enumerate(parts) if part not in known]
-        if missing:
-            flags = joined[missing]
-            self._store([parts[k] for k, flag in zip(missing, flags) if flag], joined=True)
-            self._store([parts[k] for k, flag in zip(missing, flags) if not flag], joined=False)
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        out = np.fromiter(map(self.parts.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            for flag in (True, False):
+                some = missing[joined[missing] == flag]
+                out[some] = np.arange(len(self.starts), len(self.starts) + len(some))
+                self._store([parts[k] for k in some.tolist()], joined=flag)
+        self.uses[out] += 1
+        return out
 
     def _store(self, parts: list[str], joined: bool) -> None:
         for at in range(0, len(parts), 20_000):
             some = parts[at : at + 20_000]
             ids = lengths = None
             if joined:
-                ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+                lines = [" ".join(some[k : k + LINE]) for k in range(0, len(some), LINE)]
+                ids = np.concatenate([np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)])
                 ends = np.flatnonzero(self.closes[ids]) + 1
                 if len(ends) == len(some):  # each part is one pre-token, unless normalisation made more of it
                     lengths = np.diff(np.concatenate([[0], ends]))
             if lengths is None:
-                each = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
+                each = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
                 lengths = np.array([len(e) for e in each], np.int64)
                 ids = np.concatenate([np.array(e, np.int32) for e in each])
             first = len(self.starts)
             self.parts.update(zip(some, range(first, first + len(some))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
+            self.uses = np.concatenate([self.uses, np.zeros(len(some), np.int64)])
             self.ids = np.concatenate([self.ids, ids])
 
 
