@@ -97,6 +97,28 @@ def test_odd_rows(spark):
     assert one.leaf == one.subroot == one.root
 
 
+def test_offsets_are_stored_in_a_file_per_tree(spark, monkeypatch):
+    """Not in one per task of the counts: each file costs an executor several processes where Hadoop has no native code."""
+    held, stage = {}, merkle.staged
+    monkeypatch.setattr(merkle, "staged", lambda df, name: held.setdefault(name, stage(df, name)))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(600).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS tree")
+        found = merkle.numbered(rows, ["doc_id"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.doc_id, r.i, r.n) for r in found} == {
+        (d, d // 3 if d % 3 == 0 else d - d // 3 - 1, 200 if d % 3 == 0 else 400) for d in range(600)
+    }
+    assert len(held["manifest-order"].inputFiles()) > 20
+    rest = [f for name, f in held.items() if name not in ("manifest-order", "manifest-leaves")]
+    assert rest and all(len(f.inputFiles()) <= 3 for f in rest)
+
+
 @pytest.mark.parametrize("n", [1, 2, 8, 9, 63, 64, 65, 511, 512, 513, 600])
 def test_positions_are_those_of_a_postorder_walk(n):
     order = []

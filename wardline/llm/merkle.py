@@ -127,10 +127,11 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
     dealt = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
     held = staged(dealt.mapInArrow(count, f"{fields}, _part int, _at long"), "manifest-order")
-    counts = staged(held.groupBy("tree", "_part").agg(F.count("*").alias("_n")), "manifest-counts")
+    counts = held.groupBy("tree", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("tree").orderBy("_part")) - F.col("_n")
     total = F.sum("_n").over(Window.partitionBy("tree"))
-    offsets = counts.select("tree", "_part", before.alias("_before"), total.cast("long").alias("n"))
+    # Stored when the rows of a tree are together: a file per tree, not one per task of the counts.
+    offsets = staged(counts.select("tree", "_part", before.alias("_before"), total.cast("long").alias("n")), "manifest-offsets")
     joined = held.join(offsets, ["tree", "_part"])
     return staged(joined.select(*rows.columns, (F.col("_at") + F.col("_before")).cast("long").alias("i"), "n"), "manifest-leaves")
 
