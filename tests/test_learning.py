@@ -114,6 +114,29 @@ def test_los_model_spread(parts, asks):
     assert scores.where("lower_bound < 0 OR lower_bound > predicted_los OR upper_bound < predicted_los").count() == 0
 
 
+def test_the_trees_are_applied_once_to_equal_features(spark, parts, monkeypatch):
+    """Rows that differ in key only share one application; keys may come twice or be missing."""
+    rng = random.Random(8)
+    kinds = [(age, rng.choice(["Cardiac", "General"]), hour) for age in (None, 0, 17, 44, 80) for hour in (None, 0, 5, 23)]
+    rows = [(None if i == 3 else i // 2, *kind) for i, kind in enumerate(kinds * 12)]
+    features = spark.createDataFrame(rows, "encounter_key int, age int, diagnosis_category string, hour int").selectExpr(
+        "encounter_key", "age", "'General' AS department_name", "diagnosis_category", "0L AS num_previous_visits",
+        "'Medicare' AS insurance_type", "timestamp_ntz'2024-01-07' + make_interval(0, 0, 0, 0, hour) AS admission_date")
+    model = ml.train_los(parts[0], trees=5)
+    each = model.transform(ml.prepare(features))
+    plain = ml.tree_spread(model.stages[-1], each).select("encounter_key", "prediction", "tree_mean", "tree_std")
+    want = sorted(map(str, plain.collect()))
+    applied, spread_of = [], ml.tree_spread
+    monkeypatch.setattr(ml, "tree_spread", lambda forest, df: applied.append((df.count(), df.rdd.getNumPartitions())) or spread_of(forest, df))
+    monkeypatch.setattr(ml, "CELL_ROWS", 6, raising=False)
+    assert ml.score_los(model, features).count() == len(rows)
+    assert applied == [(each.select("features").distinct().count(), 4)]
+    assert applied[0][0] <= len(kinds)
+    got = ml.rows_with_spread(model, features).select("encounter_key", "prediction", "tree_mean", "tree_std")
+    assert sorted(map(str, got.collect())) == want
+    assert ml.score_los(model, features.limit(0)).count() == 0
+
+
 def test_missing_age_takes_the_training_median(spark):
     rows = [(i, age, "Medical", "Private", "General", 0, 1.0) for i, age in enumerate([10, 20, 60])]
     schema = "encounter_key int, age int, department_name string, insurance_type string, diagnosis_category string, num_previous_visits int, length_of_stay double"
