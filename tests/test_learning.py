@@ -182,6 +182,15 @@ def test_blocks_hold_all_rows(spark):
     assert ml.blocks(cells, 1).count() == 24
 
 
+def test_a_forest_does_not_depend_on_the_files_its_rows_lie_in(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(100), rng.choice(["Medical", "ICU"]), "Private", "General", rng.randrange(6), 1 + rng.random()) for i in range(900)]
+    schema = "encounter_key int, age int, department_name string, insurance_type string, diagnosis_category string, num_previous_visits int, length_of_stay double"
+    df = spark.createDataFrame(rows, schema)
+    two, three = (ml.train_los(materialize(df.repartition(n), "seen"), trees=6).stages[-1] for n in (2, 3))
+    assert [t.toDebugString.split("\n", 1)[1] for t in two.trees] == [t.toDebugString.split("\n", 1)[1] for t in three.trees]
+
+
 def test_bin_edges_are_values_or_quantiles_of_all_rows(spark):
     few = spark.range(1000).selectExpr("id % 5 AS v")
     assert ml.bin_edges(few, "v", 10)[1:-1] == [0.5, 1.5, 2.5, 3.5]
